@@ -2,5 +2,835 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from headrow.functions import checks, text, times, urls
+from headrow.operators import archive as arc, browse, catalog, changes, cluster, health, validate as val
+from headrow.plans import views
+from headrow.plans.views import duck, view
+from headrow.sources import candidates as cand, payloads as pay
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its DuckDB SQL if there is one."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# ---- the same derivations in DuckDB SQL
+
+_SP = r"[\s\x1c-\x1f\x85\xa0]"
+
+
+def _strip(c: str) -> str:
+    return f"regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
+
+
+def _title(c: str) -> str:
+    return f"trim(regexp_replace({c}, '\\s+', ' ', 'g'))"
+
+
+def _norm(c: str) -> str:
+    scheme = f"lower(regexp_extract(trim({c}), '^([A-Za-z]+)://', 1))"
+    host = f"lower(regexp_extract(trim({c}), '://(?:[^/?#]*@)?([^/?#:@]*)', 1))"
+    port = f"regexp_extract(trim({c}), '://(?:[^/?#]*@)?[^/?#:@]*:([0-9]+)', 1)"
+    rest = f"regexp_extract(trim({c}), '://[^/?#]*([^#]*)', 1)"
+    shown = f"CASE WHEN {port} = '' OR ({scheme} = 'https' AND {port} = '443') OR ({scheme} = 'http' AND {port} = '80') THEN '' ELSE ':' || {port} END"
+    return f"({scheme} || '://' || {host} || {shown} || {rest})"
+
+
+_TRACKING = ", ".join(f"'{k}'" for k in urls.TRACKING_KEYS)
+
+
+def _canon(c: str) -> str:
+    n = _norm(c)
+    q = f"array_to_string(list_filter(string_split(regexp_extract({n}, '[?](.*)$', 1), '&'), lambda x: lower(url_decode(split_part(x, '=', 1))) NOT IN ({_TRACKING})), '&')"
+    return f"(split_part({n}, '?', 1) || CASE WHEN {q} = '' THEN '' ELSE '?' || {q} END)"
+
+
+_C = f"c AS ({duck(views.CANDIDATES)})"
+_REASON = """CASE WHEN trim(title) = '' THEN 'empty_title' WHEN length(trim(title)) > 1000 THEN 'title_too_long'
+  WHEN NOT regexp_matches(url, '^[hH][tT][tT][pP][sS]?://[^/?#]+') OR regexp_matches(url, '[\\s<>"^`{|}]') THEN 'invalid_url' WHEN position < 1 THEN 'invalid_position'
+  WHEN published_at > seen_at + INTERVAL 7200 SECOND THEN 'published_at_too_far_in_future' END"""
+_V = f"""{_C}, v AS (SELECT *, nullif(trim(external_id), '') AS ext, {_REASON} AS reason, 'url:' || {_norm('url')} AS u,
+  CASE WHEN nullif(trim(external_id), '') IS NOT NULL THEN 'external:' || provider_id || ':' || trim(external_id) END AS p FROM c)"""
+_R = f"""{_V}, a0 AS (SELECT *, p IS NOT NULL AND row_number() OVER (PARTITION BY p ORDER BY obs_seq) = 1 AS fp,
+  p IS NOT NULL AND row_number() OVER (PARTITION BY u, p ORDER BY obs_seq) = 1 AS fup FROM v WHERE reason IS NULL),
+b0 AS (SELECT *, sum(fp::INT) OVER (PARTITION BY u ORDER BY obs_seq ROWS UNBOUNDED PRECEDING) - fp::INT AS seg,
+  coalesce(sum(fup::INT) OVER (PARTITION BY u ORDER BY obs_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS dp,
+  first_value(p IGNORE NULLS) OVER (PARTITION BY u ORDER BY obs_seq ROWS UNBOUNDED PRECEDING) AS firstp FROM a0),
+d0 AS (SELECT *, max((p IS NULL AND dp <> 1)::INT) OVER (PARTITION BY u, seg ORDER BY obs_seq ROWS UNBOUNDED PRECEDING) AS gen,
+  max(CASE WHEN fp THEN p END) OVER (PARTITION BY u, seg) AS segp FROM b0),
+t0 AS (SELECT *, CASE WHEN p IS NOT NULL THEN p WHEN gen = 1 THEN coalesce(segp, u) ELSE firstp END AS token FROM d0),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id, run_id ORDER BY obs_seq) = 1 AS rep, sha256({_title('title')}) AS title_hash
+  FROM (SELECT *, min(obs_seq) OVER (PARTITION BY token) AS item_id FROM t0)),
+w AS (SELECT * FROM r WHERE rep)"""
+_ITEMS = f"""items AS (SELECT item_id, any_value(token) AS identity_key, max(ext) AS external_id,
+  arg_max(trim(url), (seen_at, obs_seq)) FILTER (rep) AS original_url, arg_min(item_kind, obs_seq) AS item_kind, arg_min_null(entity_kind, obs_seq) AS entity_kind,
+  arg_min_null(item_variant, obs_seq) AS item_variant, arg_min(published_at, obs_seq) FILTER (rep AND published_at IS NOT NULL) AS published_at,
+  arg_min(raw_published_at, obs_seq) FILTER (rep AND raw_published_at IS NOT NULL) AS raw_published_at, min(seen_at) FILTER (rep) AS first_seen_at,
+  max(seen_at) FILTER (rep) AS last_seen_at FROM r GROUP BY item_id),
+its AS (SELECT *, {_canon('original_url')} AS canonical_url FROM items)"""
+_OBS = """obs AS (SELECT source_id, item_id, arg_min(ext, obs_seq) FILTER (ext IS NOT NULL) AS upstream_id, min(seen_at) AS first_seen_at, max(seen_at) AS last_seen_at,
+  arg_max_null(position, (seen_at, obs_seq)) AS position FROM w GROUP BY source_id, item_id)"""
+_VERS = """vers AS (SELECT item_id, title_hash, min(obs_seq) AS version_id, arg_min(trim(title), obs_seq) AS title, min(seen_at) AS first_seen_at, max(seen_at) AS last_seen_at
+  FROM w GROUP BY item_id, title_hash)"""
+_NEW = """nov AS (SELECT *, obs_seq = item_id AS inew, row_number() OVER (PARTITION BY item_id, source_id ORDER BY obs_seq) = 1 AS onew,
+  min(obs_seq) OVER (PARTITION BY item_id, title_hash) AS version_id FROM w)"""
+_LOG = f"""{_NEW}, log AS (
+  SELECT 2 * obs_seq AS seq, CASE WHEN inew THEN 'item_created' ELSE 'item_observed' END AS event_type, source_id, item_id, version_id AS item_version_id, seen_at AS created_at
+  FROM nov WHERE inew OR onew UNION ALL
+  SELECT 2 * obs_seq + 1, 'headline_version_created', source_id, item_id, version_id, seen_at FROM nov WHERE obs_seq = version_id AND NOT inew)"""
+_SRC = f"src AS ({duck(views.SOURCES)}), surf AS ({duck(views.SURFACES)})"
+_SNAP = "snap AS (SELECT run_id AS snapshot_id, run_id AS fetch_run_id, min(source_id) AS source_id, max(seen_at) AS observed_at FROM w WHERE run_kind = 'live' GROUP BY run_id)"
+_ENT = f"ent AS (SELECT w.run_id AS snapshot_id, w.item_id, position, v2.version_id AS item_version_id, trim(url) AS original_url, {_canon('url')} AS canonical_url, metrics FROM w JOIN vers v2 USING (item_id, title_hash) WHERE run_kind = 'live')"
+_RUNS = f"runs AS ({duck(views.RUNS)})"
+
+
+def _sql(*ctes: str, select: str, recursive: bool = False) -> str:
+    return f"WITH {'RECURSIVE ' if recursive else ''}{', '.join(ctes)}\n{select}"
+
+
+# ---- inputs
+
+
+def _candidates(spark, d):
+    return view(spark, d, views.CANDIDATES)
+
+
+def _validated(spark, d):
+    c = val.with_identity(_candidates(spark, d))
+    return c.withColumn("reason", val.rejection_reason(F.col("seen_at")))
+
+
+def _resolved(spark, d):
+    return arc.resolve_items(_validated(spark, d).where("reason is null"))
+
+
+def _archive(spark, d):
+    return arc.build_archive(_validated(spark, d).where("reason is null"))
+
+
+def _sources(spark, d):
+    return view(spark, d, views.SOURCES)
+
+
+def _surfaces(spark, d):
+    return view(spark, d, views.SURFACES)
+
+
+def _runs(spark, d):
+    return view(spark, d, views.RUNS)
+
+
+def _heads(spark, d):
+    heads = view(spark, d, views.HEADS)
+    return heads.withColumn("canonical_url", urls.canonicalize_url(F.col("url")))
+
+
+def _hex(c):
+    return F.sha2(c, 256)
+
+
+# ---- C: scalar functions over pages, documents and events
+
+
+@query(_sql(f"c AS ({duck(views.CANDIDATES)} UNION ALL BY NAME SELECT page_id AS obs_seq, url FROM pages)", select=f"SELECT obs_seq, {_norm('url')} AS normal, {_canon('url')} AS canonical, 'url:' || {_norm('url')} AS url_key FROM c"))
+def c1_c2_c6_url_identity(spark, d):
+    rows = _candidates(spark, d).select("obs_seq", "url").unionByName(spark.read.parquet(f"{d}/pages.parquet").select(F.col("page_id").alias("obs_seq"), "url"))
+    u = F.col("url")
+    return rows.select("obs_seq", urls.normalize_url_for_identity(u).alias("normal"), urls.canonicalize_url(u).alias("canonical"), urls.url_identity_key(u).alias("url_key"))
+
+
+@query(_sql(_V, select="SELECT obs_seq, coalesce(p, u) AS identity_key FROM v"))
+def c6_identity_key(spark, d):
+    return _candidates(spark, d).select("obs_seq", urls.identity_key(F.col("url"), F.col("external_id"), F.col("provider_id")).alias("identity_key"))
+
+
+@query(f"SELECT doc_id, sha256({_title('text')}) AS title_hash, length({_title('text')}) AS n_chars FROM documents")
+def c3_c4_title_hash(spark, d):
+    t = F.col("text")
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", text.title_hash(t).alias("title_hash"), F.length(text.normalize_title(t)).cast("long").alias("n_chars"))
+
+
+@query(f"SELECT doc_id, 'title:' || lang || ':' || source || ':' || replace(lower({_title('text')}), 'ß', 'ss') AS cluster_key FROM documents WHERE length(text) < 200")
+def c5_title_cluster_key(spark, d):
+    short = spark.read.parquet(f"{d}/documents.parquet").where("length(text) < 200")
+    return short.select("doc_id", text.title_cluster_key(F.col("text"), F.col("lang"), F.col("source")).alias("cluster_key"))
+
+
+@query(_sql(_C, select="""SELECT obs_seq, regexp_matches(url, '^[hH][tT][tT][pP][sS]?://[^/?#]+') AS ok, regexp_extract(lower(url), '://(?:[^/?#]*@)?([^/?#:@]*)', 1) AS host,
+  regexp_replace(lower(regexp_extract(url, '^([A-Za-z]+://)', 1)) || regexp_extract(url, '://(?:[^/?#@]*@)?([^?#]*)', 1), '^$', '') AS shown FROM c"""))
+def c7_c20_url_checks(spark, d):
+    u = F.col("url")
+    return _candidates(spark, d).select("obs_seq", urls.is_http_url(u).alias("ok"), urls.upstream_host(u).alias("host"), urls.safe_url(u).alias("shown"))
+
+
+_RAW_TIMES = """SELECT event_id, ts, CASE event_id % 8 WHEN 0 THEN '' || CAST(1700000000 + event_id AS BIGINT) WHEN 1 THEN '' || (CAST(1700000000000 AS BIGINT) + event_id)
+  WHEN 2 THEN {iso} || 'Z' WHEN 3 THEN {iso} || '+08:00' WHEN 4 THEN {iso} WHEN 5 THEN {rfc} || ' GMT' WHEN 6 THEN {rfc} || ' +0900' ELSE 'soon' END AS raw FROM {events}"""
+
+
+@query(_sql("t AS (" + _RAW_TIMES.replace("{iso}", "strftime(ts, '%Y-%m-%dT%H:%M:%S')").replace("{rfc}", "strftime(ts, '%a, %d %b %Y %H:%M:%S')").replace("{events}", "events") + "), s AS (SELECT *, date_trunc('second', ts) AS sec FROM t)",
+            select="""SELECT event_id, CASE event_id % 8 WHEN 0 THEN (1700000000 + event_id) * 1000000 WHEN 1 THEN (1700000000000 + event_id) * 1000 WHEN 2 THEN epoch_us(sec)
+  WHEN 3 THEN epoch_us(sec) - 28800000000 WHEN 4 THEN NULL WHEN 5 THEN epoch_us(sec) WHEN 6 THEN epoch_us(sec) - 32400000000 END AS us,
+  CASE WHEN event_id % 8 = 4 THEN epoch_us(sec) - 28800000000 WHEN event_id % 8 = 2 THEN epoch_us(sec) WHEN event_id % 8 = 3 THEN epoch_us(sec) - 28800000000 END AS china_us FROM s"""))
+def c8_c9_parse_timestamp(spark, d):
+    sql = _RAW_TIMES.replace("{iso}", "date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss\")").replace("{rfc}", "(date_format(ts, 'E') || ', ' || date_format(ts, 'dd MMM yyyy HH:mm:ss'))")
+    rows, raw = view(spark, d, sql), F.col("raw")
+    china = F.when(F.col("event_id") % 8 >= 2, times.parse_china_timestamp(raw))
+    return rows.select("event_id", F.unix_micros(times.parse_timestamp(raw)).alias("us"), F.unix_micros(china).alias("china_us"))
+
+
+_LABELS = """SELECT event_id, ts, CASE event_id % 7 WHEN 0 THEN '刚刚' WHEN 1 THEN (event_id % 50) || '分钟前' WHEN 2 THEN (event_id % 9) || ' 小時前' WHEN 3 THEN (event_id % 5) || '天前'
+  WHEN 4 THEN '昨天 ' || (event_id % 24) || ':30' WHEN 5 THEN '前天' ELSE (event_id % 60) || '秒前' END AS label FROM {events}"""
+
+
+@query(f"SELECT event_id, CASE event_id % 7 WHEN 0 THEN us WHEN 1 THEN us - (event_id % 50) * 60000000 WHEN 2 THEN us - (event_id % 9) * 3600000000 WHEN 3 THEN us - (event_id % 5) * 86400000000 "
+       "WHEN 4 THEN epoch_us(date_trunc('day', ts + INTERVAL 8 HOUR)) - 86400000000 + (event_id % 24) * 3600000000 + 1800000000 - 28800000000 WHEN 6 THEN us - (event_id % 60) * 1000000 END AS us "
+       "FROM (SELECT event_id, ts, epoch_us(ts) AS us FROM events)")
+def c10_parse_relative_time(spark, d):
+    rows = view(spark, d, _LABELS)
+    return rows.select("event_id", F.unix_micros(times.parse_relative_time(F.col("label"), F.col("ts").cast("timestamp"))).alias("us"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 5 > 0 THEN epoch_us(date_trunc('second', ts)) - 28800000000 END AS compact_us,
+  epoch_us(ts) - (event_id % 30) * CASE event_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 7 WHEN 2 THEN 30 ELSE 365 END * 86400000000 AS since_us,
+  epoch_us(date_trunc('day', ts + INTERVAL 8 HOUR)) - (event_id % 9) * 86400000000 - 28800000000 AS day_us,
+  CASE WHEN gap < 60 THEN 'just now' WHEN gap < 3600 THEN (gap // 60) || 'm ago' WHEN gap < 86400 THEN (gap // 3600) || 'h ago'
+    WHEN CAST(ts + INTERVAL 8 HOUR AS DATE) = CAST(now + INTERVAL 8 HOUR - INTERVAL 1 DAY AS DATE) THEN 'yesterday'
+    ELSE strftime(ts + INTERVAL 8 HOUR, '%b %-d') END AS said
+FROM (SELECT *, ts + CAST(gap AS INT) * INTERVAL 1 SECOND AS now FROM (SELECT *, (event_id * event_id) % 400000 // CASE WHEN event_id % 3 = 0 THEN 1000 ELSE 1 END AS gap FROM events))""")
+def c11_c14_windows_and_labels(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet").withColumn("t", F.col("ts").cast("timestamp"))
+    i = F.col("event_id")
+    gap = F.floor((i * i) % 400000 / F.when(i % 3 == 0, 1000).otherwise(1))
+    now = times.later(F.col("t"), gap)
+    compact = F.when(i % 5 > 0, F.date_format("ts", "yyyyMMddHHmmss")).otherwise(F.date_format("ts", "yyyyMMdd"))
+    since = F.concat((i % 30).cast("string"), F.element_at(F.array(*map(F.lit, ("", "w", " m", "Y"))), (i % 4 + 1).cast("int")))
+    return e.select(
+        "event_id", F.unix_micros(times.parse_compact_date(compact)).alias("compact_us"), F.unix_micros(times.parse_since(since, F.col("t"))).alias("since_us"),
+        F.unix_micros(times.calendar_window_start(i % 9 + 1, F.col("t"))).alias("day_us"), times.format_relative(F.col("t"), now).alias("said"),
+    )
+
+
+@query("SELECT doc_id, contains(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'the %') AS percent, contains(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'in the') AS plain FROM documents")
+def c15_title_search(spark, d):
+    t = F.col("text")
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", text.title_search(t, "THE %").alias("percent"), text.title_search(t, "In The").alias("plain"))
+
+
+_KINDS = """SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'article' WHEN 1 THEN 'entity' WHEN 2 THEN 'video' WHEN 3 THEN 'post' ELSE 'entity' END AS item_kind,
+  CASE event_id % 3 WHEN 0 THEN 'game' WHEN 1 THEN 'rock' END AS entity_kind, CASE event_id % 4 WHEN 0 THEN 'flash' WHEN 1 THEN 'slow' END AS item_variant, event_type, user_id FROM {events}"""
+
+
+@query(_sql(f"k AS ({_KINDS.format(events='events')})", select="""SELECT event_id,
+  CASE WHEN item_kind = 'entity' AND entity_kind IS NULL THEN 'entity_kind_required' WHEN item_kind = 'entity' AND entity_kind = 'rock' THEN 'unknown_entity_kind'
+    WHEN item_kind <> 'entity' AND entity_kind IS NOT NULL THEN 'entity_kind_not_allowed' WHEN item_variant = 'slow' THEN 'unknown_item_variant'
+    WHEN item_variant = 'flash' AND item_kind <> 'article' THEN 'flash_needs_article' END AS problem,
+  CASE WHEN (CASE WHEN item_kind = 'entity' THEN entity_kind ELSE item_variant END) IS NULL THEN item_kind ELSE item_kind || ' (' || CASE WHEN item_kind = 'entity' THEN entity_kind ELSE item_variant END || ')' END AS label,
+  CASE WHEN user_id % 4 = 0 THEN event_type ELSE event_type || ' (+' || (user_id % 4) || ')' END AS dup, event_type || ' — ' || item_kind AS source,
+  CASE WHEN user_id % 2 = 0 THEN event_type ELSE event_type || ': x' END AS err, CASE WHEN user_id % 2 = 0 THEN event_type ELSE 'a b' END AS message FROM k"""))
+def c16_c17_c18_labels(spark, d):
+    kind, entity, variant = (F.col(c) for c in ("item_kind", "entity_kind", "item_variant"))
+    odd, type_ = F.col("user_id") % 2 == 1, F.col("event_type")
+    return view(spark, d, _KINDS).select(
+        "event_id", checks.classification_problem(kind, entity, variant).alias("problem"), text.item_label(kind, entity, variant).alias("label"),
+        text.duplicate_label(type_, F.col("user_id") % 4).alias("dup"), text.source_label(type_, kind).alias("source"),
+        text.error_text(type_, F.when(odd, "x")).alias("err"), text.error_message(F.when(odd, " a \n b ").otherwise("  "), type_).alias("message"),
+    )
+
+
+@query("""SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS whole, CASE WHEN event_id % 3 = 0 THEN NULL ELSE value END AS number, '' || user_id AS id FROM events""")
+def b8_b9_json_scalars(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet")
+    value = F.when(F.col("event_id") % 3 == 0, F.lit("true")).otherwise(F.col("value").cast("string"))
+    v = F.parse_json(F.concat(F.lit('{"n":'), value, F.lit(',"id":'), F.col("user_id").cast("string"), F.lit("}")))
+    at = lambda v, p: F.variant_get(v, p, "variant")
+    return e.select(
+        "event_id", checks.optional_integer(at(F.parse_json("props"), "$.k")).alias("whole"), checks.optional_finite_number(at(v, "$.n")).alias("number"),
+        checks.scalar_text_of(at(v, "$.id")).alias("id"),
+    )
+
+
+@query(r"""SELECT doc_id, trim(split_part(substr(text, 1, 60), ' ', 1)) AS head, regexp_extract('https://x.example/a/' || doc_id || '.html?p=1', '/a/(\d+)', 1) AS id,
+  'https://x.example/' || doc_id || '/v' AS url, CASE WHEN doc_id % 3 = 0 THEN 'T ' || doc_id ELSE trim(regexp_replace(substr(text, 1, 20), '\s+$', '')) END AS title, 'Flash ' || doc_id AS flash FROM documents WHERE length(text) >= 20""")
+def b10_b14_projections(spark, d):
+    docs = spark.read.parquet(f"{d}/documents.parquet").where("length(text) >= 20")
+    i = F.col("doc_id").cast("string")
+    first = F.substring_index(F.substring("text", 1, 60), " ", 1)
+    return docs.select(
+        "doc_id", text.cut_at_quote(F.concat(first, F.lit(' " target='))).alias("head"),
+        urls.id_from_path(F.concat(F.lit("https://x.example/a/"), i, F.lit(".html?p=1")), r"/a/(\d+)").alias("id"),
+        urls.url_template("https://x.example/{id}/v", F.col("doc_id")).alias("url"),
+        text.title_fallback(F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(" T "), i)), F.lit("  "), F.substring("text", 1, 20)).alias("title"),
+        text.headline_from_flash(F.concat(F.lit("<b>【Flash "), i, F.lit("】</b> rest"))).alias("flash"),
+    )
+
+
+# ---- D: validation
+
+
+@query(_sql(_V, select="SELECT obs_seq, reason FROM v"))
+def d1_rejection_reason(spark, d):
+    return _validated(spark, d).select("obs_seq", "reason")
+
+
+_WALK = """s AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY obs_seq) AS rn FROM v WHERE reason IS NULL),
+walk AS (SELECT run_id, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS obs_seq, false AS dup, []::VARCHAR[] AS prim, []::VARCHAR[] AS us, []::VARCHAR[] AS bare FROM (SELECT DISTINCT run_id FROM s)
+  UNION ALL SELECT run_id, rn, obs_seq, dup, CASE WHEN dup THEN prim ELSE list_append(prim, coalesce(p, u)) END, CASE WHEN dup THEN us ELSE list_append(us, u) END,
+    CASE WHEN dup OR p IS NOT NULL THEN bare ELSE list_append(bare, u) END
+  FROM (SELECT s.run_id, s.rn, s.obs_seq, s.p, s.u, prim, us, bare, list_contains(prim, coalesce(p, u)) OR list_contains(CASE WHEN p IS NULL THEN us ELSE bare END, u) AS dup
+    FROM walk JOIN s ON s.run_id = walk.run_id AND s.rn = walk.rn + 1)),
+judged AS (SELECT v.*, CASE WHEN walk.dup THEN 'duplicate_identity' ELSE v.reason END AS verdict FROM v LEFT JOIN walk ON walk.obs_seq = v.obs_seq)"""
+
+
+@query(_sql(_V, _WALK, select="SELECT obs_seq, run_id, verdict AS reason FROM judged", recursive=True))
+def d2_dedupe_batch(spark, d):
+    return val.validate(_candidates(spark, d), F.col("seen_at")).select("obs_seq", "run_id", "reason")
+
+
+@query(_sql(_V, _WALK, select="""SELECT run_id, count(*) FILTER (verdict IS NULL) AS accepted, count(*) FILTER (verdict IS NOT NULL) AS rejected, count(*) FILTER (verdict = 'duplicate_identity') AS warnings,
+  count(*) FILTER (verdict IS NULL) = 0 AS failed FROM judged GROUP BY run_id""", recursive=True))
+def d3_batch_outcome(spark, d):
+    return val.batch_outcome(val.validate(_candidates(spark, d), F.col("seen_at")))
+
+
+def _history(spark, d):
+    rows = _validated(spark, d).withColumn("page_no", F.floor(F.col("obs_seq") % 250 / 25))
+    pages = rows.select("run_id", "page_no").distinct().withColumn("exhausted", (F.col("run_id") % 3 == 0) & (F.col("page_no") == 6))
+    plan = rows.groupBy("run_id").agg(F.min("seen_at").alias("since"), F.max("seen_at").alias("until")).withColumn("max_items", F.col("run_id") % 4 * 5 + 4).withColumn("max_pages", F.lit(8))
+    return val.history_window(rows, pages, plan)
+
+
+_HIST = """h AS (SELECT *, obs_seq % 250 // 25 AS page_no FROM v),
+plan AS (SELECT run_id, min(seen_at) AS since, max(seen_at) AS until, run_id % 4 * 5 + 4 AS max_items FROM v GROUP BY run_id),
+pages AS (SELECT DISTINCT run_id, page_no, run_id % 3 = 0 AND page_no = 6 AS exhausted FROM h WHERE page_no <= 8),
+once AS (SELECT * FROM (SELECT h.*, max_items, row_number() OVER (PARTITION BY h.run_id, coalesce(p, u) ORDER BY page_no, obs_seq) AS rn FROM h JOIN plan USING (run_id)
+  WHERE reason IS NULL AND published_at BETWEEN since AND until AND page_no <= 8) WHERE rn = 1),
+nth AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY page_no, obs_seq) AS n FROM once),
+ends AS (SELECT pages.run_id, min(page_no) FILTER (exhausted) AS end_page, max(page_no) AS last_page, any_value(f.full_page) AS full_page,
+  least(coalesce(any_value(f.full_page), 999), coalesce(min(page_no) FILTER (exhausted), 999), max(page_no)) AS stop_page
+  FROM pages LEFT JOIN (SELECT run_id, page_no AS full_page FROM nth WHERE n = max_items) f ON f.run_id = pages.run_id GROUP BY pages.run_id),
+taken AS (SELECT nth.* FROM nth JOIN ends USING (run_id) WHERE page_no <= stop_page AND n <= max_items)"""
+
+
+@query(_sql(_V, _HIST, select="SELECT run_id, obs_seq, page_no FROM taken"))
+def d4_history_rows(spark, d):
+    return _history(spark, d)[0].select("run_id", "obs_seq", "page_no")
+
+
+@query(_sql(_V, _HIST, select="""SELECT ends.run_id, (SELECT count(*) FROM pages WHERE pages.run_id = ends.run_id AND page_no <= stop_page) AS pages_requested,
+  (SELECT count(*) FROM taken WHERE taken.run_id = ends.run_id) AS items_accepted, (SELECT min(published_at) FROM taken WHERE taken.run_id = ends.run_id) AS observed_since,
+  (SELECT max(published_at) FROM taken WHERE taken.run_id = ends.run_id) AS observed_until,
+  (SELECT count(*) FROM h WHERE h.run_id = ends.run_id AND page_no <= stop_page AND reason IS NOT NULL) AS rejected, CAST(0 AS BIGINT) AS warnings,
+  CASE WHEN full_page IS DISTINCT FROM stop_page AND end_page = stop_page THEN 'exhausted' ELSE 'truncated' END AS status,
+  CASE WHEN full_page = stop_page THEN 'item_budget' WHEN end_page = stop_page THEN 'upstream_exhausted' ELSE 'page_budget' END AS stop_reason FROM ends"""))
+def d4_history_outcome(spark, d):
+    return _history(spark, d)[1]
+
+
+_BAD_SRC = """SELECT CASE WHEN event_id % 50 = 0 THEN 'Bad ' || event_id ELSE 's' || (event_id % 700) END AS source_id, 'p' || (user_id % 20) AS provider_id, 'P' || (user_id % 20) AS provider_name,
+  CASE WHEN event_id % 900 = 1 THEN 'platform' ELSE 'publisher' END AS provider_kind, 'section' AS channel_role, 'latest' AS stream_kind, CASE WHEN event_id % 400 = 3 THEN 'entity' ELSE 'article' END AS item_kind,
+  CASE WHEN event_id % 800 = 3 THEN 'game' END AS entity_kind, CASE WHEN event_id % 500 = 7 THEN 'slow' END AS item_variant, CASE WHEN event_id % 300 = 9 THEN 'english' ELSE 'en-GB' END AS language,
+  CASE WHEN event_id % 350 = 11 THEN 'gb' ELSE 'GB' END AS market, event_id % 450 AS interval_seconds, event_id % 600 AS max_items, event_id FROM {events} WHERE event_id < 2000"""
+
+
+@query(_sql(f"s AS ({_BAD_SRC.format(events='events')})", select="""SELECT 'duplicate_source_id' AS rule, source_id AS subject FROM s GROUP BY source_id HAVING count(*) > 1
+  UNION ALL SELECT 'inconsistent_provider', provider_id FROM s GROUP BY provider_id HAVING count(DISTINCT (provider_name, provider_kind)) > 1
+  UNION ALL SELECT DISTINCT CASE WHEN item_kind = 'entity' AND entity_kind IS NULL THEN 'entity_kind_required' WHEN item_variant = 'slow' THEN 'unknown_item_variant' END AS rule, source_id FROM s WHERE rule IS NOT NULL
+  UNION ALL SELECT DISTINCT 'bad_source_id', source_id FROM s WHERE NOT regexp_matches(source_id, '^[a-z0-9][a-z0-9-]*$')
+  UNION ALL SELECT DISTINCT 'bad_language', source_id FROM s WHERE language = 'english' UNION ALL SELECT DISTINCT 'bad_market', source_id FROM s WHERE market = 'gb'
+  UNION ALL SELECT DISTINCT 'bad_topic', source_id FROM s WHERE event_id % 70 = 5 UNION ALL SELECT DISTINCT 'no_surface', source_id FROM s WHERE event_id % 60 = 4
+  UNION ALL SELECT DISTINCT 'interval_too_short', source_id FROM s WHERE interval_seconds < 30 UNION ALL SELECT DISTINCT 'max_items_too_small', source_id FROM s WHERE max_items < 1"""))
+def d5_catalog_violations(spark, d):
+    s = view(spark, d, _BAD_SRC)
+    i = F.col("event_id")
+    topics = F.when(i % 70 == 5, F.array(F.lit("Top"))).otherwise(F.array(F.lit("world-news")))
+    surfaces = F.when(i % 60 == 4, F.array().cast("array<string>")).otherwise(F.array(F.lit("news")))
+    return catalog.catalog_violations(s.withColumn("topics", topics).withColumn("surfaces", surfaces))
+
+
+def _reconciled(spark, d):
+    current = _sources(spark, d).where("source_id <> 'signup'").withColumn("updated_at", F.lit("2024-01-01"))
+    incoming = _sources(spark, d).where("source_id in ('click', 'view', 'signup')").withColumn("channel_label", F.lit("New")).withColumn("surfaces", F.array(F.lit("discover")))
+    states = current.select("source_id")
+    return catalog.catalog_reconcile(current, incoming, _surfaces(spark, d), states, F.lit("2024-02-01"))
+
+
+@query(_sql(_SRC, select="""SELECT source_id, CASE WHEN source_id IN ('click', 'view', 'signup') THEN 'New' ELSE channel_label END AS channel_label, source_id IN ('click', 'view', 'signup') AS enabled,
+  CASE WHEN source_id = 'error' THEN '2024-01-01' ELSE '2024-02-01' END AS updated_at FROM src"""))
+def d6_catalog_sources(spark, d):
+    return _reconciled(spark, d)[0].select("source_id", "channel_label", "enabled", "updated_at")
+
+
+@query(_sql(_SRC, select="""SELECT source_id, 'discover' AS surface FROM src WHERE source_id IN ('click', 'view', 'signup') UNION ALL SELECT source_id, surface FROM surf WHERE source_id NOT IN ('click', 'view', 'signup')"""))
+def d6_catalog_surfaces(spark, d):
+    return _reconciled(spark, d)[1]
+
+
+# ---- E: archive build
+
+
+@query(_sql(_R, select="SELECT obs_seq, token, item_id, rep FROM r"))
+def e1_e2_resolve_items(spark, d):
+    return _resolved(spark, d).select("obs_seq", "token", "item_id", "rep")
+
+
+@query(_sql(_R, select="SELECT DISTINCT item_id, u AS identity_key FROM r"))
+def e3_build_aliases(spark, d):
+    return arc.build_aliases(_resolved(spark, d))
+
+
+@query(_sql(_R, _ITEMS, select="SELECT * FROM its"))
+def e4_build_items(spark, d):
+    return arc.build_items(_resolved(spark, d))
+
+
+@query(_sql(_R, _OBS, select="SELECT * FROM obs"))
+def e5_build_observations(spark, d):
+    return arc.build_observations(_resolved(spark, d))
+
+
+@query(_sql(_R, _VERS, select="SELECT * FROM vers"))
+def e6_build_versions(spark, d):
+    return arc.build_versions(_resolved(spark, d))
+
+
+@query(_sql(_R, _VERS, _SNAP, select="SELECT * FROM snap"))
+def e7_build_snapshots(spark, d):
+    return arc.build_snapshots(_resolved(spark, d))[0]
+
+
+@query(_sql(_R, _VERS, _ENT, select="SELECT * FROM ent"))
+def e7_snapshot_entries(spark, d):
+    return arc.build_snapshots(_resolved(spark, d))[1]
+
+
+@query(_sql(_R, _LOG, select="SELECT * FROM log"))
+def e8_build_change_log(spark, d):
+    return arc.build_change_log(_resolved(spark, d))
+
+
+@query(_sql(_R, _NEW, select="""SELECT o.run_id, CASE WHEN o.accepted = 0 THEN 'failed' ELSE 'success' END AS status, coalesce(item_count, 0) AS item_count, coalesce(new_item_count, 0) AS new_item_count,
+  coalesce(new_version_count, 0) AS new_version_count, o.rejected, CAST(0 AS BIGINT) AS warnings
+  FROM (SELECT run_id, count(*) FILTER (reason IS NULL) AS accepted, count(*) FILTER (reason IS NOT NULL) AS rejected FROM v GROUP BY run_id) o
+  LEFT JOIN (SELECT run_id, count(*) AS item_count, count(*) FILTER (inew) AS new_item_count, count(*) FILTER (obs_seq = version_id) AS new_version_count FROM nov GROUP BY run_id) n USING (run_id)"""))
+def e9_run_summary(spark, d):
+    rows = _validated(spark, d)
+    return arc.run_summary(arc.resolve_items(rows.where("reason is null")), val.batch_outcome(rows))
+
+
+@query(_sql(_R, select="SELECT obs_seq, token, item_id, rep FROM r"))
+def e10_apply_increment(spark, d):
+    rows = _validated(spark, d).where("reason is null")
+    half = rows.agg(F.expr("percentile_approx(obs_seq, 0.8)")).first()[0]
+    cut_run = half - half % 250
+    before = arc.resolve_items(rows.where(F.col("obs_seq") < cut_run))
+    return arc.apply_increment(before, rows.where(F.col("obs_seq") >= cut_run)).select("obs_seq", "token", "item_id", "rep")
+
+
+# ---- F: reads
+
+
+@query(_sql(_R, _VERS, _SNAP, select="SELECT source_id, snapshot_id, fetch_run_id, observed_at FROM snap QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY observed_at DESC, snapshot_id DESC) = 1"))
+def f1_latest_snapshots(spark, d):
+    return browse.latest_snapshots(_archive(spark, d)["snapshots"])
+
+
+_HEADLINES = """latest AS (SELECT * FROM snap QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY observed_at DESC, snapshot_id DESC) = 1),
+heads AS (SELECT l.source_id, provider_name || ' — ' || channel_label AS source_name, row_number() OVER (PARTITION BY l.source_id ORDER BY ent.position NULLS LAST, item_version_id) AS rank, ent.item_id, stream_kind,
+  its.item_kind, its.entity_kind, its.item_variant, ent.position, title, ent.original_url AS url, ent.canonical_url, its.published_at, its.first_seen_at
+  FROM latest l JOIN src USING (source_id) JOIN ent USING (snapshot_id) JOIN vers ON vers.version_id = item_version_id JOIN its ON its.item_id = ent.item_id WHERE enabled)"""
+
+
+@query(_sql(_R, _ITEMS, _VERS, _SNAP, _ENT, _SRC, _HEADLINES, select="SELECT * FROM heads WHERE rank <= 20"))
+def f2_latest_snapshot_headlines(spark, d):
+    return browse.latest_snapshot_headlines(_archive(spark, d), _sources(spark, d), limit_per_source=20)
+
+
+@query(_sql(_R, _VERS, select="SELECT item_id, title, version_id FROM vers QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY last_seen_at DESC, version_id DESC) = 1"))
+def f3_latest_title(spark, d):
+    return browse.latest_title(_archive(spark, d)["item_versions"])
+
+
+@query(_sql(_R, _OBS, _SRC, select="SELECT obs.* FROM obs JOIN src USING (source_id) WHERE enabled AND source_id IN (SELECT source_id FROM surf WHERE surface = 'news')"))
+def f4_eligible_observations(spark, d):
+    return browse.eligible_observations(_archive(spark, d)["observations"], _sources(spark, d), _surfaces(spark, d), "news")
+
+
+@query(_sql(_R, _OBS, _SRC, select="SELECT item_id, source_id, position, last_seen_at FROM obs JOIN src USING (source_id) WHERE enabled QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY last_seen_at DESC, source_id) = 1"))
+def f5_representative_source(spark, d):
+    return browse.representative_source(browse.eligible_observations(_archive(spark, d)["observations"], _sources(spark, d), _surfaces(spark, d)))
+
+
+_BROWSE = """rep AS (SELECT * FROM obs JOIN src USING (source_id) WHERE enabled QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY last_seen_at DESC, source_id) = 1),
+lt AS (SELECT * FROM vers QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY last_seen_at DESC, version_id DESC) = 1),
+br AS (SELECT rep.source_id, provider_name || ' — ' || channel_label AS source_name, its.item_id, stream_kind, its.item_kind, its.entity_kind, its.item_variant, rep.position, lt.title, original_url AS url, canonical_url,
+  its.published_at, its.first_seen_at FROM its JOIN rep ON rep.item_id = its.item_id JOIN lt ON lt.item_id = its.item_id)"""
+
+
+@query(_sql(_R, _ITEMS, _OBS, _VERS, _SRC, _BROWSE, select="SELECT * FROM br ORDER BY first_seen_at DESC, item_id DESC LIMIT 100"))
+def f6_browse_headlines(spark, d):
+    return browse.browse_headlines(_archive(spark, d), _sources(spark, d), _surfaces(spark, d))
+
+
+@query(_sql(_R, _ITEMS, _OBS, _VERS, _SRC, _BROWSE, select="SELECT count(*) AS n FROM br WHERE contains(lower(title), 'y 1')"))
+def f7_count_browse_headlines(spark, d):
+    return browse.count_browse_headlines(_archive(spark, d), _sources(spark, d), _surfaces(spark, d), query="Y 1")
+
+
+@query(_sql(_R, _ITEMS, _OBS, _VERS, _SRC, _BROWSE, select="SELECT * FROM br ORDER BY first_seen_at DESC, item_id DESC LIMIT 30 OFFSET 30"))
+def f8_browse_page(spark, d):
+    return browse.browse_page(_archive(spark, d), _sources(spark, d), _surfaces(spark, d), page=2, page_size=30)[0]
+
+
+@query(_sql(_RUNS, select="SELECT run_id, source_id, status FROM runs ORDER BY run_id DESC LIMIT 20"))
+def f9_recent_fetch_runs(spark, d):
+    return browse.recent_fetch_runs(_runs(spark, d)).select("run_id", "source_id", "status")
+
+
+@query(_sql(_RUNS, _SRC, select="SELECT source_id, run_id, status, http_status FROM runs WHERE source_id IN (SELECT source_id FROM src WHERE enabled) QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY run_id DESC) = 1"))
+def f10_latest_fetch_runs(spark, d):
+    return browse.latest_fetch_runs(_runs(spark, d), _sources(spark, d)).select("source_id", "run_id", "status", "http_status")
+
+
+_STATE_SQL = """live AS (SELECT * FROM runs WHERE run_kind = 'live'),
+ok AS (SELECT source_id, max(run_id) FILTER (status IN ('success', 'not_modified')) AS ok_run FROM live GROUP BY source_id),
+st AS (SELECT live.source_id, max(started_at) AS last_attempt_at, arg_max(finished_at, run_id) FILTER (status IN ('success', 'not_modified')) AS last_success_at,
+  count(*) FILTER (status = 'failed' AND run_id > coalesce(ok_run, -1)) AS consecutive_failures, arg_max(status, run_id) AS newest, arg_max_null(finished_at, run_id) AS ended, any_value(interval_seconds) AS iv
+  FROM live JOIN ok USING (source_id) JOIN src USING (source_id) GROUP BY live.source_id),
+states AS (SELECT source_id, CASE WHEN newest = 'failed' THEN ended + CAST(least(1800, 30 * pow(2, least(20, consecutive_failures - 1))) AS INT) * INTERVAL 1 SECOND ELSE ended + CAST(iv AS INT) * INTERVAL 1 SECOND END AS next_run_at,
+  last_attempt_at, last_success_at, consecutive_failures FROM st)"""
+
+
+@query(_sql(_RUNS, _SRC, _STATE_SQL, select="SELECT src.source_id, next_run_at, coalesce(consecutive_failures, 0) AS consecutive_failures FROM src LEFT JOIN states USING (source_id) WHERE enabled"))
+def f11_stream_states(spark, d):
+    states = health.fold_stream_state(_runs(spark, d).where("source_id <> 'view'"), _sources(spark, d))
+    return browse.stream_states(states, _sources(spark, d)).select("source_id", "next_run_at", "consecutive_failures")
+
+
+ORACLE_SQL["f11_stream_states"] = ORACLE_SQL["f11_stream_states"].replace("FROM runs WHERE run_kind = 'live'", "FROM runs WHERE run_kind = 'live' AND source_id <> 'view'")
+
+
+@query(_sql(_R, _LOG, select="SELECT source_id, max(created_at) AS last_change_at FROM log GROUP BY source_id"))
+def f12_last_content_change(spark, d):
+    return browse.last_content_change(_archive(spark, d)["change_log"])
+
+
+@query(_sql(_SRC, select="SELECT source_id, provider_name || ' — ' || channel_label AS label FROM src WHERE enabled"))
+def f13_source_filter_options(spark, d):
+    return browse.source_filter_options(_sources(spark, d))
+
+
+@query(_sql(_R, _ITEMS, _VERS, _SNAP, _ENT, _SRC, _HEADLINES, select="SELECT source_name, array_to_string(list(rank || ':' || title || ' ' || url ORDER BY rank), chr(10)) AS headlines FROM heads GROUP BY source_name"))
+def f14_snapshot_sections(spark, d):
+    rows = browse.snapshot_sections(browse.latest_snapshot_headlines(_archive(spark, d), _sources(spark, d)))
+    said = F.transform("headlines", lambda h: F.concat(h["rank"].cast("string"), F.lit(":"), h["title"], F.lit(" "), h["url"]))
+    return rows.select("source_name", F.array_join(said, "\n").alias("headlines"))
+
+
+# ---- G: story clusters over pages
+
+_KEYED = f"""hd AS ({duck(views.HEADS)}), keyed AS (SELECT *, 'canonical:' || {_canon('url')} AS url_key,
+  CASE WHEN trim(title) = '' THEN '' ELSE 'title:article::' || replace(lower({_title('title')}), 'ß', 'ss') END AS title_key FROM hd)"""
+_CLUST = f"""{_KEYED}, pairs AS (SELECT DISTINCT url_key AS a, title_key AS b FROM keyed WHERE title_key <> ''), edges AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
+reach AS (SELECT url_key AS a, url_key AS b FROM keyed UNION SELECT reach.a, edges.b FROM reach JOIN edges ON edges.a = reach.b),
+cl AS (SELECT keyed.*, m.cluster_id FROM keyed JOIN (SELECT a, min(b) AS cluster_id FROM reach GROUP BY a) m ON m.a = keyed.url_key)"""
+
+
+@query(_sql(_KEYED, select="SELECT item_id, url_key, title_key FROM keyed"))
+def g1_cluster_keys(spark, d):
+    return cluster.cluster_keys(_heads(spark, d)).select("item_id", "url_key", "title_key")
+
+
+def _clustered(spark, d):
+    return cluster.cluster_headlines(_heads(spark, d))
+
+
+@query(_sql(_CLUST, select="SELECT item_id, cluster_id FROM cl", recursive=True))
+def g2_cluster_headlines(spark, d):
+    return _clustered(spark, d).select("item_id", "cluster_id")
+
+
+@query(_sql(_CLUST, select="SELECT cluster_id, item_id FROM cl WHERE published_at IS NOT NULL QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY published_at DESC, source_name, coalesce(position, 0), item_id) = 1", recursive=True))
+def g3_cluster_representative(spark, d):
+    return cluster.cluster_representative(_clustered(spark, d), "published").select("cluster_id", "item_id")
+
+
+@query(_sql(_CLUST, select="SELECT cluster_id, array_to_string(list(item_id ORDER BY published_at DESC NULLS LAST, source_name, coalesce(position, 0), item_id), ',') AS items FROM cl GROUP BY cluster_id HAVING count(published_at) > 0", recursive=True))
+def g4_headline_groups(spark, d):
+    groups = cluster.headline_groups(_clustered(spark, d), "published")
+    return groups.select("cluster_id", F.array_join(F.transform("appearances", lambda a: a["item_id"].cast("string")), ",").alias("items"))
+
+
+@query(_sql(_CLUST, select="""SELECT cluster_id, title, url, published_at, first_seen_at, source_name, n - 1 AS duplicate_count, CASE WHEN n = 1 THEN source_name ELSE source_name || ' (+' || (n - 1) || ')' END AS source_label
+  FROM (SELECT *, count(*) OVER (PARTITION BY cluster_id) AS n FROM cl) QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY first_seen_at DESC, source_name, coalesce(position, 0), item_id) = 1""", recursive=True))
+def g5_headline_feed(spark, d):
+    return cluster.headline_feed(_clustered(spark, d))
+
+
+# ---- H: change feed
+
+
+@query(_sql(_R, _LOG, select="SELECT * FROM log WHERE seq > 500 ORDER BY seq LIMIT 100"))
+def h1_changes_after(spark, d):
+    return changes.changes_after(_archive(spark, d)["change_log"], 500)
+
+
+_HYD = """hyd AS (SELECT seq AS change_seq, event_type, log.item_id, item_version_id, vers.title, log.source_id, src.language AS source_language, src.enabled AS source_enabled, src.stream_kind, its.item_kind, its.entity_kind,
+  its.item_variant, its.original_url, its.canonical_url, its.published_at, its.first_seen_at
+  FROM log JOIN its ON its.item_id = log.item_id JOIN vers ON vers.version_id = item_version_id AND vers.item_id = log.item_id JOIN src ON src.source_id = log.source_id)"""
+
+
+@query(_sql(_R, _ITEMS, _VERS, _LOG, _SRC, _HYD, select="SELECT * FROM hyd WHERE change_seq > 500"))
+def h2_analysis_items_after(spark, d):
+    return changes.analysis_items_after(_archive(spark, d), _sources(spark, d), 500, limit=None)
+
+
+@query(_sql(_R, _ITEMS, _VERS, _LOG, _SRC, _HYD, select="SELECT change_seq, CASE WHEN source_id = 'signup' THEN 'missing_source' WHEN stream_kind = 'hot' THEN 'unsupported_stream_kind' END AS violation FROM hyd"))
+def h3_analysis_violations(spark, d):
+    bad = _sources(spark, d).where("source_id <> 'signup'").withColumn("stream_kind", F.when(F.col("stream_kind") == "hot", "").otherwise(F.col("stream_kind")))
+    return changes.analysis_items_after(_archive(spark, d), bad, 0, limit=None, strict=False).select("change_seq", "violation")
+
+
+@query(_sql(_R, _LOG, select="SELECT source_id AS consumer_name, max(seq) AS last_seq FROM log WHERE source_id <> 'view' GROUP BY source_id UNION ALL SELECT 'view', greatest(max(seq), 5) FROM log WHERE source_id = 'view'"))
+def h4_advance_checkpoint(spark, d):
+    log = _archive(spark, d)["change_log"]
+    points = log.groupBy(F.col("source_id").alias("consumer_name")).agg(F.max("seq").alias("last_seq")).withColumn("updated_at", F.lit(0))
+    return changes.advance_checkpoint(points, "view", 5, F.lit(1)).select("consumer_name", "last_seq")
+
+
+@query(_sql(_R, _ITEMS, _VERS, _LOG, _SRC, _HYD, select="SELECT * FROM hyd WHERE change_seq > (SELECT min(seq) + 40 FROM log) ORDER BY change_seq LIMIT 100"))
+def h5_pending(spark, d):
+    a = _archive(spark, d)
+    points = a["change_log"].agg((F.min("seq") + 40).alias("last_seq")).withColumn("consumer_name", F.lit("reader"))
+    return changes.pending(a, _sources(spark, d), points, "reader")
+
+
+# ---- I: source health
+
+
+@query(_sql(_RUNS, _SRC, _STATE_SQL, select="SELECT source_id, next_run_at, last_attempt_at, last_success_at, consecutive_failures FROM states"))
+def i1_i2_fold_stream_state(spark, d):
+    return health.fold_stream_state(_runs(spark, d), _sources(spark, d))
+
+
+@query(_sql(_RUNS, _SRC, _STATE_SQL, select="SELECT src.source_id, next_run_at FROM src LEFT JOIN states USING (source_id) WHERE enabled AND (next_run_at IS NULL OR next_run_at <= (SELECT max(started_at) FROM runs))"))
+def i3_due_sources(spark, d):
+    runs = _runs(spark, d)
+    now = runs.agg(F.max("started_at")).first()[0]
+    return health.due_sources(_sources(spark, d), health.fold_stream_state(runs, _sources(spark, d)), F.lit(now).cast("timestamp_ntz"))
+
+
+@query(_sql(_RUNS, select="""SELECT run_id, source_id, status, last_value(response_etag IGNORE NULLS) OVER w AS etag, last_value(response_last_modified IGNORE NULLS) OVER w AS last_modified, request_identity,
+  status = 'not_modified' AND prev IS DISTINCT FROM request_identity AS identity_error
+  FROM (SELECT *, sum((status = 'success')::INT) OVER (PARTITION BY source_id ORDER BY run_id) AS seg, lag(request_identity) OVER (PARTITION BY source_id ORDER BY run_id) AS prev
+    FROM runs WHERE run_kind = 'live' AND status IN ('success', 'not_modified'))
+  WINDOW w AS (PARTITION BY source_id, seg ORDER BY run_id ROWS UNBOUNDED PRECEDING)"""))
+def i4_validator_state(spark, d):
+    return health.validator_state(_runs(spark, d))
+
+
+@query(_sql(_RUNS, select="SELECT run_id, CASE WHEN status = 'running' THEN 'failed' ELSE status END AS status, CASE WHEN status = 'running' THEN 'AbandonedRun' ELSE error_type END AS error_type FROM runs"))
+def i5_recover_abandoned(spark, d):
+    return health.recover_abandoned(_runs(spark, d), F.lit("2024-02-01").cast("timestamp_ntz")).select("run_id", "status", "error_type")
+
+
+def _captured(spark, d):
+    runs = _runs(spark, d)
+    last = runs.groupBy("source_id").agg(F.max_by(F.struct("run_id", "http_status"), F.col("run_id")).alias("__best")).select("source_id", "__best.*")
+    return last.select(
+        "source_id", "run_id", "http_status", F.col("http_status").isNull().alias("network_error"), F.lit(True).alias("parsed_ok"), F.lit(True).alias("configured"), F.lit(True).alias("allow_empty")
+    )
+
+
+@query(_sql(_RUNS, _SRC, _R, _LOG, _STATE_SQL, select="""SELECT l.source_id, CASE WHEN http_status IS NULL THEN 'network-failing' WHEN http_status = 304 THEN 'quiet' WHEN http_status = 429 THEN 'rate-limited' WHEN http_status IN (401, 403) THEN 'access-blocked'
+  WHEN http_status >= 400 THEN 'upstream-error' WHEN accepted > 0 THEN 'healthy' WHEN rejected > 0 THEN 'schema-broken' ELSE 'quiet' END AS classification, http_status, coalesce(accepted, 0) AS accepted, coalesce(rejected, 0) AS rejected,
+  coalesce(consecutive_failures, 0) AS consecutive_failures, last_change_at
+  FROM (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY run_id DESC) = 1) l
+  LEFT JOIN (SELECT run_id, count(*) FILTER (reason IS NULL) AS accepted, count(*) FILTER (reason IS NOT NULL) AS rejected FROM v GROUP BY run_id) o USING (run_id)
+  LEFT JOIN states USING (source_id) LEFT JOIN (SELECT source_id, max(created_at) AS last_change_at FROM log GROUP BY source_id) c2 USING (source_id)"""))
+def i6_diagnose(spark, d):
+    rows = _validated(spark, d)
+    states = health.fold_stream_state(_runs(spark, d), _sources(spark, d))
+    change = browse.last_content_change(arc.build_change_log(arc.resolve_items(rows.where("reason is null"))))
+    return health.diagnose(_sources(spark, d), _captured(spark, d), val.batch_outcome(rows), states, change)
+
+
+@query("""SELECT source_id, count(*) AS n, sum(len) AS bytes, max(CASE WHEN page_id % 3 = 0 THEN 'text/html' END) AS content_type, arg_max(regexp_extract(url, '://([^/?#]*)', 1), page_id) AS upstream_host
+  FROM (SELECT *, 'pages' || (page_id % 50) AS source_id, octet_length(encode(html)) AS len FROM pages) GROUP BY source_id""")
+def i7_response_evidence(spark, d):
+    pages = spark.read.parquet(f"{d}/pages.parquet")
+    typed = F.when(F.col("page_id") % 3 == 0, F.create_map(F.lit("content-type"), F.lit("text/html"), F.lit("set-cookie"), F.lit("x"))).otherwise(F.create_map(F.lit("x-id"), F.lit("1")))
+    responses = pages.select(
+        F.concat(F.lit("pages"), (F.col("page_id") % 50).cast("string")).alias("source_id"), F.col("page_id").alias("response_no"), F.lit(200).alias("status_code"),
+        typed.alias("headers"), F.encode("html", "UTF-8").alias("content"), "url",
+    )
+    found = health.response_evidence(responses.withColumn("headers", urls.safe_headers(F.col("headers"))))
+    r = F.col("responses")
+    return found.select(
+        "source_id", F.size(r).cast("long").alias("n"), F.aggregate(r, F.lit(0).cast("long"), lambda a, x: a + x["byte_count"]).alias("bytes"),
+        F.array_max(F.transform(r, lambda x: x["content_type"])).alias("content_type"), "upstream_host",
+    )
+
+
+@query(_sql(_RUNS, _R, select="""SELECT run_id, source_id, 'success' AS status, (SELECT count(*) FROM w WHERE w.run_id = runs.run_id) AS item_count, CAST(NULL AS VARCHAR) AS error_type, CAST(NULL AS VARCHAR) AS error_message FROM runs WHERE status = 'success'
+  UNION ALL SELECT run_id, source_id, 'failed', NULL, error_type, error_message FROM runs WHERE status = 'failed'"""))
+def i8_fetch_result_rows(spark, d):
+    runs = _runs(spark, d)
+    counts = arc.collapse_run(_resolved(spark, d)).groupBy("run_id").agg(F.count(F.lit(1)).alias("item_count"))
+    done = runs.where("status = 'success'").join(counts, "run_id", "left").fillna(0, ["item_count"]).select("run_id", "source_id", "status", "item_count")
+    return health.fetch_result_rows(done, runs.where("status = 'failed'"))
+
+
+# ---- A, B: extraction of payloads that Spark derives from the tables
+
+
+def _json_payloads(spark, d):
+    """One JSON listing a run: its candidates as entries, some of them ads or not objects."""
+    c = _candidates(spark, d)
+    entry = F.struct(
+        F.when(F.col("external_id").isNull(), F.col("obs_seq").cast("string")).otherwise(F.col("external_id")).alias("id"), F.col("title"), F.lit("brief").alias("brief"),
+        F.unix_micros(F.col("seen_at").cast("timestamp")).alias("us"), (F.col("obs_seq") % 10).cast("string").alias("ad"), (F.col("obs_seq") % 83).alias("points"), F.col("obs_seq").alias("seq"),
+    )
+    listed = F.array_sort(F.collect_list(F.struct(F.col("obs_seq").alias("o"), F.to_json(entry).alias("j"))))
+    runs = c.groupBy("run_id").agg(F.array_join(F.transform(listed, lambda x: x["j"]), ",").alias("body"))
+    good = F.concat(F.lit('{"ok":1,"data":{"items":['), F.col("body"), F.lit("]}}"))
+    return runs.select("run_id", F.when(F.col("run_id") % 9 == 0, F.lit("{broken")).when(F.col("run_id") % 9 == 1, F.lit('{"ok":0}')).otherwise(good).alias("text"))
+
+
+_LISTING = pay.JsonSpec(
+    entries="$.data.items", title=("$.title", "$.brief"), id="$.id", url_template="https://news.example/{id}", time="$.us", envelope=("$.ok", "1"), exclude=(("$.ad", ("3",)),), metrics=(("points", "$.points"),)
+)
+
+
+@query(_sql(_C, select="""SELECT run_id, obs_seq AS seq, row_number() OVER (PARTITION BY run_id ORDER BY obs_seq) AS position, title, url FROM (
+  SELECT run_id, obs_seq, CASE WHEN trim(title) = '' THEN 'brief' ELSE trim(title) END AS title, 'https://news.example/' || coalesce(nullif(trim(external_id), ''), '' || obs_seq) AS url FROM c WHERE run_id % 9 > 1 AND obs_seq % 10 <> 3)
+  QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY obs_seq) <= 20"""))
+def a5_b1_b3_json_listing(spark, d):
+    entries, _ = pay.extract_json_listing(_json_payloads(spark, d), _LISTING, ["run_id"])
+    ranked = cand.rank_and_cap(entries, 20)
+    order = _candidates(spark, d).select("run_id", "obs_seq").withColumn("entry_pos", F.row_number().over(val.Window.partitionBy("run_id").orderBy("obs_seq")) - 1)
+    return ranked.join(order, ["run_id", "entry_pos"]).select("run_id", F.col("obs_seq").alias("seq"), "position", "title", "url")
+
+
+@query(_sql(_C, select="""SELECT run_id, CASE WHEN run_id % 9 < 2 THEN 0 ELSE count(*) END AS entries, CASE WHEN run_id % 9 < 2 THEN 0 ELSE count(*) FILTER (obs_seq % 10 = 3) END AS excluded,
+  CASE WHEN run_id % 9 < 2 THEN 0 ELSE count(*) FILTER (obs_seq % 10 <> 3) END AS candidates, 'ok' AS status FROM c GROUP BY run_id"""))
+def b2_extraction_status(spark, d):
+    payloads = _json_payloads(spark, d)
+    entries, _ = pay.extract_json_listing(payloads, _LISTING, ["run_id"])
+    return cand.extraction_status(entries, entries.where("usable and not excluded"), payloads)
+
+
+@query(_sql(_C, select="SELECT run_id, CASE WHEN run_id % 9 = 0 THEN 'malformed' WHEN run_id % 9 = 1 THEN 'bad_envelope' ELSE 'ok' END AS status FROM c GROUP BY run_id"))
+def a6_embedded_json_status(spark, d):
+    page = F.concat(F.lit("<script>var all = "), F.col("text"), F.lit(";</script>"))
+    wrapped = _json_payloads(spark, d).withColumn("text", pay.unwrap_embedded_json(page, r"(?s)var all = (.*?);</script>"))
+    return pay.extract_json_listing(wrapped, _LISTING, ["run_id"])[1]
+
+
+@query(_sql(_C, select="SELECT run_id, obs_seq, row_number() OVER (PARTITION BY run_id ORDER BY obs_seq) - 1 AS entry_pos FROM c"))
+def a7_resolve_json_refs(spark, d):
+    c = _candidates(spark, d)
+    seq = F.col("obs_seq").cast("string")
+    rows = F.array_sort(F.collect_list(F.struct("obs_seq", F.concat(F.lit('"n'), seq, F.lit('":{"seq":'), seq, F.lit("}")).alias("node"), F.concat(F.lit('"n'), seq, F.lit('"')).alias("id"))))
+    runs = c.groupBy("run_id").agg(rows.alias("r"))
+    join = lambda k: F.array_join(F.transform("r", lambda x: x[k]), ",")
+    runs = runs.select("run_id", F.concat(F.lit('{"ids":['), join("id"), F.lit('],"nodes":{'), join("node"), F.lit("}}")).alias("text"))
+    found = pay.resolve_json_refs(runs, "$.ids", "$.nodes", ["run_id"])
+    return found.select("run_id", F.variant_get("node", "$.seq", "bigint").alias("obs_seq"), F.col("entry_pos").cast("long").alias("entry_pos"))
+
+
+def _feed(spark, d, rss: bool):
+    """One feed a run, in RSS or Atom, with titles escaped."""
+    c = _candidates(spark, d)
+    esc = lambda x: F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    when = F.date_format("seen_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    tag = lambda n, x, a="": F.concat(F.lit(f"<{n}{a}>"), x, F.lit(f"</{n}>"))
+    ident = F.coalesce(F.col("external_id"), F.lit(""))
+    if rss:
+        item = tag("item", F.concat(tag("title", esc(F.col("title"))), tag("link", esc(F.col("url"))), tag("guid", ident, ' isPermaLink="false"'), tag("pubDate", when)))
+    else:
+        link = F.concat(F.lit('<link rel="self" href="x"/><link href="'), esc(F.col("url")), F.lit('"/>'))
+        item = tag("entry", F.concat(tag("title", esc(F.col("title"))), tag("id", ident), tag("updated", when), link))
+    runs = c.groupBy("run_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("obs_seq", item.alias("x")))), lambda e: e["x"]), "").alias("body"))
+    whole = tag("rss", tag("channel", F.concat(F.lit("<title>t</title>"), F.col("body")))) if rss else tag("feed", F.col("body"), ' xmlns="http://www.w3.org/2005/Atom"')
+    text_ = F.when(F.col("run_id") % 10 == 0, F.concat(F.lit("<!DOCTYPE x>"), whole)).when(F.col("run_id") % 10 == 1, F.lit("<html></html>")).otherwise(F.concat(F.lit('<?xml version="1.0"?>'), whole))
+    return pay.classify_feed(runs.select("run_id", F.encode(text_, "UTF-8").alias("content")))
+
+
+_FEED_SQL = _sql(_C, select="""SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY obs_seq) AS position, trim(title) AS title, url, nullif(trim(external_id), '') AS external_id,
+  epoch_us(date_trunc('second', seen_at)) AS published_us FROM c WHERE run_id % 10 > 1""")
+
+
+def _feed_rows(rows):
+    return rows.select("run_id", "position", "title", "url", "external_id", F.unix_micros("published_at").alias("published_us"))
+
+
+@query(_FEED_SQL)
+def a2_extract_rss(spark, d):
+    return _feed_rows(pay.extract_rss(_feed(spark, d, True), ["run_id"]))
+
+
+@query(_FEED_SQL)
+def a3_extract_atom(spark, d):
+    return _feed_rows(pay.extract_atom(_feed(spark, d, False), ["run_id"]))
+
+
+@query(_sql(_C, select="SELECT run_id, CASE run_id % 10 WHEN 0 THEN 'declaration' WHEN 1 THEN 'unsupported_root' ELSE 'ok' END AS status, CASE WHEN run_id % 10 = 1 THEN NULL WHEN run_id % 10 = 0 THEN NULL ELSE 'rss' END AS kind FROM c GROUP BY run_id"))
+def a4_classify_feed(spark, d):
+    rows = _feed(spark, d, True)
+    return rows.select("run_id", "status", F.when(F.col("status") == "ok", F.col("kind")).alias("kind"))
+
+
+@query(r"""SELECT page_id, CAST(i - 1 AS BIGINT) AS entry_pos, title, 'https://site.example/' || title AS url FROM (
+  SELECT page_id, unnest(range(1, len(t) + 1)) AS i, unnest(t) AS title FROM (SELECT page_id, list_distinct_ordered AS t FROM (
+    SELECT page_id, list(x ORDER BY o) AS list_distinct_ordered FROM (SELECT page_id, x, min(o) AS o FROM (
+      SELECT page_id, unnest(regexp_extract_all(html, '<li><a href="/([^"]*)">', 1)) AS x, generate_subscripts(regexp_extract_all(html, '<li><a href="/([^"]*)">', 1), 1) AS o FROM pages) GROUP BY page_id, x) GROUP BY page_id)))""")
+def a8_extract_html_listing(spark, d):
+    pages = spark.read.parquet(f"{d}/pages.parquet").select("page_id", F.col("html").alias("text"))
+    spec = pay.HtmlSpec(row="nav > ul li", link="a[href^='/']", base_url="https://site.example/")
+    return pay.extract_html_listing(pages, spec, ["page_id"]).select("page_id", "entry_pos", "title", "url")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE sha256(text) END AS sha FROM documents")
+def a9_decode_payload(spark, d):
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    raw = F.encode("text", "UTF-8")
+    bad = F.concat(raw, F.unhex(F.lit("FF")))
+    return docs.select("doc_id", F.sha2(pay.decode_payload(F.when(F.col("doc_id") % 4 == 0, bad).otherwise(raw), F.when(F.col("doc_id") % 2 == 0, "utf-8").otherwise("UTF8")), 256).alias("sha"))
+
+
+@query(_sql(_C, select="SELECT run_id, obs_seq FROM (SELECT *, coalesce(nullif(trim(external_id), ''), url) AS k FROM c) QUALIFY row_number() OVER (PARTITION BY run_id, k ORDER BY obs_seq) = 1"))
+def b4_dedupe_in_payload(spark, d):
+    rows = _candidates(spark, d).withColumn("entry_pos", F.col("obs_seq"))
+    return cand.dedupe_in_payload(rows, F.coalesce(text.none_if_blank(F.col("external_id")), F.col("url"))).select("run_id", "obs_seq")
+
+
+@query(_sql(_C, select="SELECT run_id, obs_seq, row_number() OVER (PARTITION BY run_id ORDER BY published_at DESC NULLS LAST, obs_seq % 3, obs_seq) AS position FROM c QUALIFY position_ <= 30".replace("position_", "row_number() OVER (PARTITION BY run_id ORDER BY published_at DESC NULLS LAST, obs_seq % 3, obs_seq)")))
+def b5_merge_feeds_by_recency(spark, d):
+    rows = _candidates(spark, d).withColumn("entry_pos", F.col("obs_seq")).withColumn("payload_no", F.col("obs_seq") % 3)
+    return cand.merge_feeds_by_recency(rows, 30).select("run_id", "obs_seq", "position")
+
+
+@query(_sql(_C, """once AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY run_id, coalesce(nullif(external_id, ''), url) ORDER BY obs_seq % 3, obs_seq) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY published_at DESC NULLS LAST, obs_seq % 3, obs_seq) AS place FROM once)""", select="SELECT run_id, obs_seq, place AS position FROM ranked WHERE place <= 30"))
+def b6_merge_feeds_dedupe(spark, d):
+    rows = _candidates(spark, d).withColumn("entry_pos", F.col("obs_seq")).withColumn("payload_no", F.col("obs_seq") % 3)
+    return cand.merge_feeds_dedupe(rows, 30).select("run_id", "obs_seq", "position")
+
+
+@query(_sql(_C, select="SELECT run_id, max(seen_at) AS observed_at FROM c GROUP BY run_id"))
+def b7_combined_observed_at(spark, d):
+    return cand.combined_observed_at(_candidates(spark, d).withColumnRenamed("seen_at", "observed_at"))
