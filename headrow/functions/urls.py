@@ -25,7 +25,7 @@ def _part(url: Column, group: int) -> Column:
 def _host_and_port(netloc: Column) -> tuple[Column, Column]:
     """Lower-cased host (IPv6 in brackets) and port text of an authority, without user information."""
     bare = F.regexp_replace(netloc, "^.*@", "")
-    return F.lower(F.regexp_extract(bare, r"^(\[[^\]]*\]|[^:]*)", 1)), F.regexp_extract(bare, r"^(?:\[[^\]]*\]|[^:]*):(.*)$", 1)
+    return F.lower(F.regexp_extract(bare, r"^(\[[^\]]*\]|[^:]*)", 1)), F.regexp_extract(bare, r"^(?:\[[^\]]*\]|[^:\[]*):(.*)$", 1)
 
 
 def normalize_url_for_identity(url: Column) -> Column:

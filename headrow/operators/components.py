@@ -11,10 +11,10 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b", max_r
     """Label each node of an undirected edge list with the smallest node of its component.
 
     Returns (node, component). Nodes are any orderable type; edges with a null end are ignored, loops only make
-    their node known. An empty edge list gives an empty result. Each round contracts stars: every node is pointed at
-    its smallest known neighbour, pointers are followed one step further, and edges are rewritten between pointers,
-    so the edge list shrinks and long chains take a logarithmic number of rounds. Raises RuntimeError if labels
-    still change after max_rounds.
+    their node known. An empty edge list gives an empty result. Each round points every node at the smallest of itself and
+    its neighbours, follows the pointers to their roots by jumping, and contracts each tree to its root. A tree has two
+    nodes at least, so nodes halve each round; jumping doubles its reach, so a long chain takes a logarithmic number of
+    steps too. Raises RuntimeError if edges are left after max_rounds.
     """
     e = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null")
     nodes = e.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -24,13 +24,16 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b", max_r
         if live.isEmpty():
             return labels
         both = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        parent = both.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m")).select("n", F.least("n", "m").alias("p"))
-        parent = cut(parent)
-        up = parent.select(F.col("n").alias("p"), F.col("p").alias("pp"))
-        parent = cut(parent.join(up, "p", "left").select("n", F.coalesce("pp", "p").alias("p")))
+        parent = cut(both.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m")).select("n", F.least("n", "m").alias("p")))
+        while True:
+            up = parent.select(F.col("n").alias("p"), F.col("p").alias("pp"))
+            jumped = cut(parent.join(up, "p").select("n", F.col("pp").alias("p"), (F.col("p") != F.col("pp")).alias("moved")))
+            parent = jumped.select("n", "p")
+            if jumped.where("moved").isEmpty():
+                break
         to = parent.select(F.col("n").alias("component"), F.col("p").alias("np"))
         labels = cut(labels.join(to, "component", "left").select("node", F.coalesce("np", "component").alias("component")))
         pa, pb = (parent.select(F.col("n").alias(c), F.col("p").alias("p" + c)) for c in "ab")
         moved = live.join(pa, "a").join(pb, "b").where("pa <> pb")
         live = cut(moved.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
-    raise RuntimeError(f"components still change after {max_rounds} rounds")
+    raise RuntimeError(f"components aren't settled after {max_rounds} rounds")

@@ -77,7 +77,7 @@ UTC = dt.timezone.utc
         ("1700000000", dt.datetime(2023, 11, 14, 22, 13, 20)),
         ("1700000000123", dt.datetime(2023, 11, 14, 22, 13, 20, 123000)),
         ("1.7e9", dt.datetime(2023, 11, 14, 22, 13, 20)),
-        ("20260917", dt.datetime(1970, 8, 23, 11, 48, 37)),
+        ("20260917", dt.datetime(1970, 1, 1) + dt.timedelta(seconds=20260917)),
         ("2026-09-17T08:00:00Z", dt.datetime(2026, 9, 17, 8)),
         ("2026-09-17T08:00:00.123456+08:00", dt.datetime(2026, 9, 17, 0, 0, 0, 123456)),
         ("2026-09-17 08:00+0530", dt.datetime(2026, 9, 17, 2, 30)),
