@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 
@@ -15,7 +16,7 @@ def texts_of(column: pa.Array) -> list[str]:
 
 def slices(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows whose values in column hold about limit bytes (a longer value stands alone)."""
-    sizes = [len(x) if x else 0 for x in batch.column(column).cast(pa.large_binary()).to_pylist()]
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
     start = held = 0
     for i, n in enumerate(sizes):
         if i > start and held + n > limit:

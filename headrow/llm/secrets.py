@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import hashlib
+import math
 import re
 from collections.abc import Iterator
 
@@ -67,25 +67,29 @@ def _training_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     )
 
 
-def train_markov(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 4096, seed: int = 7) -> list[list[float]]:
+def train_markov(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 4096, seed: int = 7, backoff: float = 8.0) -> list[list[float]]:
     """Log-likelihood ratios of character transitions, random strings against ordinary identifiers.
 
     The labelled sample: in at most sample_rows rows, those with the smallest seeded hash of id_col, what the base
-    patterns mark is a random string and the other identifiers and words are ordinary. Every transition starts from
-    one count of a uniform model, so an empty sample gives ratios of zero but for chance. At most
-    2 * 68 * 67 counts reach the driver.
+    patterns mark is a random string and the other identifiers and words are ordinary. A transition's
+    probability backs off, with a weight of backoff counts, to that of its second character alone, which starts from one count; an
+    empty sample gives ratios of zero. At most 2 * 69 * 68 counts reach the driver.
     """
     key = F.xxhash64(F.lit(seed), F.col(id_col).cast("string"))
     cut = df.select(key.alias("k")).orderBy("k").limit(sample_rows).agg(F.max("k")).first()[0]
     rows = df.where(key <= F.lit(cut if cut is not None else 0)).select(F.col(text_col).cast("string").alias("text"))
     made = rows.mapInArrow(_training_counts, "label int, a int, b int, n long")
-    import math
-
-    count = [[[1.0] * _N for _ in range(_N + 1)] for _ in range(2)]
+    count = [[[0] * _N for _ in range(_N + 1)] for _ in range(2)]
     for r in made.groupBy("label", "a", "b").agg(F.sum("n").alias("n")).collect():
         count[r.label][r.a][r.b] += r.n
-    prob = [[[x / sum(row) for x in row] for row in m] for m in count]
-    return [[math.log(prob[1][a][b] / prob[0][a][b]) for b in range(_N)] for a in range(_N + 1)]
+
+    def probabilities(m: list[list[int]]) -> list[list[float]]:
+        seen = [1 + sum(row[b] for row in m) for b in range(_N)]
+        alone = [x / sum(seen) for x in seen]
+        return [[(n + backoff * alone[b]) / (sum(row) + backoff) for b, n in enumerate(row)] for row in m]
+
+    ordinary, random_ = map(probabilities, count)
+    return [[math.log(random_[a][b] / ordinary[a][b]) for b in range(_N)] for a in range(_N + 1)]
 
 
 def scan_secrets(
@@ -94,7 +98,7 @@ def scan_secrets(
     text_col: str = "text",
     keep: list[str] | None = None,
     least_length: int = 20,
-    least_ratio: float = 1.0,
+    least_ratio: float = 0.7,
     batch_bytes: int = 1 << 20,
 ) -> DataFrame:
     """Add spans (array of start, end, kind in code points; end exclusive) for every row.
