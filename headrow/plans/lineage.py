@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
+_collectors: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,4 +33,23 @@ def cut(df: DataFrame, *partition_by: str) -> DataFrame:
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
+    for paths in _collectors:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def collecting(paths: list[str]) -> Iterator[None]:
+    """Note the paths of the tables that cut() writes inside the block."""
+    _collectors.append(paths)
+    try:
+        yield
+    finally:
+        _collectors.remove(paths)
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables that cut() wrote, once nothing lazy reads them any more; paths is emptied."""
+    while paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
