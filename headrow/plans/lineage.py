@@ -45,7 +45,7 @@ def collecting(paths: list[str]) -> Iterator[None]:
     try:
         yield
     finally:
-        _collectors.remove(paths)
+        _collectors.pop()
 
 
 def discard(spark: SparkSession, paths: list[str]) -> None:
