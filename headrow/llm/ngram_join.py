@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from headrow.llm.batches import slices, texts_of
 from headrow.operators.components import connected_components
-from headrow.plans.lineage import cut
+from headrow.plans.lineage import collecting, cut, discard
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -21,7 +21,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def shingler(k: int, remember: int = 200_000) -> Callable[[str], np.ndarray]:
+def shingler(k: int, remember: int = 100_000) -> Callable[[str], np.ndarray]:
     """A function from a text to its distinct k-word shingles as sorted signed 64-bit hashes.
 
     Words are [^\\x20\\x09-\\x0D]+ after lower-casing A-Z; fewer than k words are one shingle, none give none.
@@ -56,7 +56,7 @@ def least_overlap(n: Column, num: int, den: int) -> Column:
 
 
 def _sketches(df: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int) -> DataFrame:
-    """(id, n, sig, ext): size of the set, its 128-bit digest, and its smallest hashes, twice as many as a prefix has."""
+    """(id, n, sig, ext): size of the set, its 128-bit digest, and its smallest hashes, a quarter more and 8 more than a prefix has."""
     schema = "id long, n int, sig binary, ext array<bigint>"
     source = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
@@ -67,7 +67,7 @@ def _sketches(df: DataFrame, id_col: str, text_col: str, k: int, num: int, den:
         for whole in batches:
             for batch in slices(whole, "text", 1 << 20):
                 sets = [make(t) for t in texts_of(batch.column("text"))]
-                size = [2 * (len(s) - -(-len(s) * num // den) + 1) for s in sets]
+                size = [n + n // 4 + 8 for n in (len(s) - -(-len(s) * num // den) + 1 for s in sets)]
                 ext = [s[:m] for s, m in zip(sets, size)]
                 ends = np.cumsum([0, *map(len, ext)])
                 yield pa.RecordBatch.from_arrays(
@@ -112,27 +112,51 @@ class _Join:
     def prefixes(self, reps: DataFrame) -> DataFrame:
         """(id, n, prefix): prefixes in the order "tokens that are not frequent by hash, then frequent tokens by hash".
 
-        A token is frequent if more than `light` sketches have it. Where a sketch has too few other tokens for a
-        whole prefix, the document's whole set is fetched, so the order is the same for all documents.
+        A token is frequent if more than `light` sketches have it, or more than `light` whole sets of the documents
+        whose sketches are so full of frequent tokens that they don't hold a prefix. The whole sets of these documents, and
+        of those that come to lack a prefix by the second rule, are fetched, so the order is the same for all.
         """
         size = (F.col("n") - least_overlap(F.col("n"), self.num, self.den) + 1).cast("int")
-        tokens = reps.select("id", F.explode("ext").alias("token"))
-        frequent = cut(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > self.light).select("token"))
-        hits = tokens.join(frequent, "token").groupBy("id").agg(F.collect_set("token").alias("bad"))
-        with_hits = cut(reps.join(hits, "id", "left").select("id", "n", "ext", F.coalesce("bad", F.array().cast("array<bigint>")).alias("bad")))
+        none = F.array().cast("array<bigint>")
         # array_except and array_intersect keep the order of the sorted sketch or set
         good = F.array_except("ext", "bad")
         enough = (F.size(good) >= size) | (F.size("ext") == F.col("n"))
-        out = with_hits.where(enough).select("id", "n", F.slice(F.concat(good, F.array_intersect("ext", "bad")), F.lit(1), size).alias("prefix"))
-        short = with_hits.where(~enough).select("id", "n")
-        if short.isEmpty():
-            return cut(out)
-        whole = cut(_sets(self.df, self.id_col, self.text_col, short.select("id").distinct(), self.k))
-        seen = whole.select("id", F.explode("set").alias("token")).join(frequent, "token").groupBy("id").agg(F.collect_set("token").alias("bad"))
-        whole = whole.join(seen, "id", "left").withColumn("bad", F.coalesce("bad", F.array().cast("array<bigint>")))
-        whole = whole.join(short.distinct(), "id").where(F.size("set") == F.col("n"))
-        ordered = F.concat(F.array_except("set", "bad"), F.array_intersect("set", "bad"))
-        return cut(out.unionByName(whole.select("id", "n", F.slice(ordered, F.lit(1), size).alias("prefix"))))
+
+        def marked(rows: DataFrame, column: str, frequent: DataFrame) -> DataFrame:
+            """rows with bad: the frequent tokens of column."""
+            hits = rows.select("id", F.explode(column).alias("token")).join(frequent, "token").groupBy("id").agg(F.collect_set("token").alias("bad"))
+            return rows.join(hits, "id", "left").withColumn("bad", F.coalesce("bad", none))
+
+        def often(rows: DataFrame, column: str) -> DataFrame:
+            counts = rows.select(F.explode(column).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("c"))
+            return cut(counts.where(F.col("c") > self.light).select("token"))
+
+        def whole_sets(rows: DataFrame) -> DataFrame:
+            sets = _sets(self.df, self.id_col, self.text_col, rows.select("id").distinct(), self.k)
+            return sets.join(rows.select("id", "n").distinct(), "id").where(F.size("set") == F.col("n"))
+
+        def sketched(rows: DataFrame) -> DataFrame:
+            return rows.select("id", "n", F.slice(F.concat(good, F.array_intersect("ext", "bad")), F.lit(1), size).alias("prefix"))
+
+        spark, used = reps.sparkSession, []
+        with collecting(used):
+            frequent = often(reps, "ext")
+            rows = cut(marked(reps, "ext", frequent))
+            short = rows.where(~enough)
+            out = sketched(rows)
+            if not short.isEmpty():
+                whole = cut(whole_sets(short))
+                frequent = cut(frequent.unionByName(often(whole, "set")).distinct())
+                rows = cut(marked(rows.where(enough).drop("bad"), "ext", frequent))
+                late = rows.where(~enough)
+                if not late.isEmpty():
+                    whole = cut(whole.unionByName(whole_sets(late)))
+                ordered = F.concat(F.array_except("set", "bad"), F.array_intersect("set", "bad"))
+                fetched = marked(whole, "set", frequent).select("id", "n", F.slice(ordered, F.lit(1), size).alias("prefix"))
+                out = sketched(rows.where(enough)).unionByName(fetched)
+        out = cut(out)
+        discard(spark, used)
+        return out
 
     def screen(self, pairs: DataFrame, sketches: DataFrame, slack: bool = False) -> DataFrame:
         """Drop pairs (a, b) whose sketches alone differ in more shingles than linked sets may.
@@ -157,45 +181,24 @@ class _Join:
         pairs = cut(pairs)
         if pairs.isEmpty():
             return pairs.select("a", "b", F.lit(0).alias("shared"), F.lit(1).alias("either"))
-        ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-        sets = cut(_sets(self.df, self.id_col, self.text_col, ids, self.k))
+        used: list[str] = []
+        with collecting(used):
+            ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+            sets = cut(_sets(self.df, self.id_col, self.text_col, ids, self.k))
         left, right = (sets.select(F.col("id").alias(c), F.col("set").alias("s" + c)) for c in "ab")
         shared = F.size(F.array_intersect("sa", "sb"))
         met = pairs.join(left, "a").join(right, "b").select("a", "b", shared.alias("shared"), (F.size("sa") + F.size("sb")).alias("sum"))
-        return cut(met.select("a", "b", "shared", (F.col("sum") - F.col("shared")).alias("either")))
+        out = cut(met.select("a", "b", "shared", (F.col("sum") - F.col("shared")).alias("either")))
+        discard(pairs.sparkSession, used)
+        return out
 
     def linked(self) -> Column:
         return F.col("shared") * self.den >= F.col("either") * self.num
 
 
-def ngram_jaccard_components(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100, light: int = 16
-) -> DataFrame:
-    """(id_col, n_shingles, component_id) for every row; component_id is the smallest id reachable by links.
-
-    Two documents link when den * shared >= num * either over their sets of distinct k-word shingles (see shingler()).
-
-    1. Documents with equal sets are one class, of which one stands for all.
-    2. Prefixes: in a common order of shingles, linked sets share one of their first n - ceil(n * num / den) + 1.
-       Shingles that more than `light` sketches have come last in that order, so shared passages stay out of prefixes.
-    3. Classes of one size and prefix are one group. Its members are verified against its first; those that don't
-       link with it stand for themselves.
-    4. Groups that share a prefix token are filtered by size and position, then by their sketches, and verified by their first
-       members on whole sets. In a bucket of more than `light` groups, the others are first compared with three of them only;
-       then just groups of different components meet.
-    5. Where members of a pair of groups could still link and their components differ, members are expanded and
-       verified. No pair of different components that could link is left out.
-
-    A text without words (or null) has 0 shingles and its own id as component; a null id is compared with nothing and has a
-    null component. Rows that repeat an id are one document, which links if one of its rows does. Other columns, clashing
-    names among them, aren't returned; an empty table gives an empty one.
-    """
-    j = _Join(df, id_col, text_col, k, num, den, light)
-    rows = cut(_sketches(df, id_col, text_col, k, num, den))
-    some = rows.where("n > 0 and id is not null")
-    classes = cut(some.groupBy("n", "sig").agg(F.min("id").alias("rep")))
-    reps = rows.join(classes.select("n", "sig", F.col("rep").alias("id")), ["id", "n", "sig"]).select("id", "n", "ext")
-    reps = cut(reps.groupBy("id", "n", "ext").agg(F.lit(0)).select("id", "n", "ext"))
+def _link(j: _Join, some: DataFrame, classes: DataFrame, reps: DataFrame) -> DataFrame:
+    """(node, component) of the classes' first documents that link; steps 2 to 5 of ngram_jaccard_components()."""
+    num, den, light = j.num, j.den, j.light
     pre = j.prefixes(reps)
 
     # groups of one size and prefix
@@ -208,8 +211,9 @@ def ngram_jaccard_components(
     heads = groups.select(F.col("gid").alias("id"), "n", "prefix").unionByName(pre.join(stray, "id", "left_semi").select("id", "n", "prefix"))
 
     # buckets of groups by prefix token
-    places = cut(heads.select("id", "n", F.posexplode("prefix").alias("pos", "token")))
-    held = places.groupBy("token").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
+    heads = cut(heads)
+    places = heads.select("id", "n", F.posexplode("prefix").alias("pos", "token"))
+    held = heads.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
     buckets = cut(places.join(held, "token"))
     small, large = buckets.where(F.col("held") <= light), buckets.where(F.col("held") > light)
 
@@ -222,7 +226,7 @@ def ngram_jaccard_components(
         return x.join(y, on).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
     near = cut(meet(small, small, F.col("x.id") < F.col("y.id")))
-    hubs = large.groupBy("token").agg(*(F.min_by(F.struct("id", "n", "pos"), F.xxhash64(F.lit(s), F.col("id"))).alias(f"h{s}") for s in range(3)))
+    hubs = large.groupBy("token").agg(*(F.min_by(F.struct("id", "n", "pos"), F.struct(F.col("pos"), F.xxhash64(F.lit(s), F.col("id")))).alias(f"h{s}") for s in range(3)))
     hubs = hubs.select("token", F.explode(F.array("h0", "h1", "h2")).alias("h")).select("token", "h.*").distinct()
     far = meet(hubs, large, F.col("x.id") != F.col("y.id"))
     first = j.measure(j.screen(near.unionByName(far).distinct(), reps))
@@ -263,10 +267,50 @@ def ngram_jaccard_components(
             third = j.measure(j.screen(open_.distinct(), reps))
             links = links.unionByName(third.where(j.linked()).select("a", "b"))
             parts = connected_components(links)
+    return parts
 
-    known = classes.join(component("rep"), "rep", "left").select("n", "sig", F.coalesce("crep", "rep").alias("component_id"))
+
+def ngram_jaccard_components(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100, light: int = 16
+) -> DataFrame:
+    """(id_col, n_shingles, component_id) for every row; component_id is the smallest id reachable by links.
+
+    Two documents link when den * shared >= num * either over their sets of distinct k-word shingles (see shingler()).
+
+    1. Documents with equal sets are one class, of which one stands for all.
+    2. Prefixes: in a common order of shingles, linked sets share one of their first n - ceil(n * num / den) + 1.
+       Shingles that more than `light` sketches have come last in that order, so shared passages stay out of prefixes.
+    3. Classes of one size and prefix are one group. Its members are verified against its first; those that don't
+       link with it stand for themselves.
+    4. Groups that share a prefix token are filtered by size and position, then by their sketches, and verified by their first
+       members on whole sets. In a bucket of more than `light` groups, the others are first compared with only three of them, whose prefixes have the
+       fewest rarer tokens, so that a family of near copies meets those nearest to its core; then just groups of different
+       components meet.
+    5. Where members of a pair of groups could still link and their components differ, members are expanded and
+       verified. No pair of different components that could link is left out.
+
+    A text without words (or null) has 0 shingles and its own id as component; a null id is compared with nothing and has a
+    null component. Rows that repeat an id are one document, which links if one of its rows does. Other columns, clashing
+    names among them, aren't returned; an empty table gives an empty one.
+    """
+    j, spark = _Join(df, id_col, text_col, k, num, den, light), df.sparkSession
+    first: list[str] = []
+    with collecting(first):
+        rows = cut(_sketches(df, id_col, text_col, k, num, den))
+    keys = cut(rows.select("id", "n", "sig"))
+    some = keys.where("n > 0 and id is not null")
+    classes = cut(some.groupBy("n", "sig").agg(F.min("id").alias("rep")))
+    used: list[str] = []
+    with collecting(used):
+        reps = rows.join(classes.select("n", "sig", F.col("rep").alias("id")), ["id", "n", "sig"]).select("id", "n", "ext")
+        reps = cut(reps.groupBy("id", "n", "ext").agg(F.lit(0)).select("id", "n", "ext"))
+        discard(spark, first)
+        parts = _link(j, some, classes, reps)
+    parts = cut(parts)
+    discard(spark, used)
+    known = classes.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").select("n", "sig", F.coalesce("component", "rep").alias("component_id"))
     out = some.join(known, ["n", "sig"]).select("id", "n", "component_id")
-    alone = rows.where("n = 0 or id is null").select("id", "n", F.col("id").alias("component_id"))
+    alone = keys.where("n = 0 or id is null").select("id", "n", F.col("id").alias("component_id"))
     return out.unionByName(alone).select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), "component_id")
 
 
