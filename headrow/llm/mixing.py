@@ -89,7 +89,7 @@ def mix_sources(
     The prefix is found without gathering a leaf in one task: tokens are summed in 16,384 cells of the seeded
     order, whole cells below the budget are taken, and only rows of the cell at the boundary are summed one by one. The
     tree (at most max_leaves leaves, else ValueError) is the only thing that reaches the driver. Rows without tokens
-    go with the others; ties in the order are broken by id and tokens; columns named epoch or mix_tokens are replaced; an
+    go with the others, and once where their leaf has no tokens at all; ties in the order are broken by id and tokens; columns named epoch or mix_tokens are replaced; an
     empty table gives an empty one.
     """
     kept = [c for c in (df.columns if keep is None else keep) if c not in ("epoch", "mix_tokens")]
@@ -109,7 +109,7 @@ def mix_sources(
     total = sum(available.values())
     chosen = weights or {}
     goal = budgets(available, int(total * budget_fraction), max_epochs, lambda p, n: chosen.get(p, float(n) ** alpha))
-    plan = [(*p, g // available[p] if available[p] else 0, g % available[p] if available[p] else 0) for p, g in goal.items()]
+    plan = [(*p, *(divmod(g, available[p]) if available[p] else (1, 0))) for p, g in goal.items()]
     spark = df.sparkSession
     schema = ", ".join([*(f"{c} string" for c in level), "__full long, __rest long"])
     keyed = rows.join(spark.createDataFrame(plan, schema), level)
