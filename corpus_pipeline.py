@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,31 +14,52 @@ from headrow.llm.mixing import mix_sources
 from headrow.llm.ngram_join import keep_one_per_component, ngram_jaccard_components
 from headrow.llm.quality import language_references, quality_rules
 from headrow.llm.queries import RANKS, mixing_levels
-from headrow.plans.lineage import cut
+from headrow.plans.lineage import collecting, cut, discard
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_left: list[str] = []
+
+
+def stage(f: Stage) -> Stage:
+    """A stage's own tables are deleted when the next stage begins: its result has been written and read again by then."""
+
+    @functools.wraps(f)
+    def begin(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        discard(spark, _left)
+        with collecting(_left):
+            return f(spark, docs, sf_dir)
+
+    return begin
+
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+@stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and are close enough to their language's reference over these documents."""
     return quality_rules(docs, language_references(docs), keep=COLUMNS).where("kept").select(*COLUMNS)
 
 
+@stage
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts: the one with the smallest doc_id."""
     return exact_dedup(docs, keep=COLUMNS).where("kept").select(*COLUMNS)
 
 
+@stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near duplicates (five words, similarity of 0.8 or more): the smallest doc_id."""
     return keep_one_per_component(docs, ngram_jaccard_components(docs, k=5, num=80, den=100)).select(*COLUMNS)
 
 
+@stage
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents within the token budgets of their domains, languages and sources; no document comes twice."""
     return mix_sources(docs, mixing_levels(), budget_fraction=0.9, alpha=0.8, max_epochs=1, keep=COLUMNS).select(*COLUMNS)
 
 
+@stage
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token count and digests of the ids and of their decoding, beside each document's id, language and source."""
     return round_trip_digests(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN, keep=["doc_id", "lang", "source"])
@@ -49,8 +73,8 @@ ORACLE_SQL = None  # Jensen-Shannon rules, seeded hashes and BPE aren't SQL; tes
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each one's result written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+    for i, (_, step) in enumerate(STAGES):
+        docs = step(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = cut(docs)
     return docs
