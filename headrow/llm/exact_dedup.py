@@ -13,7 +13,7 @@ _GROWTH = 16
 def normal_bytes(text: Column) -> Column:
     """UTF-8 bytes of a text with each run of [\\x20\\x09-\\x0D] as one space; null counts as empty."""
     whole = F.coalesce(text.cast("string"), F.lit(""))
-    return F.encode(F.regexp_replace(whole, "[\\x09-\\x0D]+\\x20*|\\x20[\\x20\\x09-\\x0D]+", " ").alias("t"), "UTF-8")
+    return F.encode(F.regexp_replace(whole, "[\\x09-\\x0D][\\x20\\x09-\\x0D]*|\\x20[\\x20\\x09-\\x0D]+", " ").alias("t"), "UTF-8")
 
 
 def _digit(raw: Column, offset: int, size: int) -> Column:

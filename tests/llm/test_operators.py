@@ -212,7 +212,7 @@ def test_mixing_odd_rows(spark):
 def test_exact_dedup_equals_brute_force(spark):
     rnd = random.Random(3)
     base = "x" * 40 + " ".join(str(rnd.random()) for _ in range(400))
-    texts = [*ODD, *ODD, base, base + "y", base.replace(" ", "\n"), base[:-1] + "z", base, *(["hot"] * 300), "hot ", " hot"]
+    texts = [*ODD, *ODD, base, base + "y", base.replace(" ", "\n"), base[:-1] + "z", base, *(["hot"] * 300), "hot ", " hot", "a \tb", "a\t \tb", "a b", "\n \n \n"]
     got = {r.doc_id: r for r in exact_dedup(docs(spark, texts)).collect()}
     groups = {}
     for i, t in enumerate(texts):
