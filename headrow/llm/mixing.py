@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from headrow.plans.lineage import cut
+
 _CELL_BITS = 14
+_BLOCK_BITS = 7  # cells are summed in blocks first
 
 
 def word_tokens(text: Column) -> Column:
@@ -78,6 +81,7 @@ def mix_sources(
     tokens: Column | None = None,
     keep: list[str] | None = None,
     max_leaves: int = 100_000,
+    broadcast_bytes: int = 8 << 20,
 ) -> DataFrame:
     """Select rows so that the leaves of a tree have their budgets of tokens; adds epoch and mix_tokens.
 
@@ -87,10 +91,11 @@ def mix_sources(
     of its own), while the running sum of tokens stays within its budget; a row of a full epoch comes once for that epoch.
 
     The prefix is found without gathering a leaf in one task: tokens are summed in 16,384 cells of the seeded
-    order, whole cells below the budget are taken, and only rows of the cell at the boundary are summed one by one. The
-    tree (at most max_leaves leaves, else ValueError) is the only thing that reaches the driver. Rows without tokens
-    go with the others, and once where their leaf has no tokens at all; ties in the order are broken by id and tokens; columns named epoch or mix_tokens are replaced; an
-    empty table gives an empty one.
+    order, those in 128 blocks; whole cells below the budget are taken, and only rows of the cell at the boundary are
+    summed one by one. The tree (at most max_leaves leaves, else ValueError) is the only thing that reaches the driver; it is
+    broadcast to the rows while its names take at most broadcast_bytes, and joined by exchange beyond that. Rows without tokens
+    go with the others, and once where their leaf has no tokens at all; ties in the order are broken by id and tokens;
+    columns named epoch or mix_tokens are replaced; an empty table gives an empty one.
     """
     kept = [c for c in (df.columns if keep is None else keep) if c not in ("epoch", "mix_tokens")]
     level = [f"__l{i}" for i in range(len(levels))]
@@ -111,18 +116,30 @@ def mix_sources(
     goal = budgets(available, int(total * budget_fraction), max_epochs, lambda p, n: chosen.get(p, float(n) ** alpha))
     plan = [(*p, *(divmod(g, available[p]) if available[p] else (1, 0))) for p, g in goal.items()]
     spark = df.sparkSession
-    schema = ", ".join([*(f"{c} string" for c in level), "__full long, __rest long"])
-    keyed = rows.join(spark.createDataFrame(plan, schema), level)
+    held = sum(len(x.encode()) + 64 for p in available for x in p)
+
+    def of_leaves(table: list[tuple], numbers: str) -> DataFrame:
+        made = spark.createDataFrame(table, ", ".join([*(f"{c} string" for c in level), numbers]))
+        return F.broadcast(made) if held <= broadcast_bytes else made
+
+    keyed = rows.join(of_leaves(plan, "__full long, __rest long"), level)
     order = F.xxhash64(F.lit(seed), F.col("__full"), F.col("__id"))
     keyed = keyed.withColumn("__order", order).withColumn("__cell", F.shiftright("__order", 64 - _CELL_BITS))
 
-    cells = keyed.where("__rest > 0").groupBy(*level, "__rest", "__cell").agg(F.sum("mix_tokens").alias("n"))
-    run = Window.partitionBy(*level).orderBy("__cell")
-    cells = cells.withColumn("__upto", F.sum("n").over(run))
-    edge = cells.where("__upto > __rest").groupBy(*level).agg(F.min_by(F.struct("__cell", (F.col("__upto") - F.col("n")).alias("before")), "__cell").alias("e"))
-    edge_schema = ", ".join([*(f"{c} string" for c in level), "__edge long, __before long"])
-    found = [(*(r[c] for c in level), r["e"]["__cell"], r["e"]["before"]) for r in edge.collect()]
-    keyed = keyed.join(spark.createDataFrame(found, edge_schema), level, "left")
+    cells = cut(keyed.where("__rest > 0").groupBy(*level, "__rest", "__cell").agg(F.sum("mix_tokens").alias("n")))
+    cells = cells.withColumn("__block", F.shiftright("__cell", _CELL_BITS - _BLOCK_BITS))
+
+    def boundary(sums: DataFrame, by: str, before: Column) -> DataFrame:
+        """The first part of each leaf at which the running sum passes the budget, and the sum before it."""
+        run = Window.partitionBy(*level).orderBy(by)
+        upto = sums.withColumn("__upto", before + F.sum("n").over(run)).where("__upto > __rest")
+        first = upto.groupBy(*level).agg(F.min_by(F.struct(by, (F.col("__upto") - F.col("n")).alias("__before")), by).alias("e"))
+        return first.select(*level, "e.*")
+
+    block = boundary(cells.groupBy(*level, "__rest", "__block").agg(F.sum("n").alias("n")), "__block", F.lit(0))
+    edge = boundary(cells.join(block, [*level, "__block"]), "__cell", F.col("__before"))
+    found = [tuple(r) for r in edge.select(*level, "__cell", "__before").collect()]
+    keyed = keyed.join(of_leaves(found, "__edge long, __before long"), level, "left")
 
     own = [F.col(n).alias(c) for n, c in zip(names, kept)]
     whole = keyed.withColumn("__n", F.col("__full") + (F.col("__cell") < F.coalesce("__edge", F.lit(0))).cast("long") * (F.col("__rest") > 0).cast("long"))

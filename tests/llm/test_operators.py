@@ -195,6 +195,8 @@ def test_mixing_takes_prefixes_of_seeded_epochs(spark):
             if left == 0:
                 break
     assert {(r.doc_id, r.epoch) for r in got.collect()} == want and len(want) == got.count()
+    joined = mix_sources(df, levels, budget_fraction=1.0, alpha=0.5, max_epochs=3, keep=["doc_id"], broadcast_bytes=0)
+    assert {(r.doc_id, r.epoch) for r in joined.collect()} == want
 
 
 def test_mixing_odd_rows(spark):
