@@ -40,7 +40,7 @@ def last_merge(token: bytes, ranks: dict[bytes, int]) -> tuple[bytes, bytes] | N
 
 
 class ByteBpe:
-    """Encoder and decoder of one rank file; holds a bounded memory of encoded pieces."""
+    """Encoder and decoder of one rank file. Callers hold the bounded memory of encoded pieces, so that it ends with their task."""
 
     def __init__(self, path: str, pattern: str, remember: int = 400_000):
         import os
@@ -61,32 +61,30 @@ class ByteBpe:
         self.split = regex.compile(pattern).findall
         back = {c: b for b, c in enumerate(self.chars)}
         self.bytes_of = {i: bytes(back[c] for c in t) for t, i in self.tok.get_vocab().items()}
-        self.known: dict[str, bytes] = {}
         self.remember = remember
 
-    def learn(self, pieces: set[str]) -> None:
+    def learn(self, pieces: set[str], known: dict[str, bytes]) -> None:
         """Encode pieces that aren't known yet, byte for byte through the character table, many to an input."""
-        if len(self.known) > self.remember:
-            self.known = {}
-        new = [p for p in pieces if p not in self.known]
+        if len(known) > self.remember:
+            known.clear()
+        new = [p for p in pieces if p not in known]
         groups = [new[i : i + 256] for i in range(0, len(new), 256)]
         shown = [" ".join([p.encode().decode("latin-1").translate(self.map) for p in g]) for g in groups]
         for g, e in zip(groups, self.tok.encode_batch(shown, add_special_tokens=False)):
             ids, words = np.array(e.ids, "<u4"), np.array(e.word_ids)
             ends = np.searchsorted(words, np.arange(len(g)), "right") * 4
             packed = ids.tobytes()
-            self.known.update(zip(g, (packed[a:b] for a, b in zip([0, *ends], ends))))
+            known.update(zip(g, (packed[a:b] for a, b in zip([0, *ends], ends))))
 
-    def packed(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
+    def packed(self, texts: list[str], known: dict[str, bytes]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers; known holds pieces of earlier texts."""
         pieces = [self.split(t) for t in texts]
-        self.learn(set().union(*pieces))
-        known = self.known
+        self.learn(set().union(*pieces), known)
         return [b"".join([known[p] for p in ps]) for ps in pieces]
 
-    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+    def encode(self, texts: list[str], known: dict[str, bytes]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of each text and, for each id, the byte offset at which its bytes start."""
-        ids = [np.frombuffer(x, "<u4").tolist() for x in self.packed(texts)]
+        ids = [np.frombuffer(x, "<u4").tolist() for x in self.packed(texts, known)]
         return ids, [self.starts(x) for x in ids]
 
     def starts(self, ids: list[int]) -> list[int]:
@@ -116,10 +114,10 @@ def encode_bytes_bpe(
     """
 
     def make():
-        codec = _codec(ranks_path, pattern)
+        codec, known = _codec(ranks_path, pattern), {}
 
         def work(texts):
-            ids, starts = codec.encode(texts)
+            ids, starts = codec.encode(texts, known)
             return {"ids": pa.array(ids, pa.list_(pa.int32())), "starts": pa.array(starts, pa.list_(pa.int64()))}
 
         return work
@@ -159,11 +157,11 @@ def round_trip_digests(
     Encoding and decoding happen in the same task, so neither ids nor bytes leave it. Null counts as empty.
     """
     def make():
-        codec = _codec(ranks_path, pattern)
+        codec, known = _codec(ranks_path, pattern), {}
         sha = lambda b: hashlib.sha256(b).hexdigest()
 
         def work(texts):
-            packed = codec.packed(texts)
+            packed = codec.packed(texts, known)
             return {
                 "n_tokens": pa.array([len(x) // 4 for x in packed], pa.int64()),
                 "ids_sha256": pa.array([sha(x) for x in packed], pa.string()),

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -79,16 +79,18 @@ def _distance(p: np.ndarray, q: np.ndarray) -> float:
     return math.sqrt(max(0.0, (part(p) + part(q)) / 2))
 
 
-def _histograms(batches: Iterator[pa.RecordBatch], short: int, held_words: int = 200_000) -> Iterator[pa.RecordBatch]:
+def _histograms(batches: Iterator[pa.RecordBatch], short: int, held_words: int = 50_000) -> Iterator[pa.RecordBatch]:
     """Partial counts of character classes and short words by language; what is held is passed on when it grows large."""
-    held: Counter = Counter()
+    words: defaultdict[str, Counter] = defaultdict(Counter)
+    others: defaultdict[str, Counter] = defaultdict(Counter)
 
-    def flush():
-        rows = list(held.items())
-        held.clear()
-        return pa.RecordBatch.from_arrays(
-            [pa.array([k[i] for k, _ in rows], pa.string()) for i in range(3)] + [pa.array([n for _, n in rows], pa.int64())], names=["lang", "kind", "key", "n"]
-        )
+    def flush() -> Iterator[pa.RecordBatch]:
+        for held, kind_of in ((words, lambda k: "word"), (others, lambda k: "class" if k else "total")):
+            for lang, counts in held.items():
+                keys, n = pa.array(counts.keys(), pa.binary()).cast(pa.string()), pa.array(counts.values(), pa.int64())
+                kinds = pa.array(map(kind_of, counts), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counts), pa.string()), kinds, keys, n], names=["lang", "kind", "key", "n"])
+            held.clear()
 
     for whole in batches:
         for batch in slices(whole, "text", 1 << 20):
@@ -97,15 +99,13 @@ def _histograms(batches: Iterator[pa.RecordBatch], short: int, held_words: int =
             for lang in set(langs):
                 raw = b"\n".join(t for t, x in zip(texts, langs) if x == lang)
                 for name, n in zip(CLASSES, class_counts(raw)):
-                    held[lang, "class", name] += int(n)
-                words = Counter(raw.lower().split())
-                held[lang, "total", ""] += sum(words.values())
-                for w, n in words.items():
-                    if len(w) <= short:
-                        held[lang, "word", w.decode("utf-8", "replace")] += n
-            if len(held) > held_words:
-                yield flush()
-    yield flush()
+                    others[lang][name.encode()] += int(n)
+                found = raw.lower().split()
+                others[lang][b""] += len(found)
+                words[lang].update(w for w in found if len(w) <= short)
+            if sum(map(len, words.values())) > held_words:
+                yield from flush()
+    yield from flush()
 
 
 def language_references(
