@@ -24,3 +24,14 @@ def test_query_equals_sql(spark, duck, name):
     at = [want.columns.index(n) for n in names]
     assert got == sorted(repr(tuple(r[i] for i in at)) for r in want.fetchall())
     assert got
+
+
+def test_catalog_findings_cover_every_event(spark):
+    """sf0.01 has 10,000 events; source ids 'Bad 2000' and up stand beyond the range of d5_catalog_violations."""
+    sf, name = "/root/testdata/sf0.01", "d5_catalog_violations_whole"
+    got = {tuple(r) for r in QUERIES[name](spark, sf).select("rule", "subject").collect()}
+    assert {s for r, s in got if r == "bad_source_id"} == {f"Bad {i}" for i in range(0, 10_000, 50)}
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW events AS SELECT * FROM '{sf}/events.parquet'")
+    assert "event_id < 2000" not in ORACLE_SQL[name]
+    assert got == set(c.sql(ORACLE_SQL[name]).fetchall())
