@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import json
 import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from headrow.llm.batches import map_text, slices, texts_of
+from headrow.plans.lineage import cut
 
 _SYMBOLS = b"#*$%&|<>"  # fixed values: the symbols that are counted
 CLASSES = ("lower", "upper", "digit", "space", "symbol", "punctuation", "control", "other")
@@ -79,10 +82,11 @@ def _distance(p: np.ndarray, q: np.ndarray) -> float:
     return math.sqrt(max(0.0, (part(p) + part(q)) / 2))
 
 
-def _histograms(batches: Iterator[pa.RecordBatch], short: int, held_words: int = 50_000) -> Iterator[pa.RecordBatch]:
-    """Partial counts of character classes and short words by language; what is held is passed on when it grows large."""
-    words: defaultdict[str, Counter] = defaultdict(Counter)
-    others: defaultdict[str, Counter] = defaultdict(Counter)
+def _histograms(batches: Iterator[pa.RecordBatch], held_words: int = 50_000, held_bytes: int = 64 << 20) -> Iterator[pa.RecordBatch]:
+    """Partial counts of character classes and words by language; what is held is passed on when it grows large."""
+    words: defaultdict[str | None, Counter] = defaultdict(Counter)
+    others: defaultdict[str | None, Counter] = defaultdict(Counter)
+    read = 0
 
     def flush() -> Iterator[pa.RecordBatch]:
         for held, kind_of in ((words, lambda k: "word"), (others, lambda k: "class" if k else "total")):
@@ -95,47 +99,63 @@ def _histograms(batches: Iterator[pa.RecordBatch], short: int, held_words: int =
     for whole in batches:
         for batch in slices(whole, "text", 1 << 20):
             texts = [t.encode() for t in texts_of(batch.column("text"))]
-            langs = batch.column("lang").to_pylist()
-            for lang in set(langs):
-                raw = b"\n".join(t for t, x in zip(texts, langs) if x == lang)
+            by_lang: defaultdict[str | None, list[bytes]] = defaultdict(list)
+            for t, lang in zip(texts, batch.column("lang").to_pylist()):
+                by_lang[lang].append(t)
+            for lang, found in by_lang.items():
+                raw = b"\n".join(found)
+                read += len(raw)
                 for name, n in zip(CLASSES, class_counts(raw)):
                     others[lang][name.encode()] += int(n)
                 found = raw.lower().split()
                 others[lang][b""] += len(found)
-                words[lang].update(w for w in found if len(w) <= short)
-            if sum(map(len, words.values())) > held_words:
+                words[lang].update(found)
+            if read > held_bytes or sum(map(len, words.values())) + 9 * len(others) > held_words:
                 yield from flush()
+                read = 0
     yield from flush()
 
 
-def language_references(
-    df: DataFrame, text_col: str = "text", lang_col: str = "lang", common: int = 100, short: int = 12, languages: int = 64
-) -> dict[str | None, dict]:
-    """Histograms over all rows by language: {lang: {"classes": [...], "words": {word: n}, "total": n}}, and None for all rows.
+class References(dict):
+    """{lang: {"classes": [...], "words": {word: n}, "total": n}}, and None for all rows; rest has the other languages.
 
-    Common words are the most frequent `common` ones of at most `short` bytes, lower-cased in A-Z. The most frequent
-    `languages` languages get a reference of their own; rows of any other (or null) language are compared with the
-    reference of all rows. So at most (languages + 1) * (common + 9) counts reach the driver. An empty table gives {}.
+    rest is None, or a DataFrame of one row a language: lang, ref (classes, words, counts, total).
     """
-    rows = df.select(F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"))
-    made = rows.mapInArrow(lambda b: _histograms(b, short), "lang string, kind string, key string, n long")
+
+    rest: DataFrame | None = None
+
+
+def language_references(df: DataFrame, text_col: str = "text", lang_col: str = "lang", common: int = 100, languages: int = 64) -> References:
+    """Histograms over all rows by language, and over all rows.
+
+    Common words are the most frequent `common` ones, lower-cased in A-Z. Every language has a reference of its own:
+    those of the `languages` most frequent ones and of all rows reach the driver, at most (languages + 1) * (common + 9)
+    counts; those of the others stay a table of one row a language, rest. Rows of null language count in all rows only.
+    An empty table gives {} without rest.
+    """
+    rows = df.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    made = rows.mapInArrow(_histograms, "lang string, kind string, key string, n long")
     sums = made.groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
-    both = sums.select(F.explode(F.array(F.col("lang"), F.lit("*"))).alias("ref"), "kind", "key", "n")
+    # "*" is all rows; a language's own name stands behind "="
+    both = sums.select(F.explode(F.array_compact(F.array(F.concat(F.lit("="), "lang"), F.lit("*")))).alias("ref"), "kind", "key", "n")
     both = both.groupBy("ref", "kind", "key").agg(F.sum("n").alias("n"))
-    totals = both.where("kind = 'total'").select("ref", F.col("n").alias("total"))
-    chosen = totals.orderBy(F.col("ref") != "*", F.desc("total"), "ref").limit(languages + 1)
     # two steps, so that no language's words meet in one task
     part = Window.partitionBy("ref", "kind", F.pmod(F.hash("key"), F.lit(64))).orderBy(F.desc("n"), "key")
     most = Window.partitionBy("ref", "kind").orderBy(F.desc("n"), "key")
-    top = both.where("kind <> 'total'").withColumn("r", F.row_number().over(part)).where(f"r <= {common}")
-    top = top.withColumn("r", F.row_number().over(most)).where(f"r <= {common}")
-    out: dict[str | None, dict] = {}
-    for r in top.join(chosen, "ref").collect():
-        ref = out.setdefault(None if r.ref == "*" else r.ref, {"classes": [0] * len(CLASSES), "words": {}, "total": r.total})
-        if r.kind == "class":
-            ref["classes"][CLASSES.index(r.key)] = r.n
-        else:
-            ref["words"][r.key] = r.n
+    top = both.withColumn("r", F.row_number().over(part)).where(f"r <= {common} or kind <> 'word'")
+    top = top.withColumn("r", F.row_number().over(most)).where(f"r <= {common} or kind <> 'word'")
+    of = lambda kind: F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.struct("r", "key", "n"))))
+    total = F.max(F.when(F.col("kind") == "total", F.col("n"))).alias("total")
+    one = top.groupBy("ref").agg(of("class").alias("c"), of("word").alias("w"), total)
+    held = cut(one.select("ref", F.map_from_arrays("c.key", "c.n").alias("classes"), F.col("w.key").alias("words"), F.col("w.n").alias("counts"), "total"))
+    first = held.orderBy(F.col("ref") != "*", F.desc("total"), "ref").limit(languages + 2).collect()
+    out = References()
+    for r in first[: languages + 1]:
+        out[None if r.ref == "*" else r.ref[1:]] = {"classes": [r.classes[c] for c in CLASSES], "words": dict(zip(r.words, r.counts)), "total": r.total}
+    if len(first) > languages + 1:
+        classes = F.array(*(F.col("classes")[c] for c in CLASSES)).alias("classes")
+        rest = held.where(~F.col("ref").isin("*", *("=" + k for k in out if k is not None)))
+        out.rest = rest.select(F.substr("ref", F.lit(2)).alias("lang"), F.struct(classes, "words", "counts", "total").alias("ref"))
     return out
 
 
@@ -159,29 +179,35 @@ def quality_rules(
     histogram, and of its common-word histogram (with the rest as one more bin), to the reference of its language.
     A text of at least guard_words words over class_limit or word_limit fails; shorter ones are left to the base
     rules, their distances are null. kept is false if base_failed or the method fails. A null or empty text has no words and fails;
-    a null or unknown language is compared with all rows; without references the distances are 0. Repeated rows are each judged;
+    a null or unknown language is compared with all rows; languages in references.rest are joined with their documents; without references the distances are 0. Repeated rows are each judged;
     columns named like a new one are replaced; an empty table gives an empty one.
     """
     names = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, class_distance double, word_distance double"
-    lang = "__lang"
+    lang, ref, glue = "__lang", "__ref", "__both"
     kept = [c for c in (df.columns if keep is None else keep)]
-    source = df.withColumn(lang, F.coalesce(F.col(lang_col).cast("string"), F.lit("")))
-    glued = source.withColumn("__both", F.concat(F.col(lang), F.lit("\n"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    source = df.withColumn(lang, F.col(lang_col).cast("string"))
+    rest = getattr(references, "rest", None)
 
     def make():
-        known = {}
-        for k, r in references.items():
-            words = {w.encode(): i for i, w in enumerate(r["words"])}
-            rest = max(0, r["total"] - sum(r["words"].values()))
-            known[k] = (np.array(r["classes"], float), words, np.array([*r["words"].values(), rest], float))
+        def built(classes, words, counts, total):
+            index = {w.encode(): i for i, w in enumerate(words)}
+            return np.array(classes, float), index, np.array([*counts, max(0, total - sum(counts))], float)
+
+        known = {k: built(r["classes"], r["words"], list(r["words"].values()), r["total"]) for k, r in local.items()}
         default = known.get(None)
 
+        @lru_cache(256)
+        def reference(head: str):
+            said = json.loads(head)
+            return built(**said["ref"]) if "ref" in said else known.get(said.get("lang"), default)
+
         def judge(both: str):
-            language, _, text = both.partition("\n")
+            head, _, text = both.partition("\n")
             raw = text.encode()
             words = raw.split()
             base = base_counts(raw, words)
-            ref = known.get(language, default)
+            ref = reference(head)
             if len(words) < guard_words or ref is None:
                 return len(words), *base, *((None, None) if len(words) < guard_words else (0.0, 0.0))
             seen = Counter(map(ref[1].get, raw.lower().split()))
@@ -199,7 +225,20 @@ def quality_rules(
         return work
 
     new = [k.split()[0] for k in names.split(", ")]
-    out = map_text(glued, "__both", make, names, batch_bytes, [c for c in kept if c not in (*new, "base_failed", "kept")])
+    passed = [c for c in kept if c not in (*new, "base_failed", "kept")]
+    local = dict(references)
+
+    def judged(rows: DataFrame, *head: str) -> DataFrame:
+        """A JSON line before each text names its language or has its reference."""
+        glued = rows.withColumn(glue, F.concat(F.to_json(F.struct(*(F.col(c).alias(c[2:]) for c in head))), F.lit("\n"), text))
+        return map_text(glued, glue, make, names, batch_bytes, passed)
+
+    if rest is None:
+        out = judged(source, lang)
+    else:
+        near = F.coalesce(F.col(lang).isin([k for k in local if k is not None]), F.lit(True))
+        far = source.where(~near).join(rest.select(F.col("lang").alias(lang), F.col("ref").alias(ref)), lang, "left")
+        out = judged(source.where(near), lang).unionByName(judged(far, ref))
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))
     odd = (F.coalesce("class_distance", F.lit(0.0)) > class_limit) | (F.coalesce("word_distance", F.lit(0.0)) > word_limit)
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & ~odd)

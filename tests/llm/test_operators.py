@@ -343,6 +343,24 @@ def test_quality_equals_brute_force(spark):
     assert refs[None]["total"] == total
 
 
+def test_quality_every_language_has_its_reference(spark):
+    """90 languages of one letter each: more than reach the driver, and no word of at most 12 bytes in the last ones."""
+    rows = [(f"l{i:02}", " ".join([chr(0x430 + i % 30) * (8 + i // 30)] * 1 + [chr(0x4E00 + 97 * i + j) * 9 for j in range(59)]), 3 if i < 70 else 1) for i in range(90)]
+    rows = [(lang, text) for lang, text, n in rows for _ in range(n)] + [(None, "plain words of no language " * 12), ("a\n*", "one two three " * 20), ("*", "four five six " * 20)]
+    df = spark.createDataFrame(rows, "lang string, text string")
+    refs = language_references(df)
+    assert len(refs) == 65 and refs.rest.count() == 92 - 64 and "" not in refs
+    found = {r.lang: r for r in quality_rules(df, refs, keep=["lang"]).distinct().collect()}
+    assert len(found) == 93
+    for lang, r in found.items():
+        far = lang is None
+        assert (r.class_distance > 0.3 and r.word_distance > 0.9) if far else (r.class_distance < 0.01 and r.word_distance < 1e-6), (lang, r)
+    exact = language_references(df, languages=1000)
+    assert exact.rest is None and len(exact) == 93
+    same = {r.lang: r for r in quality_rules(df, exact, keep=["lang"]).distinct().collect()}
+    assert found == same
+
+
 def test_quality_keeps_the_clean_and_drops_junk(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
