@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -12,7 +13,7 @@ from headrow.llm.batches import map_text
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _DROPPED = frozenset(
-    "script style noscript template head title nav footer aside form button select textarea iframe object svg canvas audio video dialog menu".split()
+    "script style noscript template head title nav footer aside button select textarea iframe object svg canvas audio video dialog menu".split()
 )
 _BLOCK = frozenset(
     "address article blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html "
@@ -36,6 +37,8 @@ _ASIDE_WORDS = frozenset(
 )
 _ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
 _BODY_WORDS = frozenset("article body content entry main page post story text".split())
+# Blocks of their own even where they are long: they hold the page's text only if its first heading stands in them.
+_TALK_WORDS = frozenset("comment comments cookie cookies disqus consent gdpr related replies reply shoutbox".split())
 
 class _Node:
     __slots__ = ("tag", "parent", "items", "words", "hidden", "score", "own", "size", "linked")
@@ -110,20 +113,25 @@ class _Tree(HTMLParser):
 def _unwanted(node: _Node) -> bool:
     if node.tag in _DROPPED or node.hidden:
         return True
-    if node.tag == "header":
-        return not node.inside(frozenset(["article", "main"]))
+    return node.tag == "header" and not node.inside(frozenset(["article", "main"]))
+
+
+def _named(node: _Node) -> bool:
+    """A form, or named like something beside the text."""
+    if node.tag == "form":
+        return True
     if node.words & _ASIDE_WORDS and node.tag not in ("html", "body", "article", "main"):
         return not (node.words & _BODY_WORDS and not node.words & {"comment", "comments", "sidebar", "ad", "ads", "related", "footer", "nav", "menu"})
     return False
 
 
-def _prune_and_measure(root: _Node) -> list[_Node]:
+def _prune(root: _Node, unwanted: Callable[[_Node], bool]) -> list[_Node]:
     """Drop unwanted subtrees and set size (characters of text) and linked (those inside links); nodes in page order."""
     order, stack = [], [root]
     while stack:
         node = stack.pop()
         order.append(node)
-        node.items = [x for x in node.items if isinstance(x, str) or not _unwanted(x)]
+        node.items = [x for x in node.items if isinstance(x, str) or not unwanted(x)]
         stack += [x for x in reversed(node.items) if not isinstance(x, str)]
     for node in reversed(order):
         texts = [len(" ".join(x.split())) for x in node.items if isinstance(x, str)]
@@ -134,6 +142,41 @@ def _prune_and_measure(root: _Node) -> list[_Node]:
     return order
 
 
+def _prune_and_measure(root: _Node) -> list[_Node]:
+    """Drop what can't be text, then named nodes, but not those that hold the text of the page."""
+    order = _prune(root, _unwanted)
+    if not any(map(_named, order)):
+        return order
+    spared = _holders(order)
+    return _prune(root, lambda n: _named(n) and n not in spared)
+
+
+def _holders(order: list[_Node]) -> set[_Node]:
+    """Named nodes around the article or main element with the most points, or with most of the page's points."""
+    points, headed = dict.fromkeys(order, 0.0), set()
+    for node in reversed(order):
+        points[node] += _points(node) * (1 - _density(node))
+        if node.tag == "h1":
+            headed.add(node)
+        if node.parent in points:
+            points[node.parent] += points[node]
+            if node in headed:
+                headed.add(node.parent)
+    free, under = 0.0, set()  # points beside all named nodes
+    for node in order:
+        if node.parent in under or _named(node):
+            under.add(node)
+        else:
+            free += _points(node) * (1 - _density(node))
+    out = {n for n in order if _named(n) and 2 * points[n] > points[order[0]] and (n in headed or not n.words & _TALK_WORDS)}
+    best = max((n for n in order if n.tag in ("article", "main") and points[n]), key=points.get, default=None)
+    if best and 2 * points[best] >= free:  # a teaser beside a page's text isn't the text
+        while best:
+            out.add(best)
+            best = best.parent
+    return out
+
+
 def _density(node: _Node) -> float:
     return node.linked / node.size if node.size else 0.0
 
@@ -149,14 +192,19 @@ def _text(node: _Node) -> str:
     return "".join(out)
 
 
+def _points(node: _Node) -> int:
+    """Points of a paragraph for length and commas; 0 for any other node."""
+    blocks = any(not isinstance(x, str) and x.tag in _BLOCK for x in node.items)
+    if node.tag in _PARAGRAPH and node.size or node.tag in ("div", "section", "article", "main") and node.own and not blocks:
+        return 1 + len(re.findall("[,،、，]", _text(node))) + min(node.size // 100, 3)
+    return 0
+
+
 def _score(order: list[_Node]) -> _Node | None:
     """Paragraphs pass points for length and commas to their ancestors; the best after the discount for links."""
     found: list[_Node] = []
     for node in order:
-        blocks = any(not isinstance(x, str) and x.tag in _BLOCK for x in node.items)
-        if node.tag in _PARAGRAPH and node.size or node.tag in ("div", "section", "article", "main") and node.own and not blocks:
-            text = _text(node)
-            points = 1 + len(re.findall("[,،、，]", text)) + min(node.size // 100, 3)
+        if points := _points(node):
             up, level = node if node.tag not in _PARAGRAPH else node.parent, 0
             while up and level < 4:
                 if up.score is None:
@@ -237,7 +285,8 @@ def extract_html(df: DataFrame, html_col: str = "html", keep: list[str] | None =
 
     Paragraphs pass points for length and commas to their ancestors, discounted by link density; the best container
     and the siblings that belong to it are kept, without menus, headers, footers, sidebars, notices, adverts, forms,
-    scripts, styles and comments. Blocks are joined in page order by two line feeds. A null, empty or textless page
+    scripts, styles and comments. A form, or a node named like one of these, that holds the page's article or most of its
+    points stays, and what is unwanted inside it goes. Blocks are joined in page order by two line feeds. A null, empty or textless page
     has an empty text and 0 characters. A page of bare text comes back whole. Repeated rows are each worked on; input columns named
     text or n_chars are replaced; an empty table gives an empty one.
     """

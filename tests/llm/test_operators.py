@@ -47,6 +47,24 @@ def test_html_page_parts():
     assert main_text(page) == "Title & more\n\nFirst, paragraph goes on, with commas, and words.\n\nSecond linked é paragraph.\n\none\n\ntwo\n\na b"
 
 
+@pytest.mark.parametrize("wrapper", ["<div class='content-sidebar-wrap'>", "<div id=page class=no-sidebar>", "<div class='main has-menu'>", "<form action=/>"])
+@pytest.mark.parametrize("holder", ["article", "div"])
+def test_html_wrappers_keep_their_article(wrapper, holder):
+    end = "</form>" if "form" in wrapper else "</div>"
+    side = "<div class=sidebar><ul><li><a href=1>One</a><li><a href=2>Two</a></ul></div><div class=menu><a href=1>Home</a></div>"
+    talk = "<div id=comments>" + "<p>I, for one, like, this</p>" * 9 + "</div>"
+    text = f"<{holder}><h1>Title</h1><p>First, with commas, and more, of them, here, and there.</p><p>Second, as, long, as, the first.</p></{holder}>"
+    page = f"<body>{wrapper}{side}{text}{'' if holder == 'div' else talk}<input value=1>{end}<div class=footer><p>(c) us</p></div></body>"
+    assert main_text(page) == "Title\n\nFirst, with commas, and more, of them, here, and there.\n\nSecond, as, long, as, the first."
+
+
+def test_html_named_blocks_beside_the_text_go():
+    text = "<div class=post><p>First, with commas, and more.</p><p>Second, as long.</p></div>"
+    talk = "<div id=comments>" + "<p>I, for one, like, this</p>" * 50 + "</div>"
+    teaser = "<div class=sidebar><article><p>Teaser</p></article></div>"
+    assert main_text(text + talk + teaser + "<form><p>Mail</p></form>") == "First, with commas, and more.\n\nSecond, as long."
+
+
 def test_html_odd_pages(spark):
     pages = [None, "", "<p>", "plain & text", "<script>x</script>", "<div>" * 3000 + "deep" + "</div>" * 3000, "<p>a</p>" * 20_000]
     df = spark.createDataFrame([(i, "u", p, "clash") for i, p in enumerate(pages)], "page_id long, url string, html string, text string")
