@@ -278,6 +278,21 @@ def b10_b14_projections(spark, d):
     )
 
 
+@query(r"""SELECT doc_id, CASE WHEN text IS NULL THEN '' ELSE trim(split_part(split_part(text, ' ', 1), '"', 1), chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') END AS head, regexp_extract('https://x.example/a/' || doc_id || '.html?p=1', '/a/(\d+)', 1) AS id,
+  'https://x.example/' || doc_id || '/v' AS url, CASE WHEN doc_id % 3 = 0 THEN 'T ' || doc_id WHEN line = '' THEN 'Document ' || doc_id ELSE line END AS title, 'Flash ' || doc_id AS flash
+  FROM (SELECT doc_id, text, trim(split_part(coalesce(text, ''), chr(10), 1), chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS line FROM documents)""")
+def b10_b14_projections_whole(spark, d):
+    """The projections of every document, from its whole first word and line; b10_b14_projections has none under 20 characters."""
+    i, whole = F.col("doc_id").cast("string"), F.coalesce("text", F.lit(""))
+    return spark.read.parquet(f"{d}/documents.parquet").select(
+        "doc_id", text.cut_at_quote(F.concat(F.substring_index(whole, " ", 1), F.lit(' " target='))).alias("head"),
+        urls.id_from_path(F.concat(F.lit("https://x.example/a/"), i, F.lit(".html?p=1")), r"/a/(\d+)").alias("id"),
+        urls.url_template("https://x.example/{id}/v", F.col("doc_id")).alias("url"),
+        text.title_fallback(F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(" T "), i)), F.substring_index("text", "\n", 1), F.concat(F.lit("Document "), i)).alias("title"),
+        text.headline_from_flash(F.concat(F.lit("<b>【Flash "), i, F.lit("】</b> rest"))).alias("flash"),
+    )
+
+
 # ---- D: validation
 
 
