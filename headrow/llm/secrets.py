@@ -18,6 +18,7 @@ _ASSIGN_WORDS = ("passw", "secret", "token", "api")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # a run of 20 or more; a longer run always begins at its first AKIA
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+_LEAST = 16
 _IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_-]{5,}")
 
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-."
@@ -41,6 +42,18 @@ def _secret_part(text: str, span: tuple[int, int, str]) -> str:
     return _ASSIGN.match(text, span[0])[2] if span[2] == "assign" else text[span[0] : span[1]]
 
 
+def _outside(start: int, end: int, spans: list[tuple[int, int, str]]) -> Iterator[tuple[int, int]]:
+    """The parts of start to end of 16 or more characters that no span touches; spans are sorted by start."""
+    for a, b, _ in spans:
+        if a >= end:
+            break
+        if a - start >= _LEAST:
+            yield start, a
+        start = max(start, b)
+    if end - start >= _LEAST:
+        yield start, end
+
+
 def _pairs(s: str) -> list[tuple[int, int]]:
     codes = [_CODE[c] for c in s if c in _CODE]
     return list(zip([_N, *codes], codes))
@@ -97,15 +110,14 @@ def scan_secrets(
     ratios: list[list[float]],
     text_col: str = "text",
     keep: list[str] | None = None,
-    least_length: int = 20,
     least_ratio: float = 0.7,
     batch_bytes: int = 1 << 20,
 ) -> DataFrame:
     """Add spans (array of start, end, kind in code points; end exclusive) for every row.
 
-    Base patterns give the kinds assign, access and hex. A run of least_length or more token characters that touches
-    no base span, has a digit, and whose mean log-likelihood ratio per transition reaches least_ratio is a span of kind random. Whole
-    texts are scanned. A null or empty text has no spans; repeated rows are each scanned; an input column named spans is
+    Base patterns give the kinds assign, access and hex. Of each run of token characters, what stands outside the base
+    spans is a candidate where it has 16 or more; one whose mean log-likelihood ratio per transition reaches least_ratio,
+    times sqrt(20 / length) under 20 characters, is a span of kind random. Whole texts are scanned. A null or empty text has no spans; repeated rows are each scanned; an input column named spans is
     replaced; an empty table gives an empty one.
     """
     kind = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())])
@@ -115,14 +127,11 @@ def scan_secrets(
             found = base_spans(text)
             more = []
             for m in _CANDIDATE.finditer(text):
-                a, b = m.span()
-                if b - a < least_length or any(s < b and a < e for s, e, _ in found):
-                    continue
-                if not any(c.isdigit() for c in m[0]):
-                    continue
-                pairs = _pairs(m[0])
-                if sum(ratios[x][y] for x, y in pairs) / len(pairs) >= least_ratio:
-                    more.append((a, b, "random"))
+                for a, b in _outside(*m.span(), found):
+                    pairs = _pairs(text[a:b])
+                    bar = least_ratio * max(1.0, math.sqrt(20 / len(pairs)))
+                    if sum(ratios[x][y] for x, y in pairs) / len(pairs) >= bar:
+                        more.append((a, b, "random"))
             return sorted(found + more, key=lambda s: (s[0], KINDS.index(s[2])))
 
         def work(texts):

@@ -316,6 +316,23 @@ def test_markov_held_out_accuracy(spark):
     assert right >= 0.95 * len(tests)
 
 
+def test_secret_ratio_decides_every_candidate(spark):
+    """Random strings without a digit, of 16 characters, and beside a hex run are found; long ordinary words aren't."""
+    rnd = random.Random(8)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    rand = lambda n, a: "".join(rnd.choice(a) for _ in range(n))
+    words = "get user name index value count parser stream buffer reader writer table column filter window session request response header content".split()
+    ident = lambda: "_".join(rnd.choice(words) for _ in range(4))
+    train = [(i, " ".join([*(ident() for _ in range(20)), f"token = {rand(32, letters + '0123456789')}"])) for i in range(300)]
+    ratios = train_markov(spark.createDataFrame(train, "doc_id long, text string"))
+    make = [lambda: rand(32, letters), lambda: rand(16, letters + "0123456789"), lambda: "0af" * 8 + "/" + rand(24, letters), ident]
+    df = spark.createDataFrame([(i, make[i % 4]()) for i in range(800)], "doc_id long, text string")
+    found = Counter(r.doc_id % 4 for r in scan_secrets(df, ratios).collect() if any(s.kind == "random" and s.end - s.start >= 16 for s in r.spans))
+    assert min(found[k] for k in range(3)) >= 180 and found[3] <= 10, found
+    part = [s for s in scan_secrets(df.where("doc_id = 2"), ratios).first().spans]
+    assert [(s.start, s.end, s.kind) for s in part] == [(0, 24, "hex"), (24, 49, "random")]
+
+
 def test_secret_query_digests(spark):
     texts = {r[0]: r[1] or "" for r in duckdb.sql(f"SELECT doc_id, text FROM '{SF}/documents.parquet'").fetchall()}
     for r in q.op7_secret_scans(spark, SF).collect():
