@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -52,21 +53,38 @@ _STATE = "last_run long, last_attempt_at timestamp, last_success_at timestamp, c
 
 
 def _fold(key: tuple[str], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Fold the runs of all chunks in run order, whatever order they come in; held are only the ids of failures after the latest success."""
     last, attempt, success, failures, due = state.get if state.exists else (-1, None, None, 0, None)
+    good = bad = None  # latest success and latest failure: run_id, finished_at, interval_seconds
+    failed = np.empty(0, np.int64)
     for batch in batches:
-        for r in batch.sort_values("run_id").itertuples():
-            if r.run_kind != "live":
-                continue
-            last, attempt = max(last, int(r.run_id)), r.started_at if attempt is None else max(attempt, r.started_at)
-            if r.status in ("success", "not_modified"):
-                success, failures, due = r.finished_at, 0, r.finished_at + pd.Timedelta(seconds=int(r.interval_seconds))
-            elif r.status == "failed":
-                wait = min(MAX_DELAY, BASE_DELAY * 2 ** min(20, failures))
-                failures, due = failures + 1, r.finished_at + pd.Timedelta(seconds=wait)
+        live = batch[batch["run_kind"] == "live"]
+        if live.empty:
+            continue
+        last, started = max(last, int(live["run_id"].max())), live["started_at"].max()
+        attempt = started if attempt is None else max(attempt, started)
+        good = _latest(good, live[live["status"].isin(["success", "not_modified"])])
+        losses = live[live["status"] == "failed"]
+        bad = _latest(bad, losses)
+        failed = np.concatenate([failed, losses["run_id"].to_numpy(np.int64)])
+        if good:
+            failed = failed[failed > good[0]]
+    if good:
+        success, failures, due = good[1], 0, good[1] + pd.Timedelta(seconds=int(good[2]))
+    if len(failed):
+        failures += len(failed)
+        due = bad[1] + pd.Timedelta(seconds=min(MAX_DELAY, BASE_DELAY * 2 ** min(20, failures - 1)))
     state.update((last, attempt, success, failures, due))
     yield pd.DataFrame([(key[0], last, attempt, success, failures, due)], columns=["source_id", "last_run", "last_attempt_at", "last_success_at", "consecutive_failures", "next_run_at"])
 
 
+def _latest(before: tuple | None, runs: pd.DataFrame) -> tuple | None:
+    if runs.empty:
+        return before
+    r = runs.loc[runs["run_id"].idxmax(), ["run_id", "finished_at", "interval_seconds"]]
+    return tuple(r) if before is None or r["run_id"] > before[0] else before
+
+
 def stream_source_state(runs: DataFrame, sources: DataFrame) -> DataFrame:
     """Running state of each source from finished runs in run order: one row a source and batch, the newest counts."""
     wanted = runs.where("status <> 'running'").join(sources.select("source_id", "interval_seconds"), "source_id")

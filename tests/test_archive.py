@@ -1,6 +1,8 @@
 import datetime as dt
 import random
 
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from headrow.operators import archive as arc
@@ -148,3 +150,35 @@ def test_stream_source_state(spark, tmp_path):
     got = {tuple(r) for r in spark.table("states").select(columns).collect()}
     want = fold_stream_state(runs.withColumn("error_type", F.lit(None).cast("string")), sources)
     assert got == {tuple(r) for r in want.select(columns).collect()}
+
+
+@pytest.mark.parametrize("rows_a_chunk", [1, 7, 1000])
+def test_source_state_folds_chunks_in_run_order(rows_a_chunk):
+    """Any division of the runs of two micro-batches into chunks, in any order, gives the state of the fold run by run."""
+
+    class State:
+        exists, get = False, None
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+    rnd, t = random.Random(9), pd.Timestamp("2024-01-01")
+    for n in range(40):
+        ids = list(range(60))
+        kinds = [rnd.choice(["live"] * 4 + ["history"]) for _ in ids]
+        statuses = [rnd.choice(["success", "not_modified", "failed", "failed", "failed"] if n % 2 else ["failed", "skipped"]) for _ in ids]
+        rows = [(i, k, s, t + pd.Timedelta(hours=i), t + pd.Timedelta(hours=i, minutes=1), 600) for i, k, s in zip(ids, kinds, statuses)]
+        success, failures, due = None, 0, None
+        for _, kind, status, _, end, interval in rows:
+            if kind == "live" and status in ("success", "not_modified"):
+                success, failures, due = end, 0, end + pd.Timedelta(seconds=interval)
+            elif kind == "live" and status == "failed":
+                failures, due = failures + 1, end + pd.Timedelta(seconds=min(jobs.MAX_DELAY, jobs.BASE_DELAY * 2 ** min(20, failures)))
+        live = [i for i, k in enumerate(kinds) if k == "live"]
+        state = State()
+        for part in (rows[:25], rows[25:]):
+            rnd.shuffle(part)
+            chunks = [part[i : i + rows_a_chunk] for i in range(0, len(part), rows_a_chunk)]
+            columns = ["run_id", "run_kind", "status", "started_at", "finished_at", "interval_seconds"]
+            list(jobs._fold(("s",), iter([pd.DataFrame(c, columns=columns) for c in chunks]), state))
+        assert state.get == (live[-1], rows[live[-1]][3], success, failures, due)
