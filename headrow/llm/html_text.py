@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections import defaultdict
+from collections.abc import Callable, Iterable
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -12,16 +13,19 @@ from pyspark.sql import DataFrame
 from headrow.llm.batches import map_text
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_DROPPED = frozenset(
-    "script style noscript template head title nav footer aside button select textarea iframe object svg canvas audio video dialog menu".split()
-)
+_DROPPED = frozenset("script style noscript template head title button select textarea iframe object svg canvas audio video dialog".split())
+_BESIDE = frozenset("nav footer aside menu header".split())  # beside the text, unless the page's text stands in them
+_IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 _BLOCK = frozenset(
     "address article blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html "
     "li main nav ol p pre section summary table tbody td tfoot th thead tr ul aside".split()
 )
 _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
+_WHOLE = frozenset(["article", "main"])
 _PARAGRAPH = frozenset("p pre td blockquote li dd".split())
+_HOLDER = frozenset("div section article main html form fieldset center details figure nav aside header footer".split())
 _CLOSES_P = _BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "body", "html"}
+_BARRIER = frozenset(["article", "section", "main", "table"])  # a stray inline end tag doesn't end these
 _SAME = {  # an open element of the left kind ends where one of the right kinds begins, up to the named containers
     "li": (frozenset(["li"]), frozenset(["ul", "ol", "menu"])),
     "dt": (frozenset(["dt", "dd"]), frozenset(["dl"])),
@@ -39,94 +43,107 @@ _ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search for
 _BODY_WORDS = frozenset("article body content entry main page post story text".split())
 # Blocks of their own even where they are long: they hold the page's text only if its first heading stands in them.
 _TALK_WORDS = frozenset("comment comments cookie cookies disqus consent gdpr related replies reply shoutbox".split())
+_COMMA = re.compile("[,،、，]")
+
 
 class _Node:
-    __slots__ = ("tag", "parent", "items", "words", "hidden", "score", "own", "size", "linked")
+    __slots__ = ("tag", "parent", "items", "words", "hidden", "beside", "whole", "size", "linked", "flow", "commas", "points", "sum", "score")
 
-    def __init__(self, tag: str, parent: _Node | None, attrs: list[tuple[str, str | None]] = ()):
-        self.tag, self.parent, self.items, self.score = tag, parent, [], None
+    def __init__(self, tag: str, parent: _Node | None, attrs: Iterable[tuple[str, str | None]] = ()):
+        self.tag, self.parent, self.items = tag, parent, []
         said = dict(attrs)
         self.words = {w for k in ("class", "id") for w in re.split(r"[^a-z0-9]+", (said.get(k) or "").lower()) if w}
         style = (said.get("style") or "").replace(" ", "").lower()
-        self.hidden = (
-            "hidden" in said or said.get("aria-hidden") == "true" or "display:none" in style or (said.get("role") or "").lower() in _ASIDE_ROLES
-        )
-
-    def inside(self, tags: frozenset[str]) -> bool:
-        node = self.parent
-        while node:
-            if node.tag in tags:
-                return True
-            node = node.parent
-        return False
+        self.hidden = "hidden" in said or said.get("aria-hidden") == "true" or "display:none" in style
+        self.beside = (said.get("role") or "").lower() in _ASIDE_ROLES
+        self.whole = bool(parent) and (parent.whole or parent.tag in _WHOLE)  # inside an article or main element
 
 
 class _Tree(HTMLParser):
-    """Builds a tree of nodes and text; end tags that HTML lets a page leave out are supplied."""
+    """Builds a tree of nodes and text; end tags that HTML lets a page leave out are supplied.
+
+    The open elements are a stack, and of each tag it is known where it stands there, so a tag costs the same however deep it is.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.root = self.at = _Node("html", None)
+        self.root = _Node("html", None)
+        self.open, self.at = [self.root], defaultdict(list)
+
+    def _pop(self, depth: int) -> None:
+        """Close the open elements from depth on."""
+        while len(self.open) > max(depth, 1):
+            self.at[self.open.pop().tag].pop()
+
+    def _depth(self, tags: Iterable[str]) -> int:
+        """Where the innermost open element of these tags stands; 0 if none is open."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
 
     def _close(self, tags: frozenset[str], stop: frozenset[str]) -> None:
-        node = self.at
-        while node and node.tag not in stop:
-            if node.tag in tags:
-                self.at = node.parent
-                return
-            node = node.parent
+        if (depth := self._depth(tags)) > self._depth(stop):
+            self._pop(depth)
+
+    def _leave_head(self) -> None:
+        if depth := self._depth(["head"]):
+            self._pop(depth)
 
     def handle_starttag(self, tag, attrs):
         if tag in ("html", "body"):
+            self._leave_head()
             self.root.words |= _Node(tag, None, attrs).words & _BODY_WORDS
             return
-        if tag in _CLOSES_P:
+        if tag not in _IN_HEAD:
+            self._leave_head()
+        if tag in _CLOSES_P and self.at.get("p"):
             self._close(frozenset(["p"]), _CLOSES_P - {"p"})
         if tag in _HEADING:
             self._close(_HEADING, _BLOCK - _HEADING)
         if tag in _SAME:
             for _ in range(2 if tag == "tr" else 1):
                 self._close(*_SAME[tag])
-        node = _Node(tag, self.at, attrs)
-        self.at.items.append(node)
+        node = _Node(tag, self.open[-1], attrs)
+        self.open[-1].items.append(node)
         if tag not in _VOID:
-            self.at = node
+            self.at[tag].append(len(self.open))
+            self.open.append(node)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
-        if tag not in _VOID and self.at.tag == tag:
-            self.at = self.at.parent or self.root
+        if tag not in _VOID and self.open[-1].tag == tag:
+            self._pop(len(self.open) - 1)
 
     def handle_endtag(self, tag):
-        node = self.at
-        while node and node.tag != tag:
-            if node.tag in ("article", "section", "main", "table") and tag not in _BLOCK:
-                return  # a stray inline end tag doesn't end the container
-            node = node.parent
-        if node and node.parent:
-            self.at = node.parent
+        depth = self._depth([tag])
+        if depth and (tag in _BLOCK or depth >= self._depth(_BARRIER)):
+            self._pop(depth)
 
     def handle_data(self, data):
-        self.at.items.append(data)
+        if self.open[-1].tag == "head" and data.strip():
+            self._leave_head()
+        self.open[-1].items.append(data)
 
 
-def _unwanted(node: _Node) -> bool:
-    if node.tag in _DROPPED or node.hidden:
-        return True
-    return node.tag == "header" and not node.inside(frozenset(["article", "main"]))
+def _dropped(node: _Node) -> bool:
+    return node.tag in _DROPPED or node.hidden
 
 
-def _named(node: _Node) -> bool:
-    """A form, or named like something beside the text."""
-    if node.tag == "form":
+def _aside(node: _Node) -> bool:
+    """A form, an element for what stands beside the text, or named like something of the kind."""
+    if node.tag == "form" or node.beside:
         return True
+    if node.tag in _BESIDE:
+        return node.tag != "header" or not node.whole
     if node.words & _ASIDE_WORDS and node.tag not in ("html", "body", "article", "main"):
         return not (node.words & _BODY_WORDS and not node.words & {"comment", "comments", "sidebar", "ad", "ads", "related", "footer", "nav", "menu"})
     return False
 
 
 def _prune(root: _Node, unwanted: Callable[[_Node], bool]) -> list[_Node]:
-    """Drop unwanted subtrees and set size (characters of text) and linked (those inside links); nodes in page order."""
+    """Drop unwanted subtrees and measure the others; nodes in page order.
+
+    size and linked: characters of text, and those inside links. flow and commas: of the text outside the node's blocks. points:
+    what a paragraph has for length and commas, else 0. sum: points of the whole subtree, each discounted by its paragraph's links.
+    """
     order, stack = [], [root]
     while stack:
         node = stack.pop()
@@ -134,43 +151,49 @@ def _prune(root: _Node, unwanted: Callable[[_Node], bool]) -> list[_Node]:
         node.items = [x for x in node.items if isinstance(x, str) or not unwanted(x)]
         stack += [x for x in reversed(node.items) if not isinstance(x, str)]
     for node in reversed(order):
-        texts = [len(" ".join(x.split())) for x in node.items if isinstance(x, str)]
+        texts = [" ".join(x.split()) for x in node.items if isinstance(x, str)]
         kids = [x for x in node.items if not isinstance(x, str)]
-        node.own = sum(texts)
-        node.size = node.own + sum(k.size for k in kids)
+        inline = [k for k in kids if k.tag not in _BLOCK]
+        own = sum(map(len, texts))
+        node.size = own + sum(k.size for k in kids)
         node.linked = node.size if node.tag == "a" else sum(k.linked for k in kids)
+        node.flow = own + sum(k.flow for k in inline)
+        node.commas = sum(len(_COMMA.findall(t)) for t in texts) + sum(k.commas for k in inline)
+        node.points = 1 + node.commas + node.flow // 100 if node.flow and (node.tag in _PARAGRAPH or node.tag in _HOLDER) else 0
+        node.sum = node.points * (1 - _density(node)) + sum(k.sum for k in kids)
     return order
 
 
 def _prune_and_measure(root: _Node) -> list[_Node]:
-    """Drop what can't be text, then named nodes, but not those that hold the text of the page."""
-    order = _prune(root, _unwanted)
-    if not any(map(_named, order)):
+    """Drop what can't be text, then what stands beside it, but not what holds the text of the page."""
+    order = _prune(root, _dropped)
+    if not any(map(_aside, order)):
         return order
     spared = _holders(order)
-    return _prune(root, lambda n: _named(n) and n not in spared)
+    return _prune(root, lambda n: _aside(n) and n not in spared)
 
 
 def _holders(order: list[_Node]) -> set[_Node]:
-    """Named nodes around the article or main element with the most points, or with most of the page's points."""
-    points, headed = dict.fromkeys(order, 0.0), set()
+    """Asides around the article or main element with the most points, or with most of the page's points.
+
+    An element such as nav or aside has to hold the page's first heading or such an element too: then its end tag is missing.
+    """
+    headed = set()
     for node in reversed(order):
-        points[node] += _points(node) * (1 - _density(node))
-        if node.tag == "h1":
+        if node.tag == "h1" or node.tag in _WHOLE:
             headed.add(node)
-        if node.parent in points:
-            points[node.parent] += points[node]
-            if node in headed:
-                headed.add(node.parent)
-    free, under = 0.0, set()  # points beside all named nodes
+        if node in headed and node.parent:
+            headed.add(node.parent)
+    free, under = 0.0, set()  # points beside all asides
     for node in order:
-        if node.parent in under or _named(node):
+        if node.parent in under or _aside(node):
             under.add(node)
         else:
-            free += _points(node) * (1 - _density(node))
-    out = {n for n in order if _named(n) and 2 * points[n] > points[order[0]] and (n in headed or not n.words & _TALK_WORDS)}
-    best = max((n for n in order if n.tag in ("article", "main") and points[n]), key=points.get, default=None)
-    if best and 2 * points[best] >= free:  # a teaser beside a page's text isn't the text
+            free += node.points * (1 - _density(node))
+    strict = lambda n: n.tag in _BESIDE or n.beside or n.words & _TALK_WORDS
+    out = {n for n in order if _aside(n) and 2 * n.sum > order[0].sum and (n in headed or not strict(n))}
+    best = max((n for n in order if n.tag in _WHOLE and n.sum), key=lambda n: n.sum, default=None)
+    if best and 2 * best.sum >= free:  # a teaser beside a page's text isn't the text
         while best:
             out.add(best)
             best = best.parent
@@ -181,57 +204,50 @@ def _density(node: _Node) -> float:
     return node.linked / node.size if node.size else 0.0
 
 
-def _text(node: _Node) -> str:
-    out, stack = [], [node]
-    while stack:
-        x = stack.pop()
-        if isinstance(x, str):
-            out.append(x)
-        else:
-            stack += reversed(x.items)
-    return "".join(out)
-
-
-def _points(node: _Node) -> int:
-    """Points of a paragraph for length and commas; 0 for any other node."""
-    blocks = any(not isinstance(x, str) and x.tag in _BLOCK for x in node.items)
-    if node.tag in _PARAGRAPH and node.size or node.tag in ("div", "section", "article", "main") and node.own and not blocks:
-        return 1 + len(re.findall("[,،、，]", _text(node))) + min(node.size // 100, 3)
-    return 0
+def _rank(node: _Node) -> float:
+    return node.score * (1 - _density(node))
 
 
 def _score(order: list[_Node]) -> _Node | None:
-    """Paragraphs pass points for length and commas to their ancestors; the best after the discount for links."""
-    found: list[_Node] = []
+    """Points go from each paragraph to its container, and from there to all ancestors, halved at each; the best after the discount for links."""
     for node in order:
-        if points := _points(node):
-            up, level = node if node.tag not in _PARAGRAPH else node.parent, 0
-            while up and level < 4:
-                if up.score is None:
-                    up.score = 5.0 * (up.tag in ("article", "main")) + 3.0 * bool(up.words & _BODY_WORDS)
-                    found.append(up)
-                up.score += points / (1, 2, 6, 9)[level]
-                up, level = up.parent, level + 1
-    return max(found, key=lambda n: n.score * (1 - _density(n)), default=None)
+        node.score = 0.0
+    found = set()
+    for node in reversed(order):  # children before their parents
+        to = node.parent if node.tag in _PARAGRAPH and node.parent else node
+        if node.points:
+            to.score += node.points
+            found.add(to)
+        if node.parent and (node in found or node.score):
+            node.parent.score += node.score / 2
+            found.add(node.parent)
+    for node in found:
+        node.score += 5.0 * (node.tag in _WHOLE) + 3.0 * bool(node.words & _BODY_WORDS)
+    return max((n for n in order if n in found), key=_rank, default=None)
 
 
 def _kept(best: _Node) -> list[_Node | str]:
-    """The best container with those siblings that look like a part of it, in page order."""
-    if not best.parent:
-        return [best]
-    bar = max(10.0, 0.2 * best.score * (1 - _density(best)))
-    at = next(i for i, x in enumerate(best.parent.items) if x is best)
-    keep = []
-    for i, x in enumerate(best.parent.items):
-        if x is best:
-            keep.append(x)
-        elif isinstance(x, str) or not x.size:
-            continue
-        elif x.tag in _HEADING and i < at and best.tag not in ("article", "main"):
-            keep.append(x)
-        elif (x.score or 0) * (1 - _density(x)) >= bar or x.tag == "p" and x.size > 80 and _density(x) < 0.25:
-            keep.append(x)
-    return keep
+    """The best container with the siblings that look like a part of it, and those of its ancestors that hold as much; in page order."""
+    bar, whole = max(10.0, 0.2 * _rank(best)), best.tag in _WHOLE
+    node, enough = best, 0.5 * best.sum
+    before: list[_Node | str] = []  # from the best one backwards
+    after: list[_Node | str] = []
+    while up := node.parent:
+        at = next(i for i, x in enumerate(up.items) if x is node)
+
+        def part(x: _Node | str, ahead: bool) -> bool:
+            if isinstance(x, str) or not x.size:
+                return False
+            if x.tag in _HEADING and ahead and not whole and (node is best or x.tag == "h1"):
+                return True
+            if node is not best:
+                return x.sum * (1 - _density(x)) >= max(10.0, enough)
+            return _rank(x) >= bar or x.tag == "p" and x.size > 80 and _density(x) < 0.25
+
+        before += [x for x in reversed(up.items[:at]) if part(x, True)]
+        after += [x for x in up.items[at + 1 :] if part(x, False)]
+        node = up
+    return [*reversed(before), best, *after]
 
 
 def _blocks(nodes: list[_Node | str]) -> list[str]:
@@ -274,19 +290,21 @@ def main_text(html: str | None) -> str:
     best = _score(order)
     if best is None:
         return "\n\n".join(_blocks([tree.root]))
-    while best.parent and best.parent.parent and best.parent.tag in ("article", "main") and _density(best.parent) < 0.5:
+    while best.parent and best.parent.parent and best.parent.tag in _WHOLE and _density(best.parent) < 0.5:
         best = best.parent
-        best.score = best.score or 0.0
     return "\n\n".join(_blocks(_kept(best)))
 
 
 def extract_html(df: DataFrame, html_col: str = "html", keep: list[str] | None = None, batch_bytes: int = 1 << 20) -> DataFrame:
     """Add text (main text of the whole page) and n_chars (its code points) for every row.
 
-    Paragraphs pass points for length and commas to their ancestors, discounted by link density; the best container
-    and the siblings that belong to it are kept, without menus, headers, footers, sidebars, notices, adverts, forms,
-    scripts, styles and comments. A form, or a node named like one of these, that holds the page's article or most of its
-    points stays, and what is unwanted inside it goes. Blocks are joined in page order by two line feeds. A null, empty or textless page
+    Paragraphs have a point, one for each comma and one for each 100 characters. They pass them to their container and, halved at each step,
+    to all its ancestors; a container's sum is discounted by its link density. The best container
+    and the siblings that belong to it are kept, and siblings of its ancestors that hold at least half as many points, without menus, headers,
+    footers, sidebars, notices, adverts, forms, scripts, styles and comments. One of these that holds the page's article or most of its
+    points (a form around the page, a menu whose end tag is missing) stays, and what is unwanted inside it goes. A head ends at the first element
+    or text that can't stand in it. Work is linear in tags and text, however they nest.
+    Blocks are joined in page order by two line feeds. A null, empty or textless page
     has an empty text and 0 characters. A page of bare text comes back whole. Repeated rows are each worked on; input columns named
     text or n_chars are replaced; an empty table gives an empty one.
     """

@@ -16,7 +16,7 @@ from headrow.llm.quality import language_references, quality_rules
 from headrow.llm.secrets import scan_secrets, span_digests, train_markov
 from headrow.llm.sharding import shard_rows
 from headrow.llm.token_counts import token_counts
-from headrow.llm.url_rules import UrlRule, filter_urls, mine_rules, url_path
+from headrow.llm.url_rules import UrlRule, filter_urls, has_host_word, mine_rules, url_path
 
 RANKS = "byte_bpe_50k.tiktoken"
 PIECES = "piece_bpe_32k.model"
@@ -28,6 +28,11 @@ URL_RULES = [
     UrlRule("net", "/es/", "block"),
     UrlRule("net", "/fr/", "block"),
 ]
+# Words of hosts that label a URL as one to block.
+BLOCK_WORDS = (
+    "adult", "ads", "advert", "bet", "bets", "betting", "casino", "dating", "gambling", "lottery", "loan", "loans", "pharma", "pharmacy", "pills", "poker",
+    "porn", "sex", "spam", "tracker", "viagra", "warez", "xxx",
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,13 +68,22 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(docs, keep=["doc_id", "text_sha256"])
 
 
-def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels of the document that a URL's path numbers: low quality or toxic is a label to block."""
-    pages, labels = _table(spark, sf_dir, "pages").select("page_id", "url"), _table(spark, sf_dir, "labels")
+def labelled_urls(pages: DataFrame, labels: DataFrame) -> DataFrame:
+    """(url, block) of the pages whose document is labelled; a URL's path has the document's number.
+
+    A URL is to block if its document is of low quality or toxic, or its host has one of BLOCK_WORDS. In the given tables the labels of
+    documents have no relation to the other parts of a URL, so rules come from the words and what stands with them.
+    """
     number = F.regexp_extract(url_path(F.col("url")), "/([0-9]+)", 1).try_cast("long")
-    marks = labels.select("doc_id", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("block"))
-    labelled = pages.select("url", number.alias("doc_id")).join(marks, "doc_id")
-    return filter_urls(pages, mine_rules(labelled, "url", "block"), URL_RULES, keep=["page_id"])
+    bad = (F.col("quality") == 0) | (F.col("toxic") == 1) | has_host_word(F.col("url"), BLOCK_WORDS)
+    return pages.select("url", number.alias("doc_id")).join(labels, "doc_id").select("url", F.coalesce(bad, F.lit(False)).alias("block"))
+
+
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts of the listed rules, then of rules mined from all labelled_urls()."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    mined = mine_rules(labelled_urls(pages, _table(spark, sf_dir, "labels")), "url", "block")
+    return filter_urls(pages, mined, URL_RULES, keep=["page_id"])
 
 
 def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

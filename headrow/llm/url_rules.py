@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.fpm import FPGrowth
@@ -49,7 +50,7 @@ def listed_rule(host: Column, path: Column, rules: list[UrlRule]) -> Column:
 
 
 def url_tokens(url: Column) -> Column:
-    """Distinct tokens of a URL: scheme, host labels, path words, query keys and whether it has a fragment.
+    """Distinct tokens of a URL: scheme, words of the host, path words, query keys and whether it has a fragment.
 
     Numbers are one token whatever their digits. A null URL or one without :// has no tokens.
     """
@@ -59,7 +60,7 @@ def url_tokens(url: Column) -> Column:
     some = lambda a, kind: F.transform(F.filter(a, lambda x: x != ""), lambda x: F.concat(F.lit(kind), number(x)))
     parts = F.concat(
         some(F.array(_ascii_lower(F.regexp_extract(url, r"(?s)^(.*?)://", 1))), "scheme="),
-        some(F.split(host, r"\."), "host="),
+        some(F.split(host, "[.-]"), "host="),
         some(F.split(path, "[/._-]"), "path="),
         some(F.transform(F.split(query, "&"), lambda q: F.substring_index(q, "=", 1)), "key="),
         F.when(url.contains("#"), F.array(F.lit("fragment"))).otherwise(F.array().cast("array<string>")),
@@ -67,11 +68,18 @@ def url_tokens(url: Column) -> Column:
     return F.when(url.contains("://"), F.array_distinct(parts)).otherwise(F.array().cast("array<string>"))
 
 
-def mine_rules(labelled: DataFrame, url_col: str, block_col: str, min_support: float = 0.005, min_confidence: float = 0.7) -> DataFrame:
+def has_host_word(url: Column, words: Sequence[str]) -> Column:
+    """Whether one of the words, between dots and hyphens, is in the host; false for null and for a URL without ://."""
+    return F.arrays_overlap(F.split(url_host(url), "[.-]"), F.array(*map(F.lit, words))) if words else F.lit(False)
+
+
+def mine_rules(labelled: DataFrame, url_col: str, block_col: str, min_support: float = 0.001, min_confidence: float = 0.7, least_sure: float = 0.5) -> DataFrame:
     """Token combinations that imply the label: (rule_id, antecedent, confidence, support), from FP-growth over all labelled rows.
 
-    block_col is boolean; rows where it or the URL is null are left out. Rules keep at least min_support and min_confidence; a
-    rule is pruned if a shorter one, with a subset of its tokens, is as confident. No labels, or none that blocks, give no rules.
+    block_col is boolean; rows where it or the URL is null are left out, repeated rows count each. Rules keep at least min_support (the
+    share of rows that have all tokens and are to block) and min_confidence, and the lower end of the confidence's 95 % interval (Wilson's) is at
+    least least_sure, so that two or three rows by chance make no rule; a rule is pruned if a shorter one, with a subset of its tokens, is
+    as confident, so one of equal confidence stays only in its shortest forms. No labels, or none that blocks, give no rules.
     """
     items = labelled.where(F.col(block_col).isNotNull() & F.col(url_col).isNotNull()).select(
         F.concat(url_tokens(F.col(url_col)), F.when(F.col(block_col), F.array(F.lit(_BLOCK_ITEM))).otherwise(F.array().cast("array<string>"))).alias("items")
@@ -81,8 +89,11 @@ def mine_rules(labelled: DataFrame, url_col: str, block_col: str, min_support: f
     if items.where(F.array_contains("items", _BLOCK_ITEM)).isEmpty():
         return labelled.sparkSession.createDataFrame([], empty)
     found = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items).associationRules
+    held = F.col("support") * items.count() / F.col("confidence")  # rows that have all tokens
+    c, z2 = F.col("confidence"), 1.96**2
+    surely = (c + z2 / (2 * held) - F.sqrt(z2 * (c * (1 - c) / held + z2 / (4 * held * held)))) / (1 + z2 / held)
     rules = cut(
-        found.where(F.array_contains("consequent", _BLOCK_ITEM)).select(
+        found.where(F.array_contains("consequent", _BLOCK_ITEM) & (surely >= least_sure)).select(
             F.monotonically_increasing_id().alias("rule_id"), F.array_sort("antecedent").alias("antecedent"), "confidence", "support"
         )
     )
@@ -100,7 +111,8 @@ def match_rules(urls: DataFrame, rules: DataFrame, url_col: str = "url") -> Data
     """Distinct URLs of which some rule has all its tokens: (url, n_rules).
 
     The inverted index has each rule once, under its rarest token among the URLs; a URL meets only rules whose index token it
-    has, and then the other tokens are looked up in its own list.
+    has, and then the other tokens are looked up in its own list. Null URLs, those without :// and those without a match have no row, repeated
+    URLs have one; an empty table or no rules give an empty result.
     """
     distinct = urls.select(F.col(url_col).alias("url")).where("url is not null").distinct().select("url", url_tokens(F.col("url")).alias("tokens"))
     wanted = rules.select(F.explode("antecedent").alias("token")).distinct()

@@ -1,7 +1,10 @@
 import base64
 import hashlib
+import itertools
+import os
 import random
 import re
+import time
 from collections import Counter
 
 import duckdb
@@ -65,6 +68,41 @@ def test_html_named_blocks_beside_the_text_go():
     assert main_text(text + talk + teaser + "<form><p>Mail</p></form>") == "First, with commas, and more.\n\nSecond, as long."
 
 
+ARTICLE = "".join(f"<p>Paragraph {i}, with commas, and words enough for a paragraph of an article.</p>" for i in range(6))
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<html><head><title>T</title><body><article>{ARTICLE}</article></body></html>",
+        f"<html><head><title>T</title><meta charset=utf-8><div>{ARTICLE}</div>",
+        f"<body><form action=/><div><article>{ARTICLE}</article></div><input value=1></form>",
+        f"<body><form action=/><div>{ARTICLE}</div></form>",
+        f"<div class=notice><article>{ARTICLE}</article></div>",
+        f"<div class=notice>{ARTICLE}</div>",
+        f"<body><nav><ul><li><a href=1>Home</a><li><a href=2>More</a></ul><article>{ARTICLE}</article></body>",
+        f"<body><aside><a href=1>Home</a><main>{ARTICLE}</main>",
+        f"<body><nav><ul><li><a href=1>Home</a></ul></nav><aside><p>Beside, it, all</p></aside><div>{ARTICLE}</div>",
+    ],
+)
+def test_html_no_page_is_lost(page):
+    assert main_text(page).split("\n\n") == [f"Paragraph {i}, with commas, and words enough for a paragraph of an article." for i in range(6)]
+
+
+def test_html_far_containers_and_headings_stay():
+    page = f"<body><div><h1>Title</h1><div class=row><div class=one><div>{ARTICLE}</div></div><div class=two><div>{ARTICLE}</div></div></div></div><div><div><p>Small, print</p></div></div>"
+    assert main_text(page).startswith("Title\n\nParagraph 0") and main_text(page).count("Paragraph") == 12 and "Small" not in main_text(page)
+
+
+@pytest.mark.parametrize("page", ["<ul><li>x" * 50_000, "<div>" * 5000 + "</span>" * 100_000 + "x", "<span><article>" + "<div>" * 5000 + "</span>" * 100_000 + "x", "<div><p>x" * 50_000, "<b>" * 100_000 + "x", "<form>x" * 50_000])
+def test_html_is_linear_in_nesting(page):
+    began = time.process_time()
+    main_text(page)
+    half = time.process_time()
+    main_text(page[: len(page) // 2])
+    assert half - began < 5 and half - began < 4 * (time.process_time() - half) + 0.5
+
+
 def test_html_odd_pages(spark):
     pages = [None, "", "<p>", "plain & text", "<script>x</script>", "<div>" * 3000 + "deep" + "</div>" * 3000, "<p>a</p>" * 20_000]
     df = spark.createDataFrame([(i, "u", p, "clash") for i, p in enumerate(pages)], "page_id long, url string, html string, text string")
@@ -253,22 +291,78 @@ def test_exact_dedup_repeated_and_null_ids(spark):
 # ---- URL filters
 
 
+def brute_rules(rows, tokens, support, confidence, sure):
+    """{antecedent: confidence} by counting every subset of every URL's tokens."""
+    seen, bad = Counter(), Counter()
+    for u, block in rows:
+        for n in range(1, len(tokens[u]) + 1):
+            for a in itertools.combinations(sorted(tokens[u]), n):
+                seen[a] += 1
+                bad[a] += block
+    ok = {}
+    for a, n in seen.items():
+        c = bad[a] / n
+        low = (c + 1.96**2 / 2 / n - 1.96 * (c * (1 - c) / n + 1.96**2 / 4 / n**2) ** 0.5) / (1 + 1.96**2 / n)
+        if bad[a] >= support * len(rows) and c >= confidence and low >= sure:
+            ok[frozenset(a)] = c
+    return {a: c for a, c in ok.items() if not any(b < a and d >= c - 1e-12 for b, d in ok.items())}
+
+
 def test_mined_rules_match_brute_force(spark):
     rnd = random.Random(4)
-    urls = [f"http{rnd.choice(['', 's'])}://{rnd.choice(['www', 'm', 'casino'])}.{rnd.choice(['a', 'b'])}.example/{rnd.choice(['en', 'win'])}/{i}" for i in range(400)]
+    urls = [f"http{rnd.choice(['', 's'])}://{rnd.choice(['www', 'm', 'casino-one'])}.{rnd.choice(['a', 'b'])}.example/{rnd.choice(['en', 'win'])}/{i}" for i in range(400)]
     rows = [(u, "casino" in u and "/win/" in u or rnd.random() < 0.05) for u in urls]
     labelled = spark.createDataFrame(rows, "url string, block boolean")
     rules = mine_rules(labelled, "url", "block", 0.02, 0.8)
-    mined = [(set(r.antecedent), r.confidence) for r in rules.collect()]
-    assert any({"host=casino", "path=win"} == a for a, _ in mined)
     from headrow.llm.url_rules import url_tokens
 
     tokens = {r.url: set(r.t) for r in labelled.select("url", url_tokens(F.col("url")).alias("t")).collect()}
-    for a, c in mined:
-        held = [b for u, b in rows if a <= tokens[u]]
-        assert abs(sum(held) / len(held) - c) < 1e-9 and c >= 0.8 and sum(held) >= 0.02 * len(rows)
-    want = {u: sum(a <= t for a, _ in mined) for u, t in tokens.items()}
-    assert {r.url: r.n_rules for r in match_rules(labelled, rules).collect()} == {u: n for u, n in want.items() if n}
+    mined = {frozenset(r.antecedent): r.confidence for r in rules.collect()}
+    want = brute_rules(rows, tokens, 0.02, 0.8, 0.5)
+    assert mined.keys() == want.keys() and all(abs(mined[a] - c) < 1e-9 for a, c in want.items())
+    assert mined.keys() >= {frozenset(["host=casino", "path=win"]), frozenset(["host=one", "path=win"])}
+    n = {u: sum(a <= t for a in mined) for u, t in tokens.items()}
+    assert {r.url: r.n_rules for r in match_rules(labelled, rules).collect()} == {u: k for u, k in n.items() if k}
+
+
+@pytest.mark.parametrize("sf, precise, complete", [("sf0.1", 0.6, 0.75), ("check_s", 0.95, 0.95)])
+def test_mined_rules_on_held_out_urls(spark, sf, precise, complete):
+    """Rules of one half of the labelled pages (some 500 of sf0.1, 2,500 of check_s) find what the words label in the other half."""
+    if not os.path.exists(f"/root/testdata/{sf}"):
+        pytest.skip(f"no {sf}")
+    pages, labels = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("pages", "labels"))
+    labelled = q.labelled_urls(pages, labels).withColumn("half", F.pmod(F.xxhash64("url"), F.lit(2)))
+    rules = mine_rules(labelled.where("half = 0").drop("half"), "url", "block")
+    rest = labelled.where("half = 1").withColumn("spam", F.col("url").rlike("casino|adult|spam|pills|bets|ads"))
+    found = rest.join(match_rules(rest, rules), "url", "left").withColumn("hit", F.col("n_rules").isNotNull())
+    hit, spam, both, n = found.agg(F.count_if("hit"), F.count_if("spam"), F.count_if(F.col("hit") & F.col("spam")), F.count(F.lit(1))).first()
+    assert both >= precise * hit and both >= complete * spam and 0 < hit < 0.2 * n, (hit, spam, both, n)
+
+
+def test_url_query(spark):
+    """Every verdict of the query by plain code; the mined rules decide some that no listed rule fits."""
+    sf = "/root/testdata/sf0.1"
+    c = duckdb.connect()
+    pages = dict(c.sql(f"SELECT page_id, url FROM '{sf}/pages.parquet'").fetchall())
+    bad = {d: a == 0 or t == 1 for d, a, t in c.sql(f"SELECT doc_id, quality, toxic FROM '{sf}/labels.parquet'").fetchall()}
+    host = {i: re.match("[^:]*://([^/?#]*)", u)[1].lower() for i, u in pages.items()}
+    path = {i: re.match("[^:]*://[^/?#]*([^?#]*)", u)[1] for i, u in pages.items()}
+    from headrow.llm.url_rules import url_tokens
+
+    df = spark.createDataFrame(list(pages.items()), "page_id long, url string")
+    tokens = {r.url: set(r.t) for r in df.select("url", url_tokens(F.col("url")).alias("t")).collect()}
+    number = {i: int(m[1]) if (m := re.search("/([0-9]+)", p)) else None for i, p in path.items()}
+    labelled = [(pages[i], bad[n] or bool(set(re.split("[.-]", host[i])) & set(q.BLOCK_WORDS))) for i, n in number.items() if n in bad]
+    rules = brute_rules(labelled, tokens, 0.001, 0.7, 0.5)
+    decided = 0
+    for r in q.op6_url_filters(spark, sf).collect():
+        fits = [x for x in q.URL_RULES if (r.host == x.host or r.host.endswith("." + x.host)) and r.path.startswith(x.path)]
+        best = max(fits, key=lambda x: len(x.name), default=None)
+        mined = sum(a <= tokens[pages[r.page_id]] for a in rules)
+        want = best.verdict if best else "block" if mined else "allow"
+        assert (r.host, r.path, r.rule, r.mined_rules, r.verdict) == (host[r.page_id], path[r.page_id], best and best.name, mined, want)
+        decided += not best and bool(mined)
+    assert decided > 0
 
 
 def test_listed_rules_and_odd_urls(spark):
