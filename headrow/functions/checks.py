@@ -31,8 +31,12 @@ def classification_ok(item_kind: Column, entity_kind: Column, item_variant: Colu
     return classification_problem(item_kind, entity_kind, item_variant).isNull()
 
 
+# The formats of catalog fields. A line feed at the very end passes, as it does where $ ends a pattern.
+_SLUG, _LANGUAGE, _MARKET = r"^[a-z0-9][a-z0-9-]*\n?\z", r"^[A-Za-z]{2,3}(-[A-Za-z0-9]{2,8})*\n?\z", r"^[A-Z]{2,8}\n?\z"
+
+
 def valid_slug(c: Column) -> Column:
-    return c.rlike(r"^[a-z0-9][a-z0-9-]*\z")
+    return c.rlike(_SLUG)
 
 
 def valid_topic(c: Column) -> Column:
@@ -40,11 +44,11 @@ def valid_topic(c: Column) -> Column:
 
 
 def valid_language(c: Column) -> Column:
-    return c.rlike(r"^[A-Za-z]{2,3}(-[A-Za-z0-9]{2,8})*\z")
+    return c.rlike(_LANGUAGE)
 
 
 def valid_market(c: Column) -> Column:
-    return c.rlike(r"^[A-Z]{2,8}\z")
+    return c.rlike(_MARKET)
 
 
 _TEXT, _WHOLE, _REAL = "STRING", ("BIGINT", "INT", "SMALLINT", "TINYINT"), ("DOUBLE", "FLOAT")
@@ -81,3 +85,11 @@ def optional_finite_number(v: Column) -> Column:
     """A finite JSON number as a double; null for anything else."""
     x = F.when(_number(v), F.try_variant_get(v, "$", "double"))
     return F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
+
+
+def encode_metrics(metrics: Column) -> Column:
+    """Metrics (JSON text) if they are strict JSON with finite numbers only, '{}' for null; null for what can't be stored."""
+    bare = F.regexp_replace(metrics, r'"(?:[^"\\]|\\.)*"', '""')
+    reals = F.regexp_extract_all(bare, F.lit(r"-?[0-9]+(?:\.[0-9]+(?:[eE][+-]?[0-9]+)?|[eE][+-]?[0-9]+)"), F.lit(0))
+    finite = ~F.exists(reals, lambda x: F.abs(x.try_cast("double")) == float("inf"))
+    return F.when(metrics.isNull(), "{}").when(F.try_parse_json(metrics).isNotNull() & finite, metrics)

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from headrow.functions.text import strip
+from headrow.functions.text import let, strip
 
 CHINA = "+08:00"
+_WALL = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 # Seconds of relative units, days of window units, zone names of RFC 822.
 RELATIVE_UNITS = {"秒": 1, "秒鐘": 1, "分钟": 60, "分鐘": 60, "小时": 3600, "小時": 3600, "天": 86400, "日": 86400}
 WINDOW_DAYS = {"d": 1, "w": 7, "m": 30, "y": 365}
@@ -44,21 +45,24 @@ def _instant(wall: Column, offset: Column) -> Column:
 
 def parse_iso_timestamp(value: Column, naive_offset: str | None = None) -> Column:
     """ISO 8601 text as an instant. A value without offset is wall time at naive_offset, or null if that is None."""
-    text = F.replace(strip(value), F.lit("Z"), F.lit("+00:00"))
-    has_time = text.rlike("[ T]")
-    offset = F.when(has_time, F.regexp_extract(text, _OFFSET, 1)).otherwise("")
-    wall = F.when(offset != "", F.expr("1") * 0 + F.length(text) - F.length(offset)).otherwise(F.length(text))
-    bare = F.replace(F.substring(text, F.lit(1), wall), F.lit(","), F.lit("."))
-    date = F.regexp_replace(F.substring(bare, 1, 10), r"^([0-9]{4})-?([0-9]{2})-?([0-9]{2}).*$", "$1-$2-$3")
-    clock = F.regexp_extract(bare, "[ T](.*)$", 1)
-    clock = F.regexp_replace(clock, r"^([0-9]{2})([0-9]{2})?([0-9]{2})?(?=$|\.)", "$1:$2:$3")
-    clock = F.regexp_replace(clock, r"^([0-9]{2})(:[0-9]{2})?:*(:[0-9]{2})?:*(?=$|\.)", "$1$2$3")
-    clock = F.when(clock.rlike("^[0-9]{2}$"), F.concat(clock, F.lit(":00"))).otherwise(clock)
-    clock = F.regexp_replace(clock, r"(\.[0-9]{6})[0-9]*$", "$1")
-    naive = F.try_to_timestamp(F.when(text.rlike(_ISO), F.concat_ws(" ", date, F.nullif(clock, F.lit("")))))
-    wall_time = F.date_format(naive, "yyyy-MM-dd HH:mm:ss.SSSSSS")
-    zone = F.when(offset != "", offset).otherwise(F.lit(naive_offset).cast("string"))
-    return F.when(naive.isNotNull() & zone.isNotNull(), _instant(wall_time, zone))
+
+    def whole(text: Column) -> Column:
+        offset = F.when(text.rlike("[ T]"), F.regexp_extract(text, _OFFSET, 1)).otherwise("")
+        return F.when(text.rlike(_ISO), let(offset, lambda offset: parts(text, offset)))
+
+    def parts(text: Column, offset: Column) -> Column:
+        bare = F.replace(F.substring(text, F.lit(1), F.length(text) - F.length(offset)), F.lit(","), F.lit("."))
+        date = F.regexp_replace(F.substring(bare, 1, 10), r"^([0-9]{4})-?([0-9]{2})-?([0-9]{2}).*$", "$1-$2-$3")
+        clock = F.regexp_extract(bare, "[ T](.*)$", 1)
+        clock = F.regexp_replace(clock, r"^([0-9]{2})([0-9]{2})?([0-9]{2})?(?=$|\.)", "$1:$2:$3")
+        clock = F.regexp_replace(clock, r"^([0-9]{2})(:[0-9]{2})?:*(:[0-9]{2})?:*(?=$|\.)", "$1$2$3")
+        clock = F.regexp_replace(clock, "^([0-9]{2})$", "$1:00")
+        clock = F.regexp_replace(clock, r"(\.[0-9]{6})[0-9]*$", "$1")
+        zone = F.when(offset != "", offset).otherwise(F.lit(naive_offset).cast("string"))
+        naive = F.try_to_timestamp(let(clock, lambda c: F.concat_ws(" ", date, F.nullif(c, F.lit("")))))
+        return let(naive, lambda t: F.when(t.isNotNull() & zone.isNotNull(), _instant(F.date_format(t, _WALL), zone)))
+
+    return let(F.replace(strip(value), F.lit("Z"), F.lit("+00:00")), whole)
 
 
 def parse_china_timestamp(value: Column) -> Column:
@@ -69,21 +73,30 @@ def parse_rfc822(value: Column, naive_offset: str | None = None) -> Column:
     """Text like "Thu, 17 Sep 2026 08:00:00 GMT" as an instant; zone -0000 and a missing zone are naive."""
     text = F.regexp_replace(F.regexp_replace(strip(value), r"\s*\(.*\)$", ""), r"^[A-Za-z]{3,9},?\s+", "")
     pattern = r"^([0-9]{1,2})[ -]([A-Za-z]{3})[A-Za-z]*[ -]([0-9]{4}|[0-9]{2})\s+([0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?)\s*([A-Za-z]{1,4}|[+-][0-9]{4})?$"
-    part = lambda i: F.regexp_extract(text, pattern, i)
-    year = F.when(F.length(part(3)) == 4, part(3)).otherwise(F.concat(F.when(part(3) > "68", "19").otherwise("20"), part(3)))
-    clock = F.when(F.length(part(4)) > 5, part(4)).otherwise(F.concat(part(4), F.lit(":00")))
-    naive = F.try_to_timestamp(F.when(text.rlike(pattern), F.concat_ws(" ", part(1), F.initcap(part(2)), year, clock)), F.lit("d MMM yyyy H:mm:ss"))
-    name = F.upper(part(5))
-    zone = F.when(name.rlike("^[+-]"), name).otherwise(_map(ZONES)[name])
-    zone = F.when(name.isin("", "-0000"), F.lit(naive_offset).cast("string")).otherwise(F.coalesce(zone, F.lit(naive_offset).cast("string")))
-    return F.when(naive.isNotNull() & zone.isNotNull(), _instant(F.date_format(naive, "yyyy-MM-dd HH:mm:ss.SSSSSS"), zone))
+
+    def parts(p: Column) -> Column:
+        part = lambda i: F.get(p, F.lit(i))
+        year = F.when(F.length(part(2)) == 4, part(2)).otherwise(F.concat(F.when(part(2) > "68", "19").otherwise("20"), part(2)))
+        clock = F.when(F.length(part(3)) > 5, part(3)).otherwise(F.concat(part(3), F.lit(":00")))
+        naive = F.try_to_timestamp(F.concat_ws(" ", part(0), F.initcap(part(1)), year, clock), F.lit("d MMM yyyy H:mm:ss"))
+        name, unnamed = F.upper(part(4)), F.lit(naive_offset).cast("string")
+        zone = F.when(name.isin("", "-0000"), unnamed).when(name.rlike("^[+-]"), name).otherwise(F.coalesce(_map(ZONES)[name], unnamed))
+        return let(naive, lambda t: let(zone, lambda z: F.when(t.isNotNull() & z.isNotNull(), _instant(F.date_format(t, _WALL), z))))
+
+    def whole(text: Column) -> Column:
+        return F.when(text.rlike(pattern), let(F.array(*(F.regexp_extract(text, pattern, i) for i in range(1, 6))), parts))
+
+    return let(text, whole)
 
 
 def parse_timestamp(value: Column, naive_offset: str | None = None) -> Column:
     """Text of a Unix number, an ISO 8601 or an RFC 822 time as an instant, tried in that order."""
-    text = strip(value.cast("string"))
-    number = F.when(text.rlike(_NUMBER), text.cast("double"))
-    return F.when(number.isNotNull(), from_unix(number)).otherwise(F.coalesce(parse_iso_timestamp(text, naive_offset), parse_rfc822(text, naive_offset)))
+
+    def one(text: Column) -> Column:
+        dated = F.coalesce(parse_iso_timestamp(text, naive_offset), parse_rfc822(text, naive_offset))
+        return F.when(text.rlike(_NUMBER), let(text.try_cast("double"), from_unix)).otherwise(dated)
+
+    return let(strip(value.cast("string")), one)
 
 
 def _shift(ts: Column, seconds: Column) -> Column:

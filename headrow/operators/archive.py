@@ -14,40 +14,94 @@ from headrow.functions.urls import canonicalize_url
 from headrow.plans.lineage import cut
 
 
-def _tokens(rows: DataFrame) -> DataFrame:
-    """Add token, the final identity key of each row's item, by windows over p and then u only.
+_BLOCK_BITS = 30  # of obs_seq below a block: rows of one URL are sorted block by block, not as a whole
+
+
+def _tokens(rows: DataFrame, ids: DataFrame | None, urls: DataFrame | None, block_bits: int) -> tuple[DataFrame, DataFrame | None]:
+    """(rows with token, the final identity key of each row's item, and known, the id that item had before; items taken over).
 
     fp: the first row of an id. fup: the first row of an id at a URL. Between two fp rows of a URL lies a segment,
-    in which at most one item without id lives; the fp row that ends the segment takes that item over. Rows of an id already seen at
-    their URL decide nothing for others and go around the URL window.
+    in which at most one item without id lives; the fp row that ends the segment takes that item over. Rows with an id have it as token; only
+    rows without one, and the fup rows (found by an aggregate), go through the windows of their URL.
+
+    No window holds all rows of a URL: the windows run inside blocks of obs_seq, and what a block needs of those before it (ids seen, the item that
+    lives) and behind it (the next fp row) comes from windows over one row a block.
+
+    ids: (p, item_id) and urls: (u, dp, firstp, live) are the state that earlier rows left; see seed_state().
     """
-    with_id, without = rows.where("p is not null"), rows.where("p is null")
-    first = Window.partitionBy("p").orderBy("obs_seq")
-    first_here = Window.partitionBy("p", "u").orderBy("obs_seq")
-    with_id = with_id.withColumn("fp", F.row_number().over(first) == 1).withColumn("fup", F.row_number().over(first_here) == 1)
-    plain = with_id.where("not fup").withColumn("token", F.col("p")).drop("fp", "fup")
-    told = with_id.where("fup").unionByName(without.withColumn("fp", F.lit(False)).withColumn("fup", F.lit(False)))
-    at_url = Window.partitionBy("u").orderBy("obs_seq").rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy("u").orderBy("obs_seq").rowsBetween(Window.unboundedPreceding, -1)
-    told = (
-        told.withColumn("seg", F.sum(F.col("fp").cast("int")).over(at_url) - F.col("fp").cast("int"))
-        .withColumn("dp", F.coalesce(F.sum(F.col("fup").cast("int")).over(before), F.lit(0)))
-        .withColumn("firstp", F.first("p", ignorenulls=True).over(at_url))
+    flag = lambda c: F.col(c).cast("int")
+    firsts = rows.where("p is not null").groupBy("p", "u").agg(F.min("obs_seq").alias("obs_seq"))
+    starts = firsts.groupBy("p").agg(F.min("obs_seq").alias("start"))
+    starts = starts.join(ids.select("p", F.col("item_id").alias("known")), "p", "left") if ids else starts.withColumn("known", F.lit(None).cast("long"))
+    firsts = firsts.join(starts, "p").select("u", "obs_seq", "p", ((F.col("obs_seq") == F.col("start")) & F.col("known").isNull()).alias("fp"), F.lit(True).alias("fup"))
+    bare = rows.where("p is null").select("u", "obs_seq", "p", F.lit(False).alias("fp"), F.lit(False).alias("fup"))
+    events = firsts.unionByName(bare).withColumn("block", F.shiftright("obs_seq", block_bits))
+    if urls:
+        seed = urls.select("u", F.col("dp").alias("s_dp"), F.col("firstp").alias("s_firstp"), F.col("live").alias("s_live"))
+        events = events.join(seed, "u", "left").fillna(0, ["s_dp"]).withColumn("fup", F.col("fup") & ~F.coalesce(F.col("p") == F.col("s_firstp"), F.lit(False)))
+    else:
+        events = events.select("*", F.lit(0).alias("s_dp"), F.lit(None).cast("string").alias("s_firstp"), F.lit(None).cast("long").alias("s_live"))
+
+    inside = Window.partitionBy("u", "block").orderBy("obs_seq")
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    events = cut(
+        events.withColumn("lseg", F.sum(flag("fp")).over(upto) - flag("fp"))
+        .withColumn("ldp", F.coalesce(F.sum(flag("fup")).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        .withColumn("lfirstp", F.first("p", ignorenulls=True).over(upto))
+    )
+
+    blocks = Window.partitionBy("u").orderBy("block")
+    before, behind = blocks.rowsBetween(Window.unboundedPreceding, -1), blocks.rowsBetween(1, Window.unboundedFollowing)
+    sums = events.groupBy("u", "block").agg(
+        F.sum(flag("fp")).alias("n_fp"), F.sum(flag("fup")).alias("n_fup"), F.min_by("p", F.when(F.col("p").isNotNull(), F.col("obs_seq"))).alias("p1"),
+        F.min_by("p", F.when(F.col("fp"), F.col("obs_seq"))).alias("fp1"), F.min("s_dp").alias("s_dp"), F.min("s_firstp").alias("s_firstp"), F.min("s_live").alias("s_live"),
+    )
+    carried = cut(
+        sums.select(
+            "u", "block", "n_fp", F.coalesce(F.sum("n_fp").over(before), F.lit(0)).alias("c_fp"), (F.col("s_dp") + F.coalesce(F.sum("n_fup").over(before), F.lit(0))).alias("c_dp"),
+            F.coalesce("s_firstp", F.first("p1", ignorenulls=True).over(before)).alias("c_firstp"), F.first("fp1", ignorenulls=True).over(behind).alias("next_fp"), "s_live",
+        )
+    )
+    events = events.drop("s_dp", "s_firstp", "s_live").join(carried, ["u", "block"])
+    makes = F.col("p").isNull() & (F.col("c_dp") + F.col("ldp") != 1)  # an item of its own, unless one lives
+    # whether an item lives at the end of each block, and so at the beginning of the next
+    tails = events.groupBy("u", "block").agg(
+        F.coalesce(F.bool_or(F.when(F.col("lseg") == F.col("n_fp"), makes)), F.lit(False)).alias("tail"), F.min(F.col("c_fp") + F.col("n_fp")).alias("seg"), F.min("s_live").alias("s_live")
     )
-    in_seg = Window.partitionBy("u", "seg")
-    run = in_seg.orderBy("obs_seq").rowsBetween(Window.unboundedPreceding, 0)
-    told = told.withColumn("gen", F.max((F.col("p").isNull() & (F.col("dp") != 1)).cast("int")).over(run)).withColumn(
-        "segp", F.max(F.when(F.col("fp"), F.col("p"))).over(in_seg)
+    lives = F.bool_or("tail").over(Window.partitionBy("u", "seg").orderBy("block").rowsBetween(Window.unboundedPreceding, 0))
+    tails = tails.withColumn("alive", lives | ((F.col("seg") == 0) & F.col("s_live").isNotNull()))
+    tails = tails.select("u", "block", F.coalesce(F.lag("alive").over(blocks), F.col("s_live").isNotNull()).alias("c_alive"))
+    piece = Window.partitionBy("u", "block", "lseg")
+    events = events.join(tails, ["u", "block"])
+    alive = F.coalesce(F.bool_or(makes).over(piece.orderBy("obs_seq").rowsBetween(Window.unboundedPreceding, 0)), F.lit(False)) | ((F.col("lseg") == 0) & F.col("c_alive"))
+    ended = F.max(F.when(F.col("fp"), F.col("p"))).over(piece)
+    events = events.select(
+        "u", "obs_seq", "p", "fp", "s_live", (F.col("c_fp") + F.col("lseg")).alias("seg"), alive.alias("gen"), F.when(F.col("lseg") < F.col("n_fp"), ended).otherwise(F.col("next_fp")).alias("segp"),
+        F.coalesce("c_firstp", "lfirstp").alias("firstp"),
+    )
+    old = (F.col("seg") == 0) & F.col("s_live").isNotNull()
+    told = events.where("p is null").select(
+        "obs_seq", F.when(F.col("gen"), F.coalesce("segp", "u")).otherwise(F.col("firstp")).alias("token"), F.when(F.col("gen") & old, F.col("s_live")).alias("known")
     )
-    token = F.coalesce("p", F.when(F.col("gen") == 1, F.coalesce("segp", "u")).otherwise(F.col("firstp")))
-    return told.withColumn("token", token).drop("fp", "fup", "seg", "dp", "firstp", "gen", "segp").unionByName(plain)
+    out = rows.where("p is null").join(told, "obs_seq").unionByName(rows.where("p is not null").select("*", F.col("p").alias("token"), F.lit(None).cast("long").alias("known")))
+    if not (ids and urls):
+        return out, None
+    taken = events.where(F.col("fp") & old).select(F.col("s_live").alias("item_id"), F.col("p").alias("token"))
+    had = ids.select(F.col("p").alias("token"), F.col("item_id").alias("had")).unionByName(taken.select("token", F.col("item_id").alias("had")))
+    return out.join(had, "token", "left").withColumn("known", F.coalesce("known", "had")).drop("had"), taken
 
 
-def resolve_items(accepted: DataFrame) -> DataFrame:
-    """Add token (the item's final identity key), item_id, title_hash and rep (the row that writes for its run and item)."""
-    known = _tokens(accepted).withColumn("item_id", F.min("obs_seq").over(Window.partitionBy("token")))
+def _numbered(known: DataFrame) -> DataFrame:
+    """Rows of _tokens() with item_id, title_hash and rep. A run has few rows of an item, so the window over (item, run) is small."""
+    items = known.groupBy("token").agg(F.min(F.coalesce("known", "obs_seq")).alias("item_id"))
     order = Window.partitionBy("item_id", "run_id").orderBy("obs_seq")
-    return known.withColumn("rep", F.row_number().over(order) == 1).withColumn("title_hash", title_hash(F.col("title")))
+    numbered = known.drop("known").join(items, "token").withColumn("rep", F.row_number().over(order) == 1)
+    return numbered.withColumn("title_hash", title_hash(F.col("title")))
+
+
+def resolve_items(accepted: DataFrame, block_bits: int = _BLOCK_BITS) -> DataFrame:
+    """Add token (the item's final identity key), item_id, title_hash and rep (the row that writes for its run and item)."""
+    return _numbered(_tokens(accepted, None, None, block_bits)[0])
 
 
 def collapse_run(resolved: DataFrame) -> DataFrame:
@@ -109,30 +163,31 @@ def build_versions(resolved: DataFrame) -> DataFrame:
     )
 
 
+def _novelty(resolved: DataFrame) -> DataFrame:
+    """Rows that write with version_id, and whether they are the first of their item (inew), item and source (onew), or version (vnew)."""
+    if "version_id" in resolved.columns:
+        return collapse_run(resolved)
+    reps = collapse_run(resolved)
+    versions = reps.groupBy("item_id", "title_hash").agg(F.min("obs_seq").alias("version_id"))
+    sources = reps.groupBy("item_id", "source_id").agg(F.min("obs_seq").alias("seen_first"))
+    new = reps.join(versions, ["item_id", "title_hash"]).join(sources, ["item_id", "source_id"])
+    at = F.col("obs_seq")
+    return new.select(
+        *reps.columns, "version_id", (at == F.col("item_id")).alias("inew"), (at == F.col("seen_first")).alias("onew"), (at == F.col("version_id")).alias("vnew")
+    )
+
+
 def build_snapshots(resolved: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Snapshots of live runs (snapshot_id is the run's id) and their entries, each pinned to its title version."""
     live = collapse_run(resolved).where("run_kind = 'live'")
     snapshots = live.groupBy("run_id").agg(F.min("source_id").alias("source_id"), F.max("seen_at").alias("observed_at"))
-    versions = build_versions(resolved).select("item_id", "title_hash", F.col("version_id").alias("item_version_id"))
-    entries = live.join(versions, ["item_id", "title_hash"]).select(
-        F.col("run_id").alias("snapshot_id"), "item_id", "position", "item_version_id", strip(F.col("url")).alias("original_url"),
+    entries = _novelty(resolved).where("run_kind = 'live'").select(
+        F.col("run_id").alias("snapshot_id"), "item_id", "position", F.col("version_id").alias("item_version_id"), strip(F.col("url")).alias("original_url"),
         canonicalize_url(F.col("url")).alias("canonical_url"), "metrics",
     )
     return snapshots.select(F.col("run_id").alias("snapshot_id"), F.col("run_id").alias("fetch_run_id"), "source_id", "observed_at"), entries
 
 
-def _novelty(resolved: DataFrame) -> DataFrame:
-    reps = collapse_run(resolved)
-    nth = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy("obs_seq"))
-    version = F.min("obs_seq").over(Window.partitionBy("item_id", "title_hash"))
-    return (
-        reps.withColumn("version_id", version)
-        .withColumn("inew", F.col("obs_seq") == F.col("item_id"))
-        .withColumn("onew", nth("item_id", "source_id") == 1)
-        .withColumn("vnew", F.col("obs_seq") == F.col("version_id"))
-    )
-
-
 def build_change_log(resolved: DataFrame) -> DataFrame:
     """(seq, event_type, source_id, item_id, item_version_id, created_at); seq is 2 * obs_seq, plus 1 for a version's event."""
     new = _novelty(resolved)
@@ -158,8 +213,10 @@ def run_summary(resolved: DataFrame, outcome: DataFrame) -> DataFrame:
 
 
 def build_archive(accepted: DataFrame) -> dict[str, DataFrame]:
-    """All tables from one pass of resolution, whose result is written once."""
+    """All tables from one pass of resolution, whose result is written once, with what is new in each row that writes."""
     resolved = cut(resolve_items(accepted))
+    new = _novelty(resolved).select("obs_seq", "version_id", "inew", "onew", "vnew")
+    resolved = cut(resolved.join(new, "obs_seq", "left"))
     snapshots, entries = build_snapshots(resolved)
     return {
         "resolved": resolved, "items": build_items(resolved), "item_url_identities": build_aliases(resolved),
@@ -168,24 +225,34 @@ def build_archive(accepted: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def apply_increment(resolved: DataFrame, accepted: DataFrame) -> DataFrame:
-    """Resolved rows after later runs: old rows that share a key with new ones are resolved again with them, the rest stay.
+def seed_state(resolved: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What resolved rows leave for later ones: (p, item_id) of each id, and of each URL (u, dp, firstp, live).
+
+    dp: how many ids were seen there, 2 standing for more; firstp: the first of them; live: the item without an id that a later row may join or
+    take over, or null.
+    """
+    ids = resolved.where("p is not null").groupBy("p").agg(F.min("item_id").alias("item_id"))
+    pairs = resolved.where("p is not null").groupBy("u", "p").agg(F.min("obs_seq").alias("o"))
+    seen = pairs.groupBy("u").agg(F.least(F.lit(2), F.count(F.lit(1))).cast("int").alias("dp"), F.min_by("p", "o").alias("firstp"))
+    live = resolved.where("p is null and token = u").groupBy("u").agg(F.min("item_id").alias("live"))
+    return ids, seen.join(live, "u", "full").fillna(0, ["dp"])
+
+
+def resolve_increment(ids: DataFrame, urls: DataFrame, accepted: DataFrame, block_bits: int = _BLOCK_BITS) -> tuple[DataFrame, DataFrame]:
+    """Rows of later runs, resolved against the state of earlier ones: (rows as of resolve_items(), (item_id, token) of items that got an id).
 
-    resolved: result of resolve_items() or of this function; accepted: rows of later runs (any seen_at). Keys spread
-    over items, so the touched items are those reached from the new rows' p or u, and from there over the items' own keys
-    until nothing is added.
+    accepted has whole runs whose obs_seq stand behind all earlier ones, with any seen_at. Only the state of their own keys is read.
     """
-    columns = accepted.columns
-    keys = resolved.select("item_id", F.explode(F.array_compact(F.array("p", "u"))).alias("key")).distinct()
-    reached = cut(accepted.select(F.explode(F.array_compact(F.array("p", "u"))).alias("key")).distinct())
-    touched = cut(keys.join(reached, "key", "left_semi").select("item_id").distinct())
-    n = touched.count()
-    while True:
-        more = keys.join(touched, "item_id", "left_semi").select("key").distinct()
-        touched = cut(keys.join(more, "key", "left_semi").select("item_id").distinct())
-        m = touched.count()
-        if m == n:
-            break
-        n = m
-    again = resolved.join(touched, "item_id", "left_semi").select(*columns).unionByName(accepted.select(*columns))
-    return resolved.join(touched, "item_id", "left_anti").unionByName(resolve_items(again).select(*resolved.columns))
+    rows = cut(accepted)
+    urls = cut(urls.join(rows.select("u").distinct(), "u", "left_semi"))
+    named = rows.select("p").unionByName(urls.select(F.col("firstp").alias("p"))).where("p is not null").distinct()
+    ids = cut(ids.join(named, "p", "left_semi"))
+    known, taken = _tokens(rows, ids, urls, block_bits)
+    return _numbered(known), taken
+
+
+def apply_increment(resolved: DataFrame, accepted: DataFrame, block_bits: int = _BLOCK_BITS) -> DataFrame:
+    """Resolved rows after later runs: the new rows by resolve_increment(), and the old ones with the ids that their items got."""
+    rows, taken = resolve_increment(*seed_state(resolved), accepted, block_bits)
+    old = resolved.join(taken.withColumnRenamed("token", "__token"), "item_id", "left").withColumn("token", F.coalesce("__token", "token"))
+    return old.select(*resolved.columns).unionByName(rows.select(*resolved.columns))

@@ -51,14 +51,13 @@ def cluster_representative(clustered: DataFrame, order: str = "observed") -> Dat
 
 
 def headline_groups(clustered: DataFrame, order: str = "observed") -> DataFrame:
-    """Representatives with all appearances of their clusters, newest first (undated ones last)."""
-    time = F.unix_micros(_chronology(order).cast("timestamp"))
-    sort_key = [time.isNull().alias("undated"), (-time).alias("newest"), F.col("source_name"), F.coalesce("position", F.lit(0)).alias("place"), F.col("item_id")]
-    seen = F.array_sort(F.collect_list(F.struct(*sort_key, F.col("source_id"), F.col("title"))))
-    all_ = clustered.groupBy("cluster_id").agg(seen.alias("a")).select(
-        "cluster_id", F.transform("a", lambda x: F.struct(x["source_id"].alias("source_id"), x["item_id"].alias("item_id"), x["title"].alias("title"))).alias("appearances")
-    )
-    return cluster_representative(clustered, order).join(all_, "cluster_id")
+    """All appearances of each cluster, a row each, with their place in it (from 1, undated ones last) and the time of its representative.
+
+    The row at place 1 represents its cluster; by publication, clusters without a dated row are left out. Groups sort newest first by group_time.
+    """
+    nth = F.row_number().over(Window.partitionBy("cluster_id").orderBy(*_order(order)))
+    times = clustered.groupBy("cluster_id").agg(F.max(_chronology(order)).alias("group_time")).where("group_time is not null")
+    return clustered.withColumn("place", nth.cast("long")).join(times, "cluster_id")
 
 
 def headline_feed(clustered: DataFrame, order: str = "observed") -> DataFrame:

@@ -12,6 +12,7 @@ from headrow.functions.times import later
 from headrow.functions.urls import safe_headers, upstream_host
 
 BASE_DELAY, MAX_DELAY = 30, 1800
+DONE = ("success", "not_modified")
 
 
 def retry_delay(failures_before: Column, base: int = BASE_DELAY, most: int = MAX_DELAY) -> Column:
@@ -32,16 +33,17 @@ def recover_abandoned(runs: DataFrame, now: Column) -> DataFrame:
 def fold_stream_state(runs: DataFrame, sources: DataFrame) -> DataFrame:
     """State of each source with live runs: last attempt and success, failures since then, next run.
 
-    Two aggregates, no window over a source's log: the last success by run, then failures behind it. A failed source
-    is tried again after retry_delay(), one whose last run was abandoned at once, others after their interval.
+    Two aggregates, no window over a source's log: the last success by run, then failures behind it. The newest finished run decides
+    when the next is due: a failed source is tried again after retry_delay(), one whose last run was abandoned at once, others after
+    their interval. A run that is still running only counts as an attempt.
     """
     live = runs.where("run_kind = 'live'")
-    done = F.col("status").isin("success", "not_modified")
+    done, finished = F.col("status").isin(*DONE), F.col("status").isin(*DONE, "failed")
     last = live.groupBy("source_id").agg(
         F.max("started_at").alias("last_attempt_at"),
         F.max_by("finished_at", F.when(done, F.col("run_id"))).alias("last_success_at"),
         F.coalesce(F.max(F.when(done, F.col("run_id"))), F.lit(-1)).alias("ok_run"),
-        F.max_by(F.struct("status", "finished_at", "error_type"), F.col("run_id")).alias("newest"),
+        F.max_by(F.struct("status", "finished_at", "error_type"), F.when(finished, F.col("run_id"))).alias("newest"),
     )
     after = live.join(last.select("source_id", "ok_run"), "source_id").where("run_id > ok_run")
     failures = after.groupBy("source_id").agg(F.count_if(F.col("status") == "failed").alias("consecutive_failures"))
@@ -61,23 +63,40 @@ def due_sources(sources: DataFrame, states: DataFrame, now: Column) -> DataFrame
     return sources.where("enabled").join(known, "source_id", "left").where(F.col("next_run_at").isNull() | (F.col("next_run_at") <= now)).select("source_id", "next_run_at")
 
 
-def validator_state(runs: DataFrame) -> DataFrame:
+def validator_state(runs: DataFrame, block_bits: int = 12) -> DataFrame:
     """Per live success: etag, last_modified and request_identity as stored after it, and identity_error.
 
     A full response replaces the stored values, with null too; one that wasn't modified keeps those it leaves out. A
-    not-modified run whose identity isn't the stored one is an error. The log of a source is cut into segments, each
-    led by a full response, so that windows stay inside a segment.
+    not-modified run whose identity isn't the stored one is an error. No window holds the whole log of a source: windows run inside blocks of
+    2 ** block_bits run ids, and what a block has to know of those before it comes from windows over one row a block.
     """
-    ok = runs.where("run_kind = 'live' and status in ('success', 'not_modified')")
-    order = Window.partitionBy("source_id").orderBy("run_id")
-    full = (F.col("status") == "success").cast("int")
-    seg = ok.withColumn("seg", F.sum(full).over(order)).withColumn("stored_identity", F.lag("request_identity").over(order))
-    run = Window.partitionBy("source_id", "seg").orderBy("run_id").rowsBetween(Window.unboundedPreceding, 0)
-    error = (F.col("status") == "not_modified") & ~F.col("stored_identity").eqNullSafe(F.col("request_identity"))
-    return seg.select(
-        "run_id", "source_id", "status", F.last("response_etag", ignorenulls=True).over(run).alias("etag"),
-        F.last("response_last_modified", ignorenulls=True).over(run).alias("last_modified"), "request_identity", error.alias("identity_error"),
-    )
+    ok = runs.where("run_kind = 'live' and status in ('success', 'not_modified')").withColumn("block", F.shiftright("run_id", block_bits))
+    kept = {"etag": "response_etag", "last_modified": "response_last_modified"}
+    full = F.col("status") == "success"
+    order = Window.partitionBy("source_id", "block").orderBy("run_id")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    rows = ok.withColumn("seg", F.count_if(full).over(upto)).withColumn("nth", F.row_number().over(order)).withColumn("before", F.lag("request_identity").over(order))
+    rows = rows.withColumn("n_full", F.count_if(full).over(Window.partitionBy("source_id", "block")))
+    piece = Window.partitionBy("source_id", "block", "seg").orderBy("run_id").rowsBetween(Window.unboundedPreceding, 0)
+    for name, column in kept.items():
+        rows = rows.withColumn("l_" + name, F.last(column, ignorenulls=True).over(piece))
+
+    open_ = F.col("seg") == F.col("n_full")  # behind the block's last full response
+    ends = rows.groupBy("source_id", "block").agg(
+        F.max("n_full").alias("n_full"), F.max_by("request_identity", "run_id").alias("identity"), *(F.max_by("l_" + n, F.when(open_, F.col("run_id"))).alias(n) for n in kept)
+    )
+    blocks = Window.partitionBy("source_id").orderBy("block")
+    ends = ends.withColumn("era", F.count_if(F.col("n_full") > 0).over(blocks.rowsBetween(Window.unboundedPreceding, 0)))
+    era = Window.partitionBy("source_id", "era").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
+    for name in kept:
+        ends = ends.withColumn(name, F.last(name, ignorenulls=True).over(era))
+    carried = ends.select("source_id", "block", *(F.lag(n).over(blocks).alias("c_" + n) for n in ("identity", *kept)))
+
+    rows = rows.join(carried, ["source_id", "block"])
+    stored = F.when(F.col("nth") > 1, F.col("before")).otherwise(F.col("c_identity"))
+    error = (F.col("status") == "not_modified") & ~stored.eqNullSafe(F.col("request_identity"))
+    now = [F.coalesce("l_" + n, F.when(F.col("seg") == 0, F.col("c_" + n))).alias(n) for n in kept]
+    return rows.select("run_id", "source_id", "status", *now, "request_identity", error.alias("identity_error"))
 
 
 def classify_response(http_status: Column, network_error: Column, parsed_ok: Column, candidates: Column, accepted: Column, allow_empty: Column, configured: Column) -> Column:
@@ -97,14 +116,11 @@ def classify_response(http_status: Column, network_error: Column, parsed_ok: Col
 
 
 def response_evidence(responses: DataFrame) -> DataFrame:
-    """Per source: its responses in order, with status, content type, bytes and safe headers."""
-    one = F.struct(
-        "response_no", "status_code", F.element_at("headers", "content-type").alias("content_type"),
-        F.octet_length("content").alias("byte_count"), safe_headers(F.col("headers")).alias("headers"),
+    """A row for each response of a source, with its number: status, content type, bytes, safe headers and the host that answered."""
+    return responses.select(
+        "source_id", "response_no", "status_code", F.element_at("headers", "content-type").alias("content_type"),
+        F.octet_length("content").cast("long").alias("byte_count"), safe_headers(F.col("headers")).alias("headers"), upstream_host(F.col("url")).alias("upstream_host"),
     )
-    return responses.groupBy("source_id").agg(
-        F.array_sort(F.collect_list(one), lambda a, b: (a["response_no"] - b["response_no"]).cast("int")).alias("responses"), upstream_host(F.max_by("url", "response_no")).alias("upstream_host")
-    )
 
 
 def diagnose(sources: DataFrame, captured: DataFrame, outcome: DataFrame, states: DataFrame, last_change: DataFrame) -> DataFrame:

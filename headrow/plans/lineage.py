@@ -6,17 +6,21 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
-_collectors: list[list[str]] = []
+_collectors: ContextVar[tuple[list[str], ...]] = ContextVar("collectors", default=())  # each thread has its own
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one is chosen only where the setting is absent (tests)."""
+    """The folder named by spark.checkpoint.dir. Where it is unset, a temporary one in local mode, as in tests; an error on a cluster."""
     found = spark.conf.get(_SETTING, None) or spark.sparkContext.getConf().get(_SETTING, None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError(f"{_SETTING} has to name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-headrow-")
         spark.conf.set(_SETTING, found)
     return found.rstrip("/")
@@ -33,7 +37,7 @@ def cut(df: DataFrame, *partition_by: str) -> DataFrame:
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    for paths in _collectors:
+    for paths in _collectors.get():
         paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -41,11 +45,11 @@ def cut(df: DataFrame, *partition_by: str) -> DataFrame:
 @contextmanager
 def collecting(paths: list[str]) -> Iterator[None]:
     """Note the paths of the tables that cut() writes inside the block."""
-    _collectors.append(paths)
+    before = _collectors.set((*_collectors.get(), paths))
     try:
         yield
     finally:
-        _collectors.pop()
+        _collectors.reset(before)
 
 
 def discard(spark: SparkSession, paths: list[str]) -> None:

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import BinaryType
 
 from headrow.functions import checks, text, times, urls
 from headrow.operators import archive as arc, browse, catalog, changes, cluster, health, validate as val
 from headrow.plans import views
+from headrow.plans.lineage import cut, shared_dir
 from headrow.plans.views import duck, view
-from headrow.sources import candidates as cand, payloads as pay
+from headrow.sources import archive_tables as tables, candidates as cand, payloads as pay
+from headrow.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -164,10 +169,10 @@ def c3_c4_title_hash(spark, d):
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", text.title_hash(t).alias("title_hash"), F.length(text.normalize_title(t)).cast("long").alias("n_chars"))
 
 
-@query(f"SELECT doc_id, 'title:' || lang || ':' || source || ':' || replace(lower({_title('text')}), 'ß', 'ss') AS cluster_key FROM documents WHERE length(text) < 200")
+@query(f"SELECT doc_id, CASE WHEN {_title('coalesce(text, chr(32))')} = '' THEN '' ELSE 'title:' || lang || ':' || source || ':' || replace(lower({_title('text')}), 'ß', 'ss') END AS cluster_key FROM documents")
 def c5_title_cluster_key(spark, d):
-    short = spark.read.parquet(f"{d}/documents.parquet").where("length(text) < 200")
-    return short.select("doc_id", text.title_cluster_key(F.col("text"), F.col("lang"), F.col("source")).alias("cluster_key"))
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    return docs.select("doc_id", text.title_cluster_key(F.col("text"), F.col("lang"), F.col("source")).alias("cluster_key"))
 
 
 @query(_sql(_C, select="""SELECT obs_seq, regexp_matches(url, '^[hH][tT][tT][pP][sS]?://[^/?#]+') AS ok, regexp_extract(lower(url), '://(?:[^/?#]*@)?([^/?#:@]*)', 1) AS host,
@@ -263,42 +268,46 @@ def b8_b9_json_scalars(spark, d):
     )
 
 
-@query(r"""SELECT doc_id, trim(split_part(substr(text, 1, 60), ' ', 1)) AS head, regexp_extract('https://x.example/a/' || doc_id || '.html?p=1', '/a/(\d+)', 1) AS id,
-  'https://x.example/' || doc_id || '/v' AS url, CASE WHEN doc_id % 3 = 0 THEN 'T ' || doc_id ELSE trim(regexp_replace(substr(text, 1, 20), '\s+$', '')) END AS title, 'Flash ' || doc_id AS flash FROM documents WHERE length(text) >= 20""")
+@query(r"""SELECT doc_id, CASE WHEN text IS NULL THEN '' ELSE trim(split_part(split_part(text, ' ', 1), '"', 1), chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') END AS head,
+  CASE WHEN doc_id % 3 = 0 THEN 'T ' || doc_id WHEN line = '' THEN 'Document ' || doc_id ELSE line END AS title,
+  CASE WHEN doc_id % 2 = 0 THEN line ELSE trim(coalesce(text, ''), chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') END AS flash
+  FROM (SELECT doc_id, text, trim(split_part(coalesce(text, ''), chr(10), 1), chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS line FROM documents)""")
 def b10_b14_projections(spark, d):
-    docs = spark.read.parquet(f"{d}/documents.parquet").where("length(text) >= 20")
-    i = F.col("doc_id").cast("string")
-    first = F.substring_index(F.substring("text", 1, 60), " ", 1)
-    return docs.select(
-        "doc_id", text.cut_at_quote(F.concat(first, F.lit(' " target='))).alias("head"),
-        urls.id_from_path(F.concat(F.lit("https://x.example/a/"), i, F.lit(".html?p=1")), r"/a/(\d+)").alias("id"),
-        urls.url_template("https://x.example/{id}/v", F.col("doc_id")).alias("url"),
-        text.title_fallback(F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(" T "), i)), F.lit("  "), F.substring("text", 1, 20)).alias("title"),
-        text.headline_from_flash(F.concat(F.lit("<b>【Flash "), i, F.lit("】</b> rest"))).alias("flash"),
+    """The projections of every document, from its whole first word, line and text."""
+    i, whole, line = F.col("doc_id").cast("string"), F.coalesce("text", F.lit("")), F.substring_index(F.coalesce("text", F.lit("")), "\n", 1)
+    flash = F.when((F.col("doc_id") % 2 == 0) & (text.strip(line) != ""), F.concat(F.lit("<b>【"), text.strip(line), F.lit("】</b> "), whole)).when(F.col("doc_id") % 2 == 0, line).otherwise(F.concat(F.lit("<b>"), whole, F.lit("</b>")))
+    return spark.read.parquet(f"{d}/documents.parquet").select(
+        "doc_id", text.cut_at_quote(F.concat(F.substring_index(whole, " ", 1), F.lit(' " target='))).alias("head"),
+        text.title_fallback(F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(" T "), i)), line, F.concat(F.lit("Document "), i)).alias("title"),
+        text.headline_from_flash(flash).alias("flash"),
     )
 
 
-@query(r"""SELECT doc_id, CASE WHEN text IS NULL THEN '' ELSE trim(split_part(split_part(text, ' ', 1), '"', 1), chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') END AS head, regexp_extract('https://x.example/a/' || doc_id || '.html?p=1', '/a/(\d+)', 1) AS id,
-  'https://x.example/' || doc_id || '/v' AS url, CASE WHEN doc_id % 3 = 0 THEN 'T ' || doc_id WHEN line = '' THEN 'Document ' || doc_id ELSE line END AS title, 'Flash ' || doc_id AS flash
-  FROM (SELECT doc_id, text, trim(split_part(coalesce(text, ''), chr(10), 1), chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS line FROM documents)""")
-def b10_b14_projections_whole(spark, d):
-    """The projections of every document, from its whole first word and line; b10_b14_projections has none under 20 characters."""
-    i, whole = F.col("doc_id").cast("string"), F.coalesce("text", F.lit(""))
-    return spark.read.parquet(f"{d}/documents.parquet").select(
-        "doc_id", text.cut_at_quote(F.concat(F.substring_index(whole, " ", 1), F.lit(' " target='))).alias("head"),
-        urls.id_from_path(F.concat(F.lit("https://x.example/a/"), i, F.lit(".html?p=1")), r"/a/(\d+)").alias("id"),
-        urls.url_template("https://x.example/{id}/v", F.col("doc_id")).alias("url"),
-        text.title_fallback(F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(" T "), i)), F.substring_index("text", "\n", 1), F.concat(F.lit("Document "), i)).alias("title"),
-        text.headline_from_flash(F.concat(F.lit("<b>【Flash "), i, F.lit("】</b> rest"))).alias("flash"),
+@query(r"""SELECT page_id, regexp_extract(url, '://[^/?#]*/[a-z]+/([0-9]+)', 1) AS id, 'https://x.example/' || page_id || '/v' AS filled,
+  regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || '/a/b%20c' AS rooted, regexp_replace(regexp_extract(url, '^([^?#]*)', 1), '[^/]*$', '') || 'next?p=2' AS beside,
+  array_to_string(list_transform(string_split(regexp_extract(html, '<title>([^<]*)</title>', 1), ''), lambda c: CASE WHEN regexp_matches(c, '[A-Za-z0-9_.~-]') THEN c
+    ELSE regexp_replace(hex(encode(c)), '(..)', '%\1', 'g') END), '') AS quoted FROM pages""")
+def b13_b14_page_urls(spark, d):
+    """Templates, links resolved against each page's URL, ids from its path, and its title as a query word."""
+    url = F.col("url")
+    return spark.read.parquet(f"{d}/pages.parquet").select(
+        "page_id", urls.id_from_path(url, r"^/[a-z]+/(\d+)").alias("id"), urls.url_template("https://x.example/{id}/v", F.col("page_id")).alias("filled"),
+        urls.absolute_url(url, F.lit("/a/b%20c")).alias("rooted"), urls.absolute_url(url, F.lit("next?p=2")).alias("beside"),
+        urls.quote_component(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("quoted"),
     )
 
 
 # ---- D: validation
 
 
-@query(_sql(_V, select="SELECT obs_seq, reason FROM v"))
+@query(_sql(_V, select="""SELECT obs_seq, reason, CASE WHEN reason IN ('empty_title', 'title_too_long', 'invalid_url') THEN reason WHEN obs_seq % 6 IN (1, 2, 3) OR (obs_seq % 6 = 0 AND obs_seq % 4 < 1) THEN 'invalid_position'
+  WHEN reason = 'published_at_too_far_in_future' THEN reason END AS raw_reason FROM v"""))
 def d1_rejection_reason(spark, d):
-    return _validated(spark, d).select("obs_seq", "reason")
+    """Reasons with typed positions, and with positions as JSON gives them: integers, booleans, fractions, texts, nulls."""
+    i = F.col("obs_seq")
+    said = F.when(i % 6 == 0, (i % 4).cast("string")).when(i % 6 == 1, "true").when(i % 6 == 2, "1.5").when(i % 6 == 3, '"1"').when(i % 6 == 4, "null")
+    raw = val.rejection_reason(F.col("seen_at"), raw_position=F.parse_json(said))
+    return _validated(spark, d).withColumn("raw_reason", raw).select("obs_seq", "reason", "raw_reason")
 
 
 _WALK = """s AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY obs_seq) AS rn FROM v WHERE reason IS NULL),
@@ -321,6 +330,22 @@ def d3_batch_outcome(spark, d):
     return val.batch_outcome(val.validate(_candidates(spark, d), F.col("seen_at")))
 
 
+_METRICS = """CASE WHEN obs_seq % 613 = 5 THEN '{"points":NaN}' WHEN obs_seq % 617 = 6 THEN '{"a":[1,{"b":-1e999}]}' WHEN obs_seq % 619 = 7 THEN '{"a":"1e999 \\\\" Infinity","b":1e30}'
+  WHEN obs_seq % 7 = 1 THEN NULL ELSE metrics END"""
+
+
+@query(_sql(_V, _WALK, select="""SELECT run_id, accepted, bad, CASE WHEN accepted = 0 OR bad > 0 THEN 0 ELSE accepted END AS stored, accepted = 0 OR bad > 0 AS failed FROM (
+  SELECT run_id, count(*) FILTER (verdict IS NULL) AS accepted, count(*) FILTER (verdict IS NULL AND (obs_seq % 613 = 5 OR obs_seq % 617 = 6)) AS bad FROM judged GROUP BY run_id)""", recursive=True))
+def c19_encode_metrics(spark, d):
+    """A run with metrics that aren't strict JSON of finite numbers fails as a whole and stores nothing."""
+    rows = val.validate(_candidates(spark, d), F.col("seen_at")).withColumn("metrics", F.expr(_METRICS))
+    outcome = val.batch_outcome(rows)
+    stored = val.storable(rows, outcome).groupBy("run_id").agg(F.count(F.lit(1)).alias("stored"))
+    bad = rows.where("reason is null").groupBy("run_id").agg(F.count_if(checks.encode_metrics(F.col("metrics")).isNull()).alias("bad"))
+    out = outcome.join(stored, "run_id", "left").join(bad, "run_id", "left").fillna(0, ["stored", "bad"])
+    return out.select("run_id", "accepted", "bad", "stored", "failed")
+
+
 def _history(spark, d):
     rows = _validated(spark, d).withColumn("page_no", F.floor(F.col("obs_seq") % 250 / 25))
     pages = rows.select("run_id", "page_no").distinct().withColumn("exhausted", (F.col("run_id") % 3 == 0) & (F.col("page_no") == 6))
@@ -358,7 +383,7 @@ def d4_history_outcome(spark, d):
 _BAD_SRC = """SELECT CASE WHEN event_id % 50 = 0 THEN 'Bad ' || event_id ELSE 's' || (event_id % 700) END AS source_id, 'p' || (user_id % 20) AS provider_id, 'P' || (user_id % 20) AS provider_name,
   CASE WHEN event_id % 900 = 1 THEN 'platform' ELSE 'publisher' END AS provider_kind, 'section' AS channel_role, 'latest' AS stream_kind, CASE WHEN event_id % 400 = 3 THEN 'entity' ELSE 'article' END AS item_kind,
   CASE WHEN event_id % 800 = 3 THEN 'game' END AS entity_kind, CASE WHEN event_id % 500 = 7 THEN 'slow' END AS item_variant, CASE WHEN event_id % 300 = 9 THEN 'english' ELSE 'en-GB' END AS language,
-  CASE WHEN event_id % 350 = 11 THEN 'gb' ELSE 'GB' END AS market, event_id % 450 AS interval_seconds, event_id % 600 AS max_items, event_id FROM {events} WHERE event_id < 2000"""
+  CASE WHEN event_id % 350 = 11 THEN 'gb' ELSE 'GB' END AS market, event_id % 450 AS interval_seconds, event_id % 600 AS max_items, event_id FROM {events}"""
 
 
 @query(_sql(f"s AS ({_BAD_SRC.format(events='events')})", select="""SELECT 'duplicate_source_id' AS rule, source_id AS subject FROM s GROUP BY source_id HAVING count(*) > 1
@@ -379,15 +404,6 @@ def _violations(s):
     return catalog.catalog_violations(s.withColumn("topics", topics).withColumn("surfaces", surfaces))
 
 
-_PART = " WHERE event_id < 2000"
-
-
-@query(ORACLE_SQL["d5_catalog_violations"].replace(_PART, ""))
-def d5_catalog_violations_whole(spark, d):
-    """The findings over every event; d5_catalog_violations checks a range of ids."""
-    return _violations(view(spark, d, _BAD_SRC.replace(_PART, "")))
-
-
 def _reconciled(spark, d):
     current = _sources(spark, d).where("source_id <> 'signup'").withColumn("updated_at", F.lit("2024-01-01"))
     incoming = _sources(spark, d).where("source_id in ('click', 'view', 'signup')").withColumn("channel_label", F.lit("New")).withColumn("surfaces", F.array(F.lit("discover")))
@@ -535,9 +551,9 @@ def f10_latest_fetch_runs(spark, d):
 _STATE_SQL = """live AS (SELECT * FROM runs WHERE run_kind = 'live'),
 ok AS (SELECT source_id, max(run_id) FILTER (status IN ('success', 'not_modified')) AS ok_run FROM live GROUP BY source_id),
 st AS (SELECT live.source_id, max(started_at) AS last_attempt_at, arg_max(finished_at, run_id) FILTER (status IN ('success', 'not_modified')) AS last_success_at,
-  count(*) FILTER (status = 'failed' AND run_id > coalesce(ok_run, -1)) AS consecutive_failures, arg_max(status, run_id) AS newest, arg_max_null(finished_at, run_id) AS ended, any_value(interval_seconds) AS iv
+  count(*) FILTER (status = 'failed' AND run_id > coalesce(ok_run, -1)) AS consecutive_failures, arg_max((status, finished_at, coalesce(error_type, '')), run_id) FILTER (status <> 'running') AS newest, any_value(interval_seconds) AS iv
   FROM live JOIN ok USING (source_id) JOIN src USING (source_id) GROUP BY live.source_id),
-states AS (SELECT source_id, CASE WHEN newest = 'failed' THEN ended + CAST(least(1800, 30 * pow(2, least(20, consecutive_failures - 1))) AS INT) * INTERVAL 1 SECOND ELSE ended + CAST(iv AS INT) * INTERVAL 1 SECOND END AS next_run_at,
+states AS (SELECT source_id, newest[2] + INTERVAL 1 SECOND * CAST(CASE WHEN newest[3] = 'AbandonedRun' THEN 0 WHEN newest[1] = 'failed' THEN least(1800, 30 * pow(2, least(20, consecutive_failures - 1))) ELSE iv END AS INT) AS next_run_at,
   last_attempt_at, last_success_at, consecutive_failures FROM st)"""
 
 
@@ -595,10 +611,10 @@ def g3_cluster_representative(spark, d):
     return cluster.cluster_representative(_clustered(spark, d), "published").select("cluster_id", "item_id")
 
 
-@query(_sql(_CLUST, select="SELECT cluster_id, array_to_string(list(item_id ORDER BY published_at DESC NULLS LAST, source_name, coalesce(position, 0), item_id), ',') AS items FROM cl GROUP BY cluster_id HAVING count(published_at) > 0", recursive=True))
+@query(_sql(_CLUST, select="""SELECT cluster_id, item_id, source_id, title, row_number() OVER (PARTITION BY cluster_id ORDER BY published_at DESC NULLS LAST, source_name, coalesce(position, 0), item_id) AS place,
+  max(published_at) OVER (PARTITION BY cluster_id) AS group_time FROM cl QUALIFY group_time IS NOT NULL""", recursive=True))
 def g4_headline_groups(spark, d):
-    groups = cluster.headline_groups(_clustered(spark, d), "published")
-    return groups.select("cluster_id", F.array_join(F.transform("appearances", lambda a: a["item_id"].cast("string")), ",").alias("items"))
+    return cluster.headline_groups(_clustered(spark, d), "published").select("cluster_id", "item_id", "source_id", "title", "place", "group_time")
 
 
 @query(_sql(_CLUST, select="""SELECT cluster_id, title, url, published_at, first_seen_at, source_name, n - 1 AS duplicate_count, CASE WHEN n = 1 THEN source_name ELSE source_name || ' (+' || (n - 1) || ')' END AS source_label
@@ -645,6 +661,56 @@ def h5_pending(spark, d):
     return changes.pending(a, _sources(spark, d), points, "reader")
 
 
+@query(_sql(_R, select="SELECT obs_seq, token, item_id, rep FROM r"))
+def h6_stream_archive(spark, d):
+    """The archive as a stream builds it: the candidates arrive in two files, in commit order, and are resolved batch by batch."""
+    root = f"{shared_dir(spark)}/headrow-{uuid.uuid4().hex}"
+    rows = cut(_validated(spark, d).where("reason is null"))
+    half = rows.agg(F.expr("percentile_approx(obs_seq, 0.6)")).first()[0]
+    half -= half % 250  # runs lie within 250 events
+    for part in (F.col("obs_seq") < half, F.col("obs_seq") >= half):
+        rows.where(part).coalesce(1).write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{root}/in")
+        jobs.stream_archive(stream, f"{root}/state", f"{root}/checkpoint").awaitTermination()
+    return jobs.latest_state(spark, f"{root}/state").select("obs_seq", "token", "item_id", "rep")
+
+
+@query(_sql(_RUNS, _SRC, _STATE_SQL, select="SELECT source_id, next_run_at, last_attempt_at, last_success_at, consecutive_failures FROM states"))
+def h7_stream_source_state(spark, d):
+    """Source states as a stream keeps them; the odd runs come a batch later than the even ones. The last row of each source counts."""
+    root = f"{shared_dir(spark)}/headrow-{uuid.uuid4().hex}"
+    runs, kinds = _runs(spark, d), ["next_run_at", "last_attempt_at", "last_success_at"]
+
+    def keep(batch, number):
+        batch.write.mode("overwrite").parquet(f"{root}/out/batch={number}")
+
+    for odd in (0, 1):
+        runs.where(F.col("run_id") % 2 == odd).coalesce(1).write.mode("append").parquet(f"{root}/in")
+        states = jobs.stream_source_state(spark.readStream.schema(runs.schema).parquet(f"{root}/in"), _sources(spark, d))
+        states.writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    last = spark.read.parquet(f"{root}/out").groupBy("source_id").agg(F.max_by(F.struct(*kinds, "consecutive_failures"), "batch").alias("s")).select("source_id", "s.*")
+    return last.select("source_id", *(F.col(c).cast("timestamp_ntz").alias(c) for c in kinds), "consecutive_failures")
+
+
+@query(_sql(_R, _ITEMS, _OBS, select="""SELECT 'items' AS kind, item_id, identity_key AS key, last_seen_at FROM its
+  UNION ALL SELECT 'observations', item_id, source_id, last_seen_at FROM obs UNION ALL SELECT 'runs', item_id, source_id, last_seen_at FROM obs WHERE source_id <> 'signup'"""))
+def a1_a10_archive_commits(spark, d):
+    """Tables read back after commits: a whole archive twice, and observations of each source as a batch of runs, of which one is retried and one never committed."""
+    root = f"{shared_dir(spark)}/headrow-{uuid.uuid4().hex}"
+    a = _archive(spark, d)
+    whole = {n: a[n] for n in ("items", "observations")}
+    tables.write_archive({n: t.limit(1) for n, t in whole.items()}, f"{root}/archive")
+    tables.write_archive(whole, f"{root}/archive")
+    for source in ("click", "view", "error", "purchase", "view"):
+        tables.write_run_outputs(spark, f"{root}/runs", source, {"observations": whole["observations"].where(F.col("source_id") == source)})
+    whole["observations"].write.parquet(f"{root}/runs/observations/attempt=lost")
+    back = tables.read_archive(spark, f"{root}/archive", list(whole))
+    rows = {"items": back["items"].withColumnRenamed("identity_key", "key"), "observations": back["observations"].withColumnRenamed("source_id", "key")}
+    rows["runs"] = tables.read_committed(spark, f"{root}/runs", "observations").withColumnRenamed("source_id", "key")
+    out = [t.select(F.lit(k).alias("kind"), "item_id", "key", "last_seen_at") for k, t in rows.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 # ---- I: source health
 
 
@@ -695,21 +761,15 @@ def i6_diagnose(spark, d):
     return health.diagnose(_sources(spark, d), _captured(spark, d), val.batch_outcome(rows), states, change)
 
 
-@query("""SELECT source_id, count(*) AS n, sum(len) AS bytes, max(CASE WHEN page_id % 3 = 0 THEN 'text/html' END) AS content_type, arg_max(regexp_extract(url, '://([^/?#]*)', 1), page_id) AS upstream_host
-  FROM (SELECT *, 'pages' || (page_id % 50) AS source_id, octet_length(encode(html)) AS len FROM pages) GROUP BY source_id""")
+@query("""SELECT 'pages' || (page_id % 50) AS source_id, page_id AS response_no, 200 AS status_code, octet_length(encode(html)) AS byte_count, CASE WHEN page_id % 3 = 0 THEN 'text/html' END AS content_type,
+  CASE WHEN page_id % 3 = 0 THEN 1 ELSE 0 END AS n_headers, regexp_extract(url, '://([^/?#]*)', 1) AS upstream_host FROM pages""")
 def i7_response_evidence(spark, d):
-    pages = spark.read.parquet(f"{d}/pages.parquet")
     typed = F.when(F.col("page_id") % 3 == 0, F.create_map(F.lit("content-type"), F.lit("text/html"), F.lit("set-cookie"), F.lit("x"))).otherwise(F.create_map(F.lit("x-id"), F.lit("1")))
-    responses = pages.select(
+    responses = spark.read.parquet(f"{d}/pages.parquet").select(
         F.concat(F.lit("pages"), (F.col("page_id") % 50).cast("string")).alias("source_id"), F.col("page_id").alias("response_no"), F.lit(200).alias("status_code"),
         typed.alias("headers"), F.encode("html", "UTF-8").alias("content"), "url",
     )
-    found = health.response_evidence(responses.withColumn("headers", urls.safe_headers(F.col("headers"))))
-    r = F.col("responses")
-    return found.select(
-        "source_id", F.size(r).cast("long").alias("n"), F.aggregate(r, F.lit(0).cast("long"), lambda a, x: a + x["byte_count"]).alias("bytes"),
-        F.array_max(F.transform(r, lambda x: x["content_type"])).alias("content_type"), "upstream_host",
-    )
+    return health.response_evidence(responses).withColumn("n_headers", F.size("headers")).drop("headers")
 
 
 @query(_sql(_RUNS, _R, select="""SELECT run_id, source_id, 'success' AS status, (SELECT count(*) FROM w WHERE w.run_id = runs.run_id) AS item_count, CAST(NULL AS VARCHAR) AS error_type, CAST(NULL AS VARCHAR) AS error_message FROM runs WHERE status = 'success'
@@ -728,36 +788,43 @@ def _json_payloads(spark, d):
     """One JSON listing a run: its candidates as entries, some of them ads or not objects."""
     c = _candidates(spark, d)
     entry = F.struct(
-        F.when(F.col("external_id").isNull(), F.col("obs_seq").cast("string")).otherwise(F.col("external_id")).alias("id"), F.col("title"), F.lit("brief").alias("brief"),
-        F.unix_micros(F.col("seen_at").cast("timestamp")).alias("us"), (F.col("obs_seq") % 10).cast("string").alias("ad"), (F.col("obs_seq") % 83).alias("points"), F.col("obs_seq").alias("seq"),
+        F.when(F.col("external_id").isNull(), F.col("obs_seq").cast("string")).otherwise(F.col("external_id")).alias("id"), F.when(F.col("run_id") % 9 != 7, F.col("title")).alias("title"), F.when(F.col("run_id") % 9 != 7, "brief").alias("brief"),
+        F.unix_micros(F.col("seen_at").cast("timestamp")).alias("us"), (F.col("obs_seq") % 10).cast("string").alias("ad"), F.when(F.col("obs_seq") % 4 != 0, F.col("obs_seq") % 83).alias("points"),
+        F.when(F.col("obs_seq") % 4 == 0, F.col("obs_seq") % 83 + 0.5).alias("half"), F.when(F.col("obs_seq") % 3 == 0, F.concat(F.lit("t"), F.col("obs_seq") % 83)).alias("tag"), F.col("obs_seq").alias("seq"),
     )
-    listed = F.array_sort(F.collect_list(F.struct(F.col("obs_seq").alias("o"), F.to_json(entry).alias("j"))))
+    # points become a fraction in some entries, and tags an array of a text and a boolean
+    said = F.regexp_replace(F.regexp_replace(F.to_json(entry), '"half":', '"points":'), '"tag":("[^"]*")', '"tags":[$1,true]')
+    listed = F.array_sort(F.collect_list(F.struct(F.col("obs_seq").alias("o"), said.alias("j"))))
     runs = c.groupBy("run_id").agg(F.array_join(F.transform(listed, lambda x: x["j"]), ",").alias("body"))
     good = F.concat(F.lit('{"ok":1,"data":{"items":['), F.col("body"), F.lit("]}}"))
     return runs.select("run_id", F.when(F.col("run_id") % 9 == 0, F.lit("{broken")).when(F.col("run_id") % 9 == 1, F.lit('{"ok":0}')).otherwise(good).alias("text"))
 
 
 _LISTING = pay.JsonSpec(
-    entries="$.data.items", title=("$.title", "$.brief"), id="$.id", url_template="https://news.example/{id}", time="$.us", envelope=("$.ok", "1"), exclude=(("$.ad", ("3",)),), metrics=(("points", "$.points"),)
+    entries="$.data.items", title=("$.title", "$.brief"), id="$.id", url_template="https://news.example/{id}", time="$.us", envelope=("$.ok", "1"), exclude=(("$.ad", ("3",)),), metrics=(("points", "$.points"), ("tags", "$.tags"), ("none", "$.none"), ("label", "$.brief"))
 )
 
 
-@query(_sql(_C, select="""SELECT run_id, obs_seq AS seq, row_number() OVER (PARTITION BY run_id ORDER BY obs_seq) AS position, title, url FROM (
-  SELECT run_id, obs_seq, CASE WHEN trim(title) = '' THEN 'brief' ELSE trim(title) END AS title, 'https://news.example/' || coalesce(nullif(trim(external_id), ''), '' || obs_seq) AS url FROM c WHERE run_id % 9 > 1 AND obs_seq % 10 <> 3)
+@query(_sql(_C, select="""SELECT run_id, obs_seq AS seq, row_number() OVER (PARTITION BY run_id ORDER BY obs_seq) AS position, title, url,
+  '{"points":' || CASE WHEN obs_seq % 4 = 0 THEN (obs_seq % 83) || '.5' ELSE '' || (obs_seq % 83) END || CASE WHEN obs_seq % 3 = 0 THEN ',"tags":["t' || (obs_seq % 83) || '",true]' ELSE '' END || ',"label":"brief"}' AS metrics FROM (
+  SELECT run_id, obs_seq, CASE WHEN trim(title) = '' THEN 'brief' ELSE trim(title) END AS title, 'https://news.example/' || coalesce(nullif(trim(external_id), ''), '' || obs_seq) AS url FROM c WHERE run_id % 9 > 1 AND run_id % 9 <> 7 AND obs_seq % 10 <> 3)
   QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY obs_seq) <= 20"""))
 def a5_b1_b3_json_listing(spark, d):
     entries, _ = pay.extract_json_listing(_json_payloads(spark, d), _LISTING, ["run_id"])
     ranked = cand.rank_and_cap(entries, 20)
     order = _candidates(spark, d).select("run_id", "obs_seq").withColumn("entry_pos", F.row_number().over(val.Window.partitionBy("run_id").orderBy("obs_seq")) - 1)
-    return ranked.join(order, ["run_id", "entry_pos"]).select("run_id", F.col("obs_seq").alias("seq"), "position", "title", "url")
+    return ranked.join(order, ["run_id", "entry_pos"]).select("run_id", F.col("obs_seq").alias("seq"), "position", "title", "url", "metrics")
+
 
+_SEEN = "CASE WHEN run_id % 9 IN (0, 1) THEN 0 ELSE count(*) END"
 
-@query(_sql(_C, select="""SELECT run_id, CASE WHEN run_id % 9 < 2 THEN 0 ELSE count(*) END AS entries, CASE WHEN run_id % 9 < 2 THEN 0 ELSE count(*) FILTER (obs_seq % 10 = 3) END AS excluded,
-  CASE WHEN run_id % 9 < 2 THEN 0 ELSE count(*) FILTER (obs_seq % 10 <> 3) END AS candidates, 'ok' AS status FROM c GROUP BY run_id"""))
+
+@query(_sql(_C, select=f"""SELECT run_id, {_SEEN} AS entries, CASE WHEN run_id % 9 IN (0, 1) THEN 0 ELSE count(*) FILTER (obs_seq % 10 = 3) END AS excluded,
+  CASE WHEN run_id % 9 IN (0, 1, 7) THEN 0 ELSE count(*) FILTER (obs_seq % 10 <> 3) END AS candidates, CASE WHEN run_id % 9 IN (0, 1) OR (run_id % 9 = 7 AND bool_or(obs_seq % 10 <> 3)) THEN 'failed' ELSE 'ok' END AS status FROM c GROUP BY run_id"""))
 def b2_extraction_status(spark, d):
-    payloads = _json_payloads(spark, d)
-    entries, _ = pay.extract_json_listing(payloads, _LISTING, ["run_id"])
-    return cand.extraction_status(entries, entries.where("usable and not excluded"), payloads)
+    """Malformed payloads and bad envelopes fail their run, and so do entries (of runs 7 by 9, without a title) that give no candidate."""
+    entries, status = pay.extract_json_listing(_json_payloads(spark, d), _LISTING, ["run_id"])
+    return cand.extraction_status(entries, cand.eligible(entries), status)
 
 
 @query(_sql(_C, select="SELECT run_id, CASE WHEN run_id % 9 = 0 THEN 'malformed' WHEN run_id % 9 = 1 THEN 'bad_envelope' ELSE 'ok' END AS status FROM c GROUP BY run_id"))
@@ -767,6 +834,13 @@ def a6_embedded_json_status(spark, d):
     return pay.extract_json_listing(wrapped, _LISTING, ["run_id"])[1]
 
 
+@query(_sql(_C, select="SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY obs_seq) - 1 AS entry_pos, coalesce(nullif(trim(title), ''), 'brief') AS title, obs_seq % 10 = 3 AS excluded FROM c WHERE run_id % 9 NOT IN (0, 1, 7)"))
+def a6_embedded_json_entries(spark, d):
+    page = F.concat(F.lit("<script>var all = "), F.col("text"), F.lit(";</script>"))
+    wrapped = _json_payloads(spark, d).where("run_id % 9 <> 7").withColumn("text", pay.unwrap_embedded_json(page, r"(?s)var all = (.*?);</script>"))
+    return pay.extract_json_listing(wrapped, _LISTING, ["run_id"])[0].select("run_id", F.col("entry_pos").cast("long").alias("entry_pos"), "title", "excluded")
+
+
 @query(_sql(_C, select="SELECT run_id, obs_seq, row_number() OVER (PARTITION BY run_id ORDER BY obs_seq) - 1 AS entry_pos FROM c"))
 def a7_resolve_json_refs(spark, d):
     c = _candidates(spark, d)
@@ -831,31 +905,44 @@ def a8_extract_html_listing(spark, d):
     return pay.extract_html_listing(pages, spec, ["page_id"]).select("page_id", "entry_pos", "title", "url")
 
 
+@F.pandas_udf(BinaryType())
+def _gb18030(t: pd.Series) -> pd.Series:
+    return t.map(lambda x: None if x is None else x.encode("gb18030"))
+
+
 @query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE sha256(text) END AS sha FROM documents")
 def a9_decode_payload(spark, d):
-    docs = spark.read.parquet(f"{d}/documents.parquet")
-    raw = F.encode("text", "UTF-8")
-    bad = F.concat(raw, F.unhex(F.lit("FF")))
-    return docs.select("doc_id", F.sha2(pay.decode_payload(F.when(F.col("doc_id") % 4 == 0, bad).otherwise(raw), F.when(F.col("doc_id") % 2 == 0, "utf-8").otherwise("UTF8")), 256).alias("sha"))
+    """Texts in UTF-8 and gb18030; bytes that aren't valid in their charset give null."""
+    i = F.col("doc_id")
+    raw = F.when(i % 4 == 1, _gb18030(F.when(i % 4 == 1, F.col("text")))).otherwise(F.encode("text", "UTF-8"))
+    raw = F.when(i % 4 == 0, F.concat(F.encode("text", "UTF-8"), F.unhex(F.lit("FF")))).otherwise(raw)
+    name = F.when(i % 4 == 1, "gb18030").when(i % 8 == 0, "gb18030").when(i % 2 == 0, "utf-8").otherwise("UTF8")
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.sha2(pay.decode_payload(raw, name), 256).alias("sha"))
+
 
+_ENTRIES = "en AS (SELECT * FROM c WHERE trim(title) <> '' AND obs_seq % 10 <> 3)"
 
-@query(_sql(_C, select="SELECT run_id, obs_seq FROM (SELECT *, coalesce(nullif(trim(external_id), ''), url) AS k FROM c) QUALIFY row_number() OVER (PARTITION BY run_id, k ORDER BY obs_seq) = 1"))
+
+def _entries(spark, d):
+    """Candidates as entries of three payloads a run; those without a title aren't usable, one in ten is left out on purpose."""
+    rows = _candidates(spark, d).withColumn("entry_pos", F.col("obs_seq")).withColumn("payload_no", F.col("obs_seq") % 3)
+    return cand.exclude_entries(rows.withColumn("usable", text.strip(F.col("title")) != ""), F.col("obs_seq") % 10 == 3)
+
+
+@query(_sql(_C, _ENTRIES, select="SELECT run_id, obs_seq FROM (SELECT *, coalesce(nullif(trim(external_id), ''), url) AS k FROM en) QUALIFY row_number() OVER (PARTITION BY run_id, k ORDER BY obs_seq) = 1"))
 def b4_dedupe_in_payload(spark, d):
-    rows = _candidates(spark, d).withColumn("entry_pos", F.col("obs_seq"))
-    return cand.dedupe_in_payload(rows, F.coalesce(text.none_if_blank(F.col("external_id")), F.col("url"))).select("run_id", "obs_seq")
+    return cand.dedupe_in_payload(_entries(spark, d), F.coalesce(text.none_if_blank(F.col("external_id")), F.col("url"))).select("run_id", "obs_seq")
 
 
-@query(_sql(_C, select="SELECT run_id, obs_seq, row_number() OVER (PARTITION BY run_id ORDER BY published_at DESC NULLS LAST, obs_seq % 3, obs_seq) AS position FROM c QUALIFY position_ <= 30".replace("position_", "row_number() OVER (PARTITION BY run_id ORDER BY published_at DESC NULLS LAST, obs_seq % 3, obs_seq)")))
+@query(_sql(_C, _ENTRIES, "ranked AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY published_at DESC NULLS LAST, obs_seq % 3, obs_seq) AS place FROM en)", select="SELECT run_id, obs_seq, place AS position FROM ranked WHERE place <= 30"))
 def b5_merge_feeds_by_recency(spark, d):
-    rows = _candidates(spark, d).withColumn("entry_pos", F.col("obs_seq")).withColumn("payload_no", F.col("obs_seq") % 3)
-    return cand.merge_feeds_by_recency(rows, 30).select("run_id", "obs_seq", "position")
+    return cand.merge_feeds_by_recency(_entries(spark, d), 30).select("run_id", "obs_seq", "position")
 
 
-@query(_sql(_C, """once AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY run_id, coalesce(nullif(external_id, ''), url) ORDER BY obs_seq % 3, obs_seq) = 1),
+@query(_sql(_C, _ENTRIES, """once AS (SELECT * FROM en QUALIFY row_number() OVER (PARTITION BY run_id, coalesce(nullif(external_id, ''), url) ORDER BY obs_seq % 3, obs_seq) = 1),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY published_at DESC NULLS LAST, obs_seq % 3, obs_seq) AS place FROM once)""", select="SELECT run_id, obs_seq, place AS position FROM ranked WHERE place <= 30"))
 def b6_merge_feeds_dedupe(spark, d):
-    rows = _candidates(spark, d).withColumn("entry_pos", F.col("obs_seq")).withColumn("payload_no", F.col("obs_seq") % 3)
-    return cand.merge_feeds_dedupe(rows, 30).select("run_id", "obs_seq", "position")
+    return cand.merge_feeds_dedupe(_entries(spark, d), 30).select("run_id", "obs_seq", "position")
 
 
 @query(_sql(_C, select="SELECT run_id, max(seen_at) AS observed_at FROM c GROUP BY run_id"))

@@ -49,7 +49,12 @@ FROM (
 """
 
 RUNS = """
-SELECT run_id, CASE WHEN bucket % 7 = 3 THEN 'history' ELSE 'live' END AS run_kind, source_id, started_at,
+SELECT run_id, run_kind, source_id, started_at, CASE WHEN newest AND source_id = 'click' THEN NULL WHEN newest AND source_id = 'view' THEN ended ELSE finished_at END AS finished_at,
+  CASE WHEN newest AND source_id = 'click' THEN 'running' WHEN newest AND source_id = 'view' THEN 'failed' ELSE status END AS status,
+  CASE WHEN newest AND source_id IN ('click', 'view') THEN NULL ELSE http_status END AS http_status, response_etag, response_last_modified, request_identity,
+  CASE WHEN newest AND source_id = 'click' THEN NULL WHEN newest AND source_id = 'view' THEN 'AbandonedRun' ELSE error_type END AS error_type, error_message
+FROM (SELECT *, run_kind = 'live' AND row_number() OVER (PARTITION BY source_id, run_kind ORDER BY run_id DESC) = 1 AS newest FROM (
+SELECT run_id, CASE WHEN bucket % 7 = 3 THEN 'history' ELSE 'live' END AS run_kind, source_id, started_at, finished_at AS ended,
   CASE WHEN run_id % 13 = 5 THEN NULL ELSE finished_at END AS finished_at,
   CASE WHEN run_id % 13 = 5 THEN 'running' WHEN run_id % 5 = 1 THEN 'failed' WHEN run_id % 6 = 2 THEN 'not_modified' ELSE 'success' END AS status,
   CASE WHEN run_id % 13 = 5 THEN NULL WHEN run_id % 5 = 1 THEN 429 + 37 * (run_id % 3) WHEN run_id % 6 = 2 THEN 304 ELSE 200 END AS http_status,
@@ -61,7 +66,7 @@ SELECT run_id, CASE WHEN bucket % 7 = 3 THEN 'history' ELSE 'live' END AS run_ki
 FROM (
   SELECT bucket * 8 + CASE event_type WHEN 'click' THEN 0 WHEN 'view' THEN 1 WHEN 'error' THEN 2 WHEN 'purchase' THEN 3 ELSE 4 END AS run_id,
     bucket, event_type AS source_id, min(ts) AS started_at, max(ts) AS finished_at
-  FROM (SELECT *, CAST(floor(event_id / 250.0) AS BIGINT) AS bucket FROM {events}) AS e GROUP BY bucket, event_type) AS r
+  FROM (SELECT *, CAST(floor(event_id / 250.0) AS BIGINT) AS bucket FROM {events}) AS e GROUP BY bucket, event_type) AS r) AS s) AS t
 """
 
 HEADS = """

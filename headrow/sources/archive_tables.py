@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # The least columns of each archive table.
@@ -28,30 +31,61 @@ def check_layout(name: str, df: DataFrame) -> DataFrame:
     return df
 
 
+def _manifest(spark: SparkSession, root: str) -> DataFrame | None:
+    """Committed attempts (batch, attempt, at, tables); null if there is none yet."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/_manifest")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    there = files.exists(path) and any(s.getPath().getName().startswith("part-") for s in files.listStatus(path))
+    return spark.read.schema("batch string, attempt string, at long, tables array<string>").parquet(f"{root}/_manifest") if there else None
+
+
+def _commit(spark: SparkSession, root: str, batch: str, outputs: dict[str, DataFrame], partition_by: dict[str, list[str]]) -> None:
+    """Write outputs to folders of a new attempt, and then one row of the manifest that names it: the only step that readers see."""
+    attempt = uuid.uuid4().hex
+    for name, df in outputs.items():
+        df.write.mode("error").partitionBy(*partition_by.get(name, [])).parquet(f"{root}/{name}/attempt={attempt}")
+    row = spark.range(1).select(F.lit(batch).alias("batch"), F.lit(attempt).alias("attempt"), F.lit(time.time_ns()).alias("at"), F.array(*map(F.lit, sorted(outputs))).alias("tables"))
+    row.coalesce(1).write.mode("append").parquet(f"{root}/_manifest")
+
+
+def _attempts(spark: SparkSession, root: str, name: str) -> list[str]:
+    """Folders of a table that the manifest names: for each batch the attempt that was committed last."""
+    done = _manifest(spark, root)
+    if done is None:
+        return []
+    last = done.groupBy("batch").agg(F.max_by(F.struct("attempt", "tables"), F.struct("at", "attempt")).alias("l")).select("batch", "l.*")
+    return [f"{root}/{name}/attempt={r.attempt}" for r in last.where(F.array_contains("tables", name)).orderBy("batch").collect()]
+
+
 def write_archive(tables: dict[str, DataFrame], root: str, partition_by: dict[str, list[str]] | None = None) -> None:
-    """Write tables below root, replacing those of the same name."""
-    for name, df in tables.items():
-        check_layout(name, df).write.mode("overwrite").partitionBy(*(partition_by or {}).get(name, [])).parquet(f"{root}/{name}")
+    """Write the tables of an archive as one commit: a reader sees all of them, or those of the commit before."""
+    checked = {name: check_layout(name, df) for name, df in tables.items()}
+    if checked:
+        _commit(next(iter(checked.values())).sparkSession, root, "archive", checked, partition_by or {})
 
 
 def read_archive(spark: SparkSession, root: str, names: list[str] | None = None) -> dict[str, DataFrame]:
-    """Tables below root; one that lacks a required column fails the read."""
-    return {n: check_layout(n, spark.read.parquet(f"{root}/{n}")) for n in names or REQUIRED}
+    """Tables of the last commit below root; a missing table, or one that lacks a required column, fails the read."""
+    out = {}
+    for name in names or REQUIRED:
+        paths = _attempts(spark, root, name)
+        if not paths:
+            raise ValueError(f"archive table {name} is missing")
+        out[name] = check_layout(name, spark.read.parquet(*paths))
+    return out
 
 
 def write_run_outputs(spark: SparkSession, root: str, batch_id: str, outputs: dict[str, DataFrame]) -> None:
-    """Append the outputs of a batch of runs; readers see them once their manifest row is written, last of all.
+    """Append the outputs of a batch of runs, all or none.
 
-    Writing the same batch again replaces its own files, so a retry after a failure leaves one copy.
+    Each attempt writes to folders of its own; readers see them once the manifest's row is written, last of all. Writing a batch again, after a
+    failure or after its commit, leaves what readers see as it was until the new attempt is committed, and then one copy. One manifest row
+    and one folder a table are kept for each batch.
     """
-    for name, df in outputs.items():
-        df.write.mode("overwrite").parquet(f"{root}/{name}/batch={batch_id}")
-    manifest = spark.range(1).select(F.lit(batch_id).alias("batch"), F.array(*map(F.lit, sorted(outputs))).alias("tables"))
-    manifest.coalesce(1).write.mode("overwrite").parquet(f"{root}/_manifest/entry={batch_id}")
+    _commit(spark, root, batch_id, outputs, {})
 
 
-def read_committed(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """Rows of the batches that have a manifest row."""
-    done = spark.read.parquet(f"{root}/_manifest").where(F.array_contains("tables", name)).select(F.col("batch").cast("string"))
-    rows = spark.read.option("basePath", f"{root}/{name}").parquet(f"{root}/{name}").withColumn("batch", F.col("batch").cast("string"))
-    return rows.join(done, "batch", "left_semi").drop("batch")
+def read_committed(spark: SparkSession, root: str, name: str) -> DataFrame | None:
+    """Rows of the committed batches, each in its last committed attempt; None if there is none."""
+    paths = _attempts(spark, root, name)
+    return spark.read.parquet(*paths) if paths else None

@@ -5,17 +5,19 @@ Payloads: run_id, content (binary) and what else should stay with the entries.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 from urllib.parse import urljoin
+import json
 import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from headrow.functions.checks import optional_finite_number, scalar_text_of, text_of
+from headrow.functions.checks import scalar_text_of, text_of
 from headrow.functions.text import none_if_blank, strip
 from headrow.functions.times import parse_timestamp
 
@@ -61,7 +63,10 @@ def classify_feed(payloads: DataFrame) -> DataFrame:
     root = _root(F.col("text"))
     rss = F.from_xml("text", _RSS + ", _corrupt string", _XML)
     atom = F.from_xml("text", _ATOM + ", _corrupt string", _XML)
-    df = df.withColumn("__rss", F.when(root == "rss", rss)).withColumn("__atom", F.when(root == "feed", atom))
+    # a generator is computed once a row, whatever refers to it and whichever filter stands above
+    parsed = F.struct(root.alias("root"), F.when(root == "rss", rss).alias("rss"), F.when(root == "feed", atom).alias("atom"))
+    df = df.select("*", F.explode(F.array(parsed)).alias("__x")).select(*df.columns, F.col("__x.rss").alias("__rss"), F.col("__x.atom").alias("__atom"), F.col("__x.root").alias("__root"))
+    root = F.col("__root")
     closed = F.col("text").rlike(r"(?s)</(?:[\w.-]+:)?(rss|feed)>\s*(<!--.*?-->\s*)*$")
     bad = F.coalesce("__rss._corrupt", "__atom._corrupt").isNotNull() | ~closed
     status = (
@@ -73,7 +78,7 @@ def classify_feed(payloads: DataFrame) -> DataFrame:
         .otherwise("ok")
     )
     kind = F.when(root == "rss", "rss").when(root == "feed", "atom")
-    return df.withColumn("status", status).withColumn("kind", kind)
+    return df.withColumn("status", status).withColumn("kind", kind).drop("__root")
 
 
 def _candidate(title: Column, url: Column, external_id: Column, raw: Column, metrics: Column, position: Column) -> list[Column]:
@@ -140,7 +145,7 @@ def extract_json_listing(payloads: DataFrame, spec: JsonSpec, keep: list[str], t
         right = F.coalesce(F.try_variant_get("__v", spec.envelope[0], "string") == spec.envelope[1], F.lit(False))
     status = F.when(F.col("__v").isNull(), "malformed").when(~right, "bad_envelope").when(F.col("__list").isNull(), "no_list").otherwise("ok")
     checked = parsed.withColumn("__list", listed).withColumn("status", status)
-    each = checked.where("status = 'ok'").select(*keep, F.posexplode("__list").alias("entry_pos", "__e"))
+    each = checked.where("status = 'ok'").select(*keep, F.col(text_col).alias("__text"), F.posexplode("__list").alias("entry_pos", "__e"))
 
     def at(path: str) -> Column:
         return F.try_variant_get("__e", path, "variant")
@@ -156,7 +161,7 @@ def extract_json_listing(payloads: DataFrame, spec: JsonSpec, keep: list[str], t
     excluded = F.lit(False)
     for path, values in spec.exclude:
         excluded = excluded | F.coalesce(F.try_variant_get("__e", path, "string").isin(*values), F.lit(False))
-    metrics = F.to_json(F.struct(*(F.coalesce(optional_finite_number(at(p)).cast("string"), text_of(at(p))).alias(n) for n, p in spec.metrics))) if spec.metrics else F.lit("{}")
+    metrics = _metrics([(n, at(p)) for n, p in spec.metrics], F.col("__text"))
     entries = each.select(
         *keep, "entry_pos", F.coalesce(title, F.lit("")).alias("title"), F.coalesce(url, F.lit("")).alias("url"), ident.alias("external_id"),
         parse_timestamp(raw, spec.naive_offset).alias("published_at"), raw.alias("raw_published_at"), excluded.alias("excluded"), metrics.alias("metrics"),
@@ -164,6 +169,21 @@ def extract_json_listing(payloads: DataFrame, spec: JsonSpec, keep: list[str], t
     return entries.withColumn("usable", (F.col("title") != "") & (F.col("url") != "")), checked.select(*keep, "status")
 
 
+def _metrics(named: list[tuple[str, Column]], text: Column) -> Column:
+    """JSON text of the metrics that are there: numbers, booleans, arrays and objects as they are, texts stripped, blank ones left out.
+
+    A number beyond the doubles becomes the bare word Infinity, which encode_metrics() refuses.
+    """
+    parts = []
+    for name, v in named:
+        kind = F.schema_of_variant(v)
+        said = F.when(kind == "STRING", F.to_json(F.nullif(strip(F.try_variant_get(v, "$", "string")), F.lit("")).cast("variant"))).otherwise(F.to_json(v))
+        huge = (kind != "STRING") & ~text.contains('Infinity"')
+        said = F.when(huge, F.regexp_replace(said, '"(-?Infinity)"', "$1")).otherwise(said)
+        parts.append(F.when((kind != "VOID") & (said != "null"), F.concat(F.lit(json.dumps(name) + ":"), said)))
+    return F.concat(F.lit("{"), F.array_join(F.array(*parts), ","), F.lit("}")) if parts else F.lit("{}")
+
+
 def resolve_json_refs(payloads: DataFrame, ids_path: str, nodes_path: str, keep: list[str], pinned_path: str = "$.pinned", text_col: str = "text") -> DataFrame:
     """(keep, entry_pos, node): the nodes that a list of ids names, in its order, without pinned or missing ones."""
     parsed = payloads.withColumn("__v", F.try_parse_json(text_col))
@@ -177,10 +197,10 @@ def resolve_json_refs(payloads: DataFrame, ids_path: str, nodes_path: str, keep:
 
 
 class _Tag:
-    __slots__ = ("name", "attrs", "parent", "kids")
+    __slots__ = ("name", "attrs", "parent", "kids", "at", "end")
 
-    def __init__(self, name, attrs, parent):
-        self.name, self.attrs, self.parent, self.kids = name, attrs, parent, []
+    def __init__(self, name, attrs, parent, at=-1):
+        self.name, self.attrs, self.parent, self.kids, self.at, self.end = name, attrs, parent, [], at, -1
 
     def text(self) -> str:
         out, stack = [], [self]
@@ -201,21 +221,27 @@ class _Page(HTMLParser):
         super().__init__()
         self.root = self.at = _Tag("", {}, None)
         self.order: list[_Tag] = []
+        self.open: Counter = Counter()
         self.feed(html)
         self.close()
+        for tag in reversed(self.order):  # the tags inside one stand behind it, up to end
+            tag.end = max(tag.end, tag.at + 1)
+            tag.parent.end = max(tag.parent.end, tag.end)
 
     def handle_starttag(self, tag, attrs):
-        node = _Tag(tag, {k: v or "" for k, v in attrs}, self.at)
+        node = _Tag(tag, {k: v or "" for k, v in attrs}, self.at, len(self.order))
         self.at.kids.append(node)
         self.order.append(node)
         if tag not in _VOID:
             self.at = node
+            self.open[tag] += 1
 
     def handle_endtag(self, tag):
-        node = self.at
-        while node.parent and node.name != tag:
-            node = node.parent
-        self.at = node.parent or self.at
+        while self.open[tag]:  # none is open: a stray end tag
+            self.open[self.at.name] -= 1
+            closed, self.at = self.at, self.at.parent
+            if closed.name == tag:
+                break
 
     def handle_data(self, data):
         self.at.kids.append(data)
@@ -271,11 +297,8 @@ def _matches(tag: _Tag, steps: list, inside: _Tag) -> bool:
 
 
 def _select(page: _Page, inside: _Tag, compiled: list) -> Iterator[_Tag]:
-    for tag in page.order:
-        up = tag.parent
-        while up is not None and up is not inside:
-            up = up.parent
-        if up is inside and any(_matches(tag, alt, inside) for alt in compiled):
+    for tag in page.order[inside.at + 1 : inside.end]:
+        if any(_matches(tag, alt, inside) for alt in compiled):
             yield tag
 
 
@@ -301,10 +324,8 @@ def extract_html_listing(payloads: DataFrame, spec: HtmlSpec, keep: list[str], t
     new = [StructField("entry_pos", LongType()), *(StructField(c, StringType()) for c in ("title", "url", "external_id", "raw_published_at"))]
     schema = StructType([*source.schema.fields[:-1], *new])
 
-    def listing(html: str):
+    def listing(html: str, rows, links, titles, times):
         page = _Page(html)
-        rows, links = _compile(spec.row), _compile(spec.link)
-        titles, times = (_compile(s) if s else None for s in (spec.title, spec.time))
         seen: set[str] = set()
         for row in _select(page, page.root, rows):
             link = row if any(_matches(row, alt, row) for alt in links) else next(_select(page, row, links), None)
@@ -321,8 +342,9 @@ def extract_html_listing(payloads: DataFrame, spec: HtmlSpec, keep: list[str], t
             yield len(seen) - 1, title, url, (ident[1] or None) if ident else None, raw or None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        selectors = [_compile(s) if s else None for s in (spec.row, spec.link, spec.title, spec.time)]
         for batch in batches:
-            out = [(*own, *entry) for *own, html in batch.itertuples(index=False) if isinstance(html, str) for entry in listing(html)]
+            out = [(*own, *entry) for *own, html in batch.itertuples(index=False) if isinstance(html, str) for entry in listing(html, *selectors)]
             yield pd.DataFrame(out, columns=schema.names)
 
     return source.mapInPandas(run, schema)

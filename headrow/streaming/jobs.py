@@ -4,44 +4,98 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from headrow.operators.archive import apply_increment, resolve_items
-from headrow.operators.health import BASE_DELAY, MAX_DELAY
-from headrow.plans.lineage import cut
+from headrow.operators.archive import resolve_increment
+from headrow.operators.health import BASE_DELAY, DONE, MAX_DELAY
+from headrow.plans.lineage import collecting, cut, discard
+
+
+_BUCKETS = 64
+_SCHEMAS = {"ids": "p string, item_id long", "urls": "u string, dp int, firstp string, live long", "taken": "item_id long, token string"}
 
 
 def stream_archive(accepted: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
-    """Resolve accepted candidates as they arrive; the resolved rows stand under root, one folder a batch.
+    """Resolve accepted candidates as they arrive; each batch adds its rows, and the state of the keys it touched, under root.
 
-    A batch reads the state that the batch before it left and writes its own, so that a retried batch gives the same result.
-    No row is too late: folds go by commit order and seen_at.
+    The cost of a batch goes with its own keys, not with the archive: it reads the state of the ids and URLs that it has (of the buckets
+    they fall in) and writes rows, ids, urls and taken (items that got an id) to folders of its own. A batch reads what batches before it left,
+    so that a retried batch gives the same result. No row is too late: folds go by commit order and seen_at.
     """
     spark = accepted.sparkSession
 
     def step(batch: DataFrame, number: int) -> None:
-        before = latest_state(spark, root, number)
-        rows = cut(batch)
-        after = resolve_items(rows) if before is None else apply_increment(before, rows)
-        after.write.mode("overwrite").parquet(f"{root}/batch={number}")
+        used: list[str] = []
+        with collecting(used):
+            rows = cut(batch)
+            urls = _state(spark, root, "urls", rows.select("u"), number).groupBy("u").agg(F.max_by(F.struct("dp", "firstp", "live"), "batch").alias("s")).select("u", "s.*")
+            urls = cut(urls)
+            named = rows.select("p").unionByName(urls.select(F.col("firstp").alias("p"))).where("p is not null")
+            ids = cut(_state(spark, root, "ids", named, number).select("p", "item_id"))
+            found, taken = resolve_increment(ids, urls, rows)
+            found, taken = cut(found), cut(taken)
+        new = found.where("p is not null").groupBy("p").agg(F.min("item_id").alias("item_id")).join(ids, "p", "left_anti")
+        for name, df in {"rows": found, "taken": taken, "ids": _bucketed(new, "p"), "urls": _bucketed(_urls_after(urls, found, taken), "u")}.items():
+            by = ["bucket"] if name in ("ids", "urls") else []
+            df.write.mode("overwrite").partitionBy(*by).parquet(f"{root}/{name}/batch={number}")
+        spark.range(1).coalesce(1).write.mode("overwrite").parquet(f"{root}/done/batch={number}")
+        discard(spark, used)
 
     return accepted.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def latest_state(spark: SparkSession, root: str, before: int | None = None) -> DataFrame | None:
-    """The resolved rows that the last batch (before a given one) left; None if there is none."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+def _bucketed(df: DataFrame, key: str) -> DataFrame:
+    return df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(_BUCKETS)).cast("int")).repartition("bucket")
+
+
+def _urls_after(urls: DataFrame, rows: DataFrame, taken: DataFrame) -> DataFrame:
+    """The state of the URLs of rows after them; see archive.seed_state()."""
+    old = urls.select("u", F.col("dp").alias("o_dp"), F.col("firstp").alias("o_firstp"), F.col("live").alias("o_live"))
+    pairs = rows.where("p is not null").groupBy("u", "p").agg(F.min("obs_seq").alias("o")).join(old, "u", "left")
+    more = F.count_if(~F.coalesce(F.col("p") == F.col("o_firstp"), F.lit(False)))
+    seen = pairs.groupBy("u").agg(more.cast("int").alias("more"), F.min_by("p", "o").alias("n_firstp"))
+    alive = rows.where("p is null and token = u").groupBy("u").agg(F.min("item_id").alias("n_live"))
+    gone = taken.select(F.col("item_id").alias("o_live"), F.lit(True).alias("gone"))
+    all_ = rows.select("u").distinct().join(old, "u", "left").join(seen, "u", "left").join(alive, "u", "left").join(gone, "o_live", "left")
+    dp = F.least(F.lit(2), F.coalesce("o_dp", F.lit(0)) + F.coalesce("more", F.lit(0)))
+    return all_.select("u", dp.alias("dp"), F.coalesce("o_firstp", "n_firstp").alias("firstp"), F.coalesce("n_live", F.when(F.col("gone").isNull(), F.col("o_live"))).alias("live"))
+
+
+def _state(spark: SparkSession, root: str, name: str, keys: DataFrame, before: int | None) -> DataFrame:
+    """State rows (with batch) of the keys that earlier batches left; only the buckets of the keys are read."""
+    schema, key = _SCHEMAS[name], keys.columns[0]
+    batches = _batches(spark, root, before)
+    if not batches:
+        return spark.createDataFrame([], schema + ", bucket int, batch long")
+    wanted = _bucketed(keys.distinct(), key)
+    buckets = [r[0] for r in wanted.select("bucket").distinct().collect()]  # at most _BUCKETS
+    whole = spark.read.schema(schema + ", bucket int, batch long").option("basePath", f"{root}/{name}").parquet(*(f"{root}/{name}/batch={n}" for n in batches))
+    return whole.where(F.col("bucket").isin(buckets)).join(wanted.select(key), key, "left_semi")
+
+
+def _batches(spark: SparkSession, root: str, before: int | None = None) -> list[int]:
+    """Numbers of the finished batches (before a given one)."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/done")
     files = path.getFileSystem(spark._jsc.hadoopConfiguration())
     if not files.exists(path):
-        return None
+        return []
     done = [s.getPath() for s in files.listStatus(path) if files.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    numbers = [int(p.getName().split("=")[1]) for p in done if p.getName().startswith("batch=")]
-    numbers = [n for n in numbers if before is None or n < before]
-    return spark.read.parquet(f"{root}/batch={max(numbers)}") if numbers else None
+    numbers = sorted(int(p.getName().split("=")[1]) for p in done if p.getName().startswith("batch="))
+    return [n for n in numbers if before is None or n < before]
+
+
+def latest_state(spark: SparkSession, root: str) -> DataFrame | None:
+    """The resolved rows of all finished batches, with the ids that their items got later; None if there is none."""
+    batches = _batches(spark, root)
+    if not batches:
+        return None
+    read = lambda name: spark.read.parquet(*(f"{root}/{name}/batch={n}" for n in batches))
+    rows = read("rows")
+    taken = read("taken").select("item_id", F.col("token").alias("__token"))
+    return rows.join(taken, "item_id", "left").withColumn("token", F.coalesce("__token", "token")).select(*rows.columns)
 
 
 def stream_changes(change_log: DataFrame, checkpoint: str, handle: Callable[[DataFrame, int], None]) -> StreamingQuery:
@@ -49,44 +103,58 @@ def stream_changes(change_log: DataFrame, checkpoint: str, handle: Callable[[Dat
     return change_log.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-_STATE = "last_run long, last_attempt_at timestamp, last_success_at timestamp, consecutive_failures long, next_run_at timestamp"
+_SEEN = "run_id", "status", "finished_at", "error_type", "interval_seconds"
+_STATE = (
+    "last_attempt_at timestamp, ok_run long, last_success_at timestamp, run_id long, status string, finished_at timestamp, error_type string, interval_seconds long, "
+    "failed array<bigint>"
+)
+_OUT = "source_id string, last_run long, next_run_at timestamp, last_attempt_at timestamp, last_success_at timestamp, consecutive_failures long"
+
+
+def _newest(before: tuple, runs: pd.DataFrame, columns: tuple[str, ...]) -> tuple:
+    """The columns of the run with the greatest id, of a known one (its id first) and those given."""
+    if runs.empty:
+        return before
+    run = runs.loc[runs["run_id"].idxmax(), list(columns)]
+    found = tuple(None if pd.isna(x) else x for x in run)
+    return found if before[0] is None or found[0] > before[0] else before
 
 
 def _fold(key: tuple[str], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Fold the runs of all chunks in run order, whatever order they come in; held are only the ids of failures after the latest success."""
-    last, attempt, success, failures, due = state.get if state.exists else (-1, None, None, 0, None)
-    good = bad = None  # latest success and latest failure: run_id, finished_at, interval_seconds
-    failed = np.empty(0, np.int64)
+    """Fold runs into a source's state, in whatever order, chunks or batches they come; a late run counts where its id puts it.
+
+    The state holds the newest finished run, the newest success, and the ids of the failures behind that.
+    """
+    attempt, ok, success, *newest, failed = state.get if state.exists else (None,) * 8 + ([],)
+    good, newest, losses = (ok, success), tuple(newest), set(failed or ())
     for batch in batches:
         live = batch[batch["run_kind"] == "live"]
         if live.empty:
             continue
-        last, started = max(last, int(live["run_id"].max())), live["started_at"].max()
+        started = live["started_at"].max()
         attempt = started if attempt is None else max(attempt, started)
-        good = _latest(good, live[live["status"].isin(["success", "not_modified"])])
-        losses = live[live["status"] == "failed"]
-        bad = _latest(bad, losses)
-        failed = np.concatenate([failed, losses["run_id"].to_numpy(np.int64)])
-        if good:
-            failed = failed[failed > good[0]]
-    if good:
-        success, failures, due = good[1], 0, good[1] + pd.Timedelta(seconds=int(good[2]))
-    if len(failed):
-        failures += len(failed)
-        due = bad[1] + pd.Timedelta(seconds=min(MAX_DELAY, BASE_DELAY * 2 ** min(20, failures - 1)))
-    state.update((last, attempt, success, failures, due))
-    yield pd.DataFrame([(key[0], last, attempt, success, failures, due)], columns=["source_id", "last_run", "last_attempt_at", "last_success_at", "consecutive_failures", "next_run_at"])
-
-
-def _latest(before: tuple | None, runs: pd.DataFrame) -> tuple | None:
-    if runs.empty:
-        return before
-    r = runs.loc[runs["run_id"].idxmax(), ["run_id", "finished_at", "interval_seconds"]]
-    return tuple(r) if before is None or r["run_id"] > before[0] else before
+        done = live[live["status"].isin(DONE)]
+        good = _newest(good, done, ("run_id", "finished_at"))
+        newest = _newest(newest, live[live["status"].isin([*DONE, "failed"])], _SEEN)
+        losses.update(live.loc[live["status"] == "failed", "run_id"])
+    losses = sorted(int(x) for x in losses if good[0] is None or x > good[0])
+    run, status, finished, error, interval = newest
+    due = None
+    if run is not None:
+        wait = 0 if error == "AbandonedRun" else min(MAX_DELAY, BASE_DELAY * 2 ** min(20, len(losses) - 1)) if status == "failed" else int(interval)
+        due = finished + pd.Timedelta(seconds=wait)
+    whole = lambda x: None if x is None else int(x)
+    state.update((attempt, whole(good[0]), good[1], whole(run), status, finished, error, whole(interval), losses))
+    yield pd.DataFrame([(key[0], run, due, attempt, good[1], len(losses))], columns=[c.split()[0] for c in _OUT.split(", ")])
 
 
 def stream_source_state(runs: DataFrame, sources: DataFrame) -> DataFrame:
-    """Running state of each source from finished runs in run order: one row a source and batch, the newest counts."""
-    wanted = runs.where("status <> 'running'").join(sources.select("source_id", "interval_seconds"), "source_id")
-    wanted = wanted.select("source_id", "run_id", "run_kind", "status", F.col("started_at").cast("timestamp"), F.col("finished_at").cast("timestamp"), "interval_seconds")
-    return wanted.groupBy("source_id").applyInPandasWithState(_fold, "source_id string, " + _STATE, _STATE, "update", GroupStateTimeout.NoTimeout)
+    """Running state of each source, as fold_stream_state() has it: one row a source and batch, the last counts.
+
+    A run that is still running is an attempt; when it has finished it comes again. Late runs change what they would have changed in time.
+    """
+    wanted = runs.join(sources.select("source_id", "interval_seconds"), "source_id")
+    wanted = wanted.select(
+        "source_id", "run_id", "run_kind", "status", F.col("started_at").cast("timestamp"), F.col("finished_at").cast("timestamp"), "error_type", "interval_seconds"
+    )
+    return wanted.groupBy("source_id").applyInPandasWithState(_fold, _OUT, _STATE, "update", GroupStateTimeout.NoTimeout)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from headrow.operators import archive as arc
 from headrow.operators import validate as val
 from headrow.operators.components import connected_components
+from headrow.plans.lineage import cut
 from headrow.streaming import jobs
 
 SCHEMA = (
@@ -63,17 +64,21 @@ def accepted(spark, rows):
 
 def test_resolution_matches_the_fold(spark):
     rows = make(random.Random(1), 120)
-    got = {r.obs_seq: r.item_id for r in arc.resolve_items(accepted(spark, rows)).collect()}
-    assert got == fold(rows)
+    for bits in (30, 2):  # one block, and blocks of four rows
+        got = {r.obs_seq: r.item_id for r in arc.resolve_items(accepted(spark, rows), bits).collect()}
+        assert got == fold(rows)
 
 
-def test_increment_equals_whole(spark):
-    rows = make(random.Random(2), 60)
+@pytest.mark.parametrize("seed, bits", [(2, 30), (12, 3)])
+def test_increment_equals_whole(spark, seed, bits):
+    rows = make(random.Random(seed), 60)
     random.Random(3).shuffle(rows)
     rows = [(i, i // 4, *r[2:]) for i, r in enumerate(rows)]
-    old, new = rows[: len(rows) // 2], rows[len(rows) // 2 :]
+    third = len(rows) // 12 * 4
     whole = {tuple(r) for r in arc.resolve_items(accepted(spark, rows)).select("obs_seq", "token", "item_id", "rep").collect()}
-    step = arc.apply_increment(arc.resolve_items(accepted(spark, old)), accepted(spark, new))
+    step = arc.resolve_items(accepted(spark, rows[:third]), bits)
+    for part in (rows[third : 2 * third], rows[2 * third :]):
+        step = cut(arc.apply_increment(cut(step), accepted(spark, part), bits))
     assert {tuple(r) for r in step.select("obs_seq", "token", "item_id", "rep").collect()} == whole
 
 
@@ -130,31 +135,69 @@ def test_components(spark):
     for a, b in edges:
         a, b = find(a), find(b)
         parent[max(a, b)] = min(a, b)
-    got = connected_components(spark.createDataFrame(edges, "a long, b long"))
-    assert {r.node: r.component for r in got.collect()} == {x: find(x) for x in parent}
+    want = {x: find(x) for x in parent}
+    for small in (0, 50, 50_000):  # by rounds alone, by rounds and one task, by one task
+        got = connected_components(spark.createDataFrame(edges, "a long, b long"), small=small)
+        assert {r.node: r.component for r in got.collect()} == want
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_stream_source_state(spark, tmp_path):
-    from headrow.operators.health import fold_stream_state
+RUNS = "run_id long, run_kind string, source_id string, started_at timestamp, finished_at timestamp, status string, error_type string"
+STATES = ["source_id", "next_run_at", "last_attempt_at", "last_success_at", "consecutive_failures"]
 
+
+def run_log(rnd, n=60):
+    """Runs of three sources: successes, failures, abandoned, running and history runs."""
     t = dt.datetime(2024, 1, 1)
-    rows = [(i, "live" if i % 5 else "history", f"s{i % 3}", t + dt.timedelta(hours=i), t + dt.timedelta(hours=i, minutes=1), ["success", "failed", "failed", "not_modified"][i * 7 % 4]) for i in range(40)]
-    runs = spark.createDataFrame(rows, "run_id long, run_kind string, source_id string, started_at timestamp, finished_at timestamp, status string")
-    sources = spark.createDataFrame([(f"s{i}", 600) for i in range(3)], "source_id string, interval_seconds long")
-    runs.coalesce(1).write.parquet(f"{tmp_path}/runs")
-    out = jobs.stream_source_state(spark.readStream.schema(runs.schema).parquet(f"{tmp_path}/runs"), sources)
-    q = out.writeStream.outputMode("update").format("memory").queryName("states").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
-    q.awaitTermination()
-    columns = ["source_id", "next_run_at", "last_attempt_at", "last_success_at", "consecutive_failures"]
-    got = {tuple(r) for r in spark.table("states").select(columns).collect()}
-    want = fold_stream_state(runs.withColumn("error_type", F.lit(None).cast("string")), sources)
-    assert got == {tuple(r) for r in want.select(columns).collect()}
+    out = []
+    for i in range(n):
+        status = rnd.choice(["success", "not_modified", "failed", "failed", "failed", "abandoned", "running"])
+        start = t + dt.timedelta(hours=i)
+        end = None if status == "running" else start + dt.timedelta(minutes=1)
+        out.append((i, "live" if rnd.random() < 0.8 else "history", f"s{i % 3}", start, end, "failed" if status == "abandoned" else status, "AbandonedRun" if status == "abandoned" else None))
+    return out
+
+
+def state_by_run(rows):
+    """The state after each run in turn."""
+    attempt = success = due = None
+    failures = 0
+    for _, kind, _, start, end, status, error in sorted(rows):
+        if kind != "live":
+            continue
+        attempt = start
+        if status in ("success", "not_modified"):
+            success, failures, due = end, 0, end + dt.timedelta(seconds=600)
+        elif status == "failed":
+            due = end + dt.timedelta(seconds=0 if error else min(jobs.MAX_DELAY, jobs.BASE_DELAY * 2 ** min(20, failures)))
+            failures += 1
+    return due, attempt, success, failures
+
+
+def test_source_states_follow_the_runs(spark, tmp_path):
+    """The fold, and the stream with runs that come late, equal the state run by run. Source s0's newest run is still running."""
+    from headrow.operators.health import due_sources, fold_stream_state
+
+    rows = [*run_log(random.Random(3)), (63, "live", "s0", dt.datetime(2024, 1, 5), None, "running", None)]
+    want = {(f"s{k}", *state_by_run([r for r in rows if r[2] == f"s{k}"])) for k in range(3)}
+    runs = spark.createDataFrame(rows, RUNS)
+    sources = spark.createDataFrame([(f"s{i}", 600, True) for i in range(3)], "source_id string, interval_seconds long, enabled boolean")
+    states = fold_stream_state(runs, sources)
+    assert {tuple(r) for r in states.select(STATES).collect()} == want
+    due = {r.source_id for r in due_sources(sources, states, F.lit(dt.datetime(2024, 1, 1))).collect()}
+    assert due == {w[0] for w in want if w[1] is None}
+    for late in (0, 1):
+        runs.where(F.col("run_id") % 4 == 1 if late else F.col("run_id") % 4 != 1).coalesce(1).write.mode("append").parquet(f"{tmp_path}/runs")
+        out = jobs.stream_source_state(spark.readStream.schema(runs.schema).parquet(f"{tmp_path}/runs"), sources)
+        keep = lambda batch, n: batch.write.mode("overwrite").parquet(f"{tmp_path}/out/batch={n}")
+        out.writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
+    last = {r.source_id: tuple(r[c] for c in STATES) for r in spark.read.parquet(f"{tmp_path}/out").orderBy("batch").collect()}
+    assert set(last.values()) == want
 
 
 @pytest.mark.parametrize("rows_a_chunk", [1, 7, 1000])
-def test_source_state_folds_chunks_in_run_order(rows_a_chunk):
-    """Any division of the runs of two micro-batches into chunks, in any order, gives the state of the fold run by run."""
+def test_source_state_folds_chunks_in_any_order(rows_a_chunk):
+    """Any division of the runs of three micro-batches into chunks, in any order, gives the state run by run."""
 
     class State:
         exists, get = False, None
@@ -162,23 +205,70 @@ def test_source_state_folds_chunks_in_run_order(rows_a_chunk):
         def update(self, value):
             self.exists, self.get = True, value
 
-    rnd, t = random.Random(9), pd.Timestamp("2024-01-01")
-    for n in range(40):
-        ids = list(range(60))
-        kinds = [rnd.choice(["live"] * 4 + ["history"]) for _ in ids]
-        statuses = [rnd.choice(["success", "not_modified", "failed", "failed", "failed"] if n % 2 else ["failed", "skipped"]) for _ in ids]
-        rows = [(i, k, s, t + pd.Timedelta(hours=i), t + pd.Timedelta(hours=i, minutes=1), 600) for i, k, s in zip(ids, kinds, statuses)]
-        success, failures, due = None, 0, None
-        for _, kind, status, _, end, interval in rows:
-            if kind == "live" and status in ("success", "not_modified"):
-                success, failures, due = end, 0, end + pd.Timedelta(seconds=interval)
-            elif kind == "live" and status == "failed":
-                failures, due = failures + 1, end + pd.Timedelta(seconds=min(jobs.MAX_DELAY, jobs.BASE_DELAY * 2 ** min(20, failures)))
-        live = [i for i, k in enumerate(kinds) if k == "live"]
-        state = State()
-        for part in (rows[:25], rows[25:]):
-            rnd.shuffle(part)
+    rnd = random.Random(9)
+    for _ in range(40):
+        rows = [(*r[:2], "s", *r[3:]) for r in run_log(rnd)]
+        state, last = State(), None
+        parts = [rows[:25], rows[45:], rows[25:45]]
+        for part in parts:
+            part = rnd.sample(part, len(part))
             chunks = [part[i : i + rows_a_chunk] for i in range(0, len(part), rows_a_chunk)]
-            columns = ["run_id", "run_kind", "status", "started_at", "finished_at", "interval_seconds"]
-            list(jobs._fold(("s",), iter([pd.DataFrame(c, columns=columns) for c in chunks]), state))
-        assert state.get == (live[-1], rows[live[-1]][3], success, failures, due)
+            frames = [pd.DataFrame(c, columns=[x.split()[0] for x in RUNS.split(", ")]).assign(interval_seconds=600) for c in chunks]
+            for f in frames:
+                for c in ("started_at", "finished_at"):
+                    f[c] = pd.to_datetime(f[c])
+            last = list(jobs._fold(("s",), iter(frames), state))[0].iloc[0]
+        assert tuple(None if pd.isna(x) else x for x in last[["next_run_at", "last_attempt_at", "last_success_at", "consecutive_failures"]]) == state_by_run(rows)
+
+
+def test_validators_across_blocks(spark):
+    """Stored values run by run equal those of windows inside small blocks and of one whole block."""
+    from headrow.operators.health import validator_state
+
+    rnd = random.Random(4)
+    rows = [(i, "live", f"s{rnd.randrange(2)}", rnd.choice(["success", "not_modified", "not_modified", "failed"]), rnd.choice([None, f"e{i}"]), rnd.choice([None, f"m{i}"]), rnd.choice([None, "a", "b"])) for i in range(300)]
+    want, now = {}, {}
+    for i, _, source, status, etag, modified, identity in rows:
+        if status == "failed":
+            continue
+        e, m, stored = now.get(source, (None, None, None))
+        kept = (etag, modified) if status == "success" else (etag or e, modified or m)
+        want[i] = (source, status, *kept, identity, status == "not_modified" and stored != identity)
+        now[source] = (*kept, identity)
+    runs = spark.createDataFrame(rows, "run_id long, run_kind string, source_id string, status string, response_etag string, response_last_modified string, request_identity string")
+    for bits in (2, 12):
+        got = {r.run_id: tuple(r)[1:] for r in validator_state(runs, bits).select("run_id", "source_id", "status", "etag", "last_modified", "request_identity", "identity_error").collect()}
+        assert got == want
+
+
+def test_cut_tables_of_two_threads(spark):
+    """Each thread's collector has only its own tables, so neither deletes the other's."""
+    import threading
+
+    from headrow.plans.lineage import collecting, discard
+
+    both, seen, failed = threading.Barrier(2, timeout=60), {}, []
+
+    def work(name):
+        try:
+            used = []
+            with collecting(used):
+                both.wait()
+                mine = cut(spark.range(10))
+                both.wait()
+            seen[name] = list(used)
+            both.wait()
+            if name == "a":
+                discard(spark, used)
+            both.wait()
+            if name == "b":
+                assert mine.count() == 10
+        except Exception as e:  # noqa: BLE001
+            failed.append(e)
+
+    threads = [threading.Thread(target=work, args=(n,)) for n in "ab"]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert not failed and len(seen["a"]) == len(seen["b"]) == 1 and seen["a"] != seen["b"]

@@ -1,7 +1,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from headrow.functions.checks import encode_metrics
 from headrow.sources import archive_tables as tables
+from headrow.sources import candidates as cand
 from headrow.sources import payloads as pay
 
 RSS = """<?xml version="1.0"?><!-- c --><rss version="2.0" xmlns:dc="http://purl.org/dc/elements/1.1/"><channel><title>x</title>
@@ -56,14 +58,64 @@ def test_html_listing(spark):
     assert [tuple(r)[1:] for r in rows] == [(0, "One", "https://e/a/1.html", "1", "20260917080000"), (1, "Two x", "https://o/2", None, None)]
 
 
-def test_archive_round_trip_and_commit(spark, tmp_path):
+def test_json_metrics_keep_their_types(spark):
+    text = '{"d":[{"id":1,"t":"A","n":7,"f":1.5,"s":" x ","b":true,"a":["Infinity",{"c":null}],"z":null},{"id":2,"t":"B","n":1e999,"s":" "}]}'
+    names = ("n", "f", "s", "b", "a", "z", "none")
+    spec = pay.JsonSpec(entries="$.d", title=("$.t",), id="$.id", url_template="https://e/{id}", metrics=tuple((n, f"$.{n}") for n in names))
+    rows = pay.extract_json_listing(spark.createDataFrame([(1, text), (2, text.replace('"Infinity",', ""))], "run_id int, text string"), spec, ["run_id"])[0]
+    got = {(r.run_id, r.external_id): (r.metrics, r.ok) for r in rows.withColumn("ok", encode_metrics(F.col("metrics")).isNotNull()).collect()}
+    assert got[1, "1"] == ('{"n":7,"f":1.5,"s":"x","b":true,"a":["Infinity",{"c":null}]}', True)
+    assert got[2, "2"] == ('{"n":Infinity}', False)
+
+
+def test_payload_status_fails_the_run(spark):
+    spec = pay.JsonSpec(entries="$.d", title=("$.t",), id="$.id", url_template="https://e/{id}", envelope=("$.ok", "1"), exclude=(("$.ad", ("1",)),))
+    texts = ['{"ok":1,"d":[{"id":1,"t":"A"}]}', "{broken", '{"ok":0,"d":[]}', '{"ok":1,"d":[]}', '{"ok":1,"d":[{"id":1}]}', '{"ok":1,"d":[{"id":1,"t":"Ad","ad":1}]}', '{"ok":1}']
+    entries, status = pay.extract_json_listing(spark.createDataFrame(list(enumerate(texts)), "run_id int, text string"), spec, ["run_id"])
+    two = status.unionByName(spark.createDataFrame([(0, "ok"), (7, "ok"), (7, "malformed")], "run_id int, status string"))
+    got = {r.run_id: r.status for r in cand.extraction_status(entries, cand.eligible(entries), two).collect()}
+    assert got == {0: "ok", 1: "failed", 2: "failed", 3: "ok", 4: "failed", 5: "ok", 6: "failed", 7: "failed"}
+
+
+def test_unusable_entries_take_no_key_and_no_place(spark):
+    rows = [(1, 0, 0, "2", "", False, False, 9), (1, 0, 1, "2", "B", True, False, 3), (1, 1, 2, "3", "Ad", True, True, 8), (1, 1, 3, "2", "C", True, False, 7), (1, 1, 4, "", "D", True, False, 6)]
+    df = spark.createDataFrame(rows, "run_id int, payload_no int, entry_pos int, external_id string, title string, usable boolean, excluded boolean, published_at int").withColumn("url", F.lit(""))
+    assert [r.title for r in cand.dedupe_in_payload(df, F.nullif(F.col("external_id"), F.lit(""))).orderBy("entry_pos").collect()] == ["B", "D"]
+    assert [(r.position, r.title) for r in cand.merge_feeds_by_recency(df, 2).orderBy("position").collect()] == [(1, "C"), (2, "D")]
+    assert [(r.position, r.title) for r in cand.merge_feeds_dedupe(df, 9).orderBy("position").collect()] == [(1, "B")]
+
+
+def test_html_listing_is_linear(spark):
+    html = "<ul>" + "<li><a href='/x'>t</a></b>" * 20_000 + "</ul>"
+    spec = pay.HtmlSpec(row="ul > li", link="a[href]", base_url="https://e/")
+    assert pay.extract_html_listing(spark.createDataFrame([(1, html)], "run_id int, text string"), spec, ["run_id"]).count() == 1
+
+
+def test_archive_commits(spark, tmp_path):
     df = spark.createDataFrame([("s", "news")], "source_id string, surface string")
-    tables.write_archive({"source_surfaces": df}, f"{tmp_path}/a")
-    assert tables.read_archive(spark, f"{tmp_path}/a", ["source_surfaces"])["source_surfaces"].count() == 1
-    with pytest.raises(ValueError, match="surface"):
-        tables.check_layout("source_surfaces", df.select("source_id"))
+    root = f"{tmp_path}/a"
+    with pytest.raises(ValueError, match="missing"):
+        tables.read_archive(spark, root, ["source_surfaces"])
+    tables.write_archive({"source_surfaces": df}, root)
+    with pytest.raises(ValueError, match="surface"):  # checked before anything is written
+        tables.write_archive({"source_surfaces": df.select("source_id")}, root)
+    assert tables.read_archive(spark, root, ["source_surfaces"])["source_surfaces"].count() == 1
+
+
+def test_run_outputs_are_all_or_none(spark, tmp_path):
+    """A retry that fails half way leaves the committed attempt readable; one that ends replaces it."""
+    one = spark.createDataFrame([("s", "news")], "source_id string, surface string")
+    bad = one.withColumn("surface", F.raise_error(F.lit("lost")).cast("string"))
     root = f"{tmp_path}/runs"
-    for _ in range(2):  # a retry leaves one copy
-        tables.write_run_outputs(spark, root, "b1", {"source_surfaces": df})
-    df.write.parquet(f"{root}/source_surfaces/batch=b2")  # never committed
-    assert tables.read_committed(spark, root, "source_surfaces").count() == 1
+    assert tables.read_committed(spark, root, "source_surfaces") is None
+    with pytest.raises(Exception, match="lost"):
+        tables.write_run_outputs(spark, root, "b1", {"source_surfaces": one, "sources": bad})
+    assert tables.read_committed(spark, root, "source_surfaces") is None
+    tables.write_run_outputs(spark, root, "b1", {"source_surfaces": one})
+    reader = tables.read_committed(spark, root, "source_surfaces")
+    with pytest.raises(Exception, match="lost"):
+        tables.write_run_outputs(spark, root, "b1", {"source_surfaces": one.unionByName(one), "sources": bad})
+    assert tables.read_committed(spark, root, "source_surfaces").count() == reader.count() == 1
+    tables.write_run_outputs(spark, root, "b1", {"source_surfaces": one.unionByName(one)})
+    tables.write_run_outputs(spark, root, "b2", {"source_surfaces": one})
+    assert tables.read_committed(spark, root, "source_surfaces").count() == 3 and reader.count() == 1
