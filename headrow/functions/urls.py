@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import StringType
 
-from headrow.functions.text import SPACES, none_if_blank, strip
+from headrow.functions.text import SPACES, let, none_if_blank, strip
 
 # Query keys that only track, default ports, and headers that are safe to show.
 TRACKING_KEYS = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "fbclid", "gclid")
@@ -30,56 +30,71 @@ def _host_and_port(netloc: Column) -> tuple[Column, Column]:
 
 def normalize_url_for_identity(url: Column) -> Column:
     """Scheme and host lower-cased, default port, user information and fragment dropped; path and query as they are."""
-    text = strip(url)
-    scheme = F.lower(_part(text, 1))
-    host, port = _host_and_port(_part(text, 2))
-    number = F.regexp_replace(port, "^0+(?=[0-9])", "")
-    default = F.coalesce(F.create_map(*(F.lit(x) for kv in DEFAULT_PORTS.items() for x in kv))[scheme], F.lit(""))
-    netloc = F.when((port == "") | (number == default), host).otherwise(F.concat(host, F.lit(":"), number))
-    path = _part(text, 3)
-    path = F.when((netloc != "") & (path != "") & ~path.startswith("/"), F.concat(F.lit("/"), path)).otherwise(path)
-    query = _part(text, 4)
-    return F.concat(
-        F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(""),
-        F.when(netloc != "", F.concat(F.lit("//"), netloc)).otherwise(""),
-        path,
-        F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""),
-    )
+
+    def named(scheme: Column, authority: Column) -> Column:
+        host, port = _host_and_port(authority)
+        default = F.coalesce(F.create_map(*(F.lit(x) for kv in DEFAULT_PORTS.items() for x in kv))[scheme], F.lit(""))
+        shown = lambda number: F.when((number == "") | (number == default), host).otherwise(F.concat(host, F.lit(":"), number))
+        return let(F.regexp_replace(port, "^0+(?=[0-9])", ""), shown)
+
+    def joined(parts: Column, netloc: Column) -> Column:
+        scheme, path, query = (F.get(parts, F.lit(i)) for i in (0, 2, 3))
+        path = F.when((netloc != "") & (path != "") & ~path.startswith("/"), F.concat(F.lit("/"), path)).otherwise(path)
+        return F.concat(
+            F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(""),
+            F.when(netloc != "", F.concat(F.lit("//"), netloc)).otherwise(""),
+            path,
+            F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""),
+        )
+
+    def whole(text: Column) -> Column:
+        parts = F.array(F.lower(_part(text, 1)), *(_part(text, i) for i in (2, 3, 4)))
+        return let(parts, lambda p: let(named(F.get(p, F.lit(0)), F.get(p, F.lit(1))), lambda netloc: joined(p, netloc)))
+
+    return let(strip(url), whole)
 
 
 def canonicalize_url(url: Column) -> Column:
     """normalize_url_for_identity() without tracking query components; the others keep order, repeats and encoding."""
-    normal = normalize_url_for_identity(url)
-    base, query = F.substring_index(normal, "?", 1), F.regexp_extract(normal, r"(?s)^[^?]*\?(.*)$", 1)
 
     def is_tracking(component: Column) -> Column:
         key = F.replace(F.substring_index(component, "=", 1), F.lit("+"), F.lit("%2B"))
         return F.lower(F.coalesce(F.try_url_decode(key), key)).isin(*TRACKING_KEYS)
 
-    kept = F.array_join(F.filter(F.split(query, "&"), lambda c: ~is_tracking(c)), "&")
-    return F.when(kept != "", F.concat(base, F.lit("?"), kept)).otherwise(base)
+    def whole(normal: Column) -> Column:
+        base, query = F.substring_index(normal, "?", 1), F.regexp_extract(normal, r"(?s)^[^?]*\?(.*)$", 1)
+        kept = F.array_join(F.filter(F.split(query, "&"), lambda c: ~is_tracking(c)), "&")
+        return let(kept, lambda k: F.when(k != "", F.concat(base, F.lit("?"), k)).otherwise(base))
+
+    return let(normalize_url_for_identity(url), whole)
 
 
 def url_identity_key(url: Column) -> Column:
     return F.concat(F.lit("url:"), normalize_url_for_identity(url))
 
 
+def external_key(external_id: Column, provider_id: Column) -> Column:
+    """external:{provider}:{id}; null if the id is blank."""
+    return F.concat(F.lit("external:"), provider_id, F.lit(":"), none_if_blank(external_id))
+
+
 def identity_key(url: Column, external_id: Column, provider_id: Column) -> Column:
-    """external:{provider}:{id} if the id isn't blank, else the URL's key."""
-    own = none_if_blank(external_id)
-    return F.when(own.isNotNull(), F.concat(F.lit("external:"), provider_id, F.lit(":"), own)).otherwise(url_identity_key(url))
+    """external_key() if the id isn't blank, else the URL's key."""
+    return F.coalesce(external_key(external_id, provider_id), url_identity_key(url))
 
 
 def is_http_url(url: Column) -> Column:
     """An absolute http(s) URL with a host, a valid port and no white space, control or reserved characters; false for null."""
-    netloc = _part(url, 2)
-    host, port = _host_and_port(netloc)
-    bare = F.regexp_replace(netloc, "^.*@", "")
+
+    def sound(netloc: Column) -> Column:
+        host, port = _host_and_port(netloc)
+        bare = F.regexp_replace(netloc, "^.*@", "")
+        brackets = bare.rlike(r"^\[[0-9a-fA-F:.]*:[0-9a-fA-F:.]*\](:|$)") | ~bare.rlike(r"[\[\]]")
+        valid = lambda p: (p == "") | (p.rlike("^[0-9]{1,9}$") & (F.try_to_number(p, F.lit("999999999")) <= 65535))
+        return ~host.isin("", "[]") & brackets & let(port, valid)
+
     clean = ~url.rlike(f'[{SPACES}\\u0000-\\u001f\\u007f"<>\\\\^`{{|}}]')
-    brackets = bare.rlike(r"^\[[0-9a-fA-F:.]*:[0-9a-fA-F:.]*\](:|$)") | ~bare.rlike(r"[\[\]]")
-    ports = (port == "") | (port.rlike("^[0-9]{1,9}$") & (F.try_to_number(port, F.lit("999999999")) <= 65535))
-    ok = clean & F.lower(_part(url, 1)).isin("http", "https") & ~host.isin("", "[]") & brackets & ports
-    return F.coalesce(ok, F.lit(False))
+    return F.coalesce(clean & F.lower(_part(url, 1)).isin("http", "https") & let(_part(url, 2), sound), F.lit(False))
 
 
 def upstream_host(url: Column) -> Column:
