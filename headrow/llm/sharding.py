@@ -2,88 +2,103 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from headrow.plans.lineage import cut
 
-_BITS = 12  # of the key that a round of probes looks at
+_MOST_BITS = 12  # of the key that a round of probes looks at
+_MOST_CELLS = 1 << 16  # counts that reach the driver in a round
 _KEY_BITS = 64
+_LOW = -(1 << 63)
 
 
-def _cell(key: Column, bits: int) -> Column:
+def _leading(key: Column, bits: int) -> Column:
     """The leading bits of a signed 64-bit key, in the key's order."""
     return F.shiftright(key, _KEY_BITS - bits)
 
 
-def find_splitters(rows: DataFrame, shards: int, tolerance: int) -> list[tuple[int, int]]:
-    """Keys (k1, k2) such that shard i has the rows from splitter i - 1 up to, not including, splitter i.
+def find_splitters(rows: DataFrame, targets: list[int], tolerances: list[int]) -> list[tuple[int, int]]:
+    """Keys (k1, k2), one for each target: the bytes of all rows below it are within its tolerance of the target.
 
-    rows: (k1, k2, size), k1 and k2 signed 64-bit, read as one 128-bit key. Each round counts, exactly and over all partitions,
-    bytes in the 4,096 cells below each open interval of keys, and narrows every splitter to one cell of it.
-    A splitter is settled when a boundary is within tolerance bytes of its target, or at the nearer side of the one
-    row on which the target falls. At most 4,096 counts for each open splitter reach the driver, whatever the input.
+    rows: (k1, k2, size), k1 and k2 signed 64-bit, read as one 128-bit key; targets ascend. Each round counts, exactly and over all partitions,
+    bytes in the cells below each open interval of keys (4,096, or fewer where many are open), and narrows every splitter to one cell of
+    it. A splitter is settled when a boundary is within its tolerance, or at the nearer side of the one row on which the target falls. At
+    most 65,536 counts reach the driver in a round, or two for each open splitter, whatever the input.
     """
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    targets = [total * i // shards for i in range(1, shards)]
-    low = -(1 << 63)
-    # an open interval: the key bits fixed so far (of k1, then of k2), bytes below it, the splitters that look into it
-    open_: dict[tuple[int, ...], tuple[int, list[int]]] = {(): (0, list(range(shards - 1)))}
+    spark = rows.sparkSession
     settled: dict[int, tuple[int, int]] = {}
-    depth, per_key = 0, -(-_KEY_BITS // _BITS)
-    while open_ and total:
-        column, used = ("k1", depth) if depth < per_key else ("k2", depth - per_key)
-        bits = min(_BITS * (used + 1), _KEY_BITS)
-        cell = _cell(F.col(column), bits)
-        if depth == 0:
-            held = rows.select(F.lit(0).alias("at"), cell.alias("cell"), "size")
+    # an open interval: the key bits fixed so far (of k1, then of k2), bytes below it, the splitters that look into it
+    open_: dict[tuple[int, ...], tuple[int, list[int]]] = {(): (0, list(range(len(targets))))} if targets else {}
+    done = 0
+    while open_:
+        column, used = ("k1", done) if done < _KEY_BITS else ("k2", done - _KEY_BITS)
+        width = max(1, min(_MOST_BITS, (_MOST_CELLS // len(open_)).bit_length() - 1))
+        bits = min(used + width, _KEY_BITS)
+        cell = _leading(F.col(column), bits).alias("cell")
+        if done == 0:
+            held = rows.select(F.lit(0).alias("at"), cell, "size")
+        elif done <= _KEY_BITS:
+            known = spark.createDataFrame([(p[0], i) for i, p in enumerate(open_)], "parent long, at int")
+            held = rows.withColumn("parent", _leading(F.col("k1"), done)).join(F.broadcast(known), "parent").select("at", cell, "size")
         else:
-            number = {prefix: i for i, prefix in enumerate(open_)}
-            spark = rows.sparkSession
-            if depth <= per_key:
-                parent = _cell(F.col("k1"), min(_BITS * depth, _KEY_BITS))
-                known = spark.createDataFrame([(p[0], i) for p, i in number.items()], "parent long, at int")
-                held = rows.withColumn("parent", parent).join(F.broadcast(known), "parent")
-            else:
-                parent = _cell(F.col("k2"), min(_BITS * (depth - per_key), _KEY_BITS))
-                known = spark.createDataFrame([(p[0], p[1], i) for p, i in number.items()], "k1 long, parent long, at int")
-                held = rows.withColumn("parent", parent).join(F.broadcast(known), ["k1", "parent"])
-            held = held.select("at", cell.alias("cell"), "size")
+            known = spark.createDataFrame([(*p, i) for i, p in enumerate(open_)], "k1 long, parent long, at int")
+            held = rows.withColumn("parent", _leading(F.col("k2"), used)).join(F.broadcast(known), ["k1", "parent"]).select("at", cell, "size")
         counts: dict[int, list[tuple[int, int, int]]] = {}
         for r in held.groupBy("at", "cell").agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("n")).collect():
             counts.setdefault(r["at"], []).append((r["cell"], r["b"], r["n"]))
+        last = column == "k2" and bits == _KEY_BITS
         following: dict[tuple[int, ...], tuple[int, list[int]]] = {}
         for i, (prefix, (below, splitters)) in enumerate(open_.items()):
-            ordered = sorted(counts.get(i, []))
+            cells = sorted(counts.get(i, []))
+            start = lambda c, prefix=prefix: (c << (_KEY_BITS - bits), _LOW) if column == "k1" else (prefix[0], c << (_KEY_BITS - bits))
+            n, at = 0, below  # targets ascend, so each looks on from where the one before it stopped
             for s in splitters:
-                at = below
-                for n, (c, b, held_rows) in enumerate(ordered):
-                    if at + b > targets[s] or n == len(ordered) - 1:
-                        break
-                    at += b
-                start = lambda c: (c << (_KEY_BITS - bits), low) if column == "k1" else (prefix[0], c << (_KEY_BITS - bits))
+                while n < len(cells) - 1 and at + cells[n][1] <= targets[s]:
+                    at += cells[n][1]
+                    n += 1
+                if not cells:
+                    settled[s] = (_LOW, _LOW)
+                    continue
+                c, b, n_rows = cells[n]
                 short, over = targets[s] - at, at + b - targets[s]
-                whole_row = held_rows == 1 or (bits == _KEY_BITS and column == "k2")
-                after = start(ordered[n + 1][0]) if n + 1 < len(ordered) else None
-                if short <= tolerance or whole_row and short <= over:
+                after = start(cells[n + 1][0]) if n + 1 < len(cells) else None
+                if short <= tolerances[s] or (n_rows == 1 or last) and (short <= over or not after and last):
                     settled[s] = start(c)
-                elif after and (over <= tolerance or whole_row):
+                elif after and (over <= tolerances[s] or n_rows == 1 or last):
                     settled[s] = after
-                elif whole_row and bits == _KEY_BITS and column == "k2":
-                    settled[s] = start(c)
                 else:
                     following.setdefault((c,) if column == "k1" else (prefix[0], c), (at, []))[1].append(s)
-        open_, depth = following, depth + 1
-    return [settled.get(s, (low, low)) for s in range(shards - 1)]
+        open_, done = following, done + bits - used
+    return [settled[s] for s in range(len(targets))]
+
+
+def _places(splitters: list[tuple[int, int]]) -> Column:
+    """How many of the ascending splitters a row's key (k1, k2) has reached, by binary search."""
+    n = len(splitters)
+    if not n:
+        return F.lit(0)
+    a, b = (F.lit([s[i] for s in splitters]) for i in (0, 1))
+    k1, k2 = F.col("k1"), F.col("k2")
+
+    def step(found: Column, stride: Column) -> Column:
+        i = found + stride - 1
+        x = F.get(a, i)
+        reached = (x < k1) | ((x == k1) & (F.get(b, i) <= k2))
+        return F.when((i < n) & reached, found + stride).otherwise(found)
+
+    strides = F.lit([1 << i for i in reversed(range(n.bit_length()))])
+    return F.aggregate(strides, F.lit(0), step)
 
 
 def shard_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 40, tolerance: float = 0.001, keep: list[str] | None = None) -> DataFrame:
-    """Add size, text_crc32, shard (0 to shards - 1) and slot (gapless from 0 in each shard) for every row.
+    """Add size, text_crc32, shard (0 to shards - 1) and slot (gapless from 0 in each shard, in the order of keys) for every row.
 
     size is the text's UTF-8 bytes (null: none) plus 16; shards have nearly equal bytes: each splitter is within
     tolerance of a shard's share, or as near as whole rows allow. Rows are sorted by a 64-bit hash of the text and then by a hash of the id,
     so equal texts lie together and a group of copies is cut only where a splitter falls into it; a hot group is
-    spread over as many shards as its bytes fill. Splitters come from find_splitters(); rows are exchanged
-    once, by range of (shard, key); slots come from the row counts of the exchanged partitions.
+    spread over as many shards as its bytes fill. find_splitters() cuts each shard into parts too (as many parts in all as there are shuffle
+    partitions, or one a shard, within a twentieth of a part); rows are exchanged once, each to the partition of its part, and a slot is the
+    row's place there behind the rows of the shard's parts before it, which were counted.
 
     Null ids sort with a hash of their own; repeated rows each have a slot; columns named like a new one are replaced; an empty
     table gives an empty one.
@@ -102,16 +117,18 @@ def shard_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
         )
     )
     total = rows.agg(F.sum("size")).first()[0] or 0
-    splitters = find_splitters(rows.select("k1", "k2", "size"), shards, max(0, int(total / shards * tolerance)))
-    above = [((F.col("k1") > k1) | ((F.col("k1") == k1) & (F.col("k2") >= k2))).cast("int") for k1, k2 in splitters]
-    shard = sum(above[1:], above[0]) if above else F.lit(0)
-    placed = rows.withColumn("shard", shard)
-    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), shards)
-    sorted_ = placed.repartitionByRange(parts, "shard", "k1", "k2").sortWithinPartitions("shard", "k1", "k2")
-    index = F.monotonically_increasing_id()
-    sorted_ = cut(sorted_.withColumn("part", F.shiftright(index, 33).cast("int")).withColumn("index", index.bitwiseAND(F.lit((1 << 33) - 1))))
-    runs = sorted_.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n"), F.min("index").alias("from"))
-    before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.select("shard", "part", "from", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    out = sorted_.join(runs, ["shard", "part"])
-    return out.select(*(F.col(n).alias(c) for n, c in zip(names, kept)), "size", "text_crc32", "shard", (F.col("index") - F.col("from") + F.col("offset")).alias("slot"))
+    each = -(-int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")) // shards)
+    parts = shards * each
+    targets = [total * i // parts for i in range(1, parts)]
+    near = [int(total / shards * tolerance) if i % each == 0 else total // (20 * parts) for i in range(1, parts)]
+    keys = rows.select("k1", "k2", "size")
+    placed = rows.withColumn("part", _places(find_splitters(keys, targets, near) if total else []))
+
+    counts = {r["part"]: r["n"] for r in placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most parts rows
+    before = [sum(counts.get(p, 0) for p in range(q - q % each, q)) for q in range(parts)]
+    sorted_ = placed.repartitionById(parts, F.col("part")).sortWithinPartitions("k1", "k2")
+    index = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # the row's place in its partition
+    return sorted_.select(
+        *(F.col(n).alias(c) for n, c in zip(names, kept)), "size", "text_crc32", F.floor(F.col("part") / each).cast("int").alias("shard"),
+        (index + F.get(F.lit(before).cast("array<long>"), F.col("part"))).alias("slot"),
+    )

@@ -526,6 +526,43 @@ def test_shards_are_even_and_slots_gapless(spark, hot):
     assert all(g.max() - g.min() <= 1 for t, g in rows.groupby("text")["shard"] if t != "copy")
 
 
+@pytest.mark.parametrize("hot", [0, 2])
+def test_sharding_equals_brute_force(spark, hot):
+    """Shards and slots from a plain sort: each boundary is within the tolerance of its target, or one of the two nearest to it."""
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    if hot:
+        df = df.withColumn("text", F.when(F.col("doc_id") % hot == 0, "copy" * 300).otherwise(F.col("text")))
+    got = {r.doc_id: (r.shard, r.slot) for r in shard_rows(df, shards=6, tolerance=0.01, keep=["doc_id"]).collect()}
+    rows = sorted(df.select(F.xxhash64("text"), F.xxhash64(F.col("doc_id").cast("string")), F.octet_length("text") + 16, "doc_id").collect())
+    ends = list(np.cumsum([0, *(r[2] for r in rows)]))
+    total = ends[-1]
+    order = [got[r[3]] for r in rows]
+    assert order == sorted(order) and {s for s, _ in order} == set(range(6))
+    for i in range(1, 6):
+        at = ends[sum(s < i for s, _ in order)]
+        off = abs(at - total * i // 6)
+        assert off <= total / 6 * 0.01 or off == min(abs(e - total * i // 6) for e in ends)
+    assert [x for _, x in order] == [k for i in range(6) for k in range(sum(s == i for s, _ in order))]
+
+
+def test_splitters_of_equal_keys(spark):
+    """Rows of one key can't be split; targets inside them settle at a side, and many targets at once look at fewer cells."""
+    from headrow.llm.sharding import find_splitters
+
+    df = spark.range(100).select(F.lit(5).cast("long").alias("k1"), F.lit(7).cast("long").alias("k2"), F.lit(10).cast("long").alias("size"))
+    assert find_splitters(df, [500], [0])[0] in [(5, 7), (5, 8), (-(1 << 63), -(1 << 63))]
+    df = spark.range(5000).select(F.xxhash64("id").alias("k1"), F.col("id").alias("k2"), F.lit(1).cast("long").alias("size"))
+    keys = sorted(tuple(r) for r in df.select("k1", "k2").collect())
+    found = find_splitters(df, list(range(5, 5000, 5)), [0] * 999)
+    assert [sum(k < s for k in keys) for s in found[::97]] == list(range(5, 5000, 5))[::97] and found == sorted(found)
+
+
+def test_sharding_clashing_names(spark):
+    df = docs(spark).withColumn("shard", F.lit("x")).withColumn("c0", F.lit("y")).withColumn("part", F.lit("z"))
+    rows = shard_rows(df, shards=3).collect()
+    assert len(rows) == len(ODD) and {(r.c0, r.part, type(r.shard)) for r in rows} == {("y", "z", int)}
+
+
 def test_sharding_odd_rows(spark):
     df = docs(spark).unionByName(docs(spark)).withColumn("doc_id", F.when(F.col("doc_id") > 2, F.col("doc_id")))
     rows = shard_rows(df, shards=5).toPandas()
