@@ -27,6 +27,13 @@ def slices(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.Record
         yield batch.slice(start)
 
 
+def free_name(name: str, taken: Iterable[str]) -> str:
+    """name, with as many underscores behind it as it takes to differ from the others."""
+    while name in {*taken}:
+        name += "_"
+    return name
+
+
 def map_text(
     df: DataFrame,
     column: str,
@@ -45,7 +52,7 @@ def map_text(
 
     new = StructType.fromDDL(schema)
     kept = [c for c in (df.columns if keep is None else keep) if c not in new.names]
-    text = column if column in kept else "__text"
+    text = column if column in kept else free_name("__text", kept)
     source = df.select(*(df[c] for c in kept), *([] if column in kept else [df[column].alias(text)]))
     out = StructType([*(source.schema[c] for c in kept), *new.fields])
     names = [*kept, *new.names]

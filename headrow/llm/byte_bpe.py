@@ -61,6 +61,8 @@ class ByteBpe:
         self.split = regex.compile(pattern).findall
         back = {c: b for b, c in enumerate(self.chars)}
         self.bytes_of = {i: bytes(back[c] for c in t) for t, i in self.tok.get_vocab().items()}
+        self.lengths = np.zeros(max(self.bytes_of, default=-1) + 1, np.int64)
+        self.lengths[list(self.bytes_of)] = list(map(len, self.bytes_of.values()))
         self.remember = remember
 
     def learn(self, pieces: set[str], known: dict[str, bytes]) -> None:
@@ -94,6 +96,14 @@ class ByteBpe:
             at += len(self.bytes_of[i])
         return out
 
+    def broken(self, text: str, ids: np.ndarray) -> int:
+        """How many of a text's ids start inside a character."""
+        if text.isascii():
+            return 0
+        ends = np.cumsum(self.lengths[ids])
+        raw = np.frombuffer(text.encode(), np.uint8)
+        return int(np.count_nonzero((raw[ends[:-1]] & 0xC0) == 0x80))
+
     def decode(self, ids: list[int]) -> bytes:
         """Bytes of ids; characters split over several ids come together here, ids unknown to the vocabulary raise KeyError."""
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -110,7 +120,8 @@ def encode_bytes_bpe(
     """Add ids (array of int) and starts (byte offset of each id in the UTF-8 text) for every row.
 
     Each match of pattern is encoded separately, by ranks, without special tokens. A null or empty text has empty
-    arrays; whole texts of any length are encoded; columns named like a new one are replaced.
+    arrays; whole texts of any length are encoded; repeated rows are encoded each; columns named ids or starts are replaced; an empty table gives
+    an empty one.
     """
 
     def make():
@@ -128,7 +139,8 @@ def encode_bytes_bpe(
 def decode_bytes_bpe(df: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids", keep: list[str] | None = None) -> DataFrame:
     """Add decoded (binary: the bytes of ids) and decoded_text (its UTF-8 text; bytes that are no whole character become U+FFFD).
 
-    Null ids give null in both; ids outside the vocabulary fail the task.
+    Null ids give null in both, no ids give empty ones; ids outside the vocabulary fail the task. Repeated rows are decoded each; columns
+    named decoded or decoded_text are replaced; an empty table gives an empty one.
     """
     from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
@@ -152,10 +164,13 @@ def decode_bytes_bpe(df: DataFrame, ranks_path: str, pattern: str, ids_col: str
 def round_trip_digests(
     df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", keep: list[str] | None = None, batch_bytes: int = 1 << 20
 ) -> DataFrame:
-    """Add n_tokens, ids_sha256 (ids as little-endian unsigned 32-bit) and decoded_sha256 (the decoded bytes) for every row.
+    """Add n_tokens, n_split (tokens that start inside a character, by their offsets), ids_sha256 (ids as little-endian unsigned 32-bit) and
+    decoded_sha256 (the decoded bytes) for every row.
 
-    Encoding and decoding happen in the same task, so neither ids nor bytes leave it. Null counts as empty.
+    Encoding and decoding happen in the same task, so neither ids nor bytes leave it. Null counts as empty; whole texts of any length are
+    encoded; repeated rows are encoded each; columns named like a new one are replaced; an empty table gives an empty one.
     """
+
     def make():
         codec, known = _codec(ranks_path, pattern), {}
         sha = lambda b: hashlib.sha256(b).hexdigest()
@@ -164,10 +179,11 @@ def round_trip_digests(
             packed = codec.packed(texts, known)
             return {
                 "n_tokens": pa.array([len(x) // 4 for x in packed], pa.int64()),
+                "n_split": pa.array([codec.broken(t, np.frombuffer(x, "<u4")) for t, x in zip(texts, packed)], pa.int64()),
                 "ids_sha256": pa.array([sha(x) for x in packed], pa.string()),
                 "decoded_sha256": pa.array([sha(codec.decode(np.frombuffer(x, "<u4").tolist())) for x in packed], pa.string()),
             }
 
         return work
 
-    return map_text(df, text_col, make, "n_tokens long, ids_sha256 string, decoded_sha256 string", batch_bytes, keep)
+    return map_text(df, text_col, make, "n_tokens long, n_split long, ids_sha256 string, decoded_sha256 string", batch_bytes, keep)

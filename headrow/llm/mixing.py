@@ -94,7 +94,8 @@ def mix_sources(
     order, those in 128 blocks; whole cells below the budget are taken, and only rows of the cell at the boundary are
     summed one by one. The tree (at most max_leaves leaves, else ValueError) is the only thing that reaches the driver; it is
     broadcast to the rows while its names take at most broadcast_bytes, and joined by exchange beyond that. Rows without tokens
-    go with the others, and once where their leaf has no tokens at all; ties in the order are broken by id and tokens;
+    go with the others, and once where their leaf has no tokens at all; the order hashes id and text, so rows of one id, or of none, are spread, and
+    only repeated rows tie;
     columns named epoch or mix_tokens are replaced; an empty table gives an empty one.
     """
     kept = [c for c in (df.columns if keep is None else keep) if c not in ("epoch", "mix_tokens")]
@@ -105,8 +106,11 @@ def mix_sources(
         *(df[c].alias(n) for c, n in zip(kept, names)),
         *(F.coalesce(x.cast("string"), F.lit("")).alias(n) for x, n in zip(levels, level)),
         F.coalesce(df[id_col].cast("string"), F.lit("")).alias("__id"),
+        F.xxhash64(df[text_col].cast("string")).alias("__bytes"),
         F.coalesce(counted, F.lit(0)).cast("long").alias("mix_tokens"),
     )
+    if text_col not in kept:  # the rows are narrow: texts are read, and tokens counted, once
+        rows = cut(rows)
     sums = rows.groupBy(*level).agg(F.sum("mix_tokens").alias("n")).limit(max_leaves + 1).collect()
     if len(sums) > max_leaves:
         raise ValueError(f"more than {max_leaves} leaves")
@@ -123,7 +127,7 @@ def mix_sources(
         return F.broadcast(made) if held <= broadcast_bytes else made
 
     keyed = rows.join(of_leaves(plan, "__full long, __rest long"), level)
-    order = F.xxhash64(F.lit(seed), F.col("__full"), F.col("__id"))
+    order = F.xxhash64(F.lit(seed), F.col("__full"), F.col("__id"), F.col("__bytes"))
     keyed = keyed.withColumn("__order", order).withColumn("__cell", F.shiftright("__order", 64 - _CELL_BITS))
 
     cells = cut(keyed.where("__rest > 0").groupBy(*level, "__rest", "__cell").agg(F.sum("mix_tokens").alias("n")))
@@ -144,7 +148,7 @@ def mix_sources(
     own = [F.col(n).alias(c) for n, c in zip(names, kept)]
     whole = keyed.withColumn("__n", F.col("__full") + (F.col("__cell") < F.coalesce("__edge", F.lit(0))).cast("long") * (F.col("__rest") > 0).cast("long"))
     whole = whole.where("__n > 0").select(*own, "mix_tokens", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1)).alias("epoch"))
-    running = Window.partitionBy(*level).orderBy("__order", "__id", "mix_tokens").rowsBetween(Window.unboundedPreceding, 0)
+    running = Window.partitionBy(*level).orderBy("__order", "__id", "__bytes").rowsBetween(Window.unboundedPreceding, 0)
     partial = keyed.where("__rest > 0 and __cell = __edge").withColumn("__upto", F.col("__before") + F.sum("mix_tokens").over(running))
     partial = partial.where("__upto <= __rest").select(*own, "mix_tokens", F.col("__full").alias("epoch"))
     return whole.unionByName(partial).select(*kept, "epoch", "mix_tokens")

@@ -12,16 +12,26 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from headrow.llm.batches import map_text, slices, texts_of
+from headrow.llm.batches import free_name, map_text, slices, texts_of
 from headrow.plans.lineage import cut
 
 _SYMBOLS = b"#*$%&|<>"  # fixed values: the symbols that are counted
-CLASSES = ("lower", "upper", "digit", "space", "symbol", "punctuation", "control", "other")
+# The first UTF-8 bytes of the blocks of Unicode, from the one named up to the next.
+_BLOCKS = {
+    "signs": 0xC2, "latin": 0xC3, "phonetic": 0xCA, "greek": 0xCE, "cyrillic": 0xD0, "armenian": 0xD4, "hebrew": 0xD6, "arabic": 0xD8, "syriac": 0xDC, "indic": 0xE0,
+    "georgian": 0xE1, "dashes": 0xE2, "kana": 0xE3, "han": 0xE4, "hangul": 0xEA, "forms": 0xEE, "supplementary": 0xF0,
+}
+CLASSES = ("lower", "upper", "digit", "space", "symbol", "punctuation", "control", *_BLOCKS)
 
 
 def _class_table() -> np.ndarray:
-    """Class of each UTF-8 byte; continuation bytes get the extra last class, which isn't counted."""
-    out = np.full(256, CLASSES.index("other"))
+    """Class of each UTF-8 byte; continuation bytes get the extra last class, which isn't counted.
+
+    A character outside ASCII has the class of its first byte, so its script, or nearly, counts.
+    """
+    out = np.full(256, len(CLASSES))
+    for name, b in _BLOCKS.items():
+        out[b:] = CLASSES.index(name)
     for b in range(128):
         c = chr(b)
         name = (
@@ -183,7 +193,7 @@ def quality_rules(
     columns named like a new one are replaced; an empty table gives an empty one.
     """
     names = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, class_distance double, word_distance double"
-    lang, ref, glue = "__lang", "__ref", "__both"
+    lang, ref, glue = (free_name(n, df.columns) for n in ("__lang", "__ref", "__both"))
     kept = [c for c in (df.columns if keep is None else keep)]
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     source = df.withColumn(lang, F.col(lang_col).cast("string"))
@@ -228,9 +238,9 @@ def quality_rules(
     passed = [c for c in kept if c not in (*new, "base_failed", "kept")]
     local = dict(references)
 
-    def judged(rows: DataFrame, *head: str) -> DataFrame:
+    def judged(rows: DataFrame, head: str) -> DataFrame:
         """A JSON line before each text names its language or has its reference."""
-        glued = rows.withColumn(glue, F.concat(F.to_json(F.struct(*(F.col(c).alias(c[2:]) for c in head))), F.lit("\n"), text))
+        glued = rows.withColumn(glue, F.concat(F.to_json(F.struct(F.col(head).alias("lang" if head == lang else "ref"))), F.lit("\n"), text))
         return map_text(glued, glue, make, names, batch_bytes, passed)
 
     if rest is None:

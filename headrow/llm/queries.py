@@ -59,6 +59,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens here are words; domains are source numbers modulo 4, see mixing_levels(). The whole budget is as many tokens as there are."""
     docs = _table(spark, sf_dir, "documents")
     return mix_sources(docs, mixing_levels(), budget_fraction=1.0, alpha=0.5, max_epochs=2, keep=["doc_id", "lang", "source"])
 

@@ -13,6 +13,7 @@ import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
+from headrow.llm import quality
 from headrow.llm import queries as q
 from headrow.llm.byte_bpe import decode_bytes_bpe, encode_bytes_bpe, round_trip_digests
 from headrow.llm.exact_dedup import exact_dedup
@@ -230,8 +231,8 @@ def test_mixing_takes_prefixes_of_seeded_epochs(spark):
     df = spark.read.parquet(f"{SF}/documents.parquet")
     levels = q.mixing_levels()
     got = mix_sources(df, levels, budget_fraction=1.0, alpha=0.5, max_epochs=3, keep=["doc_id"])
-    rows = df.select("doc_id", *(F.coalesce(x, F.lit("")).alias(f"l{i}") for i, x in enumerate(levels)), F.expr("size(filter(split(text, '[ \\t-\\r]+'), x -> x <> ''))").alias("n"))
-    hashed = rows.crossJoin(spark.range(3).withColumnRenamed("id", "e")).select("*", F.xxhash64(F.lit(17), F.col("e"), F.col("doc_id").cast("string")).alias("h")).collect()
+    rows = df.select("doc_id", F.xxhash64("text").alias("t"), *(F.coalesce(x, F.lit("")).alias(f"l{i}") for i, x in enumerate(levels)), F.expr("size(filter(split(text, '[ \\t-\\r]+'), x -> x <> ''))").alias("n"))
+    hashed = rows.crossJoin(spark.range(3).withColumnRenamed("id", "e")).select("*", F.xxhash64(F.lit(17), F.col("e"), F.col("doc_id").cast("string"), F.col("t")).alias("h")).collect()
     have = Counter()
     for r in rows.collect():
         have[r.l0, r.l1, r.l2] += r.n
@@ -410,6 +411,33 @@ def test_markov_held_out_accuracy(spark):
     assert right >= 0.95 * len(tests)
 
 
+def test_markov_on_other_generators(spark):
+    """Trained on the documents of sf0.01; random strings of alphabets and forms that the base patterns don't have, and ordinary long names of other words."""
+    import base64 as b64
+    import string
+
+    rnd = random.Random(11)
+    ratios = train_markov(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    pick = lambda a, n: "".join(rnd.choice(a) for _ in range(n))
+    secrets_ = {
+        "base64": lambda: b64.b64encode(rnd.randbytes(24)).decode(), "url-safe": lambda: b64.urlsafe_b64encode(rnd.randbytes(30)).decode(), "base32": lambda: b64.b32encode(rnd.randbytes(20)).decode().rstrip("="),
+        "letters": lambda: pick(string.ascii_letters, 32), "lower and digits": lambda: pick(string.ascii_lowercase + string.digits, 32), "upper hex": lambda: rnd.randbytes(16).hex().upper(),
+    }
+    words = "account balance configuration delivery environment forwarding generator handling interface journal keyboard language management network operation parameter question repository subscription transaction validation workflow".split()
+    plain = {
+        "snake": lambda: "_".join(rnd.sample(words, 3)), "camel": lambda: "".join(w.title() for w in rnd.sample(words, 3)), "kebab": lambda: "-".join(rnd.sample(words, 3)),
+        "path": lambda: "/".join(rnd.sample(words, 3)), "upper": lambda: "_".join(rnd.sample(words, 3)).upper(), "long word": lambda: rnd.choice(["internationalization", "uncharacteristically", "counterrevolutionaries", "electroencephalograph"]),
+    }
+    made = [(k, True, f()) for k, f in secrets_.items() for _ in range(100)] + [(k, False, f()) for k, f in plain.items() for _ in range(100)]
+    df = spark.createDataFrame([(i, t) for i, (*_, t) in enumerate(made)], "doc_id long, text string")
+    found = Counter()
+    for r in scan_secrets(df, ratios).collect():
+        found[made[r.doc_id][:2]] += bool(r.spans)
+    right = sum(n if k[1] else 0 for k, n in found.items()) + sum(100 - found[k, False] for k in plain)
+    assert right >= 0.9 * len(made), found
+    assert min(found[k, True] for k in secrets_) >= 75 and max(found[k, False] for k in plain) <= 25, found
+
+
 def test_secret_ratio_decides_every_candidate(spark):
     """Random strings without a digit, of 16 characters, and beside a hex run are found; long ordinary words aren't."""
     rnd = random.Random(8)
@@ -472,6 +500,55 @@ def test_quality_equals_brute_force(spark):
     assert refs[None]["total"] == total
 
 
+def plain_class(c):
+    if c < "\x80":
+        kind = "space" if c in " \t\n\v\f\r" else "symbol" if c in "#*$%&|<>" else "lower" if c.islower() else "upper" if c.isupper() else "digit" if c.isdigit() else None
+        return kind or ("punctuation" if 33 <= ord(c) <= 126 else "control")
+    first = c.encode()[0]
+    return max((b, n) for n, b in quality._BLOCKS.items() if b <= first)[1]
+
+
+def jensen_shannon(p, q):
+    a, b = sum(p.values()), sum(q.values())
+    if not a or not b:
+        return 0.0
+    p, q = ({k: v / n for k, v in x.items()} for x, n in ((p, a), (q, b)))
+    m = {k: (p.get(k, 0) + q.get(k, 0)) / 2 for k in {*p, *q}}
+    return sum(x[k] * np.log2(x[k] / m[k]) / 2 for x in (p, q) for k in x if x[k]) ** 0.5
+
+
+def test_quality_distances_and_verdicts_equal_brute_force(spark):
+    """References, distances and verdicts from plain counts of characters and words, over several scripts."""
+    rows = duckdb.sql(f"SELECT doc_id, text, lang FROM '{SF}/documents.parquet'").fetchall()
+    greek, han = "αβγ δεζ ηθι, κλμ " * 20, "文 字 很 多。 " * 20
+    rows += [(10_000 + i, t, lang) for i, (t, lang) in enumerate([(greek, "el"), (greek, "el"), (han, "zh"), (han, "zh"), (han, "el"), (greek, "zh"), (None, "en"), ("x " * 60, None), (han, "none")])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in quality_rules(df, language_references(df)).collect()}
+    low = lambda t: [w.translate({i: i + 32 for i in range(65, 91)}) for w in re.findall("[^\x20\x09-\x0d]+", t or "")]
+    refs = {}
+    for lang in {r[2] for r in rows}:
+        mine = [r[1] or "" for r in rows if lang is None or r[2] == lang]
+        words = Counter(w for t in mine for w in low(t))
+        top = dict(sorted(words.items(), key=lambda x: (-x[1], x[0].encode()))[:100])
+        # a batch's texts are joined by line feeds when their characters are counted, which the tolerance below covers
+        refs[lang] = Counter(plain_class(c) for t in mine for c in t), top, sum(words.values())
+    odd = 0
+    for i, text, lang in rows:
+        r, (classes, top, total) = got[i], refs[lang]
+        words = low(text)
+        if len(words) < 50:
+            assert r.class_distance is None and r.word_distance is None and r.kept == (not r.base_failed)
+            continue
+        seen = Counter(w if w in top else None for w in words)
+        want = jensen_shannon(Counter(map(plain_class, text)), classes), jensen_shannon(seen, {**top, None: total - sum(top.values())})
+        assert abs(r.class_distance - want[0]) < 0.01 and abs(r.word_distance - want[1]) < 1e-9
+        if abs(want[0] - 0.32) > 0.01:
+            far = want[0] > 0.32 or want[1] > 0.55
+            assert r.kept == (not r.base_failed and not far)
+            odd += far
+    assert odd > 3 and not got[10_004].kept and not got[10_005].kept
+
+
 def test_quality_every_language_has_its_reference(spark):
     """90 languages of one letter each: more than reach the driver, and no word of at most 12 bytes in the last ones."""
     rows = [(f"l{i:02}", " ".join([chr(0x430 + i % 30) * (8 + i // 30)] * 1 + [chr(0x4E00 + 97 * i + j) * 9 for j in range(59)]), 3 if i < 70 else 1) for i in range(90)]
@@ -591,6 +668,7 @@ def test_byte_bpe_equals_tiktoken(spark):
         ids = enc.encode_ordinary(t or "")
         assert (got[i].n_tokens, got[i].ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
         assert got[i].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
+        assert got[i].n_split == sum(((t or "").encode()[a] & 0xC0) == 0x80 for a in full[i].starts)
         assert full[i].ids == ids and full[i].decoded_text == (t or "")
         assert full[i].starts == list(np.cumsum([0, *(len(enc.decode_single_token_bytes(x)) for x in ids)])[:-1])
     part = spark.createDataFrame([([enc.encode_ordinary("\U0001fae0")[0]],), (None,)], "ids array<int>")
@@ -598,6 +676,27 @@ def test_byte_bpe_equals_tiktoken(spark):
     assert round_trip_digests(none(spark), path, P.PATTERN).count() == 0
 
 
+# ---- clashing names and repeated rows
+
+
+@pytest.mark.parametrize("name", ["op3", "op4", "op7", "op8", "op10", "ids"])
+def test_clashing_names_are_replaced(spark, name):
+    """Columns named like those an operator adds give way to them; repeated rows are each worked on."""
+    ranks = P.path(q.RANKS)
+    new, make = {
+        "op3": (["n_bytes", "n_tokens", "over_limit"], lambda d: token_counts(d, P.path(q.PIECES))),
+        "op4": (["epoch", "mix_tokens"], lambda d: mix_sources(d, [F.col("source")], budget_fraction=1.0, alpha=1.0)),
+        "op7": (["spans"], lambda d: scan_secrets(d, train_markov(none(spark)))),
+        "op8": (["n_words", "class_distance", "base_failed"], lambda d: quality_rules(d, language_references(d))),
+        "op10": (["n_tokens", "n_split", "ids_sha256", "decoded_sha256"], lambda d: round_trip_digests(d, ranks, P.PATTERN)),
+        "ids": (["ids", "starts", "decoded", "decoded_text"], lambda d: decode_bytes_bpe(encode_bytes_bpe(d, ranks, P.PATTERN), ranks, P.PATTERN)),
+    }[name]
+    df = docs(spark).withColumns({c: F.lit("clash") for c in [*new, "__text", "c0", "__c0"]})
+    rows = make(df.unionByName(df)).collect()
+    assert len(rows) == 2 * len(ODD) and all(r[c] != "clash" for r in rows for c in new)
+    assert {(r["c0"], r["__c0"], r["__text"]) for r in rows} == {("clash",) * 3}
+
+
 # ---- queries with SQL
 
 

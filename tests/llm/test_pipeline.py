@@ -35,3 +35,24 @@ def test_labelled_clean_documents_pass_the_quality_stage(spark):
     clean = docs.join(clean, "doc_id", "left_semi").where(F.expr("size(split(text, ' ')) >= 50"))
     passed = cp.quality(spark, docs, SF).join(clean.select("doc_id"), "doc_id", "left_semi").count()
     assert passed >= 0.97 * clean.count() and budgets({}, 5, 1, lambda p, n: 1.0) == {}
+
+
+def test_pipeline_on_empty_null_and_long_texts(spark, tmp_path):
+    """An empty table gives no rows; null and empty texts go by their words; a very long text and null languages and sources pass through."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    docs.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert cp.run(spark, f"{tmp_path}/none").count() == 0
+    part = docs.orderBy("doc_id").limit(300)
+    most = part.agg(F.max("doc_id")).first()[0]
+    long = " ".join(r.text for r in docs.where("lang = 'en'").orderBy(F.desc("doc_id")).limit(200).select("text").collect() if r.text)
+    more = [(most + 1, None, None, None, 0), (most + 2, "", None, "src", 0), (most + 3, long, None, None, len(long)), (None, None, "en", None, 0)]
+    odd = spark.createDataFrame(more, docs.schema).withColumn("extra", F.lit(1))
+    part.withColumn("extra", F.lit(1)).unionByName(odd).write.parquet(f"{tmp_path}/odd/documents.parquet")
+    rows = spark.read.parquet(f"{tmp_path}/odd/documents.parquet")
+    kept = {r.doc_id for r in cp.quality(spark, rows, "").collect()}
+    assert not kept & {most + 1, most + 2, None}
+    for _, stage in cp.STAGES[1:]:
+        out = stage(spark, rows, "")
+        ids = {r.doc_id for r in out.collect()}
+        assert ids <= {r.doc_id for r in rows.select("doc_id").collect()} and ids
+    assert {r.doc_id for r in cp.run(spark, f"{tmp_path}/odd").select("doc_id").collect()} <= kept
