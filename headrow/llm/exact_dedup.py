@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from headrow.llm.hot import with_group
 from headrow.plans.lineage import cut
 
 _FIRST_DIGIT = 32  # bytes; each later digit has GROWTH times as many
 _GROWTH = 16
+_HOT_KEYS = 2000  # so many digits of 32 bytes at most are broadcast
 
 
 def normal_bytes(text: Column) -> Column:
@@ -20,15 +22,19 @@ def _digit(raw: Column, offset: int, size: int) -> Column:
     return F.substring(raw, offset + 1, size)
 
 
-def _split(rows: DataFrame, digits: list[str]) -> DataFrame:
-    """Split each group (gid) by its digit: adds n (rows of the new group) and first (its smallest row key).
+def _split(rows: DataFrame, digits: list[str], total: int) -> DataFrame:
+    """Split each group (gid), of __of rows so far, by its digit: adds n (rows of the new group) and first (its smallest row key).
 
-    Counts and minima are aggregated before the exchange, so copies meet as one row a task; the join back is one that
-    AQE may split when a digit is hot.
+    Counts and minima are aggregated before the exchange. Rows of the at most _HOT_KEYS groups that have more than their share of total are dealt to
+    many tasks.
     """
     key = F.struct(F.col("__null_id"), F.col("__id"), F.col("__row"))
-    groups = rows.groupBy(*digits).agg(F.count(F.lit(1)).alias("__n"), F.min(key).alias("__first"))
-    return rows.join(groups, digits)
+    facts = {"__n": F.count(F.lit(1)), "__first": F.min(key)}
+    hot = F.col("__of") * _HOT_KEYS > total
+    cold = rows.where(~hot)
+    groups = cold.groupBy(*digits).agg(*(c.alias(n) for n, c in facts.items()))
+    spread = with_group(rows.where(hot), digits, "__row", facts, {"__n": F.sum("__n"), "__first": F.min("__first")})
+    return cold.join(groups, digits).unionByName(spread.drop("__salt")).drop("__of")
 
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -50,8 +56,16 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     names = [f"c{i}" for i in range(len(kept))]
     base = df.select(*carried, df[id_col].alias("__id"), df[id_col].isNull().alias("__null_id"), normal_bytes(df[text_col]).alias("__raw"))
     base = base.withColumn("__len", F.octet_length("__raw")).withColumn("__digit", _digit(F.col("__raw"), 0, _FIRST_DIGIT))
-    heads = base.groupBy("__len", "__digit").agg(F.count(F.lit(1)).alias("__n"))
-    first = base.join(heads, ["__len", "__digit"])
+    # lengths and first digits that several rows share; the at most _HOT_KEYS of them with the most rows are told to all tasks
+    heads = cut(base.groupBy("__len", "__digit").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1"))
+    shared = heads.agg(F.sum("__n")).first()[0] or 0
+    hot = heads.where(F.col("__n") * _HOT_KEYS > shared).withColumnRenamed("__n", "__hot")
+    cold = heads.where(F.col("__n") * _HOT_KEYS <= shared).select(F.col("__len").alias("__key"), "__digit", "__n")
+    told = base.join(F.broadcast(hot), ["__len", "__digit"], "left")
+    # a hot row looks for no cold key: a negative one spreads it
+    told = told.withColumn("__key", F.when(F.col("__hot").isNotNull(), -1 - F.pmod(F.xxhash64("__id"), F.lit(1 << 20)).cast("int")).otherwise(F.col("__len")))
+    # an exchange at every size: what is broadcast would grow with the rows
+    first = told.join(cold.hint("merge"), ["__key", "__digit"], "left").withColumn("__n", F.coalesce("__hot", "__n", F.lit(1).cast("long")))
     alone = F.col("__n") == 1
     rows = first.select(
         *names, "__id", "__null_id", "__len", "__digit", "__n", F.when(~alone, F.col("__raw")).alias("__raw")
@@ -61,7 +75,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     out = rows.where("__n = 1").select(*own, F.col("__id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
 
     # the first digit again, among those that share it, names the groups
-    live = _split(rows.where("__n > 1").drop("__n"), ["__len", "__digit"]).drop("__digit")
+    live = _split(rows.where("__n > 1").withColumnRenamed("__n", "__of"), ["__len", "__digit"], shared).drop("__digit")
     offset, size = _FIRST_DIGIT, _FIRST_DIGIT * _GROWTH
     while True:
         live = cut(live.withColumn("__done", (F.col("__n") == 1) | (F.col("__len") <= offset)))
@@ -72,9 +86,9 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
         if rest.isEmpty():
             return out
         rest = rest.select(
-            *names, "__id", "__null_id", "__row", "__len", "__raw", F.col("__first.__row").alias("__gid"), _digit(F.col("__raw"), offset, size).alias("__digit")
+            *names, "__id", "__null_id", "__row", "__len", "__raw", F.col("__n").alias("__of"), F.col("__first.__row").alias("__gid"), _digit(F.col("__raw"), offset, size).alias("__digit")
         )
-        live = _split(rest, ["__gid", "__digit"]).drop("__gid", "__digit")
+        live = _split(rest, ["__gid", "__digit"], shared).drop("__gid", "__digit")
         offset, size = offset + size, size * _GROWTH
 
 
