@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from headrow.llm.hot import with_group
+from headrow.llm.hot import HOT_KEYS, with_group
 from headrow.plans.lineage import cut
 
 _FIRST_DIGIT = 32  # bytes; each later digit has GROWTH times as many
 _GROWTH = 16
-_HOT_KEYS = 2000  # so many digits of 32 bytes at most are broadcast
 
 
 def normal_bytes(text: Column) -> Column:
@@ -25,12 +24,12 @@ def _digit(raw: Column, offset: int, size: int) -> Column:
 def _split(rows: DataFrame, digits: list[str], total: int) -> DataFrame:
     """Split each group (gid), of __of rows so far, by its digit: adds n (rows of the new group) and first (its smallest row key).
 
-    Counts and minima are aggregated before the exchange. Rows of the at most _HOT_KEYS groups that have more than their share of total are dealt to
+    Counts and minima are aggregated before the exchange. Rows of the at most HOT_KEYS groups that have more than their share of total are dealt to
     many tasks.
     """
     key = F.struct(F.col("__null_id"), F.col("__id"), F.col("__row"))
     facts = {"__n": F.count(F.lit(1)), "__first": F.min(key)}
-    hot = F.col("__of") * _HOT_KEYS > total
+    hot = F.col("__of") * HOT_KEYS > total
     cold = rows.where(~hot)
     groups = cold.groupBy(*digits).agg(*(c.alias(n) for n, c in facts.items()))
     spread = with_group(rows.where(hot), digits, "__row", facts, {"__n": F.sum("__n"), "__first": F.min("__first")})
@@ -56,11 +55,11 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     names = [f"c{i}" for i in range(len(kept))]
     base = df.select(*carried, df[id_col].alias("__id"), df[id_col].isNull().alias("__null_id"), normal_bytes(df[text_col]).alias("__raw"))
     base = base.withColumn("__len", F.octet_length("__raw")).withColumn("__digit", _digit(F.col("__raw"), 0, _FIRST_DIGIT))
-    # lengths and first digits that several rows share; the at most _HOT_KEYS of them with the most rows are told to all tasks
+    # lengths and first digits that several rows share; the at most HOT_KEYS of them with the most rows are told to all tasks
     heads = cut(base.groupBy("__len", "__digit").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1"))
     shared = heads.agg(F.sum("__n")).first()[0] or 0
-    hot = heads.where(F.col("__n") * _HOT_KEYS > shared).withColumnRenamed("__n", "__hot")
-    cold = heads.where(F.col("__n") * _HOT_KEYS <= shared).select(F.col("__len").alias("__key"), "__digit", "__n")
+    hot = heads.where(F.col("__n") * HOT_KEYS > shared).withColumnRenamed("__n", "__hot")
+    cold = heads.where(F.col("__n") * HOT_KEYS <= shared).select(F.col("__len").alias("__key"), "__digit", "__n")
     told = base.join(F.broadcast(hot), ["__len", "__digit"], "left")
     # a hot row looks for no cold key: a negative one spreads it
     told = told.withColumn("__key", F.when(F.col("__hot").isNotNull(), -1 - F.pmod(F.xxhash64("__id"), F.lit(1 << 20)).cast("int")).otherwise(F.col("__len")))

@@ -5,6 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 SALTS = 32
+HOT_KEYS = 2000
+
+
+def with_counts(rows: DataFrame, key: str, spread: str, counts: DataFrame, total: int) -> DataFrame:
+    """rows whose key is in counts (key, held), with held and __salt (of the column spread; 0 where the key isn't hot).
+
+    The keys that have more than one in HOT_KEYS of total rows, at most HOT_KEYS of them, are broadcast, and only the other rows are exchanged by key.
+    """
+    hot = F.col("held") * HOT_KEYS > total
+    told = rows.join(F.broadcast(counts.where(hot).withColumnRenamed("held", "__hot")), key, "left")
+    salt = F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")
+    few = told.where("__hot is null").drop("__hot").join(counts.where(~hot), key).withColumn("__salt", F.lit(0))
+    return told.where("__hot is not null").withColumnRenamed("__hot", "held").withColumn("__salt", salt).unionByName(few)
 
 
 def with_group(rows: DataFrame, keys: list[str], spread: str, partial: dict[str, Column], final: dict[str, Column]) -> DataFrame:

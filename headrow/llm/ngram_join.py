@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -9,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from headrow.llm.batches import slices, texts_of
+from headrow.llm.hot import with_counts, with_group
 from headrow.operators.components import connected_components
 from headrow.plans.lineage import collecting, cut, discard
 
@@ -202,22 +204,23 @@ def _link(j: _Join, some: DataFrame, classes: DataFrame, reps: DataFrame) -> Dat
     pre = j.prefixes(reps)
 
     # groups of one size and prefix
-    groups = pre.groupBy("n", "prefix").agg(F.min("id").alias("gid"), F.count(F.lit(1)).alias("m"))
-    several = cut(groups.where("m > 1"))
-    member = cut(pre.join(several, ["n", "prefix"]).where("id <> gid").select(F.col("gid").alias("a"), F.col("id").alias("b")).distinct())
+    pre = cut(with_group(pre, ["n", "prefix"], "id", {"gid": F.min("id")}, {"gid": F.min("gid")}).drop("__salt"))
+    member = cut(pre.where("id <> gid").select(F.col("gid").alias("a"), F.col("id").alias("b")).distinct())
     within = j.measure(j.screen(member, reps))
     inner = within.where(j.linked()).select("a", "b").distinct()
     stray = member.join(inner, ["a", "b"], "left_anti").select(F.col("b").alias("id"))
-    heads = groups.select(F.col("gid").alias("id"), "n", "prefix").unionByName(pre.join(stray, "id", "left_semi").select("id", "n", "prefix"))
+    heads = pre.where("id = gid").select("id", "n", "prefix").distinct().unionByName(pre.join(stray, "id", "left_semi").select("id", "n", "prefix"))
 
-    # buckets of groups by prefix token
+    # buckets of groups by prefix token; kind: sets of one size that may link stand in the same or in adjoining classes
+    ratio = math.log(den / num) * 1.0001 if den > num else 1.0
     heads = cut(heads)
-    places = heads.select("id", "n", F.posexplode("prefix").alias("pos", "token"))
-    held = heads.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
-    buckets = cut(places.join(held, "token"))
+    places = heads.select("id", "n", F.posexplode("prefix").alias("pos", "token"), F.floor(F.log("n") / ratio).cast("int").alias("kind"))
+    held = cut(heads.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("held")).where("held > 1"))
+    buckets = cut(with_counts(places, "token", "id", held, held.agg(F.sum("held")).first()[0] or 0))
     small, large = buckets.where(F.col("held") <= light), buckets.where(F.col("held") > light)
 
     def meet(left: DataFrame, right: DataFrame, extra: Column) -> DataFrame:
+        """Pairs (a, b) of rows of two buckets that may link; extra says which rows of a token meet."""
         x, y = left.alias("x"), right.alias("y")
         # what two sets can share, if this token is the first that they share
         rest = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
@@ -228,7 +231,9 @@ def _link(j: _Join, some: DataFrame, classes: DataFrame, reps: DataFrame) -> Dat
     near = cut(meet(small, small, F.col("x.id") < F.col("y.id")))
     hubs = large.groupBy("token").agg(*(F.min_by(F.struct("id", "n", "pos"), F.struct(F.col("pos"), F.xxhash64(F.lit(s), F.col("id")))).alias(f"h{s}") for s in range(3)))
     hubs = hubs.select("token", F.explode(F.array("h0", "h1", "h2")).alias("h")).select("token", "h.*").distinct()
-    far = meet(hubs, large, F.col("x.id") != F.col("y.id"))
+    # each hub goes to the salts that its bucket has, so a bucket's rows are dealt to many tasks
+    hubs = hubs.join(large.select("token", "__salt").distinct(), "token")
+    far = meet(hubs, large, (F.col("x.__salt") == F.col("y.__salt")) & (F.col("x.id") != F.col("y.id")))
     first = j.measure(j.screen(near.unionByName(far).distinct(), reps))
     links = inner.unionByName(first.where(j.linked()).select("a", "b"))
     twice = some.groupBy("id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("id")
@@ -240,11 +245,13 @@ def _link(j: _Join, some: DataFrame, classes: DataFrame, reps: DataFrame) -> Dat
 
     # what is left of the large buckets: groups of different components
     own = large.join(component("id"), "id", "left").withColumn("cid", F.coalesce("cid", "id"))
-    spread = own.groupBy("token").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo <> hi").select("token")
-    own = cut(own.join(spread, "token", "left_semi"))
+    ends = {"lo": F.min("cid"), "hi": F.max("cid")}
+    own = cut(with_group(own.drop("__salt"), ["token"], "id", ends, {"lo": F.min("lo"), "hi": F.max("hi")}).where("lo <> hi").drop("lo", "hi"))
     again = near.limit(0)
     if not own.isEmpty():
-        again = cut(meet(own, own, (F.col("x.id") < F.col("y.id")) & (F.col("x.cid") != F.col("y.cid"))))
+        near_kinds = own.withColumn("kind", F.explode(F.array(F.col("kind") - 1, F.col("kind"), F.col("kind") + 1)))
+        open_pair = (F.col("x.kind") == F.col("y.kind")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.cid") != F.col("y.cid"))
+        again = cut(meet(near_kinds, own, open_pair))
         second = j.measure(j.screen(again.join(first, ["a", "b"], "left_anti"), reps))
         if not second.isEmpty():
             links = links.unionByName(second.where(j.linked()).select("a", "b"))
@@ -283,7 +290,7 @@ def ngram_jaccard_components(
     3. Classes of one size and prefix are one group. Its members are verified against its first; those that don't
        link with it stand for themselves.
     4. Groups that share a prefix token are filtered by size and position, then by their sketches, and verified by their first
-       members on whole sets. In a bucket of more than `light` groups, the others are first compared with only three of them, whose prefixes have the
+       members on whole sets. Buckets are dealt out by token and a salt, and what meets all of a bucket by token and class of size. In a bucket of more than `light` groups, the others are first compared with only three of them, whose prefixes have the
        fewest rarer tokens, so that a family of near copies meets those nearest to its core; then just groups of different
        components meet.
     5. Where members of a pair of groups could still link and their components differ, members are expanded and
