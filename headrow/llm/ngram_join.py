@@ -204,7 +204,8 @@ def _link(j: _Join, some: DataFrame, classes: DataFrame, reps: DataFrame) -> Dat
     pre = j.prefixes(reps)
 
     # groups of one size and prefix
-    pre = cut(with_group(pre, ["n", "prefix"], "id", {"gid": F.min("id")}, {"gid": F.min("gid")}).drop("__salt"))
+    marked = pre.withColumn("p1", F.xxhash64("prefix")).withColumn("p2", F.xxhash64(F.lit(1), "prefix"))  # 128 bits stand for a prefix
+    pre = cut(with_group(marked, ["n", "p1", "p2"], "id", {"gid": F.min("id")}, {"gid": F.min("gid")}).select("id", "n", "prefix", "gid"))
     member = cut(pre.where("id <> gid").select(F.col("gid").alias("a"), F.col("id").alias("b")).distinct())
     within = j.measure(j.screen(member, reps))
     inner = within.where(j.linked()).select("a", "b").distinct()
