@@ -64,5 +64,6 @@ def map_text(
                 work = work or make()
                 made = work(texts_of(batch.column(text)))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(made[c] for c in new.names)], names=names)
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     return source.mapInArrow(run, out)

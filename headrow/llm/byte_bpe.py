@@ -42,7 +42,7 @@ def last_merge(token: bytes, ranks: dict[bytes, int]) -> tuple[bytes, bytes] | N
 class ByteBpe:
     """Encoder and decoder of one rank file. Callers hold the bounded memory of encoded pieces, so that it ends with their task."""
 
-    def __init__(self, path: str, pattern: str, remember: int = 400_000):
+    def __init__(self, path: str, pattern: str, remember: int = 150_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
