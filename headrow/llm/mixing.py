@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from headrow.llm.hot import HOT_KEYS, SALTS
 from headrow.plans.lineage import cut
 
 _CELL_BITS = 14
@@ -62,12 +64,64 @@ def budgets(
     given = {(): min(budget, max_epochs * sums.get((), 0))}
     for d in range(depth):
         for node in [x for x in given if len(x) == d]:
-            kids = sorted(children[node], key=str)
+            kids = sorted(children[node], key=lambda p: (zlib.crc32(p[-1].encode()) % SALTS, p[-1]))
             parts = share_out(given[node], [weight_of(k, sums[k]) for k in kids], [max_epochs * sums[k] for k in kids])
             given.update(zip(kids, parts))
     return {p: given.get(p, 0) for p in available}
 
 
+def share_out_spread(nodes: DataFrame, keys: list[str], name: str, given: DataFrame) -> DataFrame:
+    """share_out() for the children of many parents at once: (keys, name, given) of each node that gets any.
+
+    nodes: keys (of the parent; none for the root), name, w, m (limit); given: keys, given. Each round sums, for each parent, the limits
+    of the nodes that are full at its rate and the weights of the others, and raises the rate by what the full ones leave; it ends when
+    no more become full. Children are dealt out by a salt, so those of one parent, however many, never meet in one task.
+    """
+    salted = lambda t: t.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    nodes = nodes.where("w > 0 and m > 0").withColumn("__salt", F.pmod(F.crc32(F.encode(name, "UTF-8")), F.lit(SALTS)).cast("int"))
+    nodes = cut(nodes.select(*keys, name, "w", "m", "__salt"))
+    part = F.floor(F.col("left") * F.col("w") / F.col("open"))
+    full = F.col("open").isNull() | (part >= F.col("m"))
+    rates = given.select(*keys, "given", F.lit(0).cast("long").alias("left"), F.lit(1.0).alias("open"), F.lit(-1).cast("long").alias("n_full"))
+    while True:
+        met = nodes.join(salted(rates), [*keys, "__salt"]).withColumn("full", full)
+        sums = met.groupBy(*keys).agg(
+            F.max("given").alias("given"), F.coalesce(F.sum(F.when(F.col("full"), F.col("m"))), F.lit(0)).alias("taken"),
+            F.sum(F.when(~F.col("full"), F.col("w"))).alias("open"), F.count_if("full").alias("n"), F.max("n_full").alias("before"),
+        )
+        rates = cut(sums.select(*keys, "given", F.greatest(F.lit(0), F.col("given") - F.col("taken")).alias("left"), "open", F.col("n").alias("n_full"), "before"))
+        if rates.where("n_full > before").isEmpty():
+            break
+    met = nodes.join(salted(rates), [*keys, "__salt"]).withColumn("full", full)
+    parts = cut(met.select(*keys, name, "__salt", "full", F.when(F.col("full"), F.col("m")).otherwise(part).cast("long").alias("given"), F.col("given").alias("whole")))
+    # the tokens that rounding left go, one each, to the first of the nodes that aren't full
+    blocks = parts.groupBy(*keys, "__salt").agg(F.max("whole").alias("whole"), F.sum("given").alias("spent"), F.count_if(~F.col("full")).alias("n"))
+    parent = Window.partitionBy(*keys)
+    before = F.coalesce(F.sum("n").over(parent.orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before")
+    blocks = blocks.select(*keys, "__salt", before, (F.col("whole") - F.sum("spent").over(parent)).alias("over"))
+    nth = F.count_if(~F.col("full")).over(Window.partitionBy(*keys, "__salt").orderBy(name).rowsBetween(Window.unboundedPreceding, 0))
+    one = (~F.col("full") & (nth + F.col("before") <= F.col("over"))).cast("long")
+    return parts.drop("whole").join(blocks, [*keys, "__salt"]).select(*keys, name, (F.col("given") + one).alias("given"))
+
+
+def budgets_spread(
+    leaves: DataFrame, level: list[str], budget: int, max_epochs: int, alpha: float, weights: dict[tuple, float]
+) -> DataFrame:
+    """budgets() as jobs: leaves (level, n) with given, for trees of any size; weights is a parameter, not a table."""
+    spark = leaves.sparkSession
+    given = spark.range(1).select(F.lit(budget).cast("long").alias("given"))
+    for d in range(1, len(level) + 1):
+        keys, name = level[: d - 1], level[d - 1]
+        nodes = leaves.groupBy(*keys, name).agg(F.sum("n").alias("n"))
+        w = F.pow(F.col("n").cast("double"), F.lit(float(alpha)))
+        chosen = [(*p, float(x)) for p, x in weights.items() if len(p) == d]
+        if chosen:
+            table = spark.createDataFrame(chosen, ", ".join([*(f"{c} string" for c in level[:d]), "chosen double"]))
+            nodes, w = nodes.join(table, level[:d], "left"), F.coalesce("chosen", w)
+        given = cut(share_out_spread(nodes.withColumn("w", w).withColumn("m", F.col("n") * max_epochs), keys, name, given))
+    return leaves.join(given, level, "left").withColumn("given", F.coalesce("given", F.lit(0).cast("long")))
+
+
 def mix_sources(
     df: DataFrame,
     levels: list[Column],
@@ -92,8 +146,9 @@ def mix_sources(
 
     The prefix is found without gathering a leaf in one task: tokens are summed in 16,384 cells of the seeded
     order, those in 128 blocks; whole cells below the budget are taken, and only rows of the cell at the boundary are
-    summed one by one. The tree (at most max_leaves leaves, else ValueError) is the only thing that reaches the driver; it is
-    broadcast to the rows while its names take at most broadcast_bytes, and joined by exchange beyond that. Rows without tokens
+    summed one by one. A tree of at most max_leaves leaves whose names take at most broadcast_bytes reaches the driver and is
+    broadcast to the rows. A larger one stays a table: its budgets are found level by level (budgets_spread()), with the same result but for
+    rounding, and joined to the rows by exchange, where rows of leaves with more than one in 2,000 of all rows are dealt to many tasks. Rows without tokens
     go with the others, and once where their leaf has no tokens at all; the order hashes id and text, so rows of one id, or of none, are spread, and
     only repeated rows tie;
     columns named epoch or mix_tokens are replaced; an empty table gives an empty one.
@@ -111,22 +166,39 @@ def mix_sources(
     )
     if text_col not in kept:  # the rows are narrow: texts are read, and tokens counted, once
         rows = cut(rows)
-    sums = rows.groupBy(*level).agg(F.sum("mix_tokens").alias("n")).limit(max_leaves + 1).collect()
-    if len(sums) > max_leaves:
-        raise ValueError(f"more than {max_leaves} leaves")
-    available = {tuple(r[c] for c in level): r["n"] for r in sums}
-    total = sum(available.values())
-    chosen = weights or {}
-    goal = budgets(available, int(total * budget_fraction), max_epochs, lambda p, n: chosen.get(p, float(n) ** alpha))
-    plan = [(*p, *(divmod(g, available[p]) if available[p] else (1, 0))) for p, g in goal.items()]
-    spark = df.sparkSession
-    held = sum(len(x.encode()) + 64 for p in available for x in p)
+    leaves = cut(rows.groupBy(*level).agg(F.sum("mix_tokens").alias("n"), F.count(F.lit(1)).alias("c")))
+    bytes_ = sum((F.octet_length(c).cast("long") + 64 for c in level), F.lit(0).cast("long"))
+    facts = leaves.agg(F.count(F.lit(1)).alias("leaves"), F.sum(bytes_).alias("held"), F.sum("n").alias("n"), F.sum("c").alias("c")).first()
+    small = facts.leaves <= max_leaves and (facts.held or 0) <= broadcast_bytes
+    budget, chosen, spark = int((facts.n or 0) * budget_fraction), weights or {}, df.sparkSession
 
     def of_leaves(table: list[tuple], numbers: str) -> DataFrame:
-        made = spark.createDataFrame(table, ", ".join([*(f"{c} string" for c in level), numbers]))
-        return F.broadcast(made) if held <= broadcast_bytes else made
-
-    keyed = rows.join(of_leaves(plan, "__full long, __rest long"), level)
+        return spark.createDataFrame(table, ", ".join([*(f"{c} string" for c in level), numbers]))
+
+    if small:
+        available = {tuple(r[c] for c in level): r["n"] for r in leaves.collect()}
+        goal = budgets(available, budget, max_epochs, lambda p, n: chosen.get(p, float(n) ** alpha))
+        plan = of_leaves([(*p, *(divmod(g, available[p]) if available[p] else (1, 0))) for p, g in goal.items()], "__full long, __rest long")
+    else:
+        some = F.col("n") > 0
+        full, rest = F.when(some, F.expr("given div n")).otherwise(1), F.when(some, F.col("given") % F.col("n")).otherwise(0)
+        plan = cut(budgets_spread(leaves, level, budget, max_epochs, alpha, chosen).select(*level, full.cast("long").alias("__full"), rest.cast("long").alias("__rest")))
+        crowded = cut(leaves.where(F.col("c") * HOT_KEYS > facts.c).select(*level))  # fewer than HOT_KEYS
+
+    def tell(rows: DataFrame, table: DataFrame, names: list[str]) -> DataFrame:
+        """rows with the names of table for their leaf; null where it has none."""
+        if small:
+            return rows.join(F.broadcast(table), level, "left")
+        fact = F.struct(*names)
+        hot = table.join(F.broadcast(crowded), level, "left_semi").select(*level, fact.alias("__hot"))
+        cold = table.join(F.broadcast(crowded), level, "left_anti").select(*level, F.lit(-1).alias("__key"), fact.alias("__cold"))
+        # a row of a crowded leaf looks for no other: a key of its own spreads it
+        told = rows.join(F.broadcast(crowded.withColumn("__crowd", F.lit(True))), level, "left").join(F.broadcast(hot), level, "left")
+        told = told.withColumn("__key", F.when(F.col("__crowd"), F.pmod(F.xxhash64("__id", "__bytes"), F.lit(1 << 20)).cast("int")).otherwise(-1))
+        told = told.join(cold.hint("merge"), [*level, "__key"], "left").withColumn("__fact", F.coalesce("__hot", "__cold"))
+        return told.select(*rows.columns, *(F.col(f"__fact.{n}").alias(n) for n in names))
+
+    keyed = tell(rows, plan, ["__full", "__rest"])
     order = F.xxhash64(F.lit(seed), F.col("__full"), F.col("__id"), F.col("__bytes"))
     keyed = keyed.withColumn("__order", order).withColumn("__cell", F.shiftright("__order", 64 - _CELL_BITS))
 
@@ -142,8 +214,9 @@ def mix_sources(
 
     block = boundary(cells.groupBy(*level, "__rest", "__block").agg(F.sum("n").alias("n")), "__block", F.lit(0))
     edge = boundary(cells.join(block, [*level, "__block"]), "__cell", F.col("__before"))
-    found = [tuple(r) for r in edge.select(*level, "__cell", "__before").collect()]
-    keyed = keyed.join(of_leaves(found, "__edge long, __before long"), level, "left")
+    edge = edge.select(*level, F.col("__cell").cast("long").alias("__edge"), "__before")
+    edge = of_leaves([tuple(r) for r in edge.collect()], "__edge long, __before long") if small else cut(edge)
+    keyed = tell(keyed, edge, ["__edge", "__before"])
 
     own = [F.col(n).alias(c) for n, c in zip(names, kept)]
     whole = keyed.withColumn("__n", F.col("__full") + (F.col("__cell") < F.coalesce("__edge", F.lit(0))).cast("long") * (F.col("__rest") > 0).cast("long"))

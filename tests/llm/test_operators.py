@@ -18,7 +18,7 @@ from headrow.llm import queries as q
 from headrow.llm.byte_bpe import decode_bytes_bpe, encode_bytes_bpe, round_trip_digests
 from headrow.llm.exact_dedup import exact_dedup
 from headrow.llm.html_text import extract_html, main_text
-from headrow.llm.mixing import budgets, mix_sources, share_out
+from headrow.llm.mixing import budgets, budgets_spread, mix_sources, share_out
 from headrow.llm.ngram_join import keep_one_per_component, ngram_jaccard_components
 from headrow.llm.quality import language_references, quality_rules
 from headrow.llm.secrets import base_spans, scan_secrets, span_digests, train_markov
@@ -252,8 +252,20 @@ def test_mixing_takes_prefixes_of_seeded_epochs(spark):
             if left == 0:
                 break
     assert {(r.doc_id, r.epoch) for r in got.collect()} == want and len(want) == got.count()
-    joined = mix_sources(df, levels, budget_fraction=1.0, alpha=0.5, max_epochs=3, keep=["doc_id"], broadcast_bytes=0)
-    assert {(r.doc_id, r.epoch) for r in joined.collect()} == want
+    for bound in ({"broadcast_bytes": 0}, {"max_leaves": 2}):
+        joined = mix_sources(df, levels, budget_fraction=1.0, alpha=0.5, max_epochs=3, keep=["doc_id"], **bound)
+        assert {(r.doc_id, r.epoch) for r in joined.collect()} == want and joined.count() == len(want)
+
+
+@pytest.mark.parametrize("budget, epochs", [(700, 1), (1_900, 2), (10**9, 3)])
+def test_budgets_of_a_large_tree_are_the_same(spark, budget, epochs):
+    rnd = random.Random(budget)
+    have = {(f"d{i % 3}", f"l{i % 7}", f"s{i}"): rnd.choice([0, 1, 3, rnd.randrange(90)]) for i in range(120)}
+    weights = {("d1",): 900.0, ("d0", "l3"): 0.0, ("d2", "l2", "s2"): 1e6}
+    want = budgets(have, budget, epochs, lambda p, n: weights.get(p, float(n) ** 0.5))
+    leaves = spark.createDataFrame([(*p, n) for p, n in have.items()], "a string, b string, c string, n long")
+    got = {(r.a, r.b, r.c): r.given for r in budgets_spread(leaves, ["a", "b", "c"], budget, epochs, 0.5, weights).collect()}
+    assert got.keys() == want.keys() and max(abs(got[p] - want[p]) for p in want) <= 1 and abs(sum(got.values()) - sum(want.values())) <= 1
 
 
 def test_mixing_odd_rows(spark):
@@ -261,8 +273,9 @@ def test_mixing_odd_rows(spark):
     whole = mix_sources(docs(spark), levels, budget_fraction=1.0, alpha=1.0)
     assert whole.count() == len(ODD) and "kept" in whole.columns
     assert mix_sources(none(spark), levels).count() == 0
-    with pytest.raises(ValueError):
-        mix_sources(docs(spark), levels, max_leaves=2)
+    many = mix_sources(docs(spark), levels, budget_fraction=1.0, alpha=1.0, max_leaves=2)  # more leaves than the driver is to hold
+    assert many.columns == whole.columns and many.count() == len(ODD)
+    assert mix_sources(none(spark), levels, max_leaves=-1).count() == 0
 
 
 # ---- exact dedup
