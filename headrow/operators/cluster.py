@@ -54,10 +54,16 @@ def headline_groups(clustered: DataFrame, order: str = "observed") -> DataFrame:
     """All appearances of each cluster, a row each, with their place in it (from 1, undated ones last) and the time of its representative.
 
     The row at place 1 represents its cluster; by publication, clusters without a dated row are left out. Groups sort newest first by group_time.
+    No task sorts a whole cluster: rows are ranked inside an hour, and what stands before an hour comes from windows over one row an hour.
     """
-    nth = F.row_number().over(Window.partitionBy("cluster_id").orderBy(*_order(order)))
-    times = clustered.groupBy("cluster_id").agg(F.max(_chronology(order)).alias("group_time")).where("group_time is not null")
-    return clustered.withColumn("place", nth.cast("long")).join(times, "cluster_id")
+    rows = clustered.withColumn("__hour", F.coalesce(F.date_format(_chronology(order), "yyyy-MM-dd HH"), F.lit("")))
+    hours = rows.groupBy("cluster_id", "__hour").agg(F.count(F.lit(1)).alias("n"), F.max(_chronology(order)).alias("newest"))
+    cluster = Window.partitionBy("cluster_id")
+    newer = cluster.orderBy(F.desc("__hour")).rowsBetween(Window.unboundedPreceding, -1)
+    hours = hours.select("cluster_id", "__hour", F.coalesce(F.sum("n").over(newer), F.lit(0)).alias("__before"), F.max("newest").over(cluster).alias("group_time"))
+    nth = F.row_number().over(Window.partitionBy("cluster_id", "__hour").orderBy(*_order(order)))
+    placed = rows.withColumn("__nth", nth).join(hours.where("group_time is not null"), ["cluster_id", "__hour"])
+    return placed.withColumn("place", (F.col("__nth") + F.col("__before")).cast("long")).select(*clustered.columns, "place", "group_time")
 
 
 def headline_feed(clustered: DataFrame, order: str = "observed") -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from headrow.operators import archive as arc
+from headrow.operators import cluster
 from headrow.operators import validate as val
 from headrow.operators.components import connected_components
 from headrow.plans.lineage import cut
@@ -272,3 +273,18 @@ def test_cut_tables_of_two_threads(spark):
     for t in threads:
         t.join()
     assert not failed and len(seen["a"]) == len(seen["b"]) == 1 and seen["a"] != seen["b"]
+
+
+def test_places_in_a_cluster_do_not_depend_on_hours(spark):
+    rnd, t0 = random.Random(3), dt.datetime(2024, 1, 1)
+    at = lambda: None if rnd.random() < 0.3 else t0 + dt.timedelta(minutes=rnd.randrange(600))
+    rows = [(rnd.choice("aaab"), i, f"s{i % 3}", rnd.choice([None, 1, 2]), at(), at()) for i in range(200)] + [("lone", 900, "s", 1, t0, None)]
+    df = spark.createDataFrame(rows, "cluster_id string, item_id long, source_name string, position long, first_seen_at timestamp, published_at timestamp")
+    for order, column in (("observed", 4), ("published", 5)):
+        want = {}
+        for c in ("a", "b") if order == "published" else ("a", "b", "lone"):
+            mine = sorted((r for r in rows if r[0] == c), key=lambda r: (r[column] is None, t0 - (r[column] or t0), r[2], r[3] or 0, r[1]))
+            want |= {r[1]: (i, mine[0][column]) for i, r in enumerate(mine, 1)}
+        got = cluster.headline_groups(df, order)
+        assert got.columns == [*df.columns, "place", "group_time"]
+        assert {r.item_id: (r.place, r.group_time) for r in got.collect()} == want
