@@ -7,19 +7,23 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from headrow.llm.alignment import align_tokenizers
 from headrow.llm.byte_bpe import round_trip_digests
 from headrow.llm.exact_dedup import exact_dedup, normal_sha256
 from headrow.llm.html_text import extract_html
+from headrow.llm.imatch import edited_fingerprints, lexicon
 from headrow.llm.mixing import mix_sources
 from headrow.llm.ngram_join import ngram_jaccard_components
 from headrow.llm.quality import language_references, quality_rules
 from headrow.llm.secrets import scan_secrets, span_digests, train_markov
 from headrow.llm.sharding import shard_rows
+from headrow.llm.spelling import spelling_variants, word_counts
 from headrow.llm.token_counts import token_counts
 from headrow.llm.url_rules import UrlRule, filter_urls, has_host_word, mine_rules, url_path
 
 RANKS = "byte_bpe_50k.tiktoken"
 PIECES = "piece_bpe_32k.model"
+BYTE_ENTRIES = "byte_bpe_50k.json"
 # The listed URL rules (host, path, verdict), in no order.
 URL_RULES = [
     UrlRule("com", "/", "allow"),
@@ -107,11 +111,29 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN, keep=["doc_id"])
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variants among the words of six letters or more that occur five times or more; a run in 199 has lost a letter. No texts give no words."""
+    return spelling_variants(word_counts(_table(spark, sf_dir, "documents"), drop_every=199), times=5)
+
+
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of the tokens of BYTE_ENTRIES and PIECES in each document; null and empty texts have zeros."""
+    docs = _table(spark, sf_dir, "documents")
+    return align_tokenizers(docs, public_tokenizers.path(BYTE_ENTRIES), public_tokenizers.path(PIECES), public_tokenizers.PATTERN, keep=["doc_id"])
+
+
+def op13_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I-Match fingerprints of each document and of its edited text, by the lexicon of all documents; a null text counts as empty."""
+    docs = _table(spark, sf_dir, "documents")
+    return edited_fingerprints(docs, lexicon(docs), keep=["doc_id"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_html_extraction, op2_ngram_jaccard_join, op3_token_counts, op4_source_mixing, op5_exact_dedup,
         op6_url_filters, op7_secret_scans, op8_quality_rules, op9_sharding, op10_byte_bpe,
+        op11_spelling_variants, op12_tokenizer_alignment, op13_document_fingerprints,
     )
 }
 

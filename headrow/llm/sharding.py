@@ -72,7 +72,7 @@ def find_splitters(rows: DataFrame, targets: list[int], tolerances: list[int]) -
     return [settled[s] for s in range(len(targets))]
 
 
-def _places(splitters: list[tuple[int, int]]) -> Column:
+def places(splitters: list[tuple[int, int]]) -> Column:
     """How many of the ascending splitters a row's key (k1, k2) has reached, by binary search."""
     n = len(splitters)
     if not n:
@@ -122,7 +122,7 @@ def shard_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     targets = [total * i // parts for i in range(1, parts)]
     near = [int(total / shards * tolerance) if i % each == 0 else total // (20 * parts) for i in range(1, parts)]
     keys = rows.select("k1", "k2", "size")
-    placed = rows.withColumn("part", _places(find_splitters(keys, targets, near) if total else []))
+    placed = rows.withColumn("part", places(find_splitters(keys, targets, near) if total else []))
 
     counts = {r["part"]: r["n"] for r in placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most parts rows
     before = [sum(counts.get(p, 0) for p in range(q - q % each, q)) for q in range(parts)]

@@ -11,14 +11,14 @@ from pyspark.sql import DataFrame
 from headrow.llm.batches import map_text
 
 _MARK = "▁"  # stands for a space inside pieces
-_BOUNDARY = re.compile(f"(?<=[^ {_MARK}]) (?=[^ {_MARK}])")
+LONE_SPACE = re.compile(f"(?<=[^ {_MARK}]) (?=[^ {_MARK}])")
 
 
 def split_safely(text: str, size: int) -> list[str]:
     """Pieces of about size characters, cut only at a lone space between two other characters (the space goes)."""
     out, start = [], 0
     while len(text) - start > size:
-        found = _BOUNDARY.search(text, start + size)
+        found = LONE_SPACE.search(text, start + size)
         if not found:
             break
         out.append(text[start : found.start()])
@@ -27,7 +27,7 @@ def split_safely(text: str, size: int) -> list[str]:
     return out
 
 
-def _lone_space_is_safe(sp) -> bool:
+def lone_space_is_safe(sp) -> bool:
     """True if no piece holds a space mark behind another character, so that no merge crosses a lone space.
 
     The next part then starts with the mark that the model puts before every input.
@@ -41,7 +41,7 @@ def _counter(path: str, size: int) -> Callable[[list[str]], list[int]]:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        cut = (lambda t: split_safely(t, size)) if _lone_space_is_safe(sp) else (lambda t: [t])
+        cut = (lambda t: split_safely(t, size)) if lone_space_is_safe(sp) else (lambda t: [t])
 
         def lengths(texts: list[str]) -> list[int]:
             return [len(x) for x in sp.encode(texts, num_threads=1)]
