@@ -7,6 +7,8 @@ source's item_kind, entity_kind, item_variant. Ids of items and versions are the
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from headrow.functions.text import none_if_blank, strip, title_hash
@@ -14,7 +16,7 @@ from headrow.functions.urls import canonicalize_url
 from headrow.plans.lineage import cut
 
 
-_BLOCK_BITS = 30  # of obs_seq below a block: rows of one URL are sorted block by block, not as a whole
+_BLOCK_BITS = 18  # of obs_seq below a block: rows of one URL are sorted block by block, not as a whole
 
 
 def _tokens(rows: DataFrame, ids: DataFrame | None, urls: DataFrame | None, block_bits: int) -> tuple[DataFrame, DataFrame | None]:
@@ -42,14 +44,39 @@ def _tokens(rows: DataFrame, ids: DataFrame | None, urls: DataFrame | None, bloc
     else:
         events = events.select("*", F.lit(0).alias("s_dp"), F.lit(None).cast("string").alias("s_firstp"), F.lit(None).cast("long").alias("s_live"))
 
+    ends = rows.agg(F.shiftright(F.min("obs_seq"), block_bits), F.shiftright(F.max("obs_seq"), block_bits)).first()
     inside = Window.partitionBy("u", "block").orderBy("obs_seq")
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
-    events = cut(
+    events = (
         events.withColumn("lseg", F.sum(flag("fp")).over(upto) - flag("fp"))
         .withColumn("ldp", F.coalesce(F.sum(flag("fup")).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         .withColumn("lfirstp", F.first("p", ignorenulls=True).over(upto))
     )
+    piece = Window.partitionBy("u", "block", "lseg")
+    makes = F.col("p").isNull() & (F.col("c_dp") + F.col("ldp") != 1)  # an item of its own, unless one lives
+    made = F.coalesce(F.bool_or(makes).over(piece.orderBy("obs_seq").rowsBetween(Window.unboundedPreceding, 0)), F.lit(False))
+    ended = F.max(F.when(F.col("fp"), F.col("p"))).over(piece)
+    if ends[0] == ends[1]:  # one block: nothing is carried
+        events = events.withColumn("c_dp", F.col("s_dp")).select(
+            "u", "obs_seq", "p", "fp", "s_live", F.col("lseg").alias("seg"), (made | ((F.col("lseg") == 0) & F.col("s_live").isNotNull())).alias("gen"), ended.alias("segp"),
+            F.coalesce("s_firstp", "lfirstp").alias("firstp"),
+        )
+    else:
+        events = _carried(cut(events), flag, made, makes, ended)
+    old = (F.col("seg") == 0) & F.col("s_live").isNotNull()
+    told = events.where("p is null").select(
+        "obs_seq", F.when(F.col("gen"), F.coalesce("segp", "u")).otherwise(F.col("firstp")).alias("token"), F.when(F.col("gen") & old, F.col("s_live")).alias("known")
+    )
+    out = rows.where("p is null").join(told, "obs_seq").unionByName(rows.where("p is not null").select("*", F.col("p").alias("token"), F.lit(None).cast("long").alias("known")))
+    if not (ids and urls):
+        return out, None
+    taken = events.where(F.col("fp") & old).select(F.col("s_live").alias("item_id"), F.col("p").alias("token"))
+    had = ids.select(F.col("p").alias("token"), F.col("item_id").alias("had")).unionByName(taken.select("token", F.col("item_id").alias("had")))
+    return out.join(had, "token", "left").withColumn("known", F.coalesce("known", "had")).drop("had"), taken
+
 
+def _carried(events: DataFrame, flag: Callable[[str], Column], made: Column, makes: Column, ended: Column) -> DataFrame:
+    """Events of several blocks with what each block has to know of the others."""
     blocks = Window.partitionBy("u").orderBy("block")
     before, behind = blocks.rowsBetween(Window.unboundedPreceding, -1), blocks.rowsBetween(1, Window.unboundedFollowing)
     sums = events.groupBy("u", "block").agg(
@@ -63,7 +90,6 @@ def _tokens(rows: DataFrame, ids: DataFrame | None, urls: DataFrame | None, bloc
         )
     )
     events = events.drop("s_dp", "s_firstp", "s_live").join(carried, ["u", "block"])
-    makes = F.col("p").isNull() & (F.col("c_dp") + F.col("ldp") != 1)  # an item of its own, unless one lives
     # whether an item lives at the end of each block, and so at the beginning of the next
     tails = events.groupBy("u", "block").agg(
         F.coalesce(F.bool_or(F.when(F.col("lseg") == F.col("n_fp"), makes)), F.lit(False)).alias("tail"), F.min(F.col("c_fp") + F.col("n_fp")).alias("seg"), F.min("s_live").alias("s_live")
@@ -71,24 +97,11 @@ def _tokens(rows: DataFrame, ids: DataFrame | None, urls: DataFrame | None, bloc
     lives = F.bool_or("tail").over(Window.partitionBy("u", "seg").orderBy("block").rowsBetween(Window.unboundedPreceding, 0))
     tails = tails.withColumn("alive", lives | ((F.col("seg") == 0) & F.col("s_live").isNotNull()))
     tails = tails.select("u", "block", F.coalesce(F.lag("alive").over(blocks), F.col("s_live").isNotNull()).alias("c_alive"))
-    piece = Window.partitionBy("u", "block", "lseg")
-    events = events.join(tails, ["u", "block"])
-    alive = F.coalesce(F.bool_or(makes).over(piece.orderBy("obs_seq").rowsBetween(Window.unboundedPreceding, 0)), F.lit(False)) | ((F.col("lseg") == 0) & F.col("c_alive"))
-    ended = F.max(F.when(F.col("fp"), F.col("p"))).over(piece)
-    events = events.select(
+    alive = made | ((F.col("lseg") == 0) & F.col("c_alive"))
+    return events.join(tails, ["u", "block"]).select(
         "u", "obs_seq", "p", "fp", "s_live", (F.col("c_fp") + F.col("lseg")).alias("seg"), alive.alias("gen"), F.when(F.col("lseg") < F.col("n_fp"), ended).otherwise(F.col("next_fp")).alias("segp"),
         F.coalesce("c_firstp", "lfirstp").alias("firstp"),
     )
-    old = (F.col("seg") == 0) & F.col("s_live").isNotNull()
-    told = events.where("p is null").select(
-        "obs_seq", F.when(F.col("gen"), F.coalesce("segp", "u")).otherwise(F.col("firstp")).alias("token"), F.when(F.col("gen") & old, F.col("s_live")).alias("known")
-    )
-    out = rows.where("p is null").join(told, "obs_seq").unionByName(rows.where("p is not null").select("*", F.col("p").alias("token"), F.lit(None).cast("long").alias("known")))
-    if not (ids and urls):
-        return out, None
-    taken = events.where(F.col("fp") & old).select(F.col("s_live").alias("item_id"), F.col("p").alias("token"))
-    had = ids.select(F.col("p").alias("token"), F.col("item_id").alias("had")).unionByName(taken.select("token", F.col("item_id").alias("had")))
-    return out.join(had, "token", "left").withColumn("known", F.coalesce("known", "had")).drop("had"), taken
 
 
 def _numbered(known: DataFrame) -> DataFrame:
@@ -177,15 +190,20 @@ def _novelty(resolved: DataFrame) -> DataFrame:
     )
 
 
-def build_snapshots(resolved: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Snapshots of live runs (snapshot_id is the run's id) and their entries, each pinned to its title version."""
-    live = collapse_run(resolved).where("run_kind = 'live'")
-    snapshots = live.groupBy("run_id").agg(F.min("source_id").alias("source_id"), F.max("seen_at").alias("observed_at"))
+def build_snapshots(resolved: DataFrame, runs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Snapshots of live runs (snapshot_id is the run's id) and their entries, each pinned to its title version.
+
+    runs: (run_id, run_kind, source_id, observed_at) of the runs that succeeded. One without candidates has a snapshot too, without entries, so that what was
+    listed before is no longer the latest. Where runs isn't given, the runs are those of the rows, observed when the last of them was seen.
+    """
+    if runs is None:
+        runs = collapse_run(resolved).groupBy("run_id", "run_kind").agg(F.min("source_id").alias("source_id"), F.max("seen_at").alias("observed_at"))
+    snapshots = runs.where("run_kind = 'live'").select(F.col("run_id").alias("snapshot_id"), F.col("run_id").alias("fetch_run_id"), "source_id", "observed_at")
     entries = _novelty(resolved).where("run_kind = 'live'").select(
         F.col("run_id").alias("snapshot_id"), "item_id", "position", F.col("version_id").alias("item_version_id"), strip(F.col("url")).alias("original_url"),
         canonicalize_url(F.col("url")).alias("canonical_url"), "metrics",
     )
-    return snapshots.select(F.col("run_id").alias("snapshot_id"), F.col("run_id").alias("fetch_run_id"), "source_id", "observed_at"), entries
+    return snapshots, entries
 
 
 def build_change_log(resolved: DataFrame) -> DataFrame:
@@ -212,12 +230,12 @@ def run_summary(resolved: DataFrame, outcome: DataFrame) -> DataFrame:
     return out.select("run_id", status.alias("status"), "item_count", "new_item_count", "new_version_count", "rejected", "warnings")
 
 
-def build_archive(accepted: DataFrame) -> dict[str, DataFrame]:
-    """All tables from one pass of resolution, whose result is written once, with what is new in each row that writes."""
+def build_archive(accepted: DataFrame, runs: DataFrame | None = None) -> dict[str, DataFrame]:
+    """All tables from one pass of resolution, whose result is written once, with what is new in each row that writes. runs: see build_snapshots()."""
     resolved = cut(resolve_items(accepted))
     new = _novelty(resolved).select("obs_seq", "version_id", "inew", "onew", "vnew")
     resolved = cut(resolved.join(new, "obs_seq", "left"))
-    snapshots, entries = build_snapshots(resolved)
+    snapshots, entries = build_snapshots(resolved, runs)
     return {
         "resolved": resolved, "items": build_items(resolved), "item_url_identities": build_aliases(resolved),
         "observations": build_observations(resolved), "item_versions": build_versions(resolved),

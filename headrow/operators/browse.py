@@ -43,9 +43,9 @@ def latest_snapshot_headlines(
 
 
 def snapshot_sections(headlines: DataFrame) -> DataFrame:
-    """Headlines grouped by source, in rank order."""
+    """Headlines grouped by source, in rank order; two sources of one name stay apart."""
     rows = F.array_sort(F.collect_list(F.struct("rank", "title", "url")))
-    return headlines.groupBy("source_name").agg(rows.alias("headlines"))
+    return headlines.groupBy("source_id", "source_name").agg(rows.alias("headlines"))
 
 
 def latest_title(versions: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable
 
@@ -11,6 +12,7 @@ from pyspark.sql.types import BinaryType
 
 from headrow.functions import checks, text, times, urls
 from headrow.operators import archive as arc, browse, catalog, changes, cluster, health, validate as val
+from headrow.operators.increments import IncrementalArchive
 from headrow.plans import views
 from headrow.plans.lineage import cut, shared_dir
 from headrow.plans.views import duck, view
@@ -98,7 +100,8 @@ _LOG = f"""{_NEW}, log AS (
   FROM nov WHERE inew OR onew UNION ALL
   SELECT 2 * obs_seq + 1, 'headline_version_created', source_id, item_id, version_id, seen_at FROM nov WHERE obs_seq = version_id AND NOT inew)"""
 _SRC = f"src AS ({duck(views.SOURCES)}), surf AS ({duck(views.SURFACES)})"
-_SNAP = "snap AS (SELECT run_id AS snapshot_id, run_id AS fetch_run_id, min(source_id) AS source_id, max(seen_at) AS observed_at FROM w WHERE run_kind = 'live' GROUP BY run_id)"
+_SNAP = f"""stored AS (SELECT run_id, run_kind, min(source_id) AS source_id, max(seen_at) AS observed_at FROM v GROUP BY run_id, run_kind HAVING count(*) FILTER (reason IS NULL) > 0 UNION ALL ({duck(views.EMPTY_RUNS)})),
+snap AS (SELECT run_id AS snapshot_id, run_id AS fetch_run_id, source_id, observed_at FROM stored WHERE run_kind = 'live')"""
 _ENT = f"ent AS (SELECT w.run_id AS snapshot_id, w.item_id, position, v2.version_id AS item_version_id, trim(url) AS original_url, {_canon('url')} AS canonical_url, metrics FROM w JOIN vers v2 USING (item_id, title_hash) WHERE run_kind = 'live')"
 _RUNS = f"runs AS ({duck(views.RUNS)})"
 
@@ -123,8 +126,14 @@ def _resolved(spark, d):
     return arc.resolve_items(_validated(spark, d).where("reason is null"))
 
 
+def _stored_runs(spark, d):
+    """Runs that succeeded: those that stored a candidate, observed at their last one, and those that listed nothing."""
+    runs = _validated(spark, d).groupBy("run_id", "run_kind").agg(F.min("source_id").alias("source_id"), F.max("seen_at").alias("observed_at"), F.bool_or(F.col("reason").isNull()).alias("ok"))
+    return runs.where("ok").drop("ok").unionByName(view(spark, d, views.EMPTY_RUNS))
+
+
 def _archive(spark, d):
-    return arc.build_archive(_validated(spark, d).where("reason is null"))
+    return arc.build_archive(_validated(spark, d).where("reason is null"), _stored_runs(spark, d))
 
 
 def _sources(spark, d):
@@ -301,7 +310,7 @@ def b13_b14_page_urls(spark, d):
 
 
 @query(_sql(_V, select="""SELECT obs_seq, reason, CASE WHEN reason IN ('empty_title', 'title_too_long', 'invalid_url') THEN reason WHEN obs_seq % 6 IN (1, 2, 3) OR (obs_seq % 6 = 0 AND obs_seq % 4 < 1) THEN 'invalid_position'
-  WHEN reason = 'published_at_too_far_in_future' THEN reason END AS raw_reason FROM v"""))
+  WHEN published_at > seen_at + INTERVAL 7200 SECOND THEN 'published_at_too_far_in_future' END AS raw_reason FROM v"""))
 def d1_rejection_reason(spark, d):
     """Reasons with typed positions, and with positions as JSON gives them: integers, booleans, fractions, texts, nulls."""
     i = F.col("obs_seq")
@@ -452,7 +461,7 @@ def e6_build_versions(spark, d):
 
 @query(_sql(_R, _VERS, _SNAP, select="SELECT * FROM snap"))
 def e7_build_snapshots(spark, d):
-    return arc.build_snapshots(_resolved(spark, d))[0]
+    return arc.build_snapshots(_resolved(spark, d), _stored_runs(spark, d))[0]
 
 
 @query(_sql(_R, _VERS, _ENT, select="SELECT * FROM ent"))
@@ -483,6 +492,38 @@ def e10_apply_increment(spark, d):
     return arc.apply_increment(before, rows.where(F.col("obs_seq") >= cut_run)).select("obs_seq", "token", "item_id", "rep")
 
 
+# a row of each table as text; the columns stand in the same order in both engines
+_ROWS_OF = {
+    "items": "item_id, identity_key, external_id, original_url, canonical_url, item_kind, entity_kind, item_variant, {published_at}, raw_published_at, {first_seen_at}, {last_seen_at}",
+    "item_url_identities": "item_id, identity_key", "observations": "source_id, item_id, upstream_id, {first_seen_at}, {last_seen_at}, position",
+    "item_versions": "version_id, item_id, title_hash, title, {first_seen_at}, {last_seen_at}", "snapshots": "snapshot_id, fetch_run_id, source_id, {observed_at}",
+    "snapshot_entries": "snapshot_id, item_id, position, item_version_id, original_url, canonical_url, metrics", "change_log": "seq, event_type, source_id, item_id, item_version_id, {created_at}",
+}
+_NAMES = {"items": "its", "item_url_identities": "al", "observations": "obs", "item_versions": "vers", "snapshots": "snap", "snapshot_entries": "ent", "change_log": "log"}
+
+
+def _row_text(columns: str, us: str, null: str) -> str:
+    parts = (us.format(c[1:-1]) if c[0] == "{" else f"CAST({c} AS {null})" for c in columns.split(", "))
+    return "concat_ws('|', " + ", ".join(f"coalesce(CAST({p} AS {null}), '~')" for p in parts) + ")"
+
+
+@query(_sql(_R, _ITEMS, _OBS, _VERS, _SNAP, _ENT, _LOG, "al AS (SELECT DISTINCT item_id, u AS identity_key FROM r)", select=" UNION ALL ".join(
+    f"SELECT '{n}' AS kind, {_row_text(c, 'epoch_us({})', 'VARCHAR')} AS said FROM {_NAMES[n]}" for n, c in _ROWS_OF.items())))
+def e10_incremental_tables(spark, d):
+    """The seven tables after five increments and their compactions, which are those of one whole build."""
+    root = f"{shared_dir(spark)}/headrow-{uuid.uuid4().hex}"
+    rows, runs = cut(_validated(spark, d).where("reason is null")), cut(_stored_runs(spark, d))
+    top = rows.agg(F.max("obs_seq")).first()[0] or 0
+    archive = IncrementalArchive(spark, root, buckets=4, fanout=3)
+    bounds = [0, *((top * i // 5) // 250 for i in range(1, 5)), top // 250 + 1]  # runs lie within 250 events
+    for i, (a, b) in enumerate(zip(bounds, bounds[1:])):
+        inside = (F.col("obs_seq") >= a * 250) & (F.col("obs_seq") < b * 250)
+        archive.apply(rows.where(inside), i, runs.where((F.col("run_id") >= a * 8) & (F.col("run_id") < b * 8)))
+    made = archive.read()
+    out = [made[n].select(F.lit(n).alias("kind"), F.expr(_row_text(c, "unix_micros(CAST({} AS TIMESTAMP))", "STRING")).alias("said")) for n, c in _ROWS_OF.items()]
+    return functools.reduce(DataFrame.unionByName, out)
+
+
 # ---- F: reads
 
 
@@ -663,15 +704,15 @@ def h5_pending(spark, d):
 
 @query(_sql(_R, select="SELECT obs_seq, token, item_id, rep FROM r"))
 def h6_stream_archive(spark, d):
-    """The archive as a stream builds it: the candidates arrive in two files, in commit order, and are resolved batch by batch."""
+    """The archive as a stream builds it: the candidates arrive in two batches of several files, in commit order, and are resolved batch by batch."""
     root = f"{shared_dir(spark)}/headrow-{uuid.uuid4().hex}"
     rows = cut(_validated(spark, d).where("reason is null"))
     half = rows.agg(F.expr("percentile_approx(obs_seq, 0.6)")).first()[0]
     half -= half % 250  # runs lie within 250 events
     for part in (F.col("obs_seq") < half, F.col("obs_seq") >= half):
-        rows.where(part).coalesce(1).write.mode("append").parquet(f"{root}/in")
+        rows.where(part).repartition(4).write.mode("append").parquet(f"{root}/in")
         stream = spark.readStream.schema(rows.schema).parquet(f"{root}/in")
-        jobs.stream_archive(stream, f"{root}/state", f"{root}/checkpoint").awaitTermination()
+        jobs.stream_archive(stream, f"{root}/state", f"{root}/checkpoint", buckets=4).awaitTermination()
     return jobs.latest_state(spark, f"{root}/state").select("obs_seq", "token", "item_id", "rep")
 
 
@@ -685,7 +726,7 @@ def h7_stream_source_state(spark, d):
         batch.write.mode("overwrite").parquet(f"{root}/out/batch={number}")
 
     for odd in (0, 1):
-        runs.where(F.col("run_id") % 2 == odd).coalesce(1).write.mode("append").parquet(f"{root}/in")
+        runs.where(F.col("run_id") % 2 == odd).repartition(4).write.mode("append").parquet(f"{root}/in")
         states = jobs.stream_source_state(spark.readStream.schema(runs.schema).parquet(f"{root}/in"), _sources(spark, d))
         states.writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     last = spark.read.parquet(f"{root}/out").groupBy("source_id").agg(F.max_by(F.struct(*kinds, "consecutive_failures"), "batch").alias("s")).select("source_id", "s.*")

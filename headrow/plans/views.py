@@ -48,6 +48,12 @@ FROM (
     FROM {events}) AS a) AS b
 """
 
+# live runs that succeeded and listed nothing, behind the others of their bucket
+EMPTY_RUNS = """
+SELECT bucket * 8 + 5 AS run_id, 'live' AS run_kind, 'view' AS source_id, max(ts) + INTERVAL 1 SECOND AS observed_at
+FROM (SELECT ts, CAST(floor(event_id / 250.0) AS BIGINT) AS bucket FROM {events}) AS e WHERE bucket % 3 = 0 GROUP BY bucket
+"""
+
 RUNS = """
 SELECT run_id, run_kind, source_id, started_at, CASE WHEN newest AND source_id = 'click' THEN NULL WHEN newest AND source_id = 'view' THEN ended ELSE finished_at END AS finished_at,
   CASE WHEN newest AND source_id = 'click' THEN 'running' WHEN newest AND source_id = 'view' THEN 'failed' ELSE status END AS status,

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
+
+from headrow.sources.commit_log import CommitLog, Conflict, File
 
 # The least columns of each archive table.
 REQUIRED = {
@@ -31,30 +32,23 @@ def check_layout(name: str, df: DataFrame) -> DataFrame:
     return df
 
 
-def _manifest(spark: SparkSession, root: str) -> DataFrame | None:
-    """Committed attempts (batch, attempt, at, tables); null if there is none yet."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/_manifest")
-    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    there = files.exists(path) and any(s.getPath().getName().startswith("part-") for s in files.listStatus(path))
-    return spark.read.schema("batch string, attempt string, at long, tables array<string>").parquet(f"{root}/_manifest") if there else None
-
-
 def _commit(spark: SparkSession, root: str, batch: str, outputs: dict[str, DataFrame], partition_by: dict[str, list[str]]) -> None:
-    """Write outputs to folders of a new attempt, and then one row of the manifest that names it: the only step that readers see."""
+    """Write outputs to folders of a new attempt, and then commit them in place of the batch's earlier ones: the only step that readers see."""
     attempt = uuid.uuid4().hex
-    for name, df in outputs.items():
-        df.write.mode("error").partitionBy(*partition_by.get(name, [])).parquet(f"{root}/{name}/attempt={attempt}")
-    row = spark.range(1).select(F.lit(batch).alias("batch"), F.lit(attempt).alias("attempt"), F.lit(time.time_ns()).alias("at"), F.array(*map(F.lit, sorted(outputs))).alias("tables"))
-    row.coalesce(1).write.mode("append").parquet(f"{root}/_manifest")
-
-
-def _attempts(spark: SparkSession, root: str, name: str) -> list[str]:
-    """Folders of a table that the manifest names: for each batch the attempt that was committed last."""
-    done = _manifest(spark, root)
-    if done is None:
-        return []
-    last = done.groupBy("batch").agg(F.max_by(F.struct("attempt", "tables"), F.struct("at", "attempt")).alias("l")).select("batch", "l.*")
-    return [f"{root}/{name}/attempt={r.attempt}" for r in last.where(F.array_contains("tables", name)).orderBy("batch").collect()]
+    made = [File(name, f"{root}/{name}/attempt={attempt}", batch) for name in sorted(outputs)]
+    for f in made:
+        outputs[f.table].write.mode("error").partitionBy(*partition_by.get(f.table, [])).parquet(f.path)
+    log = CommitLog(spark, root)
+    while True:
+        seen = log.snapshot()
+        old = [p for p, f in seen.files.items() if f.batch == batch]
+        if batch in seen.closed:
+            raise ValueError(f"batch {batch} below {root} has been compacted")
+        try:
+            log.commit(seen, batch, made, old, [f"batch:{batch}"])
+            return
+        except Conflict:  # the batch was committed by another writer meanwhile: this one is later
+            continue
 
 
 def write_archive(tables: dict[str, DataFrame], root: str, partition_by: dict[str, list[str]] | None = None) -> None:
@@ -64,11 +58,11 @@ def write_archive(tables: dict[str, DataFrame], root: str, partition_by: dict[st
         _commit(next(iter(checked.values())).sparkSession, root, "archive", checked, partition_by or {})
 
 
-def read_archive(spark: SparkSession, root: str, names: list[str] | None = None) -> dict[str, DataFrame]:
-    """Tables of the last commit below root; a missing table, or one that lacks a required column, fails the read."""
-    out = {}
+def read_archive(spark: SparkSession, root: str, names: list[str] | None = None, version: int | None = None) -> dict[str, DataFrame]:
+    """Tables of the last commit below root, or of a version of its log; a missing table, or one that lacks a required column, fails the read."""
+    out, seen = {}, CommitLog(spark, root).snapshot(version)
     for name in names or REQUIRED:
-        paths = _attempts(spark, root, name)
+        paths = seen.paths(name)
         if not paths:
             raise ValueError(f"archive table {name} is missing")
         out[name] = check_layout(name, spark.read.parquet(*paths))
@@ -76,16 +70,35 @@ def read_archive(spark: SparkSession, root: str, names: list[str] | None = None)
 
 
 def write_run_outputs(spark: SparkSession, root: str, batch_id: str, outputs: dict[str, DataFrame]) -> None:
-    """Append the outputs of a batch of runs, all or none.
+    """Append the outputs of a batch of runs, all or none: any tables, the run log's rows among them.
 
-    Each attempt writes to folders of its own; readers see them once the manifest's row is written, last of all. Writing a batch again, after a
-    failure or after its commit, leaves what readers see as it was until the new attempt is committed, and then one copy. One manifest row
-    and one folder a table are kept for each batch.
+    Each attempt writes to folders of its own; readers see them once their log entry is there, last of all. Writing a batch again, after a
+    failure or after its commit, leaves what readers see as it was until the new attempt is committed, and then one copy. Writers of different
+    batches don't hinder each other; of two writers of one batch the later commit counts.
     """
     _commit(spark, root, batch_id, outputs, {})
 
 
-def read_committed(spark: SparkSession, root: str, name: str) -> DataFrame | None:
-    """Rows of the committed batches, each in its last committed attempt; None if there is none."""
-    paths = _attempts(spark, root, name)
+def read_committed(spark: SparkSession, root: str, name: str, version: int | None = None) -> DataFrame | None:
+    """Rows of the committed batches, each in its last committed attempt, now or at a version of the log; None if there is none."""
+    paths = CommitLog(spark, root).snapshot(version).paths(name)
     return spark.read.parquet(*paths) if paths else None
+
+
+def compact_committed(spark: SparkSession, root: str, name: str) -> None:
+    """Write a table's committed batches to one folder of files of Spark's advised size, and put it in their place in one commit.
+
+    A batch that is compacted can't be written again, that raises an error. Readers of earlier versions keep their folders. Does nothing if another writer replaced one of the batches meanwhile.
+    """
+    log = CommitLog(spark, root)
+    seen = log.snapshot()
+    old = seen.of(name)
+    if len(old) < 2:
+        return
+    made = File(name, f"{root}/{name}/attempt={uuid.uuid4().hex}", "compacted", max(f.level for f in old) + 1)
+    spark.read.parquet(*(f.path for f in old)).hint("rebalance").write.mode("error").parquet(made.path)
+    try:
+        batches = {f.batch for f in old}
+        log.commit(seen, None, [made], [f.path for f in old], {f"batch:{b}" for b in batches}, batches)
+    except Conflict:
+        return

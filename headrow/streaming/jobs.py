@@ -9,93 +9,27 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from headrow.operators.archive import resolve_increment
 from headrow.operators.health import BASE_DELAY, DONE, MAX_DELAY
-from headrow.plans.lineage import collecting, cut, discard
+from headrow.operators.increments import BUCKETS, IncrementalArchive
 
 
-_BUCKETS = 64
-_SCHEMAS = {"ids": "p string, item_id long", "urls": "u string, dp int, firstp string, live long", "taken": "item_id long, token string"}
+def stream_archive(accepted: DataFrame, root: str, checkpoint: str, buckets: int = BUCKETS) -> StreamingQuery:
+    """Add accepted candidates to the IncrementalArchive below root as they arrive, one commit a batch.
 
-
-def stream_archive(accepted: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
-    """Resolve accepted candidates as they arrive; each batch adds its rows, and the state of the keys it touched, under root.
-
-    The cost of a batch goes with its own keys, not with the archive: it reads the state of the ids and URLs that it has (of the buckets
-    they fall in) and writes rows, ids, urls and taken (items that got an id) to folders of its own. A batch reads what batches before it left,
-    so that a retried batch gives the same result. No row is too late: folds go by commit order and seen_at.
+    A batch reads the states of its own keys' buckets, in a number of folders that compaction bounds, and appends; a retried batch that was committed is left alone.
+    No row is too late: folds go by commit order and seen_at.
     """
     spark = accepted.sparkSession
 
     def step(batch: DataFrame, number: int) -> None:
-        used: list[str] = []
-        with collecting(used):
-            rows = cut(batch)
-            urls = _state(spark, root, "urls", rows.select("u"), number).groupBy("u").agg(F.max_by(F.struct("dp", "firstp", "live"), "batch").alias("s")).select("u", "s.*")
-            urls = cut(urls)
-            named = rows.select("p").unionByName(urls.select(F.col("firstp").alias("p"))).where("p is not null")
-            ids = cut(_state(spark, root, "ids", named, number).select("p", "item_id"))
-            found, taken = resolve_increment(ids, urls, rows)
-            found, taken = cut(found), cut(taken)
-        new = found.where("p is not null").groupBy("p").agg(F.min("item_id").alias("item_id")).join(ids, "p", "left_anti")
-        for name, df in {"rows": found, "taken": taken, "ids": _bucketed(new, "p"), "urls": _bucketed(_urls_after(urls, found, taken), "u")}.items():
-            by = ["bucket"] if name in ("ids", "urls") else []
-            df.write.mode("overwrite").partitionBy(*by).parquet(f"{root}/{name}/batch={number}")
-        spark.range(1).coalesce(1).write.mode("overwrite").parquet(f"{root}/done/batch={number}")
-        discard(spark, used)
+        IncrementalArchive(spark, root, buckets).apply(batch, number)
 
     return accepted.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _bucketed(df: DataFrame, key: str) -> DataFrame:
-    return df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(_BUCKETS)).cast("int")).repartition("bucket")
-
-
-def _urls_after(urls: DataFrame, rows: DataFrame, taken: DataFrame) -> DataFrame:
-    """The state of the URLs of rows after them; see archive.seed_state()."""
-    old = urls.select("u", F.col("dp").alias("o_dp"), F.col("firstp").alias("o_firstp"), F.col("live").alias("o_live"))
-    pairs = rows.where("p is not null").groupBy("u", "p").agg(F.min("obs_seq").alias("o")).join(old, "u", "left")
-    more = F.count_if(~F.coalesce(F.col("p") == F.col("o_firstp"), F.lit(False)))
-    seen = pairs.groupBy("u").agg(more.cast("int").alias("more"), F.min_by("p", "o").alias("n_firstp"))
-    alive = rows.where("p is null and token = u").groupBy("u").agg(F.min("item_id").alias("n_live"))
-    gone = taken.select(F.col("item_id").alias("o_live"), F.lit(True).alias("gone"))
-    all_ = rows.select("u").distinct().join(old, "u", "left").join(seen, "u", "left").join(alive, "u", "left").join(gone, "o_live", "left")
-    dp = F.least(F.lit(2), F.coalesce("o_dp", F.lit(0)) + F.coalesce("more", F.lit(0)))
-    return all_.select("u", dp.alias("dp"), F.coalesce("o_firstp", "n_firstp").alias("firstp"), F.coalesce("n_live", F.when(F.col("gone").isNull(), F.col("o_live"))).alias("live"))
-
-
-def _state(spark: SparkSession, root: str, name: str, keys: DataFrame, before: int | None) -> DataFrame:
-    """State rows (with batch) of the keys that earlier batches left; only the buckets of the keys are read."""
-    schema, key = _SCHEMAS[name], keys.columns[0]
-    batches = _batches(spark, root, before)
-    if not batches:
-        return spark.createDataFrame([], schema + ", bucket int, batch long")
-    wanted = _bucketed(keys.distinct(), key)
-    buckets = [r[0] for r in wanted.select("bucket").distinct().collect()]  # at most _BUCKETS
-    whole = spark.read.schema(schema + ", bucket int, batch long").option("basePath", f"{root}/{name}").parquet(*(f"{root}/{name}/batch={n}" for n in batches))
-    return whole.where(F.col("bucket").isin(buckets)).join(wanted.select(key), key, "left_semi")
-
-
-def _batches(spark: SparkSession, root: str, before: int | None = None) -> list[int]:
-    """Numbers of the finished batches (before a given one)."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/done")
-    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(path):
-        return []
-    done = [s.getPath() for s in files.listStatus(path) if files.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    numbers = sorted(int(p.getName().split("=")[1]) for p in done if p.getName().startswith("batch="))
-    return [n for n in numbers if before is None or n < before]
-
-
 def latest_state(spark: SparkSession, root: str) -> DataFrame | None:
-    """The resolved rows of all finished batches, with the ids that their items got later; None if there is none."""
-    batches = _batches(spark, root)
-    if not batches:
-        return None
-    read = lambda name: spark.read.parquet(*(f"{root}/{name}/batch={n}" for n in batches))
-    rows = read("rows")
-    taken = read("taken").select("item_id", F.col("token").alias("__token"))
-    return rows.join(taken, "item_id", "left").withColumn("token", F.coalesce("__token", "token")).select(*rows.columns)
+    """The resolved rows of all committed batches, with the ids that their items got later; None if there is none."""
+    return IncrementalArchive(spark, root).read().get("resolved")
 
 
 def stream_changes(change_log: DataFrame, checkpoint: str, handle: Callable[[DataFrame, int], None]) -> StreamingQuery:
