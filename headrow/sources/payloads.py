@@ -5,6 +5,7 @@ Payloads: run_id, content (binary) and what else should stay with the entries.
 
 from __future__ import annotations
 
+import bisect
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -52,33 +53,39 @@ _ATOM = f"entry array<struct<id:string,title:struct<_VALUE:string,_type:string>,
 _XML = {"ignoreNamespace": "true", "ignoreSurroundingSpaces": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
 
 
-def _root(text: Column) -> Column:
-    bare = F.regexp_replace(text, r"(?s)^[\s﻿]*(<\?.*?\?>|<!--.*?-->|\s+)*", "")
-    return F.regexp_extract(bare, r"^<(?:[A-Za-z_][\w.-]*:)?([A-Za-z_][\w.-]*)", 1)
+def _markup(text: Column) -> Column:
+    """XML without comments, CDATA sections and processing instructions, in which a declaration's letters mean nothing."""
+    return F.regexp_replace(text, r"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>", "")
 
 
 def classify_feed(payloads: DataFrame) -> DataFrame:
-    """Add text, kind (rss, atom or null) and status: ok, bad_encoding, declaration, malformed, unsupported_root or no_channel."""
+    """Add text, kind (rss, atom or null) and status: ok, bad_encoding, declaration, malformed, unsupported_root or no_channel.
+
+    A declaration is one that stands in the markup: in a comment, a CDATA section or a processing instruction it is text.
+    """
     df = payloads.withColumn("text", decode_payload(F.col("content")))
-    root = _root(F.col("text"))
+    bare = F.explode(F.array(F.struct(_markup(F.col("text")).alias("bare"))))
+    df = df.select("*", bare.alias("__m")).select(*df.columns, F.col("__m.bare").alias("__bare"))
+    root = F.regexp_extract("__bare", r"^[\s\uFEFF]*<(?:[A-Za-z_][\w.-]*:)?([A-Za-z_][\w.-]*)", 1)
+    said = F.col("__bare").rlike("<!(DOCTYPE|ENTITY)")
     rss = F.from_xml("text", _RSS + ", _corrupt string", _XML)
     atom = F.from_xml("text", _ATOM + ", _corrupt string", _XML)
     # a generator is computed once a row, whatever refers to it and whichever filter stands above
-    parsed = F.struct(root.alias("root"), F.when(root == "rss", rss).alias("rss"), F.when(root == "feed", atom).alias("atom"))
-    df = df.select("*", F.explode(F.array(parsed)).alias("__x")).select(*df.columns, F.col("__x.rss").alias("__rss"), F.col("__x.atom").alias("__atom"), F.col("__x.root").alias("__root"))
+    parsed = F.struct(root.alias("root"), said.alias("said"), F.when(root == "rss", rss).alias("rss"), F.when(root == "feed", atom).alias("atom"))
+    df = df.select("*", F.explode(F.array(parsed)).alias("__x")).select(*df.columns, F.col("__x.rss").alias("__rss"), F.col("__x.atom").alias("__atom"), F.col("__x.root").alias("__root"), F.col("__x.said").alias("__said"))
     root = F.col("__root")
     closed = F.col("text").rlike(r"(?s)</(?:[\w.-]+:)?(rss|feed)>\s*(<!--.*?-->\s*)*$")
     bad = F.coalesce("__rss._corrupt", "__atom._corrupt").isNotNull() | ~closed
     status = (
         F.when(F.col("text").isNull(), "bad_encoding")
-        .when(F.col("text").rlike("<!(DOCTYPE|ENTITY)"), "declaration")
+        .when(F.col("__said"), "declaration")
         .when(~root.isin("rss", "feed"), F.when(root == "", "malformed").otherwise("unsupported_root"))
         .when(bad, "malformed")
         .when((root == "rss") & ~F.col("text").rlike(r"<(?:[\w.-]+:)?channel[\s>/]"), "no_channel")
         .otherwise("ok")
     )
     kind = F.when(root == "rss", "rss").when(root == "feed", "atom")
-    return df.withColumn("status", status).withColumn("kind", kind).drop("__root")
+    return df.withColumn("status", status).withColumn("kind", kind).drop("__root", "__said", "__bare")
 
 
 def _candidate(title: Column, url: Column, external_id: Column, raw: Column, metrics: Column, position: Column) -> list[Column]:
@@ -261,8 +268,11 @@ def _test(part: str) -> Callable[[_Tag], bool]:
     return lambda t: name in t.attrs and (op is None or how[op](t.attrs[name], value))
 
 
-def _compile(selector: str) -> list[list[tuple[str, list[Callable]]]]:
-    """Alternatives of steps from right to left: (combinator to the left, tests)."""
+Steps = list[tuple[str, list[Callable[[_Tag], bool]]]]
+
+
+def _compile(selector: str) -> list[Steps]:
+    """Alternatives of steps from left to right: (combinator to the left, tests)."""
     out = []
     for alternative in selector.split(","):
         steps, combinator = [], " "
@@ -276,30 +286,35 @@ def _compile(selector: str) -> list[list[tuple[str, list[Callable]]]]:
                 tests.insert(0, lambda t, n=name: t.name == n)
             steps.append((combinator, tests))
             combinator = " "
-        out.append(steps[::-1])
+        out.append(steps)
     return out
 
 
-def _matches(tag: _Tag, steps: list, inside: _Tag) -> bool:
-    combinator, tests = steps[0]
-    if not all(t(tag) for t in tests):
-        return False
-    if len(steps) == 1:
-        return True
-    up = tag.parent
-    while up is not None and up.parent is not None:
-        if _matches(up, steps[1:], inside):
-            return True
-        if combinator == ">":
-            return False
-        up = up.parent
-    return False
+def _places(page: _Page, compiled: list[Steps]) -> list[int]:
+    """Places of the tags that a selector matches, ascending: one pass, in which each tag is tested once for each step that can be reached there.
 
-
-def _select(page: _Page, inside: _Tag, compiled: list) -> Iterator[_Tag]:
-    for tag in page.order[inside.at + 1 : inside.end]:
-        if any(_matches(tag, alt, inside) for alt in compiled):
-            yield tag
+    ends has a bit for each step at which a tag ends the steps so far, above the bits of all tags around it. A step can be reached at a tag if the
+    step before it ends at a tag around it, or (>) at its parent.
+    """
+    found = set()
+    for steps in compiled:
+        child = sum(1 << k for k, (how, _) in enumerate(steps) if k and how == ">")
+        inner = sum(1 << k for k, (how, _) in enumerate(steps) if k and how != ">")
+        ends, above = [0] * (len(page.order) + 1), [0] * (len(page.order) + 1)  # the last is the page, place -1
+        for at, tag in enumerate(page.order):
+            up = tag.parent.at
+            above[at] = above[up] | ends[up]
+            can = 1 | (above[at] << 1 & inner) | (ends[up] << 1 & child)
+            ends[at] = sum(1 << k for k, (_, tests) in enumerate(steps) if can >> k & 1 and all(t(tag) for t in tests))
+            if ends[at] >> len(steps) - 1 & 1:
+                found.add(at)
+    return sorted(found)
+
+
+def _first(page: _Page, inside: _Tag, places: list[int]) -> _Tag | None:
+    """The first of the places that lies inside a tag."""
+    i = bisect.bisect_right(places, inside.at)
+    return page.order[places[i]] if i < len(places) and places[i] < inside.end else None
 
 
 @dataclass(frozen=True)
@@ -327,16 +342,22 @@ def extract_html_listing(payloads: DataFrame, spec: HtmlSpec, keep: list[str], t
     def listing(html: str, rows, links, titles, times):
         page = _Page(html)
         seen: set[str] = set()
-        for row in _select(page, page.root, rows):
-            link = row if any(_matches(row, alt, row) for alt in links) else next(_select(page, row, links), None)
+        blank: set[int] = set()  # tags without text
+        row_at, link_at, title_at, time_at = (_places(page, s) if s else [] for s in (rows, links, titles, times))
+        are_links = {*link_at}
+        for row in (page.order[i] for i in row_at):
+            link = row if row.at in are_links else _first(page, row, link_at)
             href = link.attrs.get("href", "").strip() if link else ""
-            named = next(_select(page, row, titles), None) if titles else link
-            title = named.text() if named else ""
-            if not href or not title or href in seen:
+            if not href or href in seen:
+                continue
+            named = _first(page, row, title_at) if titles else link
+            title = named.text() if named and named.at not in blank else ""
+            if not title:
+                blank.update([named.at] if named else [])
                 continue
             seen.add(href)
             url = urljoin(spec.base_url, href)
-            when = next(_select(page, row, times), None) if times else None
+            when = _first(page, row, time_at) if times else None
             raw = (when.attrs.get(spec.time_attr, "") if spec.time_attr else when.text()).strip() if when else ""
             ident = re.search(spec.id_pattern, url) if spec.id_pattern else None
             yield len(seen) - 1, title, url, (ident[1] or None) if ident else None, raw or None

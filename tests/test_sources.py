@@ -1,3 +1,6 @@
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,3 +122,54 @@ def test_run_outputs_are_all_or_none(spark, tmp_path):
     tables.write_run_outputs(spark, root, "b1", {"source_surfaces": one.unionByName(one)})
     tables.write_run_outputs(spark, root, "b2", {"source_surfaces": one})
     assert tables.read_committed(spark, root, "source_surfaces").count() == 3 and reader.count() == 1
+
+
+@pytest.mark.parametrize("selector", ["b .a .a .a", "b > .a .a, .a > .a > .a .a > b", ".a .a .a .a .a .a a[href]"])
+def test_selectors_are_linear_in_depth(selector):
+    """Ten thousand nested tags, of which none or all match."""
+    for page in ("<div class=a>" * 10_000, "<b>" + "<div class=a>" * 10_000 + "<a href=x>y</a>"):
+        began = time.process_time()
+        parsed = pay._Page(page)
+        assert len(pay._places(parsed, pay._compile(selector))) in range(10_002)
+        assert time.process_time() - began < 3
+
+
+def test_selectors_equal_backtracking():
+    """Against the plain meaning: a step's tag lies in one of the step before it, or is its child."""
+    rnd = random.Random(3)
+
+    def matches(tag, steps):
+        how, tests = steps[-1]
+        if not all(t(tag) for t in tests):
+            return False
+        if len(steps) == 1:
+            return True
+        up = tag.parent
+        while up.parent is not None:
+            if matches(up, steps[:-1]):
+                return True
+            if how == ">":
+                return False
+            up = up.parent
+        return False
+
+    for _ in range(150):
+        html = "".join(rnd.choice(["<p class='a'>", "<i class='b a'>", "<b id=x>", "</p>", "</i>", "</b>", "t"]) for _ in range(40))
+        selector = ", ".join(" ".join(rnd.choice(["p", "i", ".a", ".b", "#x", "b", "*", "> i", "> .a"]) for _ in range(rnd.randrange(1, 5))) for _ in range(2))
+        page, compiled = pay._Page(html), pay._compile(selector)
+        assert pay._places(page, compiled) == [t.at for t in page.order if any(matches(t, alt) for alt in compiled)], (html, selector)
+
+
+def test_declarations_in_comments_and_cdata_are_text(spark):
+    item = "<item><title>{}</title><link>https://e/1</link></item>"
+    feed = lambda title, before="", after="": f"{before}<rss><channel><title>t</title>{item.format(title)}</channel></rss>{after}"
+    cases = {
+        "cdata": (feed("<![CDATA[Why <!DOCTYPE html> matters]]>"), "ok"), "comment": (feed("a <!-- <!ENTITY --> b"), "ok"), "prolog": (feed("a", '<?xml version="1.0"?><!-- <!DOCTYPE x> -->'), "ok"),
+        "many": (feed("a", "<!-- c -->" * 20_000), "ok"), "pi": (feed("a", "<?x <!DOCTYPE ?>"), "ok"), "doctype": (feed("a", '<?xml version="1.0"?>\n<!DOCTYPE rss>'), "declaration"),
+        "entity": (feed("a", "<!DOCTYPE rss [<!ENTITY x 'y'>]>"), "declaration"), "behind": (feed("a", "", "<!ENTITY x 'y'>"), "declaration"), "after": (feed("a", "<!-- x --><!DOCTYPE rss>"), "declaration"),
+    }
+    df = spark.createDataFrame([(k, bytearray(v[0].encode())) for k, v in cases.items()], "k string, content binary")
+    classified = pay.classify_feed(df)
+    assert {r.k: r.status for r in classified.collect()} == {k: v[1] for k, v in cases.items()}
+    titles = {r.k: r.title for r in pay.extract_rss(classified, ["k"]).collect()}
+    assert titles["cdata"] == "Why <!DOCTYPE html> matters" and titles.keys() == {k for k, v in cases.items() if v[1] == "ok"}
