@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 import re
 from collections.abc import Iterator
 
@@ -19,7 +20,7 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # a run of 20 or more; a longer run
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 _LEAST = 16
-_IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_-]{5,}")
+_ORDINARY = re.compile(r"[A-Za-z0-9+/_=-]{6,}")
 
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-."
 _N = len(_ALPHABET)
@@ -71,22 +72,53 @@ def _training_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
                 inside = [(a, b) for a, b, _ in spans]
                 for s in spans:
                     held.update((1, a, b) for a, b in _pairs(_secret_part(text, s)))
-                for m in _IDENTIFIER.finditer(text):
+                for m in _ORDINARY.finditer(text):
                     if not any(a < m.end() and m.start() < b for a, b in inside):
                         held.update((0, a, b) for a, b in _pairs(m[0]))
+                        held.update((0, a, b) for a, b in _pairs(m[0].upper()))  # as names of constants have it
     rows = list(held.items())
     yield pa.RecordBatch.from_arrays(
         [pa.array([k[i] for k, _ in rows], pa.int32()) for i in range(3)] + [pa.array([n for _, n in rows], pa.int64())], names=["label", "a", "b", "n"]
     )
 
 
-def train_markov(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 4096, seed: int = 7, backoff: float = 8.0) -> list[list[float]]:
-    """Log-likelihood ratios of character transitions, random strings against ordinary identifiers.
+def _shapes(seed: int, each: int) -> Iterator[tuple[int, str]]:
+    """Labelled strings of known kinds, each of them each times: random ones (1) of the usual alphabets, and ordinary ones (0) that look like none of a language's words."""
+    rnd = random.Random(seed)
+    digits, upper = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    lower = upper.lower()
+    pick = lambda letters, n: "".join(rnd.choices(letters, k=n))
+    number = lambda *sizes: pick(digits, rnd.choice(sizes))
+    date = lambda mark: mark.join([f"{rnd.randrange(1990, 2040)}", f"{rnd.randrange(1, 13):02}", f"{rnd.randrange(1, 29):02}"])
+    clock = lambda mark: mark.join(f"{rnd.randrange(n):02}" for n in (24, 60, 60))
+    word = lambda: rnd.choice(["commit", "release", "build", "version", "report", "backup", "invoice", "image", "order", "final", "draft", "page", "abc", "test"])
+    for _ in range(each):
+        for letters in (lower + upper + digits, lower + upper + digits + "+/", lower + upper + digits + "-_", upper + "234567", lower + upper, lower + digits, "0123456789ABCDEF", upper + digits):
+            yield 1, pick(letters, rnd.randrange(16, 48))
+        yield 1, pick(lower + upper + digits + "+/", rnd.randrange(20, 44)) + "=" * rnd.randrange(3)
+        yield 0, number(6, 8, 10, 12, 16, 20, 24)
+        yield 0, "-".join(number(2, 3, 4, 5) for _ in range(rnd.randrange(3, 7)))
+        yield 0, f"+{number(1, 2, 3)}-{number(2, 3, 4)}-{number(6, 7, 8)}-{number(1, 2, 3)}"
+        yield 0, f"{rnd.choice(['ISBN', 'ISSN', 'DOI', 'RFC', 'ISO', 'CVE', 'EAN'])}-{number(3, 4)}-{number(1, 2, 3)}-{number(5, 6)}-{number(1, 2)}"
+        yield 0, date(rnd.choice(["-", "", "/", "_"])) + rnd.choice(["", "T", "-", "_", "T"]) + rnd.choice(["", clock("-"), clock(""), clock("-")])
+        yield 0, f"v{rnd.randrange(30)}-{rnd.randrange(30)}-{rnd.randrange(30)}-{rnd.choice(['rc', 'beta', 'alpha', 'b', 'x86_64', 'linux', 'amd64'])}{rnd.randrange(10)}"
+        yield 0, rnd.choice("_-").join([word(), date(""), word()])
+        yield 0, rnd.choice("_-").join([word(), number(3, 4, 8), word(), number(2, 4)])
+        yield 0, rnd.choice("-=_+/") * rnd.randrange(16, 80)
+        yield 0, "".join(rnd.choices("-=_+/", k=2)) * rnd.randrange(8, 40)
+        yield 0, rnd.choice(lower + upper + digits) * rnd.randrange(16, 40)
+
+
+def train_markov(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 4096, seed: int = 7, backoff: float = 8.0, shapes: int = 400
+) -> list[list[float]]:
+    """Log-likelihood ratios of character transitions, random strings against ordinary ones.
 
     The labelled sample: in at most sample_rows rows, those with the smallest seeded hash of id_col, what the base
-    patterns mark is a random string and the other identifiers and words are ordinary. A transition's
-    probability backs off, with a weight of backoff counts, to that of its second character alone, which starts from one count; an
-    empty sample gives ratios of zero. At most 2 * 69 * 68 counts reach the driver.
+    patterns mark is a random string and the other runs of token characters (words, names, numbers), as they are and in capitals, are ordinary; repeated rows count each. To them come strings of known
+    kinds, shapes of each: random ones of the usual alphabets, and numbers, dates, versions, commit names and rules of one character as ordinary ones. A transition's
+    probability backs off, with a weight of backoff counts, to that of its second character alone, which starts from one count; without
+    rows and shapes the ratios are zero. Other columns are left alone. At most 2 * 69 * 68 counts reach the driver.
     """
     key = F.xxhash64(F.lit(seed), F.col(id_col).cast("string"))
     cut = df.select(key.alias("k")).orderBy("k").limit(sample_rows).agg(F.max("k")).first()[0]
@@ -95,6 +127,9 @@ def train_markov(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     count = [[[0] * _N for _ in range(_N + 1)] for _ in range(2)]
     for r in made.groupBy("label", "a", "b").agg(F.sum("n").alias("n")).collect():
         count[r.label][r.a][r.b] += r.n
+    for label, string in _shapes(seed, shapes):
+        for a, b in _pairs(string):
+            count[label][a][b] += 1
 
     def probabilities(m: list[list[int]]) -> list[list[float]]:
         seen = [1 + sum(row[b] for row in m) for b in range(_N)]
@@ -110,7 +145,7 @@ def scan_secrets(
     ratios: list[list[float]],
     text_col: str = "text",
     keep: list[str] | None = None,
-    least_ratio: float = 0.7,
+    least_ratio: float = 2.0,
     batch_bytes: int = 1 << 20,
 ) -> DataFrame:
     """Add spans (array of start, end, kind in code points; end exclusive) for every row.

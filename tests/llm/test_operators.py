@@ -451,6 +451,46 @@ def test_markov_on_other_generators(spark):
     assert min(found[k, True] for k in secrets_) >= 75 and max(found[k, False] for k in plain) <= 25, found
 
 
+ORDINARY = [
+    "-" * 22, "=" * 18, "_" * 40, "0" * 16, "X" * 20, "a" * 30, "-=" * 12, "2024-01-01-12-30-45", "2023-11-05T10-22-33", "20240101T123045", "+49-170-1234567-89", "ISBN-978-3-16-148410-0", "commit_20240101_abc",
+    "4111111111111111", "4111-1111-1111-1111", "1234567890123456", "5500005555555559", "3782822463100050", "v12-4-0-rc1-linux", "release-2021-03-04-final", "invoice_2022_0001234", "page_12_of_250_draft", "00000000000000000000000",
+    "internationalization", "2001/02/03/backup/image",
+]
+
+
+def plain_random_spans(text, ratios):
+    """The method in plain code: runs of token characters outside base spans, by their mean ratio."""
+    found = plain_spans(text)
+    held = set().union(*(range(a, b) for a, b, _ in found)) if found else set()
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-."
+    i, out = 0, []
+    while i < len(text):
+        j = i
+        while j < len(text) and text[j] in alphabet[:-1] and j not in held:
+            j += 1
+        if j - i >= 16:
+            codes = [68, *map(alphabet.index, text[i:j])]
+            mean = sum(ratios[a][b] for a, b in zip(codes, codes[1:])) / (j - i)
+            if mean >= 2.0 * max(1, (20 / (j - i)) ** 0.5):
+                out.append((i, j))
+        i = max(j, i + 1)
+    return out
+
+
+def test_secret_spans_of_ordinary_strings(spark):
+    """Numbers, dates, rules, versions, commit names and card numbers are no secrets; the query adds no such span, and its spans are those of plain code."""
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    ratios = train_markov(documents)
+    df = spark.createDataFrame([(i, f"See {t} here") for i, t in enumerate(ORDINARY)], "doc_id long, text string")
+    wrong = [ORDINARY[r.doc_id] for r in scan_secrets(df, ratios).collect() if any(s.kind == "random" for s in r.spans)]
+    assert not wrong
+    texts = dict(duckdb.sql("SELECT doc_id, coalesce(text, '') FROM '/root/testdata/sf0.01/documents.parquet'").fetchall())
+    for r in q.op7_secret_scans(spark, "/root/testdata/sf0.01").collect():
+        got = [tuple(map(int, s.split(":")[1:])) for s in r.spans.split(",") if s.startswith("random")]
+        assert got == plain_random_spans(texts[r.doc_id], ratios), r.doc_id
+        assert not any(re.fullmatch(r"[0-9-]+|(.)\1*", texts[r.doc_id][a:b]) for a, b in got)
+
+
 def test_secret_ratio_decides_every_candidate(spark):
     """Random strings without a digit, of 16 characters, and beside a hex run are found; long ordinary words aren't."""
     rnd = random.Random(8)
