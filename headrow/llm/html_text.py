@@ -22,6 +22,7 @@ _BLOCK = frozenset(
 )
 _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 _WHOLE = frozenset(["article", "main"])
+_TEXT = frozenset(["p", "article", "main", "h1"])  # none of these stands in a button
 _PARAGRAPH = frozenset("p pre td blockquote li dd".split())
 _HOLDER = frozenset("div section article main html form fieldset center details figure nav aside header footer".split())
 _CLOSES_P = _BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "body", "html"}
@@ -41,16 +42,17 @@ _ASIDE_WORDS = frozenset(
 )
 _ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
 _BODY_WORDS = frozenset("article body content entry main page post story text".split())
+_ARTICLE_WORDS = frozenset("article entry post story".split())  # a container of this name holds the whole article
 # Blocks of their own even where they are long: they hold the page's text only if its first heading stands in them.
 _TALK_WORDS = frozenset("comment comments cookie cookies disqus consent gdpr related replies reply shoutbox".split())
 _COMMA = re.compile("[,،、，]")
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "items", "words", "hidden", "beside", "whole", "size", "linked", "flow", "commas", "points", "sum", "score")
+    __slots__ = ("tag", "parent", "items", "words", "hidden", "spared", "beside", "whole", "size", "linked", "flow", "commas", "points", "sum", "score")
 
     def __init__(self, tag: str, parent: _Node | None, attrs: Iterable[tuple[str, str | None]] = ()):
-        self.tag, self.parent, self.items = tag, parent, []
+        self.tag, self.parent, self.items, self.spared = tag, parent, [], False
         said = dict(attrs)
         self.words = {w for k in ("class", "id") for w in re.split(r"[^a-z0-9]+", (said.get(k) or "").lower()) if w}
         style = (said.get("style") or "").replace(" ", "").lower()
@@ -101,6 +103,11 @@ class _Tree(HTMLParser):
         if tag in _SAME:
             for _ in range(2 if tag == "tr" else 1):
                 self._close(*_SAME[tag])
+        if tag in _TEXT:
+            for depth in reversed(self.at["button"]):  # its end tag is missing
+                if self.open[depth].spared:
+                    break
+                self.open[depth].spared = True
         node = _Node(tag, self.open[-1], attrs)
         self.open[-1].items.append(node)
         if tag not in _VOID:
@@ -124,7 +131,11 @@ class _Tree(HTMLParser):
 
 
 def _dropped(node: _Node) -> bool:
-    return node.tag in _DROPPED or node.hidden
+    return node.tag in _DROPPED and not node.spared or node.hidden
+
+
+def _dropped_at_least(node: _Node) -> bool:
+    return _dropped(node) and (node.tag != "noscript" or node.hidden)
 
 
 def _aside(node: _Node) -> bool:
@@ -164,9 +175,9 @@ def _prune(root: _Node, unwanted: Callable[[_Node], bool]) -> list[_Node]:
     return order
 
 
-def _prune_and_measure(root: _Node) -> list[_Node]:
+def _prune_and_measure(root: _Node, dropped: Callable[[_Node], bool]) -> list[_Node]:
     """Drop what can't be text, then what stands beside it, but not what holds the text of the page."""
-    order = _prune(root, _dropped)
+    order = _prune(root, dropped)
     if not any(map(_aside, order)):
         return order
     spared = _holders(order)
@@ -176,7 +187,8 @@ def _prune_and_measure(root: _Node) -> list[_Node]:
 def _holders(order: list[_Node]) -> set[_Node]:
     """Asides around the article or main element with the most points, or with most of the page's points.
 
-    An element such as nav or aside has to hold the page's first heading or such an element too: then its end tag is missing.
+    An element such as nav or aside has to hold the page's first heading or such an element too: then its end tag is missing. So it is where the page has no
+    text beside all asides.
     """
     headed = set()
     for node in reversed(order):
@@ -193,6 +205,8 @@ def _holders(order: list[_Node]) -> set[_Node]:
     strict = lambda n: n.tag in _BESIDE or n.beside or n.words & _TALK_WORDS
     out = {n for n in order if _aside(n) and 2 * n.sum > order[0].sum and (n in headed or not strict(n))}
     best = max((n for n in order if n.tag in _WHOLE and n.sum), key=lambda n: n.sum, default=None)
+    if not out and not best and free <= 1:  # a page has a point for being there
+        out = {n for n in order if _aside(n) and 2 * n.sum > order[0].sum and not n.words & _TALK_WORDS}
     if best and 2 * best.sum >= free:  # a teaser beside a page's text isn't the text
         while best:
             out.add(best)
@@ -226,9 +240,20 @@ def _score(order: list[_Node]) -> _Node | None:
     return max((n for n in order if n in found), key=_rank, default=None)
 
 
+def _has_title(node: _Node) -> bool:
+    stack = [node]
+    while stack:
+        x = stack.pop()
+        if x.tag == "h1":
+            return True
+        stack += [k for k in x.items if not isinstance(k, str)]
+    return False
+
+
 def _kept(best: _Node) -> list[_Node | str]:
     """The best container with the siblings that look like a part of it, and those of its ancestors that hold as much; in page order."""
     bar, whole = max(10.0, 0.2 * _rank(best)), best.tag in _WHOLE
+    titled = whole and _has_title(best)
     node, enough = best, 0.5 * best.sum
     before: list[_Node | str] = []  # from the best one backwards
     after: list[_Node | str] = []
@@ -238,11 +263,11 @@ def _kept(best: _Node) -> list[_Node | str]:
         def part(x: _Node | str, ahead: bool) -> bool:
             if isinstance(x, str) or not x.size:
                 return False
-            if x.tag in _HEADING and ahead and not whole and (node is best or x.tag == "h1"):
+            if x.tag in _HEADING and ahead and (not titled if x.tag == "h1" else not whole and node is best):
                 return True
             if node is not best:
                 return x.sum * (1 - _density(x)) >= max(10.0, enough)
-            return _rank(x) >= bar or x.tag == "p" and x.size > 80 and _density(x) < 0.25
+            return _rank(x) >= bar or not whole and x.sum > 0 and _density(x) < 0.25
 
         before += [x for x in reversed(up.items[:at]) if part(x, True)]
         after += [x for x in up.items[at + 1 :] if part(x, False)]
@@ -283,14 +308,17 @@ def main_text(html: str | None) -> str:
     """Main text of one page; '' for null, empty or textless pages."""
     if not html:
         return ""
-    tree = _Tree()
-    tree.feed(html)
-    tree.close()
-    order = _prune_and_measure(tree.root)
-    best = _score(order)
+    for dropped in (_dropped, _dropped_at_least):
+        tree = _Tree()
+        tree.feed(html)
+        tree.close()
+        order = _prune_and_measure(tree.root, dropped)
+        best = _score(order)
+        if best is not None or "<noscript" not in html.lower():
+            break
     if best is None:
         return "\n\n".join(_blocks([tree.root]))
-    while best.parent and best.parent.parent and best.parent.tag in _WHOLE and _density(best.parent) < 0.5:
+    while best.parent and best.parent.parent and (best.parent.tag in _WHOLE or best.parent.words & _ARTICLE_WORDS) and _density(best.parent) < 0.5:
         best = best.parent
     return "\n\n".join(_blocks(_kept(best)))
 
@@ -300,7 +328,8 @@ def extract_html(df: DataFrame, html_col: str = "html", keep: list[str] | None =
 
     Paragraphs have a point, one for each comma and one for each 100 characters. They pass them to their container and, halved at each step,
     to all its ancestors; a container's sum is discounted by its link density. The best container
-    and the siblings that belong to it are kept, and siblings of its ancestors that hold at least half as many points, without menus, headers,
+    (or the article or main element, or the container named article, entry, post or story, around it) is kept with its siblings that have paragraphs and few links,
+    or as many points (of an article's siblings only the latter), headings before it, and siblings of its ancestors that hold at least half as many points, without menus, headers,
     footers, sidebars, notices, adverts, forms, scripts, styles and comments. One of these that holds the page's article or most of its
     points (a form around the page, a menu whose end tag is missing) stays, and what is unwanted inside it goes. A head ends at the first element
     or text that can't stand in it. Work is linear in tags and text, however they nest.

@@ -90,12 +90,34 @@ def test_html_no_page_is_lost(page):
     assert main_text(page).split("\n\n") == [f"Paragraph {i}, with commas, and words enough for a paragraph of an article." for i in range(6)]
 
 
+PARTS = [f"Paragraph {i}, with commas, and words enough for a paragraph of an article." for i in range(6)]
+
+
+@pytest.mark.parametrize(
+    "page, before, after",
+    [
+        (f"<body><nav><ul><li><a href=/>x</a></ul><div>{ARTICLE}", [], []),
+        (f"<body><button>Menu<div>{ARTICLE}</div></body>", [], []),
+        (f"<body><p>Intro, it is.</p><button>Menu<div>{ARTICLE}</div></body>", None, []),
+        (f"<body><noscript><article>{ARTICLE}</article></noscript><script>x()</script></body>", [], []),
+        (f"<div class=article><div>{ARTICLE}</div><div><p>Short end.</p></div><div><h2>Sub</h2><p>Tiny.</p></div></div>", [], ["Short end.", "Sub", "Tiny."]),
+        (f"<body><div class=lead><p>Lead.</p></div><div>{ARTICLE}</div><div class=tail><p>Tail.</p></div></body>", ["Lead."], ["Tail."]),
+        (f"<body><h1>Head</h1><article>{ARTICLE}</article></body>", ["Head"], []),
+        (f"<body><h1>Site</h1><article><h1>Head</h1>{ARTICLE}</article><p>Other, small print.</p></body>", ["Head"], []),
+        (f"<body><header><a href=/>Site</a></header><div class=post><div>{ARTICLE}</div><div><p>End.</p></div></div><div class=related><p>More, of it</p></div></body>", [], ["End."]),
+    ],
+)
+def test_html_no_section_is_lost(page, before, after):
+    got = main_text(page).split("\n\n")
+    assert got[-6 - len(after) :] == PARTS + after and (before is None or got == before + PARTS + after)
+
+
 def test_html_far_containers_and_headings_stay():
     page = f"<body><div><h1>Title</h1><div class=row><div class=one><div>{ARTICLE}</div></div><div class=two><div>{ARTICLE}</div></div></div></div><div><div><p>Small, print</p></div></div>"
     assert main_text(page).startswith("Title\n\nParagraph 0") and main_text(page).count("Paragraph") == 12 and "Small" not in main_text(page)
 
 
-@pytest.mark.parametrize("page", ["<ul><li>x" * 50_000, "<div>" * 5000 + "</span>" * 100_000 + "x", "<span><article>" + "<div>" * 5000 + "</span>" * 100_000 + "x", "<div><p>x" * 50_000, "<b>" * 100_000 + "x", "<form>x" * 50_000])
+@pytest.mark.parametrize("page", ["<ul><li>x" * 50_000, "<div>" * 5000 + "</span>" * 100_000 + "x", "<span><article>" + "<div>" * 5000 + "</span>" * 100_000 + "x", "<div><p>x" * 50_000, "<b>" * 100_000 + "x", "<form>x" * 50_000, "<button><p>x" * 50_000, "<div class=post><p>x</p>" * 20_000, "<noscript><div>" * 30_000])
 def test_html_is_linear_in_nesting(page):
     began = time.process_time()
     main_text(page)
