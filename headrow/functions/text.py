@@ -67,10 +67,14 @@ def title_cluster_key(title: Column, item_kind: Column, entity_kind: Column) ->
     return F.when(is_blank(title), "").otherwise(key)
 
 
+def ascii_fold(text: Column) -> Column:
+    """text with A-Z, and no other letters, in lower case."""
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def title_search(title: Column, query: str) -> Column:
     """title holds query literally, whatever the case of A-Z; other letters must be the same."""
-    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    return F.translate(title, upper, lower).contains(F.translate(F.lit(query), upper, lower))
+    return ascii_fold(title).contains(ascii_fold(F.lit(query)))
 
 
 def title_fallback(*titles: Column) -> Column:

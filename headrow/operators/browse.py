@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from headrow.functions.text import source_label, title_search
+from headrow.operators.search import TitleIndex
 
 
 def source_names(sources: DataFrame) -> DataFrame:
@@ -79,10 +80,15 @@ def _window(items: DataFrame, since: Column | None, until: Column | None) -> Dat
 
 def browse_headlines(
     archive: dict[str, DataFrame], sources: DataFrame, surfaces: DataFrame, view: str = "all", since: Column | None = None, until: Column | None = None,
-    query: str | None = None, source_id: str | None = None, limit: int | None = 100, offset: int = 0,
+    query: str | None = None, source_id: str | None = None, limit: int | None = 100, offset: int = 0, index: TitleIndex | None = None,
 ) -> DataFrame:
-    """Items first seen in [since, until] with their current title and representative source, newest first."""
+    """Items first seen in [since, until] with their current title and representative source, newest first.
+
+    index: of the current titles; a query then begins with the items that it finds.
+    """
     items = _window(archive["items"], since, until)
+    if query is not None and index:
+        items = items.join(index.search(query).select("item_id"), "item_id", "left_semi")
     seen = eligible_observations(archive["observations"], sources, surfaces, view, source_id)
     rep = representative_source(seen.join(items.select("item_id"), "item_id", "left_semi"))
     titles = latest_title(archive["item_versions"].join(items.select("item_id"), "item_id", "left_semi")).select("item_id", "title")
@@ -101,10 +107,12 @@ def browse_headlines(
 
 def count_browse_headlines(
     archive: dict[str, DataFrame], sources: DataFrame, surfaces: DataFrame, view: str = "all", since: Column | None = None, until: Column | None = None,
-    query: str | None = None, source_id: str | None = None,
+    query: str | None = None, source_id: str | None = None, index: TitleIndex | None = None,
 ) -> DataFrame:
     """How many items browse_headlines() has in all: one row (n)."""
     items = _window(archive["items"], since, until).select("item_id", "first_seen_at")
+    if query is not None and index:
+        items = items.join(index.search(query).select("item_id"), "item_id", "left_semi")
     items = items.join(eligible_observations(archive["observations"], sources, surfaces, view, source_id), "item_id", "left_semi")
     if query is not None:
         items = items.join(latest_title(archive["item_versions"]).where(title_search(F.col("title"), query)), "item_id", "left_semi")

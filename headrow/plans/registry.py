@@ -13,6 +13,7 @@ from pyspark.sql.types import BinaryType
 from headrow.functions import checks, text, times, urls
 from headrow.operators import archive as arc, browse, catalog, changes, cluster, health, validate as val
 from headrow.operators.increments import IncrementalArchive
+from headrow.operators.search import TitleIndex
 from headrow.plans import views
 from headrow.plans.lineage import cut, shared_dir
 from headrow.plans.views import duck, view
@@ -574,6 +575,21 @@ def f7_count_browse_headlines(spark, d):
     return browse.count_browse_headlines(_archive(spark, d), _sources(spark, d), _surfaces(spark, d), query="Y 1")
 
 
+_SAID = ("Y 12", "story 1", "V2", "tory 3 V", "%", "_", "no such")
+
+
+@query(_sql(_R, _VERS, "lt AS (SELECT * FROM vers QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY last_seen_at DESC, version_id DESC) = 1)",
+            f"q AS (SELECT unnest([{', '.join(repr(x) for x in _SAID)}]) AS query)", select="SELECT query, item_id, title FROM lt JOIN q ON contains(lower(title), lower(query))"))
+def f7_indexed_title_search(spark, d):
+    """Items whose current title holds a text, by the postings of its trigrams; the index got the titles of each item in two batches, older ones first."""
+    index = TitleIndex(spark, f"{shared_dir(spark)}/headrow-{uuid.uuid4().hex}", buckets=8)
+    versions = cut(_archive(spark, d)["item_versions"])
+    first = F.min_by("title", "version_id").alias("title")
+    index.add(versions.groupBy("item_id").agg(first), 0)
+    index.add(browse.latest_title(versions), 1)
+    return functools.reduce(DataFrame.unionByName, [index.search(x).select(F.lit(x).alias("query"), "item_id", "title") for x in _SAID])
+
+
 @query(_sql(_R, _ITEMS, _OBS, _VERS, _SRC, _BROWSE, select="SELECT * FROM br ORDER BY first_seen_at DESC, item_id DESC LIMIT 30 OFFSET 30"))
 def f8_browse_page(spark, d):
     return browse.browse_page(_archive(spark, d), _sources(spark, d), _surfaces(spark, d), page=2, page_size=30)[0]
