@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from headrow.functions.text import source_label, title_search
 from headrow.operators.search import TitleIndex
+from headrow.plans.lineage import cut
 
 
 def source_names(sources: DataFrame) -> DataFrame:
@@ -105,30 +106,71 @@ def browse_headlines(
     return rows.orderBy(F.desc("first_seen_at"), F.desc("item_id")).offset(offset).limit(limit)
 
 
-def count_browse_headlines(
+def _browsed(
     archive: dict[str, DataFrame], sources: DataFrame, surfaces: DataFrame, view: str = "all", since: Column | None = None, until: Column | None = None,
     query: str | None = None, source_id: str | None = None, index: TitleIndex | None = None,
 ) -> DataFrame:
-    """How many items browse_headlines() has in all: one row (n)."""
+    """(item_id, first_seen_at) of the items that browse_headlines() has."""
     items = _window(archive["items"], since, until).select("item_id", "first_seen_at")
     if query is not None and index:
         items = items.join(index.search(query).select("item_id"), "item_id", "left_semi")
     items = items.join(eligible_observations(archive["observations"], sources, surfaces, view, source_id), "item_id", "left_semi")
     if query is not None:
         items = items.join(latest_title(archive["item_versions"]).where(title_search(F.col("title"), query)), "item_id", "left_semi")
-    return items.agg(F.count(F.lit(1)).alias("n"))
+    return items
+
+
+def count_browse_headlines(archive: dict[str, DataFrame], sources: DataFrame, surfaces: DataFrame, **filters) -> DataFrame:
+    """How many items browse_headlines() has in all, with its filters: one row (n)."""
+    return _browsed(archive, sources, surfaces, **filters).agg(F.count(F.lit(1)).alias("n"))
 
 
-def browse_page(archive, sources, surfaces, page: int, page_size: int = 100, **filters) -> tuple[DataFrame, int, int]:
-    """Rows of a page, the page as clamped to what there is, and the number of pages (at least one)."""
-    n = count_browse_headlines(archive, sources, surfaces, **filters).first()["n"]
+def page_of(keys: DataFrame, n: int, offset: int, size: int, cells: int = 1024, small: int = 10_000) -> DataFrame:
+    """(item_id) of the size rows behind the first offset ones of n, newest first; keys: (item_id, first_seen_at).
+
+    The place is found by counting: the times, and where one time has too many rows the item ids, are cut in at most cells ranges, whose counts reach
+    the driver, and so is the range that holds the offset, until it has at most small rows. Only that many rows and a page are sorted.
+    """
+    rows = keys.select("item_id", F.unix_micros(F.col("first_seen_at").cast("timestamp")).alias("us"))
+    if offset >= n:
+        return rows.limit(0).select("item_id")
+    inside, skip, behind = rows, offset, F.lit(True)
+    for column in ("us", "item_id"):
+        low, high = inside.agg(F.min(column), F.max(column)).first() if n > small else (None, None)
+        if low is None:
+            break
+        while low < high and n > small:
+            width = -(-(high - low + 1) // cells)
+            cell = F.expr(f"({column} - {low}) div {width}").alias("cell")
+            counts = {r["cell"]: r["count"] for r in inside.where(F.col(column).between(low, high)).groupBy(cell).count().collect()}
+            for at in sorted(counts, reverse=True):
+                n = counts[at]
+                if skip < n:
+                    break
+                skip -= n
+            low, high = low + at * width, min(high, low + (at + 1) * width - 1)
+        inside = inside.where(F.col(column).between(low, high))
+        behind = F.col("us") <= high if column == "us" else (F.col("us") < top) | ((F.col("us") == top) & (F.col("item_id") <= high))
+        top = high
+    return rows.where(behind).orderBy(F.desc("us"), F.desc("item_id")).offset(skip).limit(size).select("item_id")
+
+
+def browse_page(archive, sources, surfaces, page: int, page_size: int = 100, small: int = 10_000, **filters) -> tuple[DataFrame, int, int]:
+    """Rows of a page, the page as clamped to what there is, and the number of pages (at least one).
+
+    The page's items are found by page_of(), and only they are joined.
+    """
+    keys = cut(_browsed(archive, sources, surfaces, **filters).select("item_id", "first_seen_at"))
+    n = keys.count()
     pages = max(1, -(-n // page_size))
     page = min(max(1, page), pages)
-    return browse_headlines(archive, sources, surfaces, limit=page_size, offset=(page - 1) * page_size, **filters), page, pages
+    chosen = page_of(keys, n, (page - 1) * page_size, page_size, small=small)
+    filters.pop("query", None), filters.pop("index", None)
+    return browse_headlines({**archive, "items": archive["items"].join(chosen, "item_id", "left_semi")}, sources, surfaces, limit=page_size, **filters), page, pages
 
 
 def browse_after(rows: DataFrame, first_seen_at: Column, item_id: Column, page_size: int = 100) -> DataFrame:
-    """The page behind a given last row: for deep pages, where an offset would sort all rows before it."""
+    """The page behind a given last row, for a reader that goes on from page to page."""
     behind = (F.col("first_seen_at") < first_seen_at) | ((F.col("first_seen_at") == first_seen_at) & (F.col("item_id") < item_id))
     return rows.where(behind).orderBy(F.desc("first_seen_at"), F.desc("item_id")).limit(page_size)
 

@@ -595,6 +595,18 @@ def f8_browse_page(spark, d):
     return browse.browse_page(_archive(spark, d), _sources(spark, d), _surfaces(spark, d), page=2, page_size=30)[0]
 
 
+@query(_sql(_R, _ITEMS, _OBS, _VERS, _SRC, _BROWSE, """placed AS (SELECT *, row_number() OVER (ORDER BY first_seen_at DESC, item_id DESC) - 1 AS place, count(*) OVER () AS n FROM br),
+asked AS (SELECT unnest(['first', 'deep', 'last', 'beyond']) AS asked), chosen AS (SELECT asked, CASE asked WHEN 'first' THEN 0 WHEN 'deep' THEN (n - 1) // 7 // 2 ELSE (n - 1) // 7 END AS page FROM asked, (SELECT max(n) AS n FROM placed))""",
+            select="SELECT asked, item_id, title, source_id, first_seen_at FROM chosen JOIN placed ON place // 7 = page"))
+def f8_deep_pages(spark, d):
+    """Pages of seven items at the beginning, in the middle, at the end and beyond it; places are found by counts of ranges of times."""
+    a = {n: cut(t) for n, t in _archive(spark, d).items() if n in ("items", "observations", "item_versions")}
+    read = lambda page: browse.browse_page(a, _sources(spark, d), _surfaces(spark, d), page=page, page_size=7, small=5)
+    first, _, pages = read(1)
+    got = {"first": first, "deep": read((pages - 1) // 2 + 1)[0], "last": read(pages)[0], "beyond": read(pages + 5)[0]}
+    return functools.reduce(DataFrame.unionByName, [t.select(F.lit(k).alias("asked"), "item_id", "title", "source_id", "first_seen_at") for k, t in got.items()])
+
+
 @query(_sql(_RUNS, select="SELECT run_id, source_id, status FROM runs ORDER BY run_id DESC LIMIT 20"))
 def f9_recent_fetch_runs(spark, d):
     return browse.recent_fetch_runs(_runs(spark, d)).select("run_id", "source_id", "status")
