@@ -34,7 +34,11 @@ _APPENDED = "rows", "taken", "snapshots", "snapshot_entries", "change_log"
 
 
 def merged(name: str, states: DataFrame) -> DataFrame:
-    keys, columns = STATES[name]
+    return _merged(STATES[name], states)
+
+
+def _merged(spec: tuple[list[str], dict[str, Callable[[str], Column]]], states: DataFrame) -> DataFrame:
+    keys, columns = spec
     return states.groupBy(*keys).agg(*(how(c).alias(c) for c, how in columns.items())) if columns else states.select(*keys).distinct()
 
 
@@ -94,16 +98,15 @@ def _urls_after(urls: DataFrame, rows: DataFrame, taken: DataFrame, batch: int)
     return all_.select("u", F.struct(F.lit(batch).cast("long").alias("batch"), dp.alias("dp"), F.coalesce("o_firstp", "n_firstp").alias("firstp"), live.alias("live")).alias("state"))
 
 
-class IncrementalArchive:
-    """An archive below root to which batches of runs are added, one commit each, in the order of their obs_seq.
+class StateTables:
+    """Mergeable states (as STATES has them) and appended tables below root, changed by one commit a batch.
 
-    apply() costs what the batch's own keys cost: it reads ids and URLs, observations and versions in the buckets that those keys fall in, from at most
-    FANOUT - 1 folders a level, and there are as many levels as the logarithm of the number of batches. When FANOUT folders of a table have one level, they are merged by bucket
-    to one of the next level, which takes their place in one commit. Readers work on one version of the log.
+    When fanout folders of a table have one level, they are merged by bucket to one of the next level, which takes their place in one commit. So a table has at most
+    fanout - 1 folders a level, and as many levels as the logarithm of the number of batches. Readers work on one version of the log.
     """
 
-    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS, fanout: int = FANOUT):
-        self.spark, self.root, self.buckets, self.fanout = spark, root, buckets, fanout
+    def __init__(self, spark: SparkSession, root: str, states: dict[str, tuple[list[str], dict[str, Callable[[str], Column]]]], buckets: int = BUCKETS, fanout: int = FANOUT):
+        self.spark, self.root, self.states, self.buckets, self.fanout = spark, root, states, buckets, fanout
         self.log = CommitLog(spark, root)
 
     def _bucketed(self, df: DataFrame, key: str) -> DataFrame:
@@ -112,10 +115,10 @@ class IncrementalArchive:
     def _write(self, name: str, df: DataFrame, batch: str, level: int = 0) -> list[File]:
         """The folder written; none for states of no key."""
         f = File(name, f"{self.root}/{name}/folder={uuid.uuid4().hex}", batch, level)
-        if name not in STATES:
+        if name not in self.states:
             df.write.parquet(f.path)
             return [f]
-        self._bucketed(df, STATES[name][0][0]).repartition("bucket").write.partitionBy("bucket").parquet(f.path)
+        self._bucketed(df, self.states[name][0][0]).repartition("bucket").write.partitionBy("bucket").parquet(f.path)
         folder = self.spark._jvm.org.apache.hadoop.fs.Path(f.path)
         there = folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(folder)
         return [f] if any(s.getPath().getName().startswith("bucket=") for s in there) else []
@@ -125,13 +128,55 @@ class IncrementalArchive:
 
     def _state(self, seen: Snapshot, name: str, keys: DataFrame, like: DataFrame | None = None) -> DataFrame | None:
         """Merged states of the given keys (their bucket's column); only their buckets are read."""
-        paths, key = seen.paths(name), STATES[name][0][0]
+        paths, key = seen.paths(name), self.states[name][0][0]
         if not paths:
             return None
         wanted = self._bucketed(keys.distinct(), key)
         buckets = [r[0] for r in wanted.select("bucket").distinct().collect()]  # at most self.buckets
         whole = self._read(name, paths).where(F.col("bucket").isin(buckets)).drop("bucket")
-        return merged(name, whole.join(wanted.select(key), key, "left_semi"))
+        return _merged(self.states[name], whole.join(wanted.select(key), key, "left_semi"))
+
+    def compact(self) -> None:
+        """Merge the folders of each table that has FANOUT or more of one level, until none has."""
+        while True:
+            seen = self.log.snapshot()
+            groups: dict[tuple[str, int], list[File]] = {}
+            for f in seen.files.values():
+                groups.setdefault((f.table, f.level), []).append(f)
+            full = {k: fs for k, fs in groups.items() if len(fs) >= self.fanout}
+            if not full:
+                return
+            made, gone = [], []
+            for (name, level), files in full.items():
+                whole = self._read(name, [f.path for f in files])
+                whole = _merged(self.states[name], whole.drop("bucket")) if name in self.states else whole.hint("rebalance")
+                made += self._write(name, whole, "compacted", level + 1)
+                gone += [f.path for f in files]
+            try:
+                self.log.commit(seen, None, made, gone, gone)
+            except Conflict:  # another one compacted them
+                return
+
+    def remove_old(self) -> None:
+        """Delete folders that the newest version doesn't hold. Readers of earlier versions and writers that haven't committed must have ended."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        held = {p.rstrip("/").rsplit("/", 1)[-1] for p in self.log.snapshot().files}
+        for name in {p.rstrip("/").split("/")[-2] for p in self.log.snapshot().files}:
+            folder = path(f"{self.root}/{name}")
+            files = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+            for s in files.listStatus(folder) if files.exists(folder) else []:
+                if s.getPath().getName() not in held:
+                    files.delete(s.getPath(), True)
+
+
+class IncrementalArchive(StateTables):
+    """An archive below root to which batches of runs are added, one commit each, in the order of their obs_seq.
+
+    apply() costs what the batch's own keys cost: it reads ids and URLs, observations and versions in the buckets that those keys fall in.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS, fanout: int = FANOUT):
+        super().__init__(spark, root, STATES, buckets, fanout)
 
     def apply(self, accepted: DataFrame, batch: int, runs: DataFrame | None = None) -> None:
         """Add a batch of accepted candidates, whole runs behind all earlier ones; runs: the batch's successful runs, see build_snapshots().
@@ -169,27 +214,6 @@ class IncrementalArchive:
             discard(self.spark, used)
         self.compact()
 
-    def compact(self) -> None:
-        """Merge the folders of each table that has FANOUT or more of one level, until none has."""
-        while True:
-            seen = self.log.snapshot()
-            groups: dict[tuple[str, int], list[File]] = {}
-            for f in seen.files.values():
-                groups.setdefault((f.table, f.level), []).append(f)
-            full = {k: fs for k, fs in groups.items() if len(fs) >= self.fanout}
-            if not full:
-                return
-            made, gone = [], []
-            for (name, level), files in full.items():
-                whole = self._read(name, [f.path for f in files])
-                whole = merged(name, whole.drop("bucket")) if name in STATES else whole.hint("rebalance")
-                made += self._write(name, whole, "compacted", level + 1)
-                gone += [f.path for f in files]
-            try:
-                self.log.commit(seen, None, made, gone, gone)
-            except Conflict:  # another one compacted them
-                return
-
     def read(self, version: int | None = None) -> dict[str, DataFrame]:
         """All tables of build_archive() at a version of the log, resolved rows (with the ids that items got later) among them; empty if no batch had a row."""
         seen = self.log.snapshot(version)
@@ -202,14 +226,3 @@ class IncrementalArchive:
         rows = whole["rows"]
         out["resolved"] = rows.join(late, "item_id", "left").withColumn("token", F.coalesce("__token", "token")).select(*rows.columns)
         return out | {n: whole[n] for n in ("snapshots", "snapshot_entries", "change_log")}
-
-    def remove_old(self) -> None:
-        """Delete folders that the newest version doesn't hold. Readers of earlier versions and writers that haven't committed must have ended."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path
-        held = {p.rstrip("/").rsplit("/", 1)[-1] for p in self.log.snapshot().files}
-        for name in (*STATES, *_APPENDED):
-            folder = path(f"{self.root}/{name}")
-            files = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
-            for s in files.listStatus(folder) if files.exists(folder) else []:
-                if s.getPath().getName() not in held:
-                    files.delete(s.getPath(), True)

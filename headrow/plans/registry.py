@@ -675,6 +675,17 @@ def g2_cluster_headlines(spark, d):
     return _clustered(spark, d).select("item_id", "cluster_id")
 
 
+@query(_sql(_CLUST, select="SELECT item_id, cluster_id FROM cl", recursive=True))
+def g2_incremental_clusters(spark, d):
+    """The clusters of all headlines, which came in four batches."""
+    kept = cluster.IncrementalClusters(spark, f"{shared_dir(spark)}/headrow-{uuid.uuid4().hex}", buckets=4, fanout=3)
+    heads = cut(cluster.cluster_keys(_heads(spark, d)))
+    for i in range(4):
+        kept.apply(heads.where(F.pmod("item_id", F.lit(4)) == i), i)
+    key = F.when(F.col("url_key") != "", F.col("url_key")).otherwise(F.col("title_key"))
+    return heads.withColumn("key", key).join(kept.clusters(), "key").select("item_id", "cluster_id")
+
+
 @query(_sql(_CLUST, select="SELECT cluster_id, item_id FROM cl WHERE published_at IS NOT NULL QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY published_at DESC, source_name, coalesce(position, 0), item_id) = 1", recursive=True))
 def g3_cluster_representative(spark, d):
     return cluster.cluster_representative(_clustered(spark, d), "published").select("cluster_id", "item_id")
