@@ -51,14 +51,17 @@ def mixing_levels() -> list[Column]:
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page; null, empty and textless pages have an empty one, an empty table gives no rows."""
     return extract_html(_table(spark, sf_dir, "pages"), keep=["page_id", "url"])
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents by 3-word shingles at 90 %; texts without words link with nothing, an empty table gives no rows."""
     return ngram_jaccard_components(_table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every whole document by PIECES; a null text has none, repeated rows are counted each."""
     return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES), limit=4096, keep=["doc_id"])
 
 
@@ -69,6 +72,7 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal documents, dropped ones too; a null text counts as empty, equal ids keep one row."""
     docs = _table(spark, sf_dir, "documents").withColumn("text_sha256", normal_sha256(F.col("text")))
     return exact_dedup(docs, keep=["doc_id", "text_sha256"])
 
@@ -92,22 +96,26 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and random spans of every whole document, by models trained on them; a null text has none."""
     docs = _table(spark, sf_dir, "documents")
     return span_digests(scan_secrets(docs, train_markov(docs), keep=["doc_id"]))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and verdicts of every document, against references of all of them; a null text has no words and fails."""
     docs = _table(spark, sf_dir, "documents")
     judged = quality_rules(docs, language_references(docs), keep=["doc_id"])
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards of nearly equal bytes with gapless slots; a null text has 16 bytes, repeated rows have a slot each."""
     placed = shard_rows(_table(spark, sf_dir, "documents"), shards=40, keep=["doc_id"])
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole document and their decoding, as digests; a null text counts as empty."""
     return round_trip_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN, keep=["doc_id"])
 
 
