@@ -214,6 +214,16 @@ class IncrementalArchive(StateTables):
             discard(self.spark, used)
         self.compact()
 
+    def changes(self, after: int, version: int | None = None) -> DataFrame | None:
+        """Change events with a greater seq, at a version of the log; None before the first commit. Batches hold rising seqs, so Parquet's statistics leave out most older files."""
+        paths = self.log.snapshot(version).paths("change_log")
+        return self._read("change_log", paths).where(F.col("seq") > after) if paths else None
+
+    def of_items(self, keys: DataFrame, version: int | None = None) -> dict[str, DataFrame]:
+        """Items, aliases, observations and versions of the item_ids in keys, at a version of the log that has some; only those items' buckets are read."""
+        seen = self.log.snapshot(version)
+        return tables_of({n: self._state(seen, n, keys.select("item_id")) for n in ("items", "item_url_identities", "observations", "item_versions")})
+
     def read(self, version: int | None = None) -> dict[str, DataFrame]:
         """All tables of build_archive() at a version of the log, resolved rows (with the ids that items got later) among them; empty if no batch had a row."""
         seen = self.log.snapshot(version)

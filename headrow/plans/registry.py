@@ -741,6 +741,26 @@ def h5_pending(spark, d):
     return changes.pending(a, _sources(spark, d), points, "reader")
 
 
+_CONSUMED = "change_seq, event_type, item_id, item_version_id, title, source_id, source_language, source_enabled, stream_kind, item_kind, entity_kind, item_variant"
+
+
+@query(_sql(_R, _ITEMS, _VERS, _LOG, _SRC, _HYD, select=f"SELECT 'early' AS consumer, {_CONSUMED} FROM hyd UNION ALL SELECT 'late', {_CONSUMED} FROM hyd"))
+def h5_stream_consumers(spark, d):
+    """Hydrated events of two consumers of an archive that gets two increments: one follows, one begins when both are there. Columns that later rows can change are left out."""
+    root = f"{shared_dir(spark)}/headrow-{uuid.uuid4().hex}"
+    rows, sources = cut(_validated(spark, d).where("reason is null")), cut(_sources(spark, d))
+    half = rows.agg(F.expr("percentile_approx(obs_seq, 0.6)")).first()[0] or 0
+    half -= half % 250  # runs lie within 250 events
+    archive = IncrementalArchive(spark, f"{root}/archive", buckets=4)
+    consumers = {n: jobs.ChangeConsumer(archive, sources, f"{root}/consumers", n) for n in ("early", "late")}
+    for i, part in enumerate((F.col("obs_seq") < half, F.col("obs_seq") >= half)):
+        archive.apply(rows.where(part), i)
+        for n in ["early"] if i == 0 else consumers:
+            consumers[n].stream(f"{root}/checkpoints/{n}").awaitTermination()
+    out = [c.output().select(F.lit(n).alias("consumer"), *_CONSUMED.split(", ")) for n, c in consumers.items()]
+    return out[0].unionByName(out[1])
+
+
 @query(_sql(_R, select="SELECT obs_seq, token, item_id, rep FROM r"))
 def h6_stream_archive(spark, d):
     """The archive as a stream builds it: the candidates arrive in two batches of several files, in commit order, and are resolved batch by batch."""
@@ -806,6 +826,27 @@ def i3_due_sources(spark, d):
     return health.due_sources(_sources(spark, d), health.fold_stream_state(runs, _sources(spark, d)), F.lit(now).cast("timestamp_ntz"))
 
 
+@query(_sql(_RUNS, _SRC, _STATE_SQL, select="SELECT src.source_id, next_run_at FROM src LEFT JOIN states USING (source_id) WHERE enabled AND (next_run_at IS NULL OR next_run_at <= (SELECT max(started_at) FROM runs))"))
+def i3_stream_due_sources(spark, d):
+    """The due sources as timers find them: announcements and odd runs, then even runs, then a tick at the latest start with no run beside it."""
+    root = f"{shared_dir(spark)}/headrow-{uuid.uuid4().hex}"
+    runs, sources = _runs(spark, d), _sources(spark, d)
+    tick = runs.agg(F.max("started_at").alias("tick"))
+    odd = F.col("run_id") % 2 == 1
+    like = runs.withColumn("tick", F.lit(None).cast(tick.schema["tick"].dataType))
+    steps = [like.where(odd).unionByName(sources.select("source_id"), allowMissingColumns=True), like.where(~odd), like.limit(0).unionByName(tick, allowMissingColumns=True)]
+
+    def keep(batch, number):
+        batch.write.mode("overwrite").parquet(f"{root}/out/batch={number}")
+
+    for step in steps:
+        step.write.mode("append").parquet(f"{root}/in")
+        states = jobs.stream_due_sources(spark.readStream.schema(like.schema).parquet(f"{root}/in"), sources)
+        states.writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    last = spark.read.parquet(f"{root}/out").groupBy("source_id").agg(F.max_by(F.struct("next_run_at", "is_due"), "batch").alias("s"))
+    return last.where("s.is_due").select("source_id", F.col("s.next_run_at").cast("timestamp_ntz").alias("next_run_at"))
+
+
 @query(_sql(_RUNS, select="""SELECT run_id, source_id, status, last_value(response_etag IGNORE NULLS) OVER w AS etag, last_value(response_last_modified IGNORE NULLS) OVER w AS last_modified, request_identity,
   status = 'not_modified' AND prev IS DISTINCT FROM request_identity AS identity_error
   FROM (SELECT *, sum((status = 'success')::INT) OVER (PARTITION BY source_id ORDER BY run_id) AS seg, lag(request_identity) OVER (PARTITION BY source_id ORDER BY run_id) AS prev
