@@ -9,6 +9,7 @@ from headrow.plans.lineage import cut
 
 _FIRST_DIGIT = 32  # bytes; each later digit has GROWTH times as many
 _GROWTH = 16
+_BUCKETS, _BITS = 2048, 32768  # bitmaps of bitmap_construct_agg: 8 MB in all, whatever the number of rows
 
 
 def normal_bytes(text: Column) -> Column:
@@ -21,6 +22,16 @@ def _digit(raw: Column, offset: int, size: int) -> Column:
     return F.substring(raw, offset + 1, size)
 
 
+def _with_shared(base: DataFrame, heads: DataFrame) -> DataFrame:
+    """base with __shared: true where the length and first digit are in heads, and for few others while heads are far fewer than bits."""
+    spot = lambda: F.pmod(F.xxhash64("__len", "__digit"), F.lit(_BUCKETS * _BITS))
+    bits = heads.groupBy(F.floor(spot() / _BITS).alias("__bucket")).agg(F.bitmap_construct_agg(spot() % _BITS).alias("__bits"))  # at most _BUCKETS rows of 4 KB
+    at = base.withColumn("__spot", spot()).withColumn("__bucket", F.floor(F.col("__spot") / _BITS)).withColumn("__spot", (F.col("__spot") % _BITS).cast("int"))
+    byte = F.conv(F.hex(F.substring("__bits", F.shiftright("__spot", 3) + 1, F.lit(1))), 16, 10).cast("int")
+    shared = F.coalesce(F.expr("(__byte >> (__spot % 8)) & 1") == 1, F.lit(False))
+    return at.join(F.broadcast(bits), "__bucket", "left").withColumn("__byte", byte).withColumn("__shared", shared).drop("__bucket", "__bits", "__spot", "__byte")
+
+
 def _split(rows: DataFrame, digits: list[str], total: int) -> DataFrame:
     """Split each group (gid), of __of rows so far, by its digit: adds n (rows of the new group) and first (its smallest row key).
 
@@ -42,8 +53,8 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     Texts are equal when identical after normal_bytes(). The string that is split is the text's length followed by
     its bytes: groups are split by successive digits (runs of bytes, 32 and then 16 times as many each round) until
     they are singletons or ended; rows of an ended group are equal by comparison of every byte, and no digest is used.
-    A text that is unique in length and first bytes leaves in the first round, and only the others carry their
-    bytes on. The number of rounds grows with the logarithm of the longest repeated text.
+    A text that is unique in length and first bytes leaves before the first exchange (a few of them after it), by a
+    bitmap of the heads that several rows share; only the others carry their bytes on. The number of rounds grows with the logarithm of the longest repeated text.
 
     A null text counts as empty; null ids sort last. Where rows repeat an id, exactly one row of the group is kept, the
     others aren't, though their keep_id is their own id. keep names the columns passed through (all by default);
@@ -60,9 +71,10 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     shared = heads.agg(F.sum("__n")).first()[0] or 0
     hot = heads.where(F.col("__n") * HOT_KEYS > shared).withColumnRenamed("__n", "__hot")
     cold = heads.where(F.col("__n") * HOT_KEYS <= shared).select(F.col("__len").alias("__key"), "__digit", "__n")
-    told = base.join(F.broadcast(hot), ["__len", "__digit"], "left")
-    # a hot row looks for no cold key: a negative one spreads it
-    told = told.withColumn("__key", F.when(F.col("__hot").isNotNull(), -1 - F.pmod(F.xxhash64("__id"), F.lit(1 << 20)).cast("int")).otherwise(F.col("__len")))
+    met = _with_shared(base, heads)
+    told = met.where("__shared").drop("__shared").withColumn("__place", F.monotonically_increasing_id()).join(F.broadcast(hot), ["__len", "__digit"], "left")
+    # a hot row looks for no cold key: a negative one spreads it, by its place, since ids can repeat
+    told = told.withColumn("__key", F.when(F.col("__hot").isNotNull(), -1 - F.pmod(F.xxhash64("__place"), F.lit(1 << 20)).cast("int")).otherwise(F.col("__len")))
     # an exchange at every size: what is broadcast would grow with the rows
     first = told.join(cold.hint("merge"), ["__key", "__digit"], "left").withColumn("__n", F.coalesce("__hot", "__n", F.lit(1).cast("long")))
     alone = F.col("__n") == 1
@@ -71,7 +83,8 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     ).withColumn("__row", F.monotonically_increasing_id())
     rows = cut(rows)
     own = [F.col(c).alias(k) for c, k in zip(names, kept)]
-    out = rows.where("__n = 1").select(*own, F.col("__id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
+    single = [*own, F.col("__id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept")]
+    out = met.where("not __shared").select(*single).unionByName(rows.where("__n = 1").select(*single))
 
     # the first digit again, among those that share it, names the groups
     live = _split(rows.where("__n > 1").withColumnRenamed("__n", "__of"), ["__len", "__digit"], shared).drop("__digit")
