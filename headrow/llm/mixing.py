@@ -12,6 +12,7 @@ from headrow.plans.lineage import cut
 
 _CELL_BITS = 14
 _BLOCK_BITS = 7  # cells are summed in blocks first
+_SHARE = 1 << 60  # weights are whole shares of the heaviest sibling's, so that sums don't depend on the order of adding
 
 
 def word_tokens(text: Column) -> Column:
@@ -20,28 +21,28 @@ def word_tokens(text: Column) -> Column:
 
 
 def share_out(budget: int, weights: list[float], limits: list[int]) -> list[int]:
-    """Split budget by weights, none over its limit; what one can't take goes to the others by their weights."""
+    """Split budget by weights, none over its limit; what one can't take goes to the others by their weights.
+
+    Whole numbers throughout, so that share_out_spread() shares out alike to the token.
+    """
     given = [0] * len(weights)
     open_ = [i for i, (w, m) in enumerate(zip(weights, limits)) if w > 0 and m > 0]
+    top = max((weights[i] for i in open_), default=1.0)
+    shares = {i: max(1, int(weights[i] / top * _SHARE)) for i in open_}
     left = min(budget, sum(limits[i] for i in open_))
-    while left > 0 and open_:
-        total = sum(weights[i] for i in open_)
-        parts = {i: int(left * weights[i] / total) for i in open_}
-        full = [i for i in open_ if given[i] + parts[i] >= limits[i]]
-        if full:
-            for i in full:
-                left -= limits[i] - given[i]
-                given[i] = limits[i]
-            open_ = [i for i in open_ if given[i] < limits[i]]
-            continue
-        for i in open_:
-            given[i] += parts[i]
-            left -= parts[i]
-        for i in open_[:left] if left < len(open_) else open_:
-            step = min(1, limits[i] - given[i])
-            given[i] += step
-            left -= step
-        open_ = [i for i in open_ if given[i] < limits[i]]
+    while open_:
+        total = sum(shares[i] for i in open_)
+        parts = {i: left * shares[i] // total for i in open_}
+        full = [i for i in open_ if parts[i] >= limits[i]]
+        for i in full:
+            given[i] = limits[i]
+            left -= limits[i]
+        open_ = [i for i in open_ if parts[i] < limits[i]]
+        if not full:
+            spare = left - sum(parts.values())  # fewer than there are open ones: one each to the first of them
+            for place, i in enumerate(open_):
+                given[i] = parts[i] + (place < spare)
+            break
     return given
 
 
@@ -80,16 +81,18 @@ def share_out_spread(nodes: DataFrame, keys: list[str], name: str, given: DataFr
     salted = lambda t: t.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     nodes = nodes.where("w > 0 and m > 0").withColumn("__salt", F.pmod(F.crc32(F.encode(name, "UTF-8")), F.lit(SALTS)).cast("int"))
     nodes = cut(nodes.select(*keys, name, "w", "m", "__salt"))
-    part = F.floor(F.col("left") * F.col("w") / F.col("open"))
+    share = F.greatest(F.lit(1).cast("long"), (F.col("w") / F.col("top") * F.lit(float(_SHARE))).cast("long")).cast("decimal(19,0)")
+    part = F.call_function("div", F.col("left").cast("decimal(19,0)") * share, F.col("open"))
     full = F.col("open").isNull() | (part >= F.col("m"))
-    rates = given.select(*keys, "given", F.lit(0).cast("long").alias("left"), F.lit(1.0).alias("open"), F.lit(-1).cast("long").alias("n_full"))
+    tops = nodes.join(salted(given), [*keys, "__salt"]).groupBy(*keys).agg(F.max("given").alias("given"), F.max("w").alias("top"))
+    rates = tops.select(*keys, "given", "top", F.lit(0).cast("long").alias("left"), F.lit(1).cast("decimal(29,0)").alias("open"), F.lit(-1).cast("long").alias("n_full"))
     while True:
         met = nodes.join(salted(rates), [*keys, "__salt"]).withColumn("full", full)
         sums = met.groupBy(*keys).agg(
-            F.max("given").alias("given"), F.coalesce(F.sum(F.when(F.col("full"), F.col("m"))), F.lit(0)).alias("taken"),
-            F.sum(F.when(~F.col("full"), F.col("w"))).alias("open"), F.count_if("full").alias("n"), F.max("n_full").alias("before"),
+            F.max("given").alias("given"), F.max("top").alias("top"), F.coalesce(F.sum(F.when(F.col("full"), F.col("m"))), F.lit(0)).alias("taken"),
+            F.sum(F.when(~F.col("full"), share)).alias("open"), F.count_if("full").alias("n"), F.max("n_full").alias("before"),
         )
-        rates = cut(sums.select(*keys, "given", F.greatest(F.lit(0), F.col("given") - F.col("taken")).alias("left"), "open", F.col("n").alias("n_full"), "before"))
+        rates = cut(sums.select(*keys, "given", "top", F.greatest(F.lit(0), F.col("given") - F.col("taken")).alias("left"), "open", F.col("n").alias("n_full"), "before"))
         if rates.where("n_full > before").isEmpty():
             break
     met = nodes.join(salted(rates), [*keys, "__salt"]).withColumn("full", full)
@@ -144,14 +147,15 @@ def mix_sources(
     Budgets and shortages: budgets(). A leaf takes its rows in a seeded order, epoch after epoch (each with an order
     of its own), while the running sum of tokens stays within its budget; a row of a full epoch comes once for that epoch.
 
-    The prefix is found without gathering a leaf in one task: tokens are summed in 16,384 cells of the seeded
-    order, those in 128 blocks; whole cells below the budget are taken, and only rows of the cell at the boundary are
-    summed one by one. A tree of at most max_leaves leaves whose names take at most broadcast_bytes reaches the driver and is
-    broadcast to the rows. A larger one stays a table: its budgets are found level by level (budgets_spread()), with the same result but for
-    rounding, and joined to the rows by exchange, where rows of leaves with more than one in 2,000 of all rows are dealt to many tasks. Rows without tokens
+    Texts are read twice: once to count tokens into a narrow table of the rows (leaf, id, hash of the text, tokens), and once to give the
+    chosen rows. The prefix is found on the narrow table without gathering a leaf in one task: tokens are summed in 16,384 cells of the seeded
+    order, those in 128 blocks, and only rows of the cell at the boundary are summed one by one; each leaf then has one last place in its
+    order. A tree of at most max_leaves leaves whose names take at most broadcast_bytes reaches the driver and is
+    broadcast to the rows. A larger one stays a table: its budgets are found level by level (budgets_spread()), alike to the token,
+    and joined to the rows by exchange, where rows of leaves with more than one in 2,000 of all rows are dealt to many tasks. Rows without tokens
     go with the others, and once where their leaf has no tokens at all; the order hashes id and text, so rows of one id, or of none, are spread, and
-    only repeated rows tie;
-    columns named epoch or mix_tokens are replaced; an empty table gives an empty one.
+    only repeated rows tie: where the budget ends between rows of one place, as many of them as it allows are taken.
+    Columns named epoch or mix_tokens are replaced; an empty table gives an empty one.
     """
     kept = [c for c in (df.columns if keep is None else keep) if c not in ("epoch", "mix_tokens")]
     level = [f"__l{i}" for i in range(len(levels))]
@@ -164,9 +168,10 @@ def mix_sources(
         F.xxhash64(df[text_col].cast("string")).alias("__bytes"),
         F.coalesce(counted, F.lit(0)).cast("long").alias("mix_tokens"),
     )
-    if text_col not in kept:  # the rows are narrow: texts are read, and tokens counted, once
-        rows = cut(rows)
-    leaves = cut(rows.groupBy(*level).agg(F.sum("mix_tokens").alias("n"), F.count(F.lit(1)).alias("c")))
+    narrow = cut(rows if text_col not in kept else rows.select(*level, "__id", "__bytes", "mix_tokens"))
+    if text_col not in kept:
+        rows = narrow
+    leaves = cut(narrow.groupBy(*level).agg(F.sum("mix_tokens").alias("n"), F.count(F.lit(1)).alias("c")))
     bytes_ = sum((F.octet_length(c).cast("long") + 64 for c in level), F.lit(0).cast("long"))
     facts = leaves.agg(F.count(F.lit(1)).alias("leaves"), F.sum(bytes_).alias("held"), F.sum("n").alias("n"), F.sum("c").alias("c")).first()
     small = facts.leaves <= max_leaves and (facts.held or 0) <= broadcast_bytes
@@ -176,9 +181,13 @@ def mix_sources(
         return spark.createDataFrame(table, ", ".join([*(f"{c} string" for c in level), numbers]))
 
     if small:
-        available = {tuple(r[c] for c in level): r["n"] for r in leaves.collect()}
-        goal = budgets(available, budget, max_epochs, lambda p, n: chosen.get(p, float(n) ** alpha))
-        plan = of_leaves([(*p, *(divmod(g, available[p]) if available[p] else (1, 0))) for p, g in goal.items()], "__full long, __rest long")
+        nodes = leaves.rollup(*level).agg(F.sum("n").alias("n"), F.grouping_id().alias("up"))
+        nodes = [(tuple(r[: len(level) - r.up.bit_count()]), r.n, r.w) for r in nodes.withColumn("w", F.pow(F.col("n").cast("double"), F.lit(float(alpha)))).collect()]
+        available = {p: n for p, n, _ in nodes if len(p) == len(level)}
+        natural = {p: w for p, _, w in nodes}
+        goal = budgets(available, budget, max_epochs, lambda p, n: chosen.get(p, natural[p]))
+        goal = {p: divmod(g, available[p]) if available[p] else (1, 0) for p, g in goal.items()}
+        plan = of_leaves([(*p, *g) for p, g in goal.items()], "__full long, __rest long")
     else:
         some = F.col("n") > 0
         full, rest = F.when(some, F.expr("given div n")).otherwise(1), F.when(some, F.col("given") % F.col("n")).otherwise(0)
@@ -198,11 +207,11 @@ def mix_sources(
         told = told.join(cold.hint("merge"), [*level, "__key"], "left").withColumn("__fact", F.coalesce("__hot", "__cold"))
         return told.select(*rows.columns, *(F.col(f"__fact.{n}").alias(n) for n in names))
 
-    keyed = tell(rows, plan, ["__full", "__rest"])
-    order = F.xxhash64(F.lit(seed), F.col("__full"), F.col("__id"), F.col("__bytes"))
-    keyed = keyed.withColumn("__order", order).withColumn("__cell", F.shiftright("__order", 64 - _CELL_BITS))
+    def placed(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("__order", F.xxhash64(F.lit(seed), F.col("__full"), F.col("__id"), F.col("__bytes")))
 
-    cells = cut(keyed.where("__rest > 0").groupBy(*level, "__rest", "__cell").agg(F.sum("mix_tokens").alias("n")))
+    keyed = placed(tell(narrow, plan, ["__full", "__rest"])).where("__rest > 0").withColumn("__cell", F.shiftright("__order", 64 - _CELL_BITS))
+    cells = cut(keyed.groupBy(*level, "__rest", "__cell").agg(F.sum("mix_tokens").alias("n")))
     cells = cells.withColumn("__block", F.shiftright("__cell", _CELL_BITS - _BLOCK_BITS))
 
     def boundary(sums: DataFrame, by: str, before: Column) -> DataFrame:
@@ -216,12 +225,32 @@ def mix_sources(
     edge = boundary(cells.join(block, [*level, "__block"]), "__cell", F.col("__before"))
     edge = edge.select(*level, F.col("__cell").cast("long").alias("__edge"), "__before")
     edge = of_leaves([tuple(r) for r in edge.collect()], "__edge long, __before long") if small else cut(edge)
-    keyed = tell(keyed, edge, ["__edge", "__before"])
 
-    own = [F.col(n).alias(c) for n, c in zip(names, kept)]
-    whole = keyed.withColumn("__n", F.col("__full") + (F.col("__cell") < F.coalesce("__edge", F.lit(0))).cast("long") * (F.col("__rest") > 0).cast("long"))
-    whole = whole.where("__n > 0").select(*own, "mix_tokens", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1)).alias("epoch"))
+    # the last place of each leaf's order within its budget, how many rows have it, and how many of them the budget allows
     running = Window.partitionBy(*level).orderBy("__order", "__id", "__bytes").rowsBetween(Window.unboundedPreceding, 0)
-    partial = keyed.where("__rest > 0 and __cell = __edge").withColumn("__upto", F.col("__before") + F.sum("mix_tokens").over(running))
-    partial = partial.where("__upto <= __rest").select(*own, "mix_tokens", F.col("__full").alias("epoch"))
-    return whole.unionByName(partial).select(*kept, "epoch", "mix_tokens")
+    near = tell(keyed, edge, ["__edge", "__before"]).where("__cell = __edge")
+    near = near.withColumn("__fits", F.col("__before") + F.sum("mix_tokens").over(running) <= F.col("__rest"))
+    places = near.groupBy(*level, "__edge", "__order").agg(F.count_if("__fits").alias("__some"), F.count(F.lit(1)).alias("__all"))
+    last = F.max(F.when(F.col("__some") > 0, F.struct("__order", "__some", "__all")))
+    ends = cut(places.groupBy(*level, "__edge").agg(last.alias("e")).select(*level, "__edge", "e.*"))
+    before_cell = F.shiftleft("__edge", 64 - _CELL_BITS)  # every earlier cell's places are smaller
+    split = F.coalesce(F.col("__some") < F.col("__all"), F.lit(False))
+    ends = ends.select(*level, F.coalesce("__order", before_cell).alias("__last"), (F.col("__order").isNotNull() & ~split).alias("__with"), F.when(split, F.col("__some")).alias("__some"))
+    if small:
+        found = {tuple(r[: len(level)]): tuple(r[len(level) :]) for r in ends.collect()}
+        ends = of_leaves([(*p, *g, *found.get(p, (None, None, None))) for p, g in goal.items()], "__full long, __rest long, __last long, __with boolean, __some long")
+        ties = any(some is not None for _, _, some in found.values())
+    else:
+        ends = cut(plan.join(ends, level, "left"))
+        ties = not ends.where("__some is not null").isEmpty()
+
+    own = [F.col(n).alias(c) for n, c in zip(names, kept)]
+    ended = placed(tell(rows, ends, ["__full", "__rest", "__last", "__with", "__some"]))
+    inside = (F.col("__order") < F.col("__last")) | (F.col("__with") & (F.col("__order") == F.col("__last")))
+    epochs = ended.withColumn("__n", F.col("__full") + F.coalesce(inside, F.lit(False)).cast("long")).where("__n > 0")
+    out = epochs.select(*own, "mix_tokens", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1)).alias("epoch"))
+    if ties:
+        nth = F.row_number().over(Window.partitionBy(*level).orderBy("__id", "__bytes"))
+        tied = ended.where("__some is not null and __order = __last").withColumn("__nth", nth).where("__nth <= __some")
+        out = out.unionByName(tied.select(*own, "mix_tokens", F.col("__full").alias("epoch")))
+    return out.select(*kept, "epoch", "mix_tokens")

@@ -287,7 +287,25 @@ def test_budgets_of_a_large_tree_are_the_same(spark, budget, epochs):
     want = budgets(have, budget, epochs, lambda p, n: weights.get(p, float(n) ** 0.5))
     leaves = spark.createDataFrame([(*p, n) for p, n in have.items()], "a string, b string, c string, n long")
     got = {(r.a, r.b, r.c): r.given for r in budgets_spread(leaves, ["a", "b", "c"], budget, epochs, 0.5, weights).collect()}
-    assert got.keys() == want.keys() and max(abs(got[p] - want[p]) for p in want) <= 1 and abs(sum(got.values()) - sum(want.values())) <= 1
+    assert got == want and sum(got.values()) == min(budget, sum(min(n * epochs, want[p]) for p, n in have.items()))
+
+
+def test_shares_are_exact_far_beyond_doubles(spark):
+    limits, weights = [10**15 + i for i in range(40)], [float(3 * i + 1) ** 0.7 for i in range(40)]
+    given = share_out(7 * 10**15 + 3, weights, limits)
+    assert sum(given) == 7 * 10**15 + 3 and all(g <= m for g, m in zip(given, limits))
+    leaves = spark.createDataFrame([(f"s{i}", m) for i, m in enumerate(limits)], "a string, n long")
+    chosen = {(f"s{i}",): w for i, w in enumerate(weights)}
+    goal = budgets({(f"s{i}",): m for i, m in enumerate(limits)}, 7 * 10**15 + 3, 1, lambda p, n: chosen[p])
+    assert {(r.a,): r.given for r in budgets_spread(leaves, ["a"], 7 * 10**15 + 3, 1, 1.0, chosen).collect()} == goal
+
+
+def test_mixing_splits_repeated_rows_where_the_budget_ends(spark):
+    df = docs(spark, ["one two three four five"] * 10).withColumn("doc_id", F.lit(7).cast("long"))
+    for bound in ({}, {"max_leaves": -1}):
+        got = mix_sources(df, [F.lit("d")], budget_fraction=0.5, alpha=1.0, **bound)
+        assert got.count() == 5 and got.agg(F.sum("mix_tokens")).first()[0] == 25
+        assert mix_sources(df, [F.lit("d")], budget_fraction=1.5, alpha=1.0, max_epochs=2, **bound).groupBy("epoch").count().orderBy("epoch").collect() == [(0, 10), (1, 5)]
 
 
 def test_mixing_odd_rows(spark):
