@@ -158,15 +158,8 @@ class StateTables:
                 return
 
     def remove_old(self) -> None:
-        """Delete folders that the newest version doesn't hold. Readers of earlier versions and writers that haven't committed must have ended."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path
-        held = {p.rstrip("/").rsplit("/", 1)[-1] for p in self.log.snapshot().files}
-        for name in {p.rstrip("/").split("/")[-2] for p in self.log.snapshot().files}:
-            folder = path(f"{self.root}/{name}")
-            files = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
-            for s in files.listStatus(folder) if files.exists(folder) else []:
-                if s.getPath().getName() not in held:
-                    files.delete(s.getPath(), True)
+        """Delete folders that the newest version doesn't hold, see CommitLog.remove_old()."""
+        self.log.remove_old()
 
 
 class IncrementalArchive(StateTables):

@@ -13,7 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from headrow.operators.changes import analysis_items_after
 from headrow.operators.health import BASE_DELAY, DONE, MAX_DELAY
-from headrow.operators.increments import BUCKETS, IncrementalArchive
+from headrow.operators.increments import BUCKETS, FANOUT, IncrementalArchive
 from headrow.plans.lineage import collecting, cut, discard
 from headrow.sources.commit_log import CommitLog, Conflict, File
 
@@ -43,10 +43,15 @@ class ChangeConsumer:
     What work makes of a set of events and the consumer's checkpoint are one commit below root: a failure at any point leaves both as they were, and the same
     events come again. Consumers may share a root; each has its own checkpoint, and two processes of one consumer don't both commit the same events.
     A first start begins with the oldest event. An event that breaks a rule of analysis_violations() fails the set, nothing is skipped.
+
+    When fanout folders of output have one level they are merged to one of the next, so there are at most fanout - 1 a level and as many levels as the logarithm
+    of the number of sets. If work gives other columns later on, earlier rows have null there.
     """
 
-    def __init__(self, archive: IncrementalArchive, sources: DataFrame, root: str, name: str, work: Callable[[DataFrame], DataFrame] = lambda events: events):
-        self.archive, self.sources, self.root, self.name, self.work = archive, sources, root.rstrip("/"), name, work
+    def __init__(
+        self, archive: IncrementalArchive, sources: DataFrame, root: str, name: str, work: Callable[[DataFrame], DataFrame] = lambda events: events, fanout: int = FANOUT
+    ):
+        self.archive, self.sources, self.root, self.name, self.work, self.fanout = archive, sources, root.rstrip("/"), name, work, fanout
         self.spark = archive.spark
         self.log = CommitLog(self.spark, self.root)
 
@@ -61,13 +66,36 @@ class ChangeConsumer:
     def output(self) -> DataFrame | None:
         """What work made of all events up to the checkpoint; None before the first."""
         paths = self._mine("output")
-        return self.spark.read.parquet(*paths) if paths else None
+        return self._output(paths) if paths else None
+
+    def _output(self, paths: list[str]) -> DataFrame:
+        return self.spark.read.option("mergeSchema", True).parquet(*paths)
 
     def advance(self, version: int | None = None) -> None:
         """Work on the events behind the checkpoint, up to a version of the archive. Hydration reads the buckets of their items, not the whole archive."""
         version = self.archive.log.snapshot(version).version
         while not self._try(version):
             pass
+        self.compact()
+
+    def compact(self) -> None:
+        """Merge the output folders of each level that has fanout of them, until none has; each merged folder takes their place in one commit."""
+        while True:
+            seen = self.log.snapshot()
+            levels: dict[int, list[str]] = {}
+            for f in seen.of("output"):
+                if f.batch == self.name:
+                    levels.setdefault(f.level, []).append(f.path)
+            full = [level for level, paths in levels.items() if len(paths) >= self.fanout]
+            if not full:
+                return
+            level = min(full)
+            made = File("output", f"{self.root}/output/attempt={uuid.uuid4().hex}", self.name, level + 1)
+            self._output(levels[level]).hint("rebalance").write.parquet(made.path)
+            try:
+                self.log.commit(seen, None, [made], levels[level], levels[level])
+            except Conflict:  # another process of this consumer merged them
+                return
 
     def _try(self, version: int) -> bool:
         seen = self.log.snapshot()

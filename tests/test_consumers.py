@@ -89,6 +89,31 @@ def test_two_processes_of_one_consumer(spark, tmp_path):
     assert other.output().count() == archive.changes(-1).count()
 
 
+def test_output_is_compacted_by_levels(spark, tmp_path):
+    """Three sets, two folders a level at once: none is lost or doubled, a later column is null in earlier rows, and replaced folders can be deleted."""
+    raw = runs_of(make(random.Random(9), 12), 9)
+    rows = accepted(spark, raw)
+    sources = all_sources(spark, rows)
+    archive = IncrementalArchive(spark, f"{tmp_path}/archive", buckets=2)
+    other = jobs.ChangeConsumer(archive, sources, f"{tmp_path}/out", "other", fanout=2)
+    parts = [raw[: len(raw) // 3], raw[len(raw) // 3 : len(raw) * 2 // 3], raw[len(raw) * 2 // 3 :]]
+    for i, part in enumerate(parts):
+        archive.apply(accepted(spark, part), i)
+        work = (lambda e: e.withColumn("more", F.lit(1))) if i else (lambda e: e)
+        c = jobs.ChangeConsumer(archive, sources, f"{tmp_path}/out", "c", work=work, fanout=2)
+        c.advance()
+        if i == 0:
+            other.advance()
+            first = c.checkpoint()
+    files = c.log.snapshot().of("output")
+    assert sorted(f.level for f in files if f.batch == "c") == [0, 1] and [f.level for f in files if f.batch == "other"] == [0]
+    want, theirs = sorted(r.seq for r in archive.changes(-1).collect()), other.output().count()
+    c.log.remove_old()
+    got = c.output().collect()
+    assert sorted(r.change_seq for r in got) == want and all((r.more is None) == (r.change_seq <= first) for r in got)
+    assert other.output().count() == theirs and len(list((tmp_path / "out" / "output").iterdir())) == 3
+
+
 def test_timers_find_due_sources_at_each_instant(spark, tmp_path):
     """Replay by a clock of ticks, some with no run since the last: the due sources are those of the fold at that instant. s3 has no run, s4 is disabled."""
     rows = run_log(random.Random(8))[:30]

@@ -1,6 +1,8 @@
 import duckdb
 import pytest
 
+import __spark_entry__
+from headrow.plans import lineage
 from headrow.plans.registry import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.01"  # as the correctness gate has it: smaller tables hide rows of rare kinds
@@ -48,3 +50,15 @@ def test_projections_cover_every_document(spark, tmp_path):
     c = duckdb.connect()
     c.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     assert {r[0]: r for r in c.sql(f"SELECT doc_id, head, title FROM ({ORACLE_SQL[name]})").fetchall()} == {k: (k, *v) for k, v in want.items()}
+
+
+def test_tables_of_queries_are_deleted_on_close(spark):
+    """What a query cuts is there while its result is read, and gone after close()."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(lineage.shared_dir(spark))
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = lambda: {s.getPath().getName() for s in files.listStatus(path)}
+    before = names()
+    df = __spark_entry__.queries()["f2_latest_snapshot_headlines"](spark, "/root/testdata/sf0.001")
+    assert df.count() and names() > before
+    __spark_entry__.close(spark)
+    assert names() <= before
