@@ -288,3 +288,12 @@ def test_places_in_a_cluster_do_not_depend_on_hours(spark):
         got = cluster.headline_groups(df, order)
         assert got.columns == [*df.columns, "place", "group_time"]
         assert {r.item_id: (r.place, r.group_time) for r in got.collect()} == want
+
+
+def test_validation_computes_identities_once(spark):
+    """Candidates go through one exchange and one fold, however many batches repeat an identity."""
+    rows = [(i, i // 6, "live", "s", "p", dt.datetime(2024, 1, 1), "T", "https://e/0", None, None, None, 1, "{}", "article", None, None) for i in range(60)]
+    df = val.validate(spark.createDataFrame(rows, SCHEMA), F.col("seen_at"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") == 1 and "Window" not in plan and "Join" not in plan
+    assert df.where("reason is null").count() == 10

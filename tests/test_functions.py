@@ -114,3 +114,14 @@ def test_json_scalars(spark):
     assert column(spark, given, lambda c: checks.optional_finite_number(v(c)))[:7] == [1.0, None, None, 1.5, None, None, None]
     assert column(spark, given, lambda c: checks.text_of(v(c)))[:7] == [None, None, "1", None, "", None, "x"]
     assert column(spark, given, lambda c: checks.scalar_text_of(v(c)))[:7] == ["1", None, "1", "1.5", "", None, "x"]
+
+
+def test_plain_urls_go_the_short_way_to_the_same_result(spark):
+    """URLs at the edge of the pattern for normal ones: what they give is what the same URL gives with a port that is dropped."""
+    tails = ["", "/", "/a", "/a?", "/a?x=1", "?", "?x", "?utm_source=a", "/a?utm_source=a&b=2", "/a?x#f", "#f", "/a#", "/a b", "/a\n", "/a?x　", "/aé", "/a?x?y", "/<", "/a|b", "//x", ":", "/a\\b"]
+    rows = [(i, f"https://e.example{t}", f"HTTPS://E.example:443{t}" if t != ":" else "HTTPS://E.example:") for i, t in enumerate(tails)]
+    both = lambda f: [f(F.col("plain")), f(F.col("long"))]
+    df = spark.createDataFrame([*rows, (99, None, None)], "i int, plain string, long string")
+    for f in (urls.normalize_url_for_identity, urls.canonicalize_url, urls.is_http_url):
+        for r in df.select("i", *(c.alias(n) for c, n in zip(both(f), "ab"))).collect():
+            assert r.a == r.b, (f.__name__, r)
