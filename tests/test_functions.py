@@ -125,3 +125,38 @@ def test_plain_urls_go_the_short_way_to_the_same_result(spark):
     for f in (urls.normalize_url_for_identity, urls.canonicalize_url, urls.is_http_url):
         for r in df.select("i", *(c.alias(n) for c, n in zip(both(f), "ab"))).collect():
             assert r.a == r.b, (f.__name__, r)
+
+
+def test_long_titles_are_folded_a_few_at_a_time():
+    """No more than a slice of a batch is held as Python strings, whatever the batch holds."""
+    import pyarrow as pa
+
+    held, most = [], 0
+
+    class Texts:
+        """A column that notes how much of it is made into strings at once."""
+
+        def __init__(self, array):
+            self.array, self.type, self.null_count = array, array.type, array.null_count
+
+        def __len__(self):
+            return len(self.array)
+
+        def slice(self, *at):
+            return Texts(self.array.slice(*at))
+
+        def to_pylist(self):
+            held.append(sum(len(x or "") for x in self.array.to_pylist()))
+            return self.array.to_pylist()
+
+    texts = pa.array([None, "", *(f"É {i} " * 60_000 for i in range(20)), None, "ß"])
+    lengths, text.pc.binary_length = text.pc.binary_length, lambda t: lengths(t.array)
+    try:
+        got = text._each(Texts(texts), str.lower)
+    finally:
+        text.pc.binary_length = lengths
+    most = max(held)
+    assert got.to_pylist() == [None if x is None else x.lower() for x in texts.to_pylist()]
+    assert len(held) > 5 and most <= text._SLICE_BYTES + 400_000
+    assert text._each(pa.array([], pa.string()), str.lower).to_pylist() == []
+    assert text._each(pa.array([None, None], pa.string()), str.lower).to_pylist() == [None, None]
