@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from headrow.functions.text import none_if_blank, strip
 from headrow.functions.urls import canonicalize_url
-from headrow.operators.archive import build_change_log, build_snapshots, resolve_increment
+from headrow.operators.archive import build_change_log, build_snapshots, resolve_known
 from headrow.plans.lineage import collecting, cut, discard
 from headrow.sources.commit_log import CommitLog, Conflict, File, Snapshot
 
@@ -188,7 +188,7 @@ class IncrementalArchive(StateTables):
             named = rows.select("p").unionByName(urls.select(F.col("firstp").alias("p"))).where("p is not null")
             ids = self._state(seen, "ids", named)
             ids = cut(self.spark.createDataFrame([], "p string, item_id long") if ids is None else ids)
-            found, taken = (cut(x) for x in resolve_increment(ids, urls, rows))
+            found, taken = (cut(x) for x in resolve_known(ids, urls, rows))
             new = {n: cut(s) for n, s in states_of(found, taken).items()}
             touched = found.where("rep").select("item_id").distinct()
             with_old = lambda n: new[n] if (old := self._state(seen, n, touched)) is None else merged(n, old.unionByName(new[n]))

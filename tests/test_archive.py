@@ -297,3 +297,20 @@ def test_validation_computes_identities_once(spark):
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("LogicalRDD") == 1 and "Window" not in plan and "Join" not in plan
     assert df.where("reason is null").count() == 10
+
+
+def test_resolution_reads_its_candidates_once(spark):
+    """Candidates are computed once, however often resolution and the tables read them; a resolved row is joined from keys."""
+    rows = accepted(spark, make(random.Random(9), 40))
+    count = spark.sparkContext.accumulator(0)
+
+    def seen(parts):
+        for part in parts:
+            count.add(part.num_rows)
+            yield part
+
+    n = rows.count()
+    archive = arc.build_archive(rows.mapInArrow(seen, rows.schema))
+    for name in ("items", "item_versions", "observations", "snapshot_entries", "change_log"):
+        archive[name].collect()
+    assert count.value == n
