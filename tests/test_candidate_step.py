@@ -5,6 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from headrow.functions import text, urls
+from headrow.operators import archive as arc, browse
 from headrow.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -44,3 +45,32 @@ def test_an_archive_judges_its_candidates_once(spark, monkeypatch):
     archive = registry._archive(spark, SF)
     assert archive["snapshots"].count() > 0 and archive["snapshot_entries"].count() > 0
     assert len(calls) == 1
+
+
+def test_candidates_of_one_row_group_are_judged_by_several_tasks(spark, tmp_path):
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    many = events.crossJoin(spark.range(400).withColumnRenamed("id", "copy")).withColumn("event_id", F.col("event_id") + 1000 * F.col("copy")).drop("copy")
+    many.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    judged = registry._validated(spark, str(tmp_path)).select("obs_seq", "u", "reason", F.spark_partition_id().alias("task"))
+    tasks = {r["task"]: r["count"] for r in judged.groupBy("task").count().collect()}
+    assert sum(tasks.values()) == many.count() and max(tasks.values()) < 0.9 * many.count()
+
+
+def test_latest_headlines_are_built_of_the_listed_items_rows(spark):
+    archive = registry._archive(spark, SF)
+    listed = arc.listed_archive(archive, browse.latest_snapshots(archive["snapshots"]))
+    assert 0 < listed["resolved"].count() < archive["resolved"].count()
+    sources = registry._sources(spark, SF)
+    of = lambda a: sorted(browse.latest_snapshot_headlines(a, sources).collect(), key=str)
+    assert of(listed) == of(archive) != []
+    assert registry._latest_archive(spark, SF)["resolved"].count() == listed["resolved"].count()
+
+
+def test_keys_of_resolution_are_computed_once(spark, monkeypatch):
+    """The windows over URLs are written, and rows without id come from them with their run: no join by obs_seq adds it."""
+    written, cut = [], arc.cut
+    monkeypatch.setattr(arc, "cut", lambda df, *a: written.append(df) or cut(df, *a))
+    arc.resolve_items(registry._accepted(cut(registry._validated(spark, SF))), written=True)
+    keys = [df for df in written if df.columns == ["obs_seq", "run_id", "token", "known"]]
+    assert len(keys) == 1
+    assert keys[0]._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 1  # of the first rows of ids
