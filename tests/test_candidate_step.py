@@ -74,3 +74,37 @@ def test_keys_of_resolution_are_computed_once(spark, monkeypatch):
     keys = [df for df in written if df.columns == ["obs_seq", "run_id", "token", "known"]]
     assert len(keys) == 1
     assert keys[0]._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 1  # of the first rows of ids
+
+
+def test_named_tables_are_built_of_their_own_columns(spark):
+    whole = registry._archive(spark, SF)
+    of = lambda t: sorted(t.collect(), key=str)
+    for names, left_out in ((["observations"], {"title", "title_hash", "url", "metrics", "u", "p"}), (["item_versions"], {"url", "metrics", "position"}), (["items", "observations", "item_versions", "change_log"], {"metrics", "run_kind"})):
+        some = registry._archive(spark, SF, *names)
+        assert {*some} == {"resolved", *names} and not left_out & {*some["resolved"].columns}
+        for n in names:
+            assert some[n].columns == whole[n].columns and of(some[n]) == of(whole[n]) != []
+
+
+def test_url_patterns_list_ascii_characters_one_by_one():
+    for pattern in (urls._NORMAL, urls._CANONICAL, urls._USUAL, urls._SOUND):
+        assert not re.search(r"[^\\]-", re.sub(r"\[1-9\]\[0-9\]|\[0-9\]\{", "", pattern.replace(urls._HIGH, "")))
+    char = lambda c: {x for x in map(chr, range(0x10000)) if re.match(c, x)}
+    assert char(urls._PATH) == char(r"""[!"$->@-~¡-ᙿ、-￿]""") and char(urls._TAIL) == char(r"[!#-;=?-\[\]_a-z~¡-ᙿ、-￿]")
+
+
+def test_texts_with_plain_ends_need_no_stripping(spark):
+    said = spark.createDataFrame([(t,) for t in ("a", "a b", "a\nb", "a\n", " a", "", " ", "é", "é ", "　", None)], "t string")
+    assert said.where(~text.none_if_blank(F.col("t")).eqNullSafe(F.nullif(text.strip(F.col("t")), F.lit("")))).count() == 0
+
+
+def test_windows_over_urls_sort_by_a_hash_first(spark, monkeypatch):
+    written, cut = [], arc.cut
+    monkeypatch.setattr(arc, "cut", lambda df, *a: written.append(df) or cut(df, *a))
+    rows = registry._accepted(cut(registry._validated(spark, SF)))
+    got = arc.resolve_items(rows, block_bits=6, written=True)
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in written]
+    windows = [line for p in plans for line in p.splitlines() if "Window [" in line and "windowspecdefinition(u" in line]
+    assert windows and all("windowspecdefinition(uh" in w for w in windows)
+    pick = lambda t: sorted(map(tuple, t.select("obs_seq", "token", "item_id", "rep").collect()))
+    assert pick(got) == pick(arc.resolve_items(rows, written=True))
