@@ -86,6 +86,14 @@ def test_named_tables_are_built_of_their_own_columns(spark):
             assert some[n].columns == whole[n].columns and of(some[n]) == of(whole[n]) != []
 
 
+def test_committed_tables_are_built_once(spark, monkeypatch):
+    """They are written in parts and again: as a table, not as the aggregates over all rows that they come from."""
+    written, write = [], registry.tables.write_archive
+    monkeypatch.setattr(registry.tables, "write_archive", lambda t, root: written.extend(t.values()) or write(t, root))
+    assert registry.QUERIES["a1_a10_archive_commits"](spark, SF).count()
+    assert len(written) == 4 and not any("Aggregate" in t._jdf.queryExecution().optimizedPlan().toString() for t in written)
+
+
 def test_url_patterns_list_ascii_characters_one_by_one():
     for pattern in (urls._NORMAL, urls._CANONICAL, urls._USUAL, urls._SOUND):
         assert not re.search(r"[^\\]-", re.sub(r"\[1-9\]\[0-9\]|\[0-9\]\{", "", pattern.replace(urls._HIGH, "")))
